@@ -29,6 +29,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Catalyst inlines a projected column into every lambda that refers to it
+    (CollapseProject counts the reference once), so an expensive array used
+    inside ``transform``/``filter`` would be recomputed per element.  Passing
+    it in as a lambda argument binds it instead."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def btrim_ws(c) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends."""
     return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")

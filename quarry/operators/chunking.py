@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import split_words
+from quarry.functions.text import let, split_words
 
 CHUNK_KEY = ["source", "doc_id", "chunk_no"]
 
@@ -20,10 +20,13 @@ def chunk_words(words: Column, max_words: int = 300, overlap: int = 50) -> Colum
     if not 0 <= overlap < max_words:
         raise ValueError("need 0 <= overlap < max_words")
     step = max_words - overlap
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), n - 1, F.lit(step))
-    return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, max_words), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+
+    def chunks(w):
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), n - 1, F.lit(step))
+        return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, max_words), " "))
+                      ).otherwise(F.array().cast("array<string>"))
+    return let(words, chunks)
 
 
 def chunk_text(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.deal import (LABEL_SYNONYMS, clean_cell, decode_tenor, field_key,
                                    infer_tenor, label_key, split_cells, terminator_keys)
-from quarry.functions.text import WS, btrim_ws, split_lines
+from quarry.functions.text import WS, btrim_ws, let, split_lines
 
 # Fields read from a table row / from a block, with their output column.
 TABULAR_FIELDS = [
@@ -54,46 +54,53 @@ def message_lines(text: Column) -> Column:
     return F.transform(F.filter(split_lines(text), lambda l: btrim_ws(l) != ""), btrim_ws)
 
 
-def add_layout(df: DataFrame, text_col: str = "text", synonyms: dict | None = None,
-               strict_labels: bool = False) -> DataFrame:
-    """Per message: ``_lines``, ``_cells`` (cells per line), ``_hkeys``
-    (header key per line), ``_lkeys`` (whole-line key per line) and
-    ``_stops`` (indexes of terminator lines).  Later steps reference these
-    columns instead of re-splitting the text for each field."""
+def layout(text: Column, synonyms: dict | None = None, strict_labels: bool = False) -> Column:
+    """Per message, computed once: struct of ``lines`` (non-blank,
+    stripped), ``cells`` (cells per line), ``hkeys`` (header key per line),
+    ``lkeys`` (whole-line key per line) and ``stops`` (indexes of
+    terminator lines).  Every field is then read from this struct, so the
+    text is split once however many fields are extracted."""
     terms = F.array(*[F.lit(k) for k in terminator_keys(strict_labels, synonyms)])
-    return (df.withColumn("_lines", message_lines(F.col(text_col)))
-              .withColumn("_cells", F.transform("_lines", split_cells))
-              .withColumn("_hkeys", F.transform("_cells", lambda c: label_key(c[0], synonyms)))
-              .withColumn("_lkeys", F.transform("_lines", lambda l: label_key(l, synonyms)))
-              .withColumn("_stops", F.filter(
-                  F.transform("_lkeys", lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
-                  lambda i: i >= 0)))
 
-
-def tabular_values(field: str, synonyms: dict | None = None) -> Column:
+    def with_lines(lines):
+        def with_keys(cells, lkeys):
+            return F.struct(
+                lines.alias("lines"), cells.alias("cells"),
+                F.transform(cells, lambda c: label_key(c[0], synonyms)).alias("hkeys"),
+                lkeys.alias("lkeys"),
+                F.filter(F.transform(lkeys, lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
+                         lambda i: i >= 0).alias("stops"))
+        return let(F.struct(F.transform(lines, split_cells).alias("c"),
+                            F.transform(lines, lambda l: label_key(l, synonyms)).alias("k")),
+                   lambda ck: with_keys(ck["c"], ck["k"]))
+    return let(message_lines(text), with_lines)
+
+
+def tabular_values(lay: Column, field: str, synonyms: dict | None = None) -> Column:
     """Cleaned cells (header excluded) of the first row whose header is
     ``field``; empty when no row has it."""
-    pos = F.array_position(F.col("_hkeys"), F.lit(field_key(field, synonyms)))
-    row = F.get(F.col("_cells"), (pos - 1).cast("int"))
-    return F.coalesce(F.transform(F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0))), clean_cell),
-                      F.array().cast("array<string>"))
+    pos = F.array_position(lay["hkeys"], F.lit(field_key(field, synonyms)))
+    return let(F.get(lay["cells"], (pos - 1).cast("int")), lambda row: F.coalesce(
+        F.transform(F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0))), clean_cell),
+        F.array().cast("array<string>")))
 
 
-def block_values(field: str, synonyms: dict | None = None) -> Column:
+def block_values(lay: Column, field: str, synonyms: dict | None = None) -> Column:
     """Lines of the first block labelled ``field`` (empty if absent)."""
-    start = F.array_position(F.col("_lkeys"), F.lit(field_key(field, synonyms))).cast("int")
-    stop = F.coalesce(F.array_min(F.filter(F.col("_stops"), lambda i: i >= start)), F.size("_lines"))
-    return F.when(start > 0, F.slice(F.col("_lines"), start + 1, F.greatest(stop - start, F.lit(0)))
-                  ).otherwise(F.array().cast("array<string>"))
+    def from_start(start):
+        stop = F.coalesce(F.array_min(F.filter(lay["stops"], lambda i: i >= start)), F.size(lay["lines"]))
+        return F.when(start > 0, F.slice(lay["lines"], start + 1, F.greatest(stop - start, F.lit(0)))
+                      ).otherwise(F.array().cast("array<string>"))
+    return let(F.array_position(lay["lkeys"], F.lit(field_key(field, synonyms))).cast("int"), from_start)
 
 
-def tranche_count(synonyms: dict | None = None) -> Column:
+def tranche_count(lay: Column, synonyms: dict | None = None) -> Column:
     """Cells of the first ``Tenor`` row that has cells, else the length of
     the ``Tenor`` block, else 1."""
     tk = F.lit(field_key("Tenor", synonyms))
-    sizes = F.transform(F.col("_hkeys"), lambda k, i: F.when(k == tk, F.size(F.get(F.col("_cells"), i))))
+    sizes = F.transform(lay["hkeys"], lambda k, i: F.when(k == tk, F.size(F.get(lay["cells"], i))))
     n_tab = F.get(F.filter(sizes, lambda s: s > 1), 0) - 1
-    n_blk = F.nullif(F.size(block_values("Tenor", synonyms)), F.lit(0))
+    n_blk = F.nullif(F.size(block_values(lay, "Tenor", synonyms)), F.lit(0))
     return F.coalesce(n_tab, n_blk, F.lit(1))
 
 
@@ -107,62 +114,84 @@ def ratings_by_tranche(text: Column, n: Column, label: str = "Expected Ratings")
     """
     # (?d): only \n ends a line, so ``$`` matches where Python's does.
     pat = rf"(?id){re.escape(label)}{WS}+([\s\S]+?)(?:\n[A-Z][a-zA-Z /]+:|\n\n|$)"
-    grp = F.regexp_extract(text, pat, 1)
-    lines = message_lines(grp)
-    items = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
-    rated = F.filter(items, lambda e: e["l"].contains(":"))
-    pairs = F.transform(rated, lambda e: F.struct(
-        e["i"].alias("i"),
-        btrim_ws(F.split(e["l"], ":", 2)[0]).alias("agency"),
-        btrim_ws(F.split(e["l"], ":", 2)[1]).alias("rating")))
-
-    def for_tranche(t):
-        mine = F.filter(pairs, lambda p: F.pmod(p["i"], n) == t)
-        firsts = F.filter(mine, lambda p, j: ~F.exists(F.slice(mine, 1, j), lambda q: q["agency"] == p["agency"]))
-        return F.map_from_entries(F.transform(firsts, lambda p: F.struct(
-            p["agency"], F.element_at(F.filter(mine, lambda q: q["agency"] == p["agency"]), -1)["rating"])))
+    def parsed(grp):
+        items = F.transform(message_lines(grp), lambda l, i: F.struct(i.alias("i"), l.alias("l")))
+        rated = F.filter(items, lambda e: e["l"].contains(":"))
+        return F.transform(rated, lambda e: F.struct(
+            e["i"].alias("i"),
+            btrim_ws(F.split(e["l"], ":", 2)[0]).alias("agency"),
+            btrim_ws(F.split(e["l"], ":", 2)[1]).alias("rating")))
+
+    def for_tranche(ps, t):
+        def dedupe(mine):
+            firsts = F.filter(mine, lambda p, j: ~F.exists(F.slice(mine, 1, j),
+                                                          lambda q: q["agency"] == p["agency"]))
+            return F.map_from_entries(F.transform(firsts, lambda p: F.struct(
+                p["agency"], F.element_at(F.filter(mine, lambda q: q["agency"] == p["agency"]), -1)["rating"])))
+        return let(F.filter(ps, lambda p: F.pmod(p["i"], n) == t), dedupe)
 
     empty = F.create_map().cast("map<string,string>")
-    return F.when(grp == "", F.transform(F.sequence(F.lit(0), n - 1), lambda t: empty)
-                  ).otherwise(F.transform(F.sequence(F.lit(0), n - 1), for_tranche))
+    return let(F.regexp_extract(text, pat, 1), lambda grp: F.when(
+        grp == "", F.transform(F.sequence(F.lit(0), n - 1), lambda t: empty)
+    ).otherwise(let(parsed(grp), lambda ps: F.transform(F.sequence(F.lit(0), n - 1),
+                                                         lambda t: for_tranche(ps, t)))))
+
+
+def tranches_of(text: Column, synonyms: dict | None = None, strict_labels: bool = False,
+                ratings_label: str = "Expected Ratings") -> Column:
+    """``array<struct<TRANCHE_COLUMNS>>`` of one message."""
+    syn = synonyms or LABEL_SYNONYMS
+
+    def with_layout(lay):
+        def with_n(n):
+            fields = {"tenor": tabular_values(lay, "Tenor", syn)}
+            for name, col in TABULAR_FIELDS:
+                fields[col] = tabular_values(lay, name, syn)
+            for name, col in BLOCK_FIELDS:
+                fields[col] = block_values(lay, name, syn)
+            fields["_ratings"] = ratings_by_tranche(text, n, ratings_label)
+
+            def tranches(fs):
+                def tranche(i):
+                    def g(k):
+                        return F.get(fs[k], i)
+                    tenor = F.coalesce(g("tenor"), infer_tenor(g("issue_date"), g("maturity_date")))
+                    dec = decode_tenor(tenor)
+                    cols = {
+                        "tranche": F.concat(F.lit("Tranche "), (i + 1).cast("string")),
+                        "tenor": tenor,
+                        "tenor_maturity_years": dec["maturity_years"],
+                        "tenor_non_call_years": dec["non_call_years"],
+                        "label": g("label"),
+                        "expected_ratings": g("_ratings"),
+                    }
+                    for _, col in TABULAR_FIELDS:
+                        cols[col] = g(col)
+                    cols["optional_redemption_by_issuer"] = g("optional_redemption_by_issuer")
+                    return F.struct(*[cols[c].alias(c) for c in TRANCHE_COLUMNS])
+                return F.transform(F.sequence(F.lit(0), n - 1), tranche)
+            # every field array computed once per message, bound as one struct
+            return let(F.struct(*[v.alias(k) for k, v in fields.items()]), tranches)
+        return let(tranche_count(lay, syn), with_n)
+    return let(layout(text, syn, strict_labels), with_layout)
+
+
+def with_tranches(messages: DataFrame, text_col: str = "text", id_col: str = "msg_id",
+                  synonyms: dict | None = None, strict_labels: bool = False,
+                  ratings_label: str = "Expected Ratings", keep: list[str] | None = None) -> DataFrame:
+    """Deal messages -> ``(msg_id, *keep, tranches)`` where ``tranches`` is
+    the message's ``array<struct<TRANCHE_COLUMNS>>`` (still one row per
+    message, so nested documents need no regrouping)."""
+    return messages.select(F.col(id_col).alias("msg_id"), *(keep or []),
+                           tranches_of(F.col(text_col), synonyms, strict_labels, ratings_label).alias("tranches"))
 
 
 def parse_tranches(messages: DataFrame, text_col: str = "text", id_col: str = "msg_id",
                    synonyms: dict | None = None, strict_labels: bool = False,
                    ratings_label: str = "Expected Ratings") -> DataFrame:
     """Deal messages -> tranche rows (``msg_id`` + ``TRANCHE_COLUMNS``)."""
-    syn = synonyms or LABEL_SYNONYMS
-    df = add_layout(messages.select(F.col(id_col).alias("msg_id"), F.col(text_col).alias("_text")),
-                    "_text", syn, strict_labels)
-    df = df.withColumn("_n", tranche_count(syn))
-    fields = {"tenor": tabular_values("Tenor", syn)}
-    for name, col in TABULAR_FIELDS:
-        fields[col] = tabular_values(name, syn)
-    for name, col in BLOCK_FIELDS:
-        fields[col] = block_values(name, syn)
-    df = df.withColumns({f"_f_{k}": v for k, v in fields.items()})
-    df = df.withColumn("_ratings", ratings_by_tranche(F.col("_text"), F.col("_n"), ratings_label))
-
-    def tranche(i):
-        def g(k):
-            return F.get(F.col(f"_f_{k}"), i)
-        tenor = F.coalesce(g("tenor"), infer_tenor(g("issue_date"), g("maturity_date")))
-        dec = decode_tenor(tenor)
-        cols = {
-            "tranche": F.concat(F.lit("Tranche "), (i + 1).cast("string")),
-            "tenor": tenor,
-            "tenor_maturity_years": dec["maturity_years"],
-            "tenor_non_call_years": dec["non_call_years"],
-            "label": g("label"),
-            "expected_ratings": F.get(F.col("_ratings"), i),
-        }
-        for _, col in TABULAR_FIELDS:
-            cols[col] = g(col)
-        cols["optional_redemption_by_issuer"] = g("optional_redemption_by_issuer")
-        return F.struct(*[cols[c].alias(c) for c in TRANCHE_COLUMNS])
-
-    out = df.select("msg_id", F.inline(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), tranche)))
-    return out
+    t = with_tranches(messages, text_col, id_col, synonyms, strict_labels, ratings_label)
+    return t.select("msg_id", F.inline("tranches"))
 
 
 def reg_tagged_values(messages: DataFrame, field: str = "ISIN", text_col: str = "text",
@@ -175,10 +204,10 @@ def reg_tagged_values(messages: DataFrame, field: str = "ISIN", text_col: str =
     parenthesised parts.  Line ``j`` goes to tranche ``j % n``.
     """
     syn = synonyms or LABEL_SYNONYMS
-    df = add_layout(messages.select(F.col(id_col).alias("msg_id"), F.col(text_col).alias("_text")),
-                    "_text", syn)
-    df = df.select("msg_id", tranche_count(syn).alias("_n"),
-                   F.posexplode(block_values(field, syn)).alias("j", "line"))
+    per_msg = let(layout(F.col(text_col), syn), lambda lay: F.struct(
+        tranche_count(lay, syn).alias("n"), block_values(lay, field, syn).alias("lines")))
+    df = messages.select(F.col(id_col).alias("msg_id"), per_msg.alias("_m"))
+    df = df.select("msg_id", F.col("_m.n").alias("_n"), F.posexplode("_m.lines").alias("j", "line"))
     tag = (F.when(F.col("line").contains("(Reg S)"), F.lit("Reg S"))
             .when(F.col("line").contains("(144A)"), F.lit("144A")).otherwise(F.lit("Unknown")))
     return df.select(

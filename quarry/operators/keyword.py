@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import unicode61_tokens
+from quarry.functions.text import let, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.common import maybe_broadcast, top_k_per_group
 
@@ -117,13 +117,13 @@ def query_terms(queries: DataFrame, query_col: str = "query", id_col: str = "que
     content; a term repeated in the query counts once for matching and
     ``qtf`` times in the score.  A query without terms yields no rows (so it
     matches nothing rather than failing)."""
-    toks = unicode61_tokens(query_col)
-    distinct = F.array_distinct(toks)
+    def counted(toks):
+        distinct = F.array_distinct(toks)
+        return let(F.size(distinct), lambda n: F.transform(distinct, lambda t: F.struct(
+            t.alias("term"), F.size(F.filter(toks, lambda x: x == t)).alias("qtf"), n.alias("n_terms"))))
     return queries.select(
         F.col(id_col).alias("query_id"),
-        F.size(distinct).alias("n_terms"),
-        F.inline(F.transform(distinct, lambda t: F.struct(
-            t.alias("term"), F.size(F.filter(toks, lambda x: x == t)).alias("qtf"))))
+        F.inline(let(unicode61_tokens(query_col), counted))
     ).select("query_id", "term", "qtf", "n_terms")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.deal import infer_tenor
 from quarry.operators.deals import parse_tranches, reg_tagged_values
+from quarry.operators.layouts import deal_documents, draft_tranches, issuer, issuer_ratings, settlement, \
+    to_json_documents
 from quarry.plans.registry import register
 from quarry.plans.render import block_messages, tabular_messages
 from quarry.sources.scans import read_table
@@ -99,3 +101,55 @@ def infer_tenor_q(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("l_orderkey", "l_linenumber",
                     infer_tenor(F.date_format("o_orderdate", "yyyy-MM-dd"),
                                 F.date_format("l_shipdate", "yyyy-MM-dd")).alias("tenor"))
+
+
+_RATING = "['{a}', '{b}', '{c}'][o_custkey % 3 + 1] || ' (Stable)'"
+
+
+@register("deal_globals", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, 'Issuer ' || o_custkey || ' plc' AS issuer,
+  {_RATING.format(a='A3', b='Baa1', c='Ba3')} AS moodys,
+  {_RATING.format(a='A-', b='BBB', c='BB-')} AS sp,
+  {_RATING.format(a='A+', b='A-', c='BB')} AS fitch,
+  '**' || strftime(o_orderdate, '%B %-d, %Y') || '**' AS settlement
+FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
+def deal_globals(spark: SparkSession, sf: str) -> DataFrame:
+    m = tabular_messages(spark, sf)
+    t = F.col("text")
+    r = issuer_ratings(t)
+    return m.select("msg_id", issuer(t).alias("issuer"), r.getItem("Moody's").alias("moodys"),
+                    r.getItem("S&P").alias("sp"), r.getItem("Fitch").alias("fitch"),
+                    settlement(t).alias("settlement"))
+
+
+@register("deal_line_group")
+def deal_line_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Draft line-group layout over the rendered messages (rows-only check;
+    exact values are covered by the fixture tests)."""
+    d = draft_tranches(tabular_messages(spark, sf))
+    return d.select("msg_id", F.inline("tranches")).select(
+        "msg_id", "tranche_no", "tenor", "label", "format", "isin", "maturity_date",
+        F.size("optional_redemption_by_issuer").alias("n_redemption_terms"))
+
+
+@register("deal_json", f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, max('Issuer ' || o_custkey || ' plc') AS issuer,
+  max('**' || strftime(o_orderdate, '%B %-d, %Y') || '**') AS settlement,
+  CAST(count(*) AS INTEGER) AS n_tranches,
+  max(CASE WHEN rn = 1 THEN CASE WHEN l_linenumber % 2 = 1 THEN q || 'NC' || (q - 1) ELSE q || 'Y' END END)
+    AS first_tenor,
+  max(CASE WHEN rn = 1 THEN 'US' || l_orderkey || 'L' || l_linenumber END) AS first_isin
+{_LI}
+GROUP BY l_orderkey""")
+def deal_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Deal documents (globals + nested tranches from the table parser)
+    exported as JSON, then read back field by field."""
+    docs = to_json_documents(deal_documents(tabular_messages(spark, sf), parser="table"))
+    j = F.col("json")
+    return docs.select(
+        "msg_id",
+        F.get_json_object(j, "$.issuer").alias("issuer"),
+        F.get_json_object(j, "$.settlement").alias("settlement"),
+        F.json_array_length(F.get_json_object(j, "$.tranches")).alias("n_tranches"),
+        F.get_json_object(j, "$.tranches[0].tenor").alias("first_tenor"),
+        F.get_json_object(j, "$.tranches[0].isin").alias("first_isin"))
