@@ -27,8 +27,7 @@ def hash_buckets(tokens: Column, dim: int) -> Column:
                                                 F.lit(dim)).cast("int"))
 
 
-@F.pandas_udf("array<float>")
-def _count_vector(buckets: pd.Series, dim: pd.Series) -> pd.Series:
+def _count_vector_fn(buckets: pd.Series, dim: pd.Series) -> pd.Series:
     out = []
     for b, d in zip(buckets, dim):
         v = np.bincount(np.asarray(b, dtype=np.int64), minlength=int(d)).astype(np.float64)
@@ -37,6 +36,16 @@ def _count_vector(buckets: pd.Series, dim: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_UDF = {}
+
+
+def _count_vector(buckets: Column, dim: Column) -> Column:
+    # created on first use, so importing this module needs no session
+    if "count" not in _UDF:
+        _UDF["count"] = F.pandas_udf(_count_vector_fn, "array<float>")
+    return _UDF["count"](buckets, dim)
+
+
 def hash_embed(text, dim: int = 64) -> Column:
     """``array<float>`` of length ``dim`` for a text column."""
     c = F.col(text) if isinstance(text, str) else text
