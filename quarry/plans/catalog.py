@@ -1,3 +1,3 @@
 """Importing this module registers every query (see ``registry``)."""
 
-from quarry.plans import deals, search, vectors  # noqa: F401
+from quarry.plans import deals, search, tagging, vectors  # noqa: F401
