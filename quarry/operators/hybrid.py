@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.embed import hash_embed
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
-from quarry.operators.common import MAX_BROADCAST_ROWS, bounded_rows, top_k_per_group
+from quarry.operators.common import top_k_per_group
 from quarry.operators.keyword import KeywordIndex, aggregate_postings, bm25_match, rank_order, token_rows, \
-    tokenize_chunks
+    tokenize_chunks, with_snippets
 from quarry.operators.vector import knn
 from quarry.sources.scans import to_text
 
@@ -94,8 +94,8 @@ def hybrid_search(index: HybridIndex, queries: DataFrame, top_k: int = 5, overfe
     ``semantic_score='distance'`` puts the raw squared distance next to the
     BM25 scores as the reference does (so the *farthest* of the nearest
     chunks rank first); ``'similarity'`` uses ``1 / (1 + distance)``.
-    Snippet: the whole chunk for vector hits, the chunk text for keyword
-    hits (see ``snippets`` for the highlighted window).
+    Snippet: the whole chunk for vector hits, the highlighted 5-token
+    window for keyword hits.
     """
     if semantic_score not in ("distance", "similarity"):
         raise ValueError("semantic_score must be 'distance' or 'similarity'")
@@ -112,11 +112,7 @@ def hybrid_search(index: HybridIndex, queries: DataFrame, top_k: int = 5, overfe
     both = kw.unionByName(sem)
     order = [F.round("score", 6).desc(), F.col("leg").asc(), F.col("leg_rank").asc()]
     ranked = top_k_per_group(both, ["query_id"], order, top_k)
-    # at most top_k rows per query: broadcast them when that is provably small
-    # so the chunk table is not shuffled just to attach the text
-    if bounded_rows(q, MAX_BROADCAST_ROWS // max(top_k, 1)) is not None:
-        ranked = F.broadcast(ranked)
-    content = index.chunks.select(*CHUNK_KEY, F.col("content").alias("snippet"))
-    return (content.join(ranked, CHUNK_KEY)
-                  .select("query_id", "rank", "leg", _source_id().alias("source_id"), *CHUNK_KEY,
-                          "snippet", "score"))
+    # keyword hits carry the highlighted window, vector hits the whole chunk
+    out = with_snippets(ranked, index.keyword, q, whole_when=F.col("leg") == 0)
+    return out.select("query_id", "rank", "leg", _source_id().alias("source_id"), *CHUNK_KEY,
+                      "snippet", "score")

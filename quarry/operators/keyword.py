@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import let, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY
-from quarry.operators.common import maybe_broadcast, top_k_per_group
+from quarry.operators.common import MAX_BROADCAST_ROWS, bounded_rows, maybe_broadcast, top_k_per_group
 
 K1 = 1.2
 B = 0.75
@@ -276,3 +276,25 @@ def keyword_hits(hits: DataFrame) -> DataFrame:
     """Project ranked matches to hits: ``source_id = source:doc_id``."""
     return hits.select("query_id", "rank", F.concat_ws(":", "source", "doc_id").alias("source_id"),
                        *CHUNK_KEY, "score")
+
+
+def with_snippets(hits: DataFrame, index: KeywordIndex, queries: DataFrame, n: int = 5,
+                  query_col: str = "query", id_col: str = "query_id", whole_when: Column | None = None
+                  ) -> DataFrame:
+    """Add ``snippet`` (see ``quarry.functions.snippet``) to ranked hits;
+    rows matching ``whole_when`` get the whole chunk text instead.
+
+    Hits are few (top-k per query): when their queries are provably few they
+    are broadcast to the chunk table, so the chunks are not shuffled to
+    attach text."""
+    from quarry.functions.snippet import snippet
+    qs = queries.select(F.col(id_col).alias("query_id"),
+                        F.array_distinct(unicode61_tokens(query_col)).alias("_terms"))
+    small = bounded_rows(qs, MAX_BROADCAST_ROWS // max(n, 1)) is not None
+    h = hits.join(F.broadcast(qs) if small else qs, "query_id")
+    content = index.chunks.select(*CHUNK_KEY, "content")
+    j = content.join(F.broadcast(h) if small else h, CHUNK_KEY)
+    snip = snippet(F.col("content"), F.col("_terms"), n)
+    if whole_when is not None:
+        snip = F.when(whole_when, F.col("content")).otherwise(snip)
+    return j.withColumn("snippet", snip).drop("_terms", "content")

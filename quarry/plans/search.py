@@ -13,7 +13,7 @@ from quarry.functions.text import split_words, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
 from quarry.operators.keyword import (KeywordIndex, bm25_match, corpus_stats, keyword_hits,
                                       match_first, match_near, match_phrase, match_prefix,
-                                      match_terms, term_df, tokenize_chunks, top_k)
+                                      term_df, tokenize_chunks, top_k, with_snippets)
 from quarry.plans.registry import (DOC_SOURCE_SQL, register, sql_chunks, sql_doc_tokens,
                                    sql_html_text, sql_token_rows, sql_tokens, sql_words)
 from quarry.sources.scans import (combine_sources, issue_scan, page_scan, read_table, to_text)
@@ -181,6 +181,16 @@ def match_none(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("query_id", *CHUNK_KEY, F.round("score", 6).alias("score"))
 
 
+@register("snippet")
+def snippet_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-5 BM25 hits per passage with their highlighted 5-token snippet
+    (rows-only here; the snippet text is checked against FTS5 in tests)."""
+    idx = doc_index(spark, sf)
+    q = passages(spark, sf)
+    hits = keyword_hits(top_k(bm25_match(idx, q, "all"), TOP_K))
+    return with_snippets(hits, idx, q).withColumn("score", F.round("score", 6))
+
+
 @register("bm25_batch", _bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K))
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     hits = top_k(bm25_match(doc_index(spark, sf), passages(spark, sf), "all"), TOP_K)

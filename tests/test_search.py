@@ -126,3 +126,28 @@ def test_knn_equals_brute_force(spark):
         d = ((x.astype(np.float64) - qv[i].astype(np.float64)) ** 2).sum(axis=1)
         want = sorted(range(len(x)), key=lambda j: (round(d[j], 6), j))[:4]
         assert [v for _, v in sorted(got[i])] == want
+
+
+def test_snippet_equals_fts5(spark):
+    from quarry.functions.snippet import snippet
+    rnd = random.Random(11)
+    vocab = ["alpha", "beta", "gamma", "delta", "kappa", "omega"]
+    seps = [" ", " ", " ", ". ", ": ", ", ", ".  ", "\n"]
+    docs = []
+    for _ in range(300):
+        s = "".join(rnd.choice(vocab) + rnd.choice(seps) for _ in range(rnd.randint(1, 30)))
+        if rnd.random() < 0.3:
+            s = "  " + s
+        docs.append(s.rstrip() if rnd.random() < 0.5 else s)
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE d USING fts5(content, tokenize='unicode61')")
+    con.executemany("INSERT INTO d(rowid, content) VALUES (?, ?)", list(enumerate(docs)))
+    rows, want = [], {}
+    for qi, q in enumerate(["alpha", "beta gamma", "kappa omega delta"]):
+        for rid, sn in con.execute("SELECT rowid, snippet(d, -1, '[', ']', '...', 5) FROM d WHERE d MATCH ?", (q,)):
+            rows.append((qi, rid, docs[rid], q.split()))
+            want[(qi, rid)] = sn
+    df = spark.createDataFrame(rows, "q int, rid int, content string, terms array<string>")
+    got = {(r.q, r.rid): r.s for r in df.select("q", "rid", snippet(F.col("content"), F.col("terms")).alias("s"))
+           .collect()}
+    assert got == want
