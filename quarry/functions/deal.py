@@ -99,8 +99,9 @@ def clean_cell(c: Column) -> Column:
     """Strip surrounding ``*``, strip, drop a trailing parenthesised part
     (cut from the first ``(`` when the cell ends in ``)``), strip; empty ->
     null."""
-    x = btrim_ws(F.regexp_replace(c, r"^\*+|\*+$", ""))
-    x = btrim_ws(F.regexp_replace(x, rf"{WS}*\(.*?\){WS}*$", ""))
+    x = btrim_ws(F.btrim(c, F.lit("*")))
+    # the parenthesis rule can only apply to a (stripped) cell ending in ')'
+    x = F.when(x.endswith(")"), btrim_ws(F.regexp_replace(x, rf"{WS}*\(.*?\){WS}*$", ""))).otherwise(x)
     return F.nullif(x, F.lit(""))
 
 

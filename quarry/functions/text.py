@@ -39,9 +39,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Every character ``str.isspace()`` accepts (generated, not listed by hand).
+WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def btrim_ws(c) -> Column:
-    """``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    """``str.strip()``: remove Unicode whitespace at both ends (native
+    ``btrim`` over the whitespace set, no regex)."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def split_words(c) -> Column:

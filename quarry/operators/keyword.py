@@ -43,12 +43,14 @@ def token_rows(tok_chunks: DataFrame) -> DataFrame:
                              F.posexplode("tokens").alias("pos", "term"))
 
 
-def aggregate_postings(tokens: DataFrame) -> DataFrame:
+def aggregate_postings(tokens: DataFrame, positions: bool = True) -> DataFrame:
     """Token rows -> postings.  The grouping key includes the chunk, so a
-    group never holds more than one chunk's tokens."""
-    return (tokens.groupBy("term", *CHUNK_KEY, "dl")
-                  .agg(F.count(F.lit(1)).alias("tf"),
-                       F.array_sort(F.collect_list("pos")).alias("positions")))
+    group never holds more than one chunk's tokens.  Without ``positions``
+    the aggregate is a plain count (fully map-side combinable)."""
+    aggs = [F.count(F.lit(1)).alias("tf")]
+    if positions:
+        aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return tokens.groupBy("term", *CHUNK_KEY, "dl").agg(*aggs)
 
 
 @dataclass
@@ -66,20 +68,21 @@ class KeywordIndex:
         tok = tokenize_chunks(chunks)
         return cls(chunks=tok.drop("tokens"), tokens=token_rows(tok))
 
-    def postings(self, restrict=None) -> DataFrame:
+    def postings(self, restrict=None, positions: bool = True) -> DataFrame:
         """Postings, optionally restricted by ``restrict`` (a semi-join on
         ``term``).  On the lazy form the restriction runs *before* the
         aggregation, so only matching tokens are shuffled."""
         if self.stored_postings is not None:
             p = self.stored_postings
-            return restrict(p) if restrict else p
+            p = restrict(p) if restrict else p
+            return p if positions else p.drop("positions")
         t = self.tokens
-        return aggregate_postings(restrict(t) if restrict else t)
+        return aggregate_postings(restrict(t) if restrict else t, positions)
 
-    def postings_for(self, terms: DataFrame) -> DataFrame:
+    def postings_for(self, terms: DataFrame, positions: bool = True) -> DataFrame:
         """Postings of the terms in ``terms(term)`` (already size-checked)."""
         b = F.broadcast(terms.select("term").distinct())
-        return self.postings(lambda p: p.join(b, "term", "left_semi"))
+        return self.postings(lambda p: p.join(b, "term", "left_semi"), positions)
 
     def term_rows(self) -> DataFrame:
         """``(term, CHUNK_KEY)`` rows; duplicates allowed."""
@@ -107,7 +110,7 @@ def term_df(index: KeywordIndex) -> DataFrame:
     """Document frequency per term (chunks containing the term).  Partial
     aggregation runs map-side, so a very frequent term costs one row per
     input partition in the shuffle."""
-    return index.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.postings(positions=False).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 # ---------------------------------------------------------------- queries
@@ -144,20 +147,34 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     over the positive terms present:
     ``idf * tf * (k1+1) / (tf + k1 * (1 - b + b * dl / avgdl))``.
     """
+    if mode not in ("all", "any"):
+        raise ValueError("mode must be 'all' or 'any'")
     qt = maybe_broadcast(query_terms(queries, query_col, id_col))
     n, avgdl = index.stats()
-    p = index.postings_for(qt)
+    p = index.postings_for(qt, positions=False)
+    # df of the query terms only; at most one row per distinct query term
     dfs = F.broadcast(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     tf = F.col("tf")
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     score = _idf(n, F.col("df")) * tf * (k1 + 1) / (tf + norm) * F.col("qtf")
-    hits = (p.join(qt, "term").join(dfs, "term")
-             .groupBy("query_id", "n_terms", *CHUNK_KEY)
-             .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
+    if mode == "all":
+        # A chunk matching every term contains the query's rarest term, so
+        # candidates come from that term's (short) posting list; only their
+        # postings are scored.  Frequent terms then never fan out across
+        # every query that mentions them.
+        rare = (qt.join(dfs, "term").groupBy("query_id")
+                  .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
+        cand = p.select("term", *CHUNK_KEY).join(F.broadcast(rare), "term").select("query_id", *CHUNK_KEY)
+        # no hint: AQE measures the candidates at runtime and broadcasts them
+        # only if their shuffle output is under the broadcast threshold
+        scored = p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
+    else:
+        scored = p.join(qt, "term")
+    hits = (scored.join(dfs, "term")
+                  .groupBy("query_id", "n_terms", *CHUNK_KEY)
+                  .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         hits = hits.where(F.col("n_matched") == F.col("n_terms"))
-    elif mode != "any":
-        raise ValueError("mode must be 'all' or 'any'")
     if exclude is not None:
         bad = match_terms(index, exclude, "any", query_col, id_col)
         hits = hits.join(bad, ["query_id", *CHUNK_KEY], "left_anti")
