@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WS, btrim_ws
+from quarry.functions.text import WS, btrim_ws, let
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
@@ -99,19 +99,27 @@ def clean_cell(c: Column) -> Column:
     """Strip surrounding ``*``, strip, drop a trailing parenthesised part
     (cut from the first ``(`` when the cell ends in ``)``), strip; empty ->
     null."""
-    x = btrim_ws(F.btrim(c, F.lit("*")))
-    # the parenthesis rule can only apply to a (stripped) cell ending in ')'
-    x = F.when(x.endswith(")"), btrim_ws(F.regexp_replace(x, rf"{WS}*\(.*?\){WS}*$", ""))).otherwise(x)
-    return F.nullif(x, F.lit(""))
+    # each step is bound once (``let``): inside array lambdas there is no
+    # common-subexpression elimination, and when/nullif repeat their inputs
+    def cut(x):
+        # the parenthesis rule can only apply to a (stripped) cell ending in ')'
+        return F.when(x.endswith(")"), btrim_ws(F.regexp_replace(x, rf"{WS}*\(.*?\){WS}*$", ""))).otherwise(x)
+    return let(btrim_ws(F.btrim(c, F.lit("*"))), lambda x: let(cut(x), lambda y: F.when(y != "", y)))
 
 
 def decode_tenor(tenor: Column) -> Column:
     """``11NC10`` / ``11 nc 10`` anywhere in the text -> struct(11, 10); else nulls."""
     pat = rf"(?i)(\d+){WS}*NC{WS}*(\d+)"
-    m = F.regexp_extract(tenor, pat, 1)
-    nc = F.regexp_extract(tenor, pat, 2)
-    return F.struct(F.nullif(m, F.lit("")).try_cast("int").alias("maturity_years"),
-                    F.nullif(nc, F.lit("")).try_cast("int").alias("non_call_years"))
+    found = F.regexp_extract_all(tenor, F.lit(pat), F.lit(0))
+
+    def decode(first):
+        groups = F.struct(F.regexp_extract(first, pat, 1).alias("m"), F.regexp_extract(first, pat, 2).alias("nc"))
+        return let(groups, lambda g: F.struct(g["m"].try_cast("int").alias("maturity_years"),
+                                              g["nc"].try_cast("int").alias("non_call_years")))
+    empty = F.struct(F.lit(None).cast("int").alias("maturity_years"),
+                     F.lit(None).cast("int").alias("non_call_years"))
+    # the first match is found once; only a matching tenor is parsed further
+    return let(F.get(found, 0), lambda first: F.when(first.isNull(), empty).otherwise(decode(first)))
 
 
 # ISO ``yyyy-m-d`` as ``strptime('%Y-%m-%d')`` accepts it (4-digit year,

@@ -139,9 +139,13 @@ def ratings_by_tranche(text: Column, n: Column, label: str = "Expected Ratings")
 
 def tranches_of(text: Column, synonyms: dict | None = None, strict_labels: bool = False,
                 ratings_label: str = "Expected Ratings") -> Column:
-    """``array<struct<TRANCHE_COLUMNS>>`` of one message."""
+    """``array<struct<TRANCHE_COLUMNS>>`` of one message.  The text is bound
+    once, so an upstream expression producing it is never re-evaluated."""
     syn = synonyms or LABEL_SYNONYMS
+    return let(text, lambda tx: _tranches_of(tx, syn, strict_labels, ratings_label))
 
+
+def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: str) -> Column:
     def with_layout(lay):
         def with_n(n):
             fields = {"tenor": tabular_values(lay, "Tenor", syn)}

@@ -121,9 +121,14 @@ def draft_tranches(messages: DataFrame, layout: str = "line_group", text_col: st
     tranches; every field is the three lines after its label; ``tenors``
     and ``labels`` are supplied by the caller (the draft hard-codes them).
     """
-    text = F.col(text_col)
     keep = keep or []
+    return messages.select(F.col(id_col).alias("msg_id"), *keep,
+                           let(F.col(text_col), lambda tx: _draft(tx, layout, label, tenors, labels))
+                           .alias("tranches"))
 
+
+def _draft(text: Column, layout: str, label: str, tenors: list[str] | None,
+           labels: list[str] | None) -> Column:
     def build(n, tenor_arr, label_arr):
         if layout == "line_group":
             field_cols = {col: line_group_field(text, lab, n) for lab, col in DRAFT_FIELDS}
@@ -152,7 +157,7 @@ def draft_tranches(messages: DataFrame, layout: str = "line_group", text_col: st
                      F.array(*[F.lit(x) for x in (labels or [label] * 3)]))
     else:
         raise ValueError("layout must be 'line_group' or 'three_line'")
-    return messages.select(F.col(id_col).alias("msg_id"), *keep, expr.alias("tranches"))
+    return expr
 
 
 def deal_documents(messages: DataFrame, parser: str = "draft", text_col: str = "text",
@@ -161,17 +166,18 @@ def deal_documents(messages: DataFrame, parser: str = "draft", text_col: str = "
     the nested ``tranches`` - from the draft line-group layout
     (``parser='draft'``) or the table parser (``parser='table'``).  Globals
     and tranches come from the same row, so nothing is regrouped."""
-    t = F.col(text_col)
-    g = messages.select(F.col(id_col).alias("msg_id"), t.alias("_text"), issuer(t).alias("issuer"),
-                        issuer_ratings(t).alias("ratings"), settlement(t).alias("settlement"))
-    keep = ["issuer", "ratings", "settlement"]
     if parser == "draft":
-        out = draft_tranches(g, text_col="_text", keep=keep)
+        def tranches(tx):
+            return _draft(tx, "line_group", "TLAC", None, None)
     elif parser == "table":
-        from quarry.operators.deals import with_tranches
-        out = with_tranches(g, text_col="_text", keep=keep)
+        from quarry.operators.deals import tranches_of as tranches
     else:
         raise ValueError("parser must be 'draft' or 'table'")
+    # one binding of the text for every field of the document
+    doc = let(F.col(text_col), lambda tx: F.struct(
+        issuer(tx).alias("issuer"), issuer_ratings(tx).alias("ratings"), settlement(tx).alias("settlement"),
+        tranches(tx).alias("tranches")))
+    out = messages.select(F.col(id_col).alias("msg_id"), doc.alias("_doc")).select("msg_id", "_doc.*")
     return with_constants(out, constants) if constants else out
 
 
