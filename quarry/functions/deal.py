@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WS, btrim_ws, let
+from quarry.functions.patterns import CELL_SEP, TENOR_NC, TRAILING_PAREN
+from quarry.functions.text import btrim_ws, let
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
@@ -85,9 +86,6 @@ def field_key(name: str, synonyms: dict[str, str] | None = None) -> str:
     return (synonyms or LABEL_SYNONYMS).get(k, k).lower()
 
 
-CELL_SEP = rf"\t+|{WS}{{2,}}"
-
-
 def split_cells(line: Column) -> Column:
     """Row -> cells: split on tab runs or runs of 2+ whitespace.  The first
     cell is the row header.  ``A<TAB><TAB>B`` gives 2 cells, ``A<TAB> <TAB>B``
@@ -103,13 +101,14 @@ def clean_cell(c: Column) -> Column:
     # common-subexpression elimination, and when/nullif repeat their inputs
     def cut(x):
         # the parenthesis rule can only apply to a (stripped) cell ending in ')'
-        return F.when(x.endswith(")"), btrim_ws(F.regexp_replace(x, rf"{WS}*\(.*?\){WS}*$", ""))).otherwise(x)
+        return F.when(x.endswith(")"), btrim_ws(F.regexp_replace(x, TRAILING_PAREN, ""))).otherwise(x)
+    # CELL_STARS removes leading and trailing '*' runs: a btrim over '*'
     return let(btrim_ws(F.btrim(c, F.lit("*"))), lambda x: let(cut(x), lambda y: F.when(y != "", y)))
 
 
 def decode_tenor(tenor: Column) -> Column:
     """``11NC10`` / ``11 nc 10`` anywhere in the text -> struct(11, 10); else nulls."""
-    pat = rf"(?i)(\d+){WS}*NC{WS}*(\d+)"
+    pat = TENOR_NC
     found = F.regexp_extract_all(tenor, F.lit(pat), F.lit(0))
 
     def decode(first):

@@ -28,12 +28,20 @@ def hash_buckets(tokens: Column, dim: int) -> Column:
 
 
 def _count_vector_fn(buckets: pd.Series, dim: pd.Series) -> pd.Series:
-    out = []
-    for b, d in zip(buckets, dim):
-        v = np.bincount(np.asarray(b, dtype=np.int64), minlength=int(d)).astype(np.float64)
-        n = float(np.sqrt((v * v).sum()))
-        out.append((v / n if n > 0 else v).astype(np.float32))
-    return pd.Series(out)
+    """One ``bincount`` for the whole Arrow batch: bucket ``b`` of row ``r``
+    is cell ``r * d + b`` of a flat count matrix."""
+    n = len(buckets)
+    if n == 0:
+        return pd.Series([], dtype=object)
+    d = int(dim.iloc[0])
+    lists = [np.asarray(b if b is not None else [], dtype=np.int64) for b in buckets]
+    lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=n)
+    flat = np.concatenate(lists) if lens.sum() else np.zeros(0, dtype=np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    counts = np.bincount(rows * d + flat, minlength=n * d).reshape(n, d).astype(np.float64)
+    norms = np.sqrt((counts * counts).sum(axis=1))
+    vecs = np.divide(counts, norms[:, None], out=np.zeros_like(counts), where=norms[:, None] > 0)
+    return pd.Series(list(vecs.astype(np.float32)))
 
 
 _UDF = {}

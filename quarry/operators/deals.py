@@ -18,14 +18,13 @@ Fields are read in two ways:
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.deal import (LABEL_SYNONYMS, clean_cell, decode_tenor, field_key,
                                    infer_tenor, label_key, split_cells, terminator_keys)
-from quarry.functions.text import WS, btrim_ws, let, split_lines
+from quarry.functions.patterns import ANY_PAREN, ratings_block
+from quarry.functions.text import btrim_ws, let, split_lines
 
 # Fields read from a table row / from a block, with their output column.
 TABULAR_FIELDS = [
@@ -112,8 +111,7 @@ def ratings_by_tranche(text: Column, n: Column, label: str = "Expected Ratings")
     goes to tranche ``i % n`` (``i`` counts all non-blank lines); a repeated
     agency keeps its first position and its last rating.
     """
-    # (?d): only \n ends a line, so ``$`` matches where Python's does.
-    pat = rf"(?id){re.escape(label)}{WS}+([\s\S]+?)(?:\n[A-Z][a-zA-Z /]+:|\n\n|$)"
+    pat = ratings_block(label)
     def parsed(grp):
         items = F.transform(message_lines(grp), lambda l, i: F.struct(i.alias("i"), l.alias("l")))
         rated = F.filter(items, lambda e: e["l"].contains(":"))
@@ -219,4 +217,4 @@ def reg_tagged_values(messages: DataFrame, field: str = "ISIN", text_col: str =
         F.concat(F.lit("Tranche "), (F.pmod("j", "_n") + 1).cast("string")).alias("tranche"),
         F.floor(F.col("j") / F.col("_n")).cast("int").alias("item_no"),
         tag.alias("reg_label"),
-        btrim_ws(F.regexp_replace("line", rf"{WS}*\(.*?\)", "")).alias("value"))
+        btrim_ws(F.regexp_replace("line", ANY_PAREN, "")).alias("value"))

@@ -62,8 +62,11 @@ def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: boo
     # postings from the *written* chunks: the embedding and tokenisation
     # work is not repeated, and lineage is cut at the table
     tok = tokenize_chunks(stored.select(*CHUNK_KEY, "content"))
-    n = n_partitions or spark.sparkContext.defaultParallelism * 2
-    rows = token_rows(tok).repartitionByRange(n, "term", *CHUNK_KEY)
+    keys = ["term", *CHUNK_KEY]
+    # without an explicit count the range exchange follows the shuffle
+    # partition setting and AQE may coalesce it
+    rows = (token_rows(tok).repartitionByRange(n_partitions, *keys) if n_partitions
+            else token_rows(tok).repartitionByRange(*keys))
     aggregate_postings(rows).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     stored.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").cast("bigint").alias("total_tokens")) \
         .write.mode("overwrite").parquet(f"{path}/stats")

@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import WS, btrim_ws, let, split_lines, split_words
-
-# (?d): only \n ends a line, so ``.`` and ``$`` behave as in Python.
-_U = "(?d)"
+from quarry.functions.patterns import (ISSUER, RATING_AGENCIES, SETTLEMENT, TENOR_LINE, line_group_prefix,
+                                      rating_line, three_line)
+from quarry.functions.text import btrim_ws, let, split_lines, split_words
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
@@ -60,20 +59,18 @@ def _extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 def issuer(text: Column) -> Column:
     """``Issuer/Ticker <name> (`` -> name."""
-    return btrim_ws(_extract(text, rf"{_U}Issuer/Ticker{WS}+(.*?)\("))
+    return btrim_ws(_extract(text, ISSUER))
 
 
 def issuer_ratings(text: Column) -> Column:
     """First ``Moody's:``, ``S&P:``, ``Fitch:`` value, each to the end of
     its line: ``map<string,string>`` (null value when absent)."""
-    def one(p):
-        return btrim_ws(_extract(text, rf"{_U}{p}:{WS}*(.*?)\n"))
-    return F.create_map(F.lit("Moody's"), one("Moody'?s"), F.lit("S&P"), one("S&P"),
-                        F.lit("Fitch"), one("Fitch"))
+    return F.create_map(*[x for name, pat in RATING_AGENCIES
+                          for x in (F.lit(name), btrim_ws(_extract(text, rating_line(pat))))])
 
 
 def settlement(text: Column) -> Column:
-    return btrim_ws(_extract(text, rf"{_U}Settlement{WS}+(.*?)\("))
+    return btrim_ws(_extract(text, SETTLEMENT))
 
 
 def with_constants(df: DataFrame, constants: dict[str, str]) -> DataFrame:
@@ -85,7 +82,7 @@ def with_constants(df: DataFrame, constants: dict[str, str]) -> DataFrame:
 def three_line_field(text: Column, label: str) -> Column:
     """The three lines after ``label`` (a regex): ``array<string>`` of 3,
     nulls when the label is absent."""
-    pat = rf"{_U}{label}{WS}+(.*?)\n(.*?)\n(.*?)\n"
+    pat = three_line(label)
     hit = text.rlike(pat)
     return F.array(*[F.when(hit, btrim_ws(F.regexp_extract(text, pat, g))) for g in (1, 2, 3)])
 
@@ -94,7 +91,7 @@ def line_group_field(text: Column, label: str, n: Column) -> Column:
     """Up to ``n`` consecutive non-empty lines from the first match of
     ``label`` (a regex, case-sensitive, matched anywhere), stripped and
     padded with nulls to ``n``."""
-    pat = F.concat(F.lit(f"{_U}{label}{WS}+([^\\n]+(?:\\n[^\\n]+){{0,"), (n - 1).cast("string"), F.lit("})"))
+    pat = F.concat(F.lit(line_group_prefix(label)), (n - 1).cast("string"), F.lit("})"))
     grp = F.call_function("regexp_extract", text, pat, F.lit(1))  # pattern varies with n
     return let(grp, lambda g: F.when((n >= 1) & (g != ""), F.slice(
         F.concat(F.transform(split_lines(g), btrim_ws), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)))
@@ -102,7 +99,7 @@ def line_group_field(text: Column, label: str, n: Column) -> Column:
 
 def tenor_list(text: Column) -> Column:
     """``Tenor <cells>`` on one line -> whitespace-separated tenors."""
-    return split_words(btrim_ws(_extract(text, rf"{_U}Tenor{WS}+(.+?)\n")))
+    return split_words(btrim_ws(_extract(text, TENOR_LINE)))
 
 
 def redemption_terms(label: Column, tlac: list[str] | None = None,

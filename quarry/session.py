@@ -28,7 +28,9 @@ def get_session(master: str | None = None, app: str = "quarry",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2)))
-    if master or not os.environ.get("SPARK_MASTER"):
+    from pyspark import SparkConf
+    if master or not SparkConf().contains("spark.master"):
+        # local runs only: under spark-submit the cluster's master is kept
         b = b.master(master or f"local[{cpus}]")
         b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()

@@ -151,3 +151,9 @@ def test_snippet_equals_fts5(spark):
     got = {(r.q, r.rid): r.s for r in df.select("q", "rid", snippet(F.col("content"), F.col("terms")).alias("s"))
            .collect()}
     assert got == want
+
+
+def test_full_entity_decoding(spark):
+    df = spark.createDataFrame([("x&eacute;<i>&#233;</i>&amp;lt;",), ("plain",)], "h string")
+    got = [r[0] for r in df.select(split_words(html_to_text("h", full_entities=True))).collect()]
+    assert got == [["xé", "é", "&lt;"], ["plain"]]
