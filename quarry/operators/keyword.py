@@ -29,6 +29,8 @@ K1 = 1.2
 B = 0.75
 # FTS5 floors a non-positive idf at this value.
 IDF_FLOOR = 1e-6
+# Largest term set turned into a literal IN filter for Parquet pruning.
+PUSHDOWN_TERMS = 1000
 
 
 def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -80,8 +82,18 @@ class KeywordIndex:
         return aggregate_postings(restrict(t) if restrict else t, positions)
 
     def postings_for(self, terms: DataFrame, positions: bool = True) -> DataFrame:
-        """Postings of the terms in ``terms(term)`` (already size-checked)."""
-        b = F.broadcast(terms.select("term").distinct())
+        """Postings of the terms in ``terms(term)`` (already size-checked).
+
+        On a stored index, when the distinct terms are few (at most
+        ``PUSHDOWN_TERMS``), they are also given as a literal ``term IN (...)``
+        filter: it reaches the Parquet scan, and since postings are written
+        sorted by term, row groups of other terms are skipped."""
+        distinct = terms.select("term").distinct()
+        b = F.broadcast(distinct)
+        if self.stored_postings is not None and bounded_rows(distinct, PUSHDOWN_TERMS) is not None:
+            lits = [r[0] for r in distinct.collect()]
+            return self.postings(lambda p: p.where(F.col("term").isin(lits)).join(b, "term", "left_semi"),
+                                 positions)
         return self.postings(lambda p: p.join(b, "term", "left_semi"), positions)
 
     def term_rows(self) -> DataFrame:
