@@ -52,6 +52,9 @@ def three_line(label: str) -> str:
     return rf"{_U}{label}{WS}+(.*?)\n(.*?)\n(.*?)\n"
 
 
-def line_group_prefix(label: str) -> str:
-    """Pattern up to the repeat count; the caller appends ``n-1`` and ``})``."""
-    return f"{_U}{label}{WS}+([^\\n]+(?:\\n[^\\n]+){{0,"
+def line_group(label: str) -> str:
+    """The n-line group without its repeat bound: every consecutive
+    non-empty line from the label on.  Keeping the first ``n`` lines of this
+    match equals the bounded pattern's match (the repetition never moves the
+    start of the match), and the pattern stays constant across rows."""
+    return f"{_U}{label}{WS}+([^\\n]+(?:\\n[^\\n]+)*)"

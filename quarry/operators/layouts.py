@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.patterns import (ISSUER, RATING_AGENCIES, SETTLEMENT, TENOR_LINE, line_group_prefix,
+from quarry.functions.patterns import (ISSUER, RATING_AGENCIES, SETTLEMENT, TENOR_LINE, line_group,
                                       rating_line, three_line)
 from quarry.functions.text import btrim_ws, let, split_lines, split_words
 
@@ -91,8 +91,7 @@ def line_group_field(text: Column, label: str, n: Column) -> Column:
     """Up to ``n`` consecutive non-empty lines from the first match of
     ``label`` (a regex, case-sensitive, matched anywhere), stripped and
     padded with nulls to ``n``."""
-    pat = F.concat(F.lit(line_group_prefix(label)), (n - 1).cast("string"), F.lit("})"))
-    grp = F.call_function("regexp_extract", text, pat, F.lit(1))  # pattern varies with n
+    grp = F.regexp_extract(text, line_group(label), 1)
     return let(grp, lambda g: F.when((n >= 1) & (g != ""), F.slice(
         F.concat(F.transform(split_lines(g), btrim_ws), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)))
 
