@@ -79,19 +79,25 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None
     key_fields = [index.schema[c] for c in keys]
     schema = T.StructType([T.StructField("query_id", id_type), *key_fields,
                            T.StructField("dist", T.DoubleType())])
-    first = q.where(F.col("vector").isNotNull()).select(F.size("vector").alias("d")).first()
+    q = q.where(F.col("vector").isNotNull())
+    first = q.select(F.size("vector").alias("d")).first()
     if first is None:
         return spark.createDataFrame([], schema).withColumn(rank_col, F.lit(1))
     dim = max(int(first["d"]), 1)
     block_rows = max(1, MAX_BLOCK_BYTES // (dim * 8))
-    n_q = q.count()
-    # hash blocks are uneven; aim each at 80% of the bound
-    n_blocks = 1 if n_q <= block_rows else math.ceil(n_q / (0.8 * block_rows))
+    # one bounded collect settles the usual case (all queries fit one block)
+    head = q.limit(block_rows + 1).collect()
+    if len(head) <= block_rows:
+        n_blocks, blocks = 1, [head]
+    else:
+        # hash blocks are uneven; aim each at 80% of the bound
+        n_blocks = math.ceil(q.count() / (0.8 * block_rows))
+        blocks = None
     parts = []
     idx = index.select(*keys, vec_col).where(F.col(vec_col).isNotNull())
     for b in range(n_blocks):
-        qb = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = qb.where(F.col("vector").isNotNull()).collect()  # bounded by block_rows (checked above)
+        rows = blocks[b] if blocks is not None else \
+            q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()  # about 0.8 * block_rows
         if not rows:
             continue
         bc = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]),

@@ -147,3 +147,12 @@ def test_read_messages_fallback(spark, tmp_path):
     p = tmp_path / "m.txt"
     p.write_text(_file("deal_covered.txt"), encoding="utf-8")
     assert parse_tranches(read_messages(spark, str(p))).count() == 2
+
+
+def test_parser_plan_stays_compact(spark):
+    """Each per-message intermediate is bound once (``let``); if Catalyst
+    were allowed to inline them into the lambdas the optimized plan would
+    grow several-fold and the parse would recompute them per element."""
+    m = _msgs(spark, _file("deal_wrapped.txt"))
+    plan = parse_tranches(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 90_000

@@ -157,3 +157,20 @@ def test_full_entity_decoding(spark):
     df = spark.createDataFrame([("x&eacute;<i>&#233;</i>&amp;lt;",), ("plain",)], "h string")
     got = [r[0] for r in df.select(split_words(html_to_text("h", full_entities=True))).collect()]
     assert got == [["xé", "é", "&lt;"], ["plain"]]
+
+
+def test_knn_many_query_blocks(spark, monkeypatch):
+    import quarry.operators.vector as vec
+    monkeypatch.setattr(vec, "MAX_BLOCK_BYTES", 8 * 8 * 3)   # three 8-d queries per block
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 8)).astype(np.float32)
+    qv = rng.normal(size=(10, 8)).astype(np.float32)
+    idx = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, qv[i].tolist()) for i in range(len(qv))], "query_id long, vector array<float>")
+    got = {}
+    for r in vec.knn(idx, q, 3, ["vec_id"]).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(10))
+    for i in range(len(qv)):
+        d = ((x.astype(np.float64) - qv[i].astype(np.float64)) ** 2).sum(axis=1)
+        assert [v for _, v in sorted(got[i])] == sorted(range(len(x)), key=lambda j: (round(d[j], 6), j))[:3]
