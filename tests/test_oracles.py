@@ -23,3 +23,15 @@ def test_every_query_has_a_builder_and_oracles_match(spark):
     res = check(spark, names, SF, verbose=False)
     bad = [n for n, ok in res.items() if ok is False]
     assert not bad, bad
+
+
+def test_no_cross_joins_in_any_plan(spark):
+    """Every registered query plans without a cartesian product or a
+    nested-loop join."""
+    bad = {}
+    for name, build in entry.queries().items():
+        plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
