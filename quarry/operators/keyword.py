@@ -31,6 +31,10 @@ B = 0.75
 IDF_FLOOR = 1e-6
 # Largest term set turned into a literal IN filter for Parquet pruning.
 PUSHDOWN_TERMS = 1000
+# Hash key that co-locates a chunk's rows.  A subset of the chunk key is
+# enough (and survives a constant ``source`` being folded away), and any
+# aggregation grouped by a superset of it reuses the partitioning.
+CHUNK_PARTITION = ["doc_id", "chunk_no"]
 
 
 def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -70,18 +74,27 @@ class KeywordIndex:
         tok = tokenize_chunks(chunks)
         return cls(chunks=tok.drop("tokens"), tokens=token_rows(tok))
 
-    def postings(self, restrict=None, positions: bool = True) -> DataFrame:
+    def postings(self, restrict=None, positions: bool = True, by_chunk: bool = False) -> DataFrame:
         """Postings, optionally restricted by ``restrict`` (a semi-join on
         ``term``).  On the lazy form the restriction runs *before* the
-        aggregation, so only matching tokens are shuffled."""
+        aggregation, so only matching tokens are shuffled.
+
+        ``by_chunk=True`` hash-partitions by chunk key: the lazy form then
+        shuffles its token rows once by chunk, and that one exchange serves
+        the (term, chunk) aggregation and any later aggregation keyed by
+        chunk (e.g. per (query, chunk) scores) without another shuffle."""
         if self.stored_postings is not None:
             p = self.stored_postings
             p = restrict(p) if restrict else p
-            return p if positions else p.drop("positions")
+            p = p if positions else p.drop("positions")
+            return p.repartition(*CHUNK_PARTITION) if by_chunk else p
         t = self.tokens
-        return aggregate_postings(restrict(t) if restrict else t, positions)
+        t = restrict(t) if restrict else t
+        if by_chunk:
+            t = t.select("term", *CHUNK_KEY, "dl", *(["pos"] if positions else [])).repartition(*CHUNK_PARTITION)
+        return aggregate_postings(t, positions)
 
-    def postings_for(self, terms: DataFrame, positions: bool = True) -> DataFrame:
+    def postings_for(self, terms: DataFrame, positions: bool = True, by_chunk: bool = False) -> DataFrame:
         """Postings of the terms in ``terms(term)`` (already size-checked).
 
         On a stored index, when the distinct terms are few (at most
@@ -93,8 +106,8 @@ class KeywordIndex:
         if self.stored_postings is not None and bounded_rows(distinct, PUSHDOWN_TERMS) is not None:
             lits = [r[0] for r in distinct.collect()]
             return self.postings(lambda p: p.where(F.col("term").isin(lits)).join(b, "term", "left_semi"),
-                                 positions)
-        return self.postings(lambda p: p.join(b, "term", "left_semi"), positions)
+                                 positions, by_chunk)
+        return self.postings(lambda p: p.join(b, "term", "left_semi"), positions, by_chunk)
 
     def term_rows(self) -> DataFrame:
         """``(term, CHUNK_KEY)`` rows; duplicates allowed."""
@@ -163,28 +176,20 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
         raise ValueError("mode must be 'all' or 'any'")
     qt = maybe_broadcast(query_terms(queries, query_col, id_col))
     n, avgdl = index.stats()
-    p = index.postings_for(qt, positions=False)
-    # df of the query terms only; at most one row per distinct query term
+    # restricted postings, hash-partitioned by chunk (one exchange)
+    p = index.postings_for(qt, positions=False, by_chunk=True)
+    # df of the query terms only: partial counts, at most one row per term
     dfs = F.broadcast(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     tf = F.col("tf")
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     score = _idf(n, F.col("df")) * tf * (k1 + 1) / (tf + norm) * F.col("qtf")
-    if mode == "all":
-        # A chunk matching every term contains the query's rarest term, so
-        # candidates come from that term's (short) posting list; only their
-        # postings are scored.  Frequent terms then never fan out across
-        # every query that mentions them.
-        rare = (qt.join(dfs, "term").groupBy("query_id")
-                  .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-        cand = p.select("term", *CHUNK_KEY).join(F.broadcast(rare), "term").select("query_id", *CHUNK_KEY)
-        # no hint: AQE measures the candidates at runtime and broadcasts them
-        # only if their shuffle output is under the broadcast threshold
-        scored = p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
-    else:
-        scored = p.join(qt, "term")
-    hits = (scored.join(dfs, "term")
-                  .groupBy("query_id", "n_terms", *CHUNK_KEY)
-                  .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
+    # Both joins are broadcast, so the postings keep their chunk
+    # partitioning and the (query, chunk) aggregation needs no shuffle: the
+    # rows a frequent term produces for every query mentioning it are
+    # summed where they are made, never sent over the network.
+    hits = (p.join(qt, "term").join(dfs, "term")
+             .groupBy("query_id", "n_terms", *CHUNK_KEY)
+             .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         hits = hits.where(F.col("n_matched") == F.col("n_terms"))
     if exclude is not None:
