@@ -203,9 +203,11 @@ def match_terms(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     """``(query_id, CHUNK_KEY)`` of chunks holding all / any query terms
     (no scoring; used for NOT lists)."""
     qt = maybe_broadcast(query_terms(queries, query_col, id_col))
-    m = (index.term_rows().join(qt, "term")
+    # postings are unique per (term, chunk) and partitioned by chunk, so the
+    # grouping below is local and a plain count
+    m = (index.postings_for(qt, positions=False, by_chunk=True).join(qt, "term")
          .groupBy("query_id", "n_terms", *CHUNK_KEY)
-         .agg(F.count_distinct("term").alias("n_matched")))
+         .agg(F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         m = m.where(F.col("n_matched") == F.col("n_terms"))
     return m.select("query_id", *CHUNK_KEY)
@@ -214,7 +216,7 @@ def match_terms(index: KeywordIndex, queries: DataFrame, mode: str = "all",
 def _positions_by_term(index: KeywordIndex, qt: DataFrame) -> DataFrame:
     """Per (query, chunk) holding every query term: ``pos_map`` term ->
     sorted positions.  Bounded by the number of query terms."""
-    p = index.postings_for(qt)
+    p = index.postings_for(qt, by_chunk=True)   # the grouping below stays local
     return (p.join(qt, "term")
              .groupBy("query_id", "n_terms", *CHUNK_KEY)
              .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("pos_map"))
@@ -284,7 +286,12 @@ def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_
             F.lit(None).cast("bigint").alias("query_id"), *CHUNK_KEY)
     cuts = F.array(*[F.struct(F.lit(n).alias("plen"), F.substring("term", 1, n).alias("pfx"))
                      for n in lens])
-    rows = index.term_rows().select(*CHUNK_KEY, F.inline(cuts))
+    # keep only term rows that start some prefix, shuffle them once by chunk,
+    # then fan out to the queries and count locally
+    wanted = F.broadcast(qp.select("plen", "pfx").distinct())
+    rows = (index.term_rows().select(*CHUNK_KEY, F.inline(cuts))
+                 .join(wanted, ["plen", "pfx"], "left_semi")
+                 .repartition(*CHUNK_PARTITION))
     return (rows.join(qp, ["plen", "pfx"])
                 .groupBy("query_id", "n_terms", *CHUNK_KEY)
                 .agg(F.count_distinct("pfx").alias("n_matched"))
