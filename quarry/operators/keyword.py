@@ -183,13 +183,24 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     tf = F.col("tf")
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     score = _idf(n, F.col("df")) * tf * (k1 + 1) / (tf + norm) * F.col("qtf")
-    # Both joins are broadcast, so the postings keep their chunk
-    # partitioning and the (query, chunk) aggregation needs no shuffle: the
-    # rows a frequent term produces for every query mentioning it are
-    # summed where they are made, never sent over the network.
-    hits = (p.join(qt, "term").join(dfs, "term")
-             .groupBy("query_id", "n_terms", *CHUNK_KEY)
-             .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
+    if mode == "all":
+        # A chunk holding every query term holds the query's rarest one, so
+        # (query, chunk) candidates come from that term's short posting list
+        # and only their postings are scored; a frequent term then never
+        # fans out across every query that mentions it.  Candidates carry
+        # the same chunk partitioning, so this join needs no shuffle either.
+        rare = F.broadcast(qt.join(dfs, "term").groupBy("query_id")
+                             .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
+        cand = p.select("term", *CHUNK_KEY).join(rare, "term").select("query_id", *CHUNK_KEY)
+        scored = p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
+    else:
+        scored = p.join(qt, "term")
+    # The remaining joins are broadcast, so the postings keep their chunk
+    # partitioning and the (query, chunk) aggregation needs no shuffle: rows
+    # are summed where they are made, never sent over the network.
+    hits = (scored.join(dfs, "term")
+                  .groupBy("query_id", "n_terms", *CHUNK_KEY)
+                  .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         hits = hits.where(F.col("n_matched") == F.col("n_terms"))
     if exclude is not None:

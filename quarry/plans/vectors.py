@@ -62,8 +62,9 @@ SELECT 0::BIGINT AS query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     """One query, the origin of the table's vector space."""
     emb = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = emb.limit(1).select(F.lit(0).cast("bigint").alias("query_id"),
-                            F.transform("embedding", lambda x: F.lit(0.0)).alias("vector"))
+    dim = emb.agg(F.max(F.size("embedding")).alias("d"))
+    q = dim.select(F.lit(0).cast("bigint").alias("query_id"),
+                   F.array_repeat(F.lit(0.0), F.col("d")).alias("vector"))
     r = knn(emb, q, TOP_K, ["vec_id"])
     return r.select("query_id", "rank", "vec_id", F.round("dist", 6).alias("dist"))
 
