@@ -193,7 +193,11 @@ def parse_tranches(messages: DataFrame, text_col: str = "text", id_col: str = "m
                    ratings_label: str = "Expected Ratings") -> DataFrame:
     """Deal messages -> tranche rows (``msg_id`` + ``TRANCHE_COLUMNS``)."""
     t = with_tranches(messages, text_col, id_col, synonyms, strict_labels, ratings_label)
-    return t.select("msg_id", F.inline("tranches"))
+    # An outer generator: for a non-outer one over a computed column Spark
+    # infers ``size(tranches) > 0`` below it and substitutes the whole parse
+    # into that filter, evaluating it three times.  Rows of an empty parse
+    # are dropped by the null test instead.
+    return t.select("msg_id", F.inline_outer("tranches")).where(F.col("tranche").isNotNull())
 
 
 def reg_tagged_values(messages: DataFrame, field: str = "ISIN", text_col: str = "text",

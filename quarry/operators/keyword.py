@@ -44,9 +44,14 @@ def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
 
 
 def token_rows(tok_chunks: DataFrame) -> DataFrame:
-    """One row per token occurrence: ``CHUNK_KEY, dl, pos, term``."""
-    return tok_chunks.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"),
-                             F.posexplode("tokens").alias("pos", "term"))
+    """One row per token occurrence: ``CHUNK_KEY, dl, pos, term``.
+
+    Outer generator + null test: a plain one over the computed ``tokens``
+    column makes Spark infer ``size(tokens) > 0`` below it and re-run the
+    tokenizer inside that filter."""
+    return (tok_chunks.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"),
+                              F.posexplode_outer("tokens").alias("pos", "term"))
+                      .where(F.col("pos").isNotNull()))
 
 
 def aggregate_postings(tokens: DataFrame, positions: bool = True) -> DataFrame:

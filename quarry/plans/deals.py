@@ -198,7 +198,8 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (
 def deal_line_group(spark: SparkSession, sf: str) -> DataFrame:
     """Draft line-group layout over the rendered messages."""
     d = draft_tranches(tabular_messages(spark, sf))
-    return d.select("msg_id", F.inline("tranches")).select(
+    # outer generator: see parse_tranches
+    return d.select("msg_id", F.inline_outer("tranches")).where(F.col("tranche_no").isNotNull()).select(
         "msg_id", "tranche_no", "tenor", "label", "format", "isin", "maturity_date",
         F.size("optional_redemption_by_issuer").alias("n_redemption_terms"))
 
