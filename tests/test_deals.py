@@ -3,7 +3,6 @@
 
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.deal import clean_cell, decode_tenor, infer_tenor, split_cells, terminator_keys
