@@ -100,14 +100,15 @@ class KeywordIndex:
         return aggregate_postings(t, positions)
 
     def postings_for(self, terms: DataFrame, positions: bool = True, by_chunk: bool = False) -> DataFrame:
-        """Postings of the terms in ``terms(term)`` (already size-checked).
+        """Postings of the terms in ``terms(term)``.
 
         On a stored index, when the distinct terms are few (at most
         ``PUSHDOWN_TERMS``), they are also given as a literal ``term IN (...)``
         filter: it reaches the Parquet scan, and since postings are written
         sorted by term, row groups of other terms are skipped."""
         distinct = terms.select("term").distinct()
-        b = F.broadcast(distinct)
+        # broadcast only behind a row bound; beyond it a shuffled semi-join
+        b = maybe_broadcast(distinct)
         if self.stored_postings is not None and bounded_rows(distinct, PUSHDOWN_TERMS) is not None:
             lits = [r[0] for r in distinct.collect()]
             return self.postings(lambda p: p.where(F.col("term").isin(lits)).join(b, "term", "left_semi"),
@@ -179,12 +180,20 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     """
     if mode not in ("all", "any"):
         raise ValueError("mode must be 'all' or 'any'")
-    qt = maybe_broadcast(query_terms(queries, query_col, id_col))
+    qt = query_terms(queries, query_col, id_col)
+    # One size check covers every hint below: df has at most one row per
+    # query term and ``rare`` one per query, both bounded by ``qt``.  Beyond
+    # the bound the joins are left to Catalyst/AQE (sort-merge, skew split).
+    small = bounded_rows(qt) is not None
+
+    def hint(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+    qt = hint(qt)
     n, avgdl = index.stats()
     # restricted postings, hash-partitioned by chunk (one exchange)
     p = index.postings_for(qt, positions=False, by_chunk=True)
     # df of the query terms only: partial counts, at most one row per term
-    dfs = F.broadcast(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    dfs = hint(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     tf = F.col("tf")
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     score = _idf(n, F.col("df")) * tf * (k1 + 1) / (tf + norm) * F.col("qtf")
@@ -194,8 +203,8 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
         # and only their postings are scored; a frequent term then never
         # fans out across every query that mentions it.  Candidates carry
         # the same chunk partitioning, so this join needs no shuffle either.
-        rare = F.broadcast(qt.join(dfs, "term").groupBy("query_id")
-                             .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
+        rare = hint(qt.join(dfs, "term").groupBy("query_id")
+                      .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
         cand = p.select("term", *CHUNK_KEY).join(rare, "term").select("query_id", *CHUNK_KEY)
         scored = p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
     else:
@@ -304,7 +313,7 @@ def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_
                      for n in lens])
     # keep only term rows that start some prefix, shuffle them once by chunk,
     # then fan out to the queries and count locally
-    wanted = F.broadcast(qp.select("plen", "pfx").distinct())
+    wanted = maybe_broadcast(qp.select("plen", "pfx").distinct())
     rows = (index.term_rows().select(*CHUNK_KEY, F.inline(cuts))
                  .join(wanted, ["plen", "pfx"], "left_semi")
                  .repartition(*CHUNK_PARTITION))
