@@ -155,3 +155,15 @@ def test_parser_plan_stays_compact(spark):
     m = _msgs(spark, _file("deal_wrapped.txt"))
     plan = parse_tranches(m)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 90_000
+
+
+def test_three_line_layout(spark):
+    m = _msgs(spark, _file("deal_wrapped.txt"))
+    d = draft_tranches(m, layout="three_line", tenors=["5NC4", "8NC7", None],
+                       labels=["TLAC", "TIER 2", None]).first().tranches
+    assert [t.tranche_no for t in d] == [1, 2, 3]
+    assert [t.format for t in d] == ["SEC Registered\tSEC Registered",
+                                     "Ranking \tSenior Unsecured\tSubordinated Unsecure", "d"]
+    assert [t.coupon for t in d] == [None, None, None]          # label absent
+    assert [len(t.optional_redemption_by_issuer or []) for t in d] == [4, 3, 0]
+    assert d[1].label == "TIER 2" and d[2].tenor is None
