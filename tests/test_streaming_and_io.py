@@ -72,3 +72,24 @@ def test_model_embed_uses_caller_model(spark):
         return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], dtype=np.float32)
     df = spark.createDataFrame([("a b c",), ("",)], "t string")
     assert [r[0] for r in df.select(model_embed("t", load)).collect()] == [[5.0, 2.0], [0.0, 0.0]]
+
+
+def test_ingest_and_query_api(spark, tmp_path):
+    from quarry.api import ingest, query
+    issues = spark.createDataFrame(
+        [("P-1", ("<p>alpha beta gamma. Delta epsilon</p>",)), ("P-2", ("<p>omega kappa</p>",))],
+        "key string, fields struct<description:string>")
+    pages = spark.createDataFrame([("7", (("<h1>Beta</h1><p>alpha &amp; beta</p>",),))],
+                                  "id string, body struct<storage:struct<value:string>>")
+    path = str(tmp_path / "idx")
+    ingest(path, issues, pages)
+    ingest(path, issues, pages)          # re-run replaces, never appends
+    res = query(spark, path, "alpha beta", top_k=3, semantic_score="similarity")
+    assert res.columns == ["query_id", "rank", "source_id", "snippet", "score"]
+    hits = res.orderBy("rank").collect()
+    assert [h["rank"] for h in hits] == [1, 2, 3]
+    assert {h.source_id for h in hits} == {"jira:P-1", "jira:P-2", "confluence:7"}
+    # with 3 chunks the query terms' idf is floored to 1e-6, so the vector
+    # hits (whole chunk text as snippet) outrank the keyword ones
+    assert all("[" not in h.snippet for h in hits)
+    assert spark.read.parquet(path + "/chunks").count() == 3
