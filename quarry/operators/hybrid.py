@@ -56,7 +56,9 @@ def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: boo
     chunks = tokenize_chunks(chunk_text(text, "text", max_words=max_words, overlap=overlap))
     chunks = embed_chunks(chunks, embed, dim)
     chunk_path = f"{path}/chunks"
-    chunks.drop("tokens").write.mode("overwrite").parquet(chunk_path)
+    # sorted by key inside each file: a lookup of a few documents (snippets
+    # for a handful of hits) skips the other row groups
+    chunks.drop("tokens").sortWithinPartitions(*CHUNK_KEY).write.mode("overwrite").parquet(chunk_path)
     stored = spark.read.parquet(chunk_path)
     # postings from the *written* chunks: the embedding and tokenisation
     # work is not repeated, and lineage is cut at the table

@@ -350,16 +350,29 @@ def with_snippets(hits: DataFrame, index: KeywordIndex, queries: DataFrame, n: i
     """Add ``snippet`` (see ``quarry.functions.snippet``) to ranked hits;
     rows matching ``whole_when`` get the whole chunk text instead.
 
-    Hits are few (top-k per query): when their queries are provably few they
-    are broadcast to the chunk table, so the chunks are not shuffled to
-    attach text."""
+    Hits are few (top-k per query): when their queries are provably few the
+    hits are gathered once and broadcast to a key-filtered chunk scan, so
+    the chunks are neither shuffled nor fully read to attach text."""
     from quarry.functions.snippet import snippet
     qs = queries.select(F.col(id_col).alias("query_id"),
                         F.array_distinct(unicode61_tokens(query_col)).alias("_terms"))
-    small = bounded_rows(qs, MAX_BROADCAST_ROWS // max(n, 1)) is not None
-    h = hits.join(F.broadcast(qs) if small else qs, "query_id")
     content = index.chunks.select(*CHUNK_KEY, "content")
-    j = content.join(F.broadcast(h) if small else h, CHUNK_KEY)
+    small = bounded_rows(qs, MAX_BROADCAST_ROWS // max(n, 1)) is not None
+    if small:
+        # Ranked hits are at most ``n`` per query, so they are gathered once
+        # (the search runs a single time) and their documents become a
+        # literal filter that reaches the chunk scan; chunks are written
+        # sorted by key, so row groups of other documents are skipped.
+        spark = hits.sparkSession
+        rows = hits.collect()
+        local = spark.createDataFrame(rows, hits.schema)
+        docs = sorted({r["doc_id"] for r in rows})
+        if len(docs) <= PUSHDOWN_TERMS:
+            content = content.where(F.col("doc_id").isin(docs))
+        h = F.broadcast(local.join(F.broadcast(qs), "query_id"))
+    else:
+        h = hits.join(qs, "query_id")
+    j = content.join(h, CHUNK_KEY)
     snip = snippet(F.col("content"), F.col("_terms"), n)
     if whole_when is not None:
         snip = F.when(whole_when, F.col("content")).otherwise(snip)
