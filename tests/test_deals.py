@@ -167,3 +167,18 @@ def test_three_line_layout(spark):
     assert [t.coupon for t in d] == [None, None, None]          # label absent
     assert [len(t.optional_redemption_by_issuer or []) for t in d] == [4, 3, 0]
     assert d[1].label == "TIER 2" and d[2].tenor is None
+
+
+def test_hard_wrapped_three_tranches(spark):
+    t = _rows(parse_tranches(_msgs(spark, _file("deal_wrapped3.txt"))))
+    assert [(r["tenor"], r["tenor_maturity_years"], r["tenor_non_call_years"]) for r in t] == \
+        [("4NC3", 4, 3), ("6NC5", 6, 5), ("11NC10", 11, 10)]
+    assert [r["ranking"] for r in t] == ["Senior Unsecured", "Senior Unsecured", "Subordinated Unsecure"]
+    # a wrapped row keeps only what is on its first line
+    assert [r["coupon"] for r in t] == ["Fixed rate semi-annual 30/360 until May 1, 2026, the", None, None]
+    assert [r["benchmark_treasury"] for r in t] == ["T 4 1/4 10/15/25", "T 4 1/8 09/30/27", "T 2 3/4 0"]
+    assert [r["par_redemption_date"] for r in t] == ["May 1, 2026", "May 1, 2028", "May 1"]
+    assert [r["use_of_proceeds"] for r in t] == ["General Corporate Purposes", "General Corporate Pur", None]
+    # block-only field given as a table row is not read
+    assert [r["optional_redemption_by_issuer"] for r in t] == [None, None, None]
+    assert all(r["label"] is None and r["expected_ratings"] == {} for r in t)
