@@ -182,3 +182,11 @@ def test_hard_wrapped_three_tranches(spark):
     # block-only field given as a table row is not read
     assert [r["optional_redemption_by_issuer"] for r in t] == [None, None, None]
     assert all(r["label"] is None and r["expected_ratings"] == {} for r in t)
+
+
+def test_synonyms_are_a_parameter(spark):
+    from quarry.functions.deal import LABEL_SYNONYMS
+    m = _msgs(spark, _file("deal_wrapped.txt"))
+    assert [r["ipt"] for r in _rows(parse_tranches(m))] == [None, None]
+    syn = {**LABEL_SYNONYMS, "ipts": "IPT"}
+    assert [r["ipt"] for r in _rows(parse_tranches(m, synonyms=syn))] == ["T+200bps area", "T+260bps area"]
