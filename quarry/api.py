@@ -16,6 +16,11 @@ from quarry.sources.scans import combine_sources, issue_scan, page_scan
 
 TOP_K = 5
 
+# The source tags that prefix every hit's ``source_id``
+# (``<tag>:<id>``), as in the reference: issues -> "jira", pages -> "confluence".
+ISSUE_SOURCE = "jira"
+PAGE_SOURCE = "confluence"
+
 
 def ingest(path: str, issues: DataFrame | None = None, pages: DataFrame | None = None,
            issue_filter: Column | None = None, page_filter: Column | None = None,
@@ -24,9 +29,9 @@ def ingest(path: str, issues: DataFrame | None = None, pages: DataFrame | None =
     exports (``id``, ``body.storage.value``) into ``path``."""
     frames = []
     if issues is not None:
-        frames.append(issue_scan(issues, source="jira", where=issue_filter))
+        frames.append(issue_scan(issues, source=ISSUE_SOURCE, where=issue_filter))
     if pages is not None:
-        frames.append(page_scan(pages, source="confluence", where=page_filter))
+        frames.append(page_scan(pages, source=PAGE_SOURCE, where=page_filter))
     if not frames:
         raise ValueError("nothing to ingest")
     build_index(combine_sources(*frames), path, embed=embed, dim=dim, html=True)
