@@ -100,11 +100,15 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None
             q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()  # about 0.8 * block_rows
         if not rows:
             continue
-        bc = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]),
-                                           np.array([r["vector"] for r in rows], dtype=np.float64)))
+        block = (np.array([r["query_id"] for r in rows]),
+                 np.array([r["vector"] for r in rows], dtype=np.float64))
+        try:
+            shipped = spark.sparkContext.broadcast(block)
+        except Exception:  # no broadcast variables (e.g. Spark Connect): ship in the closure
+            shipped = None
 
-        def score(batches, bc=bc):
-            qids, qmat = bc.value
+        def score(batches, shipped=shipped, block=None if shipped is not None else block):
+            qids, qmat = shipped.value if shipped is not None else block
             for pdf in batches:
                 if len(pdf):
                     res = _block_topk(qids, qmat, pdf, keys, vec_col, k)

@@ -44,13 +44,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     Read from the session; only when it is unset (local tests) is a folder
     of our own created and registered.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
+        sc = None
+    root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
         root = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        sc.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    elif sc.getCheckpointDir() is None:
+        if sc:
+            sc.setCheckpointDir(root)
+    elif sc and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 

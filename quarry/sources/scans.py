@@ -26,8 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     splits than cores and nothing is added."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
+        try:
+            cores = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # sessions without RDD access (e.g. Spark Connect)
+            return df
+        if splits < cores:
             df = df.repartition(cores)
     return df
 
