@@ -112,6 +112,7 @@ def ratings_by_tranche(text: Column, n: Column, label: str = "Expected Ratings")
     agency keeps its first position and its last rating.
     """
     pat = ratings_block(label)
+
     def parsed(grp):
         items = F.transform(message_lines(grp), lambda l, i: F.struct(i.alias("i"), l.alias("l")))
         rated = F.filter(items, lambda e: e["l"].contains(":"))
