@@ -57,7 +57,13 @@ def _count_vector(buckets: Column, dim: Column) -> Column:
 def hash_embed(text, dim: int = 64) -> Column:
     """``array<float>`` of length ``dim`` for a text column."""
     c = F.col(text) if isinstance(text, str) else text
-    return _count_vector(hash_buckets(unicode61_tokens(c), dim), F.lit(dim))
+    return hash_embed_tokens(unicode61_tokens(c), dim)
+
+
+def hash_embed_tokens(tokens, dim: int = 64) -> Column:
+    """Same vector from an already tokenized column (no second tokenization)."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return _count_vector(hash_buckets(t, dim), F.lit(dim))
 
 
 def model_embed(text, load_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.embed import hash_embed
+from quarry.functions.embed import hash_embed, hash_embed_tokens
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
 from quarry.operators.common import top_k_per_group
 from quarry.operators.keyword import KeywordIndex, aggregate_postings, bm25_match, rank_order, token_rows, \
@@ -29,7 +29,10 @@ class HybridIndex:
 
 
 def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64) -> DataFrame:
-    """Add ``embedding``: ``embed(content_col) -> Column`` or the hash default."""
+    """Add ``embedding``: ``embed(content_col) -> Column`` or the hash
+    default (which reuses a ``tokens`` column when the chunks have one)."""
+    if embed is None and "tokens" in chunks.columns:
+        return chunks.withColumn("embedding", hash_embed_tokens("tokens", dim))
     fn = embed or (lambda c: hash_embed(c, dim))
     return chunks.withColumn("embedding", fn(F.col("content")))
 

@@ -174,3 +174,12 @@ def test_knn_many_query_blocks(spark, monkeypatch):
     for i in range(len(qv)):
         d = ((x.astype(np.float64) - qv[i].astype(np.float64)) ** 2).sum(axis=1)
         assert [v for _, v in sorted(got[i])] == sorted(range(len(x)), key=lambda j: (round(d[j], 6), j))[:3]
+
+
+def test_hash_embedding_from_text_or_tokens(spark):
+    from quarry.functions.embed import hash_embed, hash_embed_tokens
+    df = spark.createDataFrame([("Alpha beta, béta alpha!",), ("",)], "t string")
+    r = df.select(hash_embed("t", 16).alias("a"), hash_embed_tokens(unicode61_tokens("t"), 16).alias("b")).collect()
+    assert [x.a for x in r] == [x.b for x in r]
+    v = np.array(r[0].a, dtype=np.float64)
+    assert abs(np.linalg.norm(v) - 1) < 1e-6 and r[1].a == [0.0] * 16
