@@ -181,10 +181,61 @@ def match_none(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("query_id", *CHUNK_KEY, F.round("score", 6).alias("score"))
 
 
-@register("snippet")
+_TOK = r"[\p{L}\p{N}\p{Co}]"
+# DuckDB statement of the snippet rules (see quarry.functions.snippet), over
+# the same ranked hits as bm25_batch.
+_SNIPPET_SQL = f"""
+WITH b AS ({_bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K)}),
+c AS ({sql_chunks(DOC_SOURCE_SQL)}),
+q AS (SELECT item_id AS query_id, list_distinct({sql_tokens('text')}) AS terms FROM benchmark),
+p0 AS (SELECT b.*, c.content, q.terms,
+              regexp_extract_all(c.content, '({_TOK}+|[^\\p{{L}}\\p{{N}}\\p{{Co}}]+)', 1) AS pc
+       FROM b JOIN c ON b.source = c.source AND b.doc_id = c.doc_id AND b.chunk_no = c.chunk_no
+       JOIN q ON q.query_id = b.query_id),
+p1 AS (SELECT *, CASE WHEN len(pc) > 0 AND regexp_matches(pc[1], '^{_TOK}') THEN 0 ELSE 1 END AS off FROM p0),
+p2 AS (SELECT *, CAST(floor((len(pc) - off + 1) / 2) AS INTEGER) AS nd FROM p1),
+p3 AS (SELECT *, list_transform(range(nd), lambda i: strip_accents(lower(pc[2 * i + off + 1]))) AS tk FROM p2),
+p4 AS (SELECT *, list_filter(range(nd), lambda i: list_contains(terms, tk[i + 1])) AS hp,
+              list_filter(range(nd), lambda i: i = 0 OR
+                          regexp_matches(coalesce(pc[2 * i + off], ''), '[.:][ \\t\\n\\r]+$')) AS st
+       FROM p3),
+p5 AS (SELECT *, list_filter(flatten(list_transform(hp, lambda p: [
+          {{'s': 999 * len(list_distinct(list_transform(list_filter(hp, lambda h: h >= p AND h < p + 5),
+                                                         lambda h: tk[h + 1])))
+                 + len(list_filter(hp, lambda h: h >= p AND h < p + 5)),
+            'st': greatest(CASE WHEN p - CAST(floor((5 - (list_max(list_filter(hp, lambda h: h >= p AND h < p + 5))
+                                                           + 1 - p)) / 2) AS INTEGER) + 5 > nd
+                                THEN nd - 5
+                                ELSE p - CAST(floor((5 - (list_max(list_filter(hp, lambda h: h >= p AND h < p + 5))
+                                                           + 1 - p)) / 2) AS INTEGER) END, 0)}},
+          CASE WHEN nd > 5 AND list_max(list_filter(st, lambda x: x <= p)) < p THEN
+          {{'s': 999 * len(list_distinct(list_transform(
+                      list_filter(hp, lambda h: h >= list_max(list_filter(st, lambda x: x <= p))
+                                        AND h < list_max(list_filter(st, lambda x: x <= p)) + 5),
+                      lambda h: tk[h + 1])))
+                 + len(list_filter(hp, lambda h: h >= list_max(list_filter(st, lambda x: x <= p))
+                                        AND h < list_max(list_filter(st, lambda x: x <= p)) + 5))
+                 + CASE WHEN list_max(list_filter(st, lambda x: x <= p)) = 0 THEN 120 ELSE 100 END,
+            'st': list_max(list_filter(st, lambda x: x <= p))}} END])), lambda x: x IS NOT NULL) AS cands
+       FROM p4),
+p6 AS (SELECT *, coalesce(list_filter(cands, lambda x: x.s = list_max(list_transform(cands, lambda y: y.s)))[1].st,
+                          0) AS start FROM p5),
+p7 AS (SELECT *, start + 5 >= nd AS to_end,
+              CASE WHEN start = 0 THEN 0 ELSE 2 * start + off END AS k0,
+              CASE WHEN start + 5 >= nd THEN len(pc) - 1 ELSE 2 * (start + 4) + off END AS k1 FROM p6)
+SELECT query_id, rank, source_id, source, doc_id, chunk_no, score,
+  CASE WHEN start > 0 THEN '...' ELSE '' END
+  || array_to_string(list_transform(range(k0, greatest(k1, k0) + 1), lambda k:
+       CASE WHEN k >= off AND (k - off) % 2 = 0 AND list_contains(hp, (k - off) // 2)
+            THEN '[' || pc[k + 1] || ']' ELSE pc[k + 1] END), '')
+  || CASE WHEN to_end THEN '' ELSE '...' END AS snippet
+FROM p7"""
+
+
+@register("snippet", _SNIPPET_SQL)
 def snippet_q(spark: SparkSession, sf: str) -> DataFrame:
     """Top-5 BM25 hits per passage with their highlighted 5-token snippet
-    (rows-only here; the snippet text is checked against FTS5 in tests)."""
+    (also checked against SQLite FTS5 in tests)."""
     idx = doc_index(spark, sf)
     q = passages(spark, sf)
     hits = keyword_hits(top_k(bm25_match(idx, q, "all"), TOP_K))
