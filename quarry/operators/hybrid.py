@@ -38,9 +38,12 @@ def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64) -> DataFrame:
 
 
 def index_in_memory(chunks: DataFrame, embed=None, dim: int = 64) -> HybridIndex:
-    """A lazy index over ``chunks`` (nothing written)."""
-    kw = KeywordIndex.from_chunks(chunks)
-    return HybridIndex(kw, embed_chunks(kw.chunks, embed, dim))
+    """A lazy index over ``chunks`` (nothing written).  Both sides start
+    from one tokenization: the keyword side explodes the tokens, the default
+    embedding hashes the same tokens."""
+    tok = tokenize_chunks(chunks)
+    kw = KeywordIndex(chunks=tok.drop("tokens"), tokens=token_rows(tok))
+    return HybridIndex(kw, embed_chunks(tok, embed, dim).drop("tokens"))
 
 
 def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: bool = True,
