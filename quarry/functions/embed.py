@@ -79,3 +79,18 @@ def model_embed(text, load_model: Callable[[], Callable[[list[str]], np.ndarray]
             yield pd.Series(list(vecs))
 
     return _embed(c)
+
+
+def _ship_by_value() -> None:
+    """Functions of this module run inside Python workers (pandas UDF /
+    mapInPandas).  Pickle them by value so the workers need no installed
+    copy of the package."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # older cloudpickle: fall back to import by name
+        pass
+
+
+_ship_by_value()

@@ -123,3 +123,18 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None
         cand = cand.unionByName(p)
     order = [F.round("dist", 6).asc(), *[F.col(c).asc() for c in keys]]
     return top_k_per_group(cand, ["query_id"], order, k, rank_col)
+
+
+def _ship_by_value() -> None:
+    """Functions of this module run inside Python workers (pandas UDF /
+    mapInPandas).  Pickle them by value so the workers need no installed
+    copy of the package."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # older cloudpickle: fall back to import by name
+        pass
+
+
+_ship_by_value()
