@@ -93,3 +93,17 @@ def test_ingest_and_query_api(spark, tmp_path):
     # hits (whole chunk text as snippet) outrank the keyword ones
     assert all("[" not in h.snippet for h in hits)
     assert spark.read.parquet(path + "/chunks").count() == 3
+
+
+def test_worker_side_modules_ship_by_value():
+    """Workers must not need the package installed (queries run from any
+    directory or on a cluster)."""
+    import pickle
+    from pyspark import cloudpickle
+    from quarry.functions import embed, text
+    from quarry.operators import vector
+    for fn in (embed._count_vector_fn, text._unescape_fn, vector._block_topk):
+        blob = cloudpickle.dumps(fn)
+        # a by-reference pickle is a short global lookup; by value carries the code
+        assert len(blob) > 200, fn.__name__
+        assert pickle.loads(blob).__code__.co_code == fn.__code__.co_code
