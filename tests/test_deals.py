@@ -190,3 +190,11 @@ def test_synonyms_are_a_parameter(spark):
     assert [r["ipt"] for r in _rows(parse_tranches(m))] == [None, None]
     syn = {**LABEL_SYNONYMS, "ipts": "IPT"}
     assert [r["ipt"] for r in _rows(parse_tranches(m, synonyms=syn))] == ["T+200bps area", "T+260bps area"]
+
+
+def test_strict_labels_option(spark):
+    # ISIN is not a terminator by default (Q7), so the Label block runs on
+    text = "Label\nTLAC\nISIN\nX1\nTenor\n5Y\n7Y"
+    m = _msgs(spark, text)
+    assert [r["label"] for r in _rows(parse_tranches(m))] == ["TLAC", "ISIN"]
+    assert [r["label"] for r in _rows(parse_tranches(m, strict_labels=True))] == ["TLAC", None]
