@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import table
 from quarry.llm.mixing import mix_sources
+from quarry.llm.ngram_join import jaccard_components
 from quarry.llm.quality_rules import BASE, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,31 @@ def op2(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def jaccard_sql(docs: str) -> str:
+    """doc_id, n_shingles, component_id over relation ``docs`` (doc_id, text)."""
+    return rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+'), []) AS w FROM ({docs}) d),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM worded),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT x AS doc_id, y AS other FROM links
+          UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+       least(sets.doc_id, coalesce((SELECT min(other) FROM reach r WHERE r.doc_id = sets.doc_id), sets.doc_id)) AS component_id
+FROM sets"""
+
+
+@query("op5_ngram_jaccard", jaccard_sql("SELECT doc_id, text FROM documents"))
+def op5(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
