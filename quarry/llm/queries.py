@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import table
+from quarry.llm.decontam import benchmark_matches
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import jaccard_components
 from quarry.llm.quality_rules import BASE, quality_rules
@@ -69,6 +70,11 @@ def op2(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def jaccard_sql(docs: str) -> str:
     """doc_id, n_shingles, component_id over relation ``docs`` (doc_id, text)."""
     return rf"""
