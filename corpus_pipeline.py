@@ -1,9 +1,79 @@
 """The corpus pipeline: five stages over ``documents``, each written as
-Parquet and read again as the next one's input."""
+Parquet and read again as the next one's input.
 
-STAGES = []
+1. quality rules: documents that fail the base rules or a learned rule go;
+2. n-gram Jaccard join: of each group of (near) copies the document of the
+   smallest id stays, a single row of it; documents without words stay;
+3. benchmark decontamination: documents that hold a benchmark passage go;
+4. personal data: spans are replaced by ``[kind]``, ``n_chars`` follows;
+5. mixing: ``times`` and ``taken`` per document, by source.
+
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.llm.common import table, written
+from quarry.llm.decontam import benchmark_matches
+from quarry.llm.mixing import mix_sources
+from quarry.llm.ngram_join import jaccard_components
+from quarry.llm.pii import personal_data
+from quarry.llm.quality_rules import quality_rules
+from quarry.llm.queries import MIX_WEIGHTS
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose id is (``left_semi``) or is not (``left_anti``) among
+    ``ids``; a null id is an id like any other."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    verdict = quality_rules(docs, table(spark, sf_dir, "labels"))
+    return _by_id(docs, verdict.where("kept"), "left_semi")
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    member = jaccard_components(docs)
+    # representatives; null-safe, since a document without an id stands for itself
+    ids = member.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = _by_id(docs, ids, "left_semi")
+    # repeated rows of a representative: one stays (few rows per id)
+    repeated = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    marked = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    first = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+    once = marked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _by_id(docs, benchmark_matches(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = personal_data(docs, redact=True, carry=rest).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs, MIX_WEIGHTS)
+
+
+STAGES = [("quality_rules", rules_stage), ("near_copies", near_copies_stage), ("decontamination", decontamination_stage),
+          ("personal_data", personal_data_stage), ("mixing", mixing_stage)]
+
+#: Learned rules, alignment and a network are not SQL: the stages are tested
+#: against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from quarry.llm.common import table
 from quarry.llm.decontam import benchmark_matches
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import jaccard_components
+from quarry.llm.pii import personal_data
 from quarry.llm.quality_rules import BASE, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,11 @@ def op5(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op7_personal_data")
+def op7(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
