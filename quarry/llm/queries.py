@@ -12,7 +12,9 @@ from quarry.llm.decontam import benchmark_matches
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import jaccard_components
 from quarry.llm.pii import personal_data
+from quarry.llm.quality_knn import quality_votes
 from quarry.llm.quality_rules import BASE, quality_rules
+from quarry.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,11 +103,21 @@ def op5(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_personal_data")
 def op7(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+@query("op8_quality_votes")
+def op8(spark, sf_dir):
+    return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

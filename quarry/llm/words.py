@@ -55,6 +55,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """Sums from which ``range_hash`` takes the key of any byte range."""
+    up, _ = _powers(len(raw) + 1)
+    out = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=out[1:])
+    return out
+
+
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of byte ranges; equal bytes give equal keys."""
+    _, down = _powers(len(sums))
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 def string_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a string or binary column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,12 +119,9 @@ class Words:
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit keys of byte ranges; equal bytes give equal keys."""
-        up, down = _powers(len(self.raw) + 1)
-        if not hasattr(self, "_prefix"):
-            self._prefix = np.zeros(len(self.raw) + 1, dtype=np.uint64)
-            np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], out=self._prefix[1:])
-        return mix((self._prefix[end] - self._prefix[start]) * down[start])
+        if not hasattr(self, "_sums"):
+            self._sums = prefix_sums(self.raw)
+        return range_hash(self._sums, start, end)
 
     def hashes(self) -> np.ndarray:
         return self.range_hash(self.start, self.end)
