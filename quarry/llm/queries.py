@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.decontam import benchmark_matches
@@ -15,10 +16,16 @@ from quarry.llm.pii import personal_data
 from quarry.llm.quality_knn import quality_votes
 from quarry.llm.quality_rules import BASE, quality_rules
 from quarry.llm.toxicity import toxicity
+from quarry.llm.urlfilter import Rule, judge_urls
+from quarry.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Rules on (host, path), and the labels that put a host on the list.
+URL_RULES = [Rule("net", "/", False), Rule("example.net", "/en/", True), Rule("example.com", "/de/", False), Rule("org", "/fr/", True)]
+LISTED_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets"]
+
 #: Weights by source in code point order, repeating.
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
 
@@ -66,6 +73,24 @@ SELECT * EXCLUDE (before, epochs, p),
 FROM joined"""
 
 
+@query("op1_url_filter", """
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
+SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+               WHEN list_has_any(string_split(host, '.'), ['ads-track', 'casino-win', 'cheap-pills', 'free-bets']) THEN 'block'
+               ELSE 'allow' END AS verdict FROM ruled""")
+def op1(spark, sf_dir):
+    listed = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
 @query("op2_mix_sources",
        f"SELECT doc_id, size, source_size, target, taken FROM ({mix_sql('SELECT doc_id, text, source FROM documents')}) m")
 def op2(spark, sf_dir):
@@ -73,6 +98,20 @@ def op2(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_warc", """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS least FROM payloads GROUP BY h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, 10 * (i // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM payloads JOIN firsts USING (h)""")
+def op3(spark, sf_dir):
+    out = archive_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
