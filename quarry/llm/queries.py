@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.decontam import benchmark_matches
+from quarry.llm.html_main import main_text
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import jaccard_components
 from quarry.llm.pii import personal_data
@@ -161,3 +162,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *BASE, "base_failed", "kept", "rule")
+
+
+@query("op10_main_text")
+def op10(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
