@@ -51,14 +51,15 @@ def test_wrapped_message(spark):
 
 def test_covered_message(spark):
     t = _rows(parse_tranches(_msgs(spark, _file("deal_covered.txt"))))
-    assert [r["tenor"] for r in t] == ["3Y Fixed", "5Y Floating"]
+    assert [r["tenor"] for r in t] == ["2Y Floating", "9Y Fixed"]
     assert all(r["tenor_maturity_years"] is None for r in t)
-    assert [r["ranking"] for r in t] == ["Senior Secured", "Senior Secured"]
-    assert [r["coupon_type"] for r in t] == ["Fixed Rate", "Floating Rate"]
-    assert [r["coupon"] for r in t] == ["Fixed rate annual until maturity", "Quarterly SOFR + [x] bps"]
-    assert [r["benchmark_treasury"] for r in t] == ["T 4 7/8 07/31/28", "N/A"]
-    assert [r["sofr_convention"] for r in t] == ["N/A", "SOFR, compounded daily"]
-    assert [r["maturity_date"] for r in t] == ["September 1, 2028", "September 1, 2030"]
+    assert [r["ranking"] for r in t] == ["Covered Bond", "Covered Bond"]     # trailing parenthesis cut
+    assert [r["coupon_type"] for r in t] == ["Floater", "Fixed"]
+    assert [r["coupon"] for r in t] == ["3m Euribor + [x]", "Annual, act/act"]
+    assert [r["benchmark_treasury"] for r in t] == ["–", "DBR 0 02/15/34"]
+    assert [r["sofr_convention"] for r in t] == ["Not applicable", "Not applicable"]
+    assert [r["isin"] for r in t] == ["DE000LMA0017", "DE000LMA0025"]
+    assert [r["maturity_date"] for r in t] == ["June 17, 2027", "June 17, 2034"]
     assert [r["use_of_proceeds"] for r in t] == [None, None]
 
 
@@ -114,10 +115,10 @@ def test_globals_and_draft(spark):
     t = F.col("text")
     g = m.select("msg_id", issuer(t).alias("i"), issuer_ratings(t).alias("r"), settlement(t).alias("s"),
                  tenor_list(t).alias("tl")).orderBy("msg_id").collect()
-    assert g[0].i == "Northwind Bank plc" and g[1].i == "Harbor Covered Corp"
+    assert g[0].i == "Northwind Bank plc" and g[1].i == "Lakeside Mortgage AG"
     assert g[0].r == {"Moody's": "A2 (Stable)", "S&P": "A (Stable)", "Fitch": "A+ (Stable)"}
     assert g[0].s == "**May 1, 2025**"
-    assert g[0].tl == ["5NC4", "8NC7"] and g[1].tl == ["3Y", "Fixed", "5Y", "Floating"]
+    assert g[0].tl == ["5NC4", "8NC7"] and g[1].tl == ["2Y", "Floating", "9Y", "Fixed"]
     d = draft_tranches(m).orderBy("msg_id").collect()
     first = d[0].tranches
     assert len(first) == 2
@@ -127,7 +128,7 @@ def test_globals_and_draft(spark):
     assert first[1].isin == "CUSIP\t1111AA11\t1111AA22"
     assert first[0].coupon is None
     assert len(first[0].optional_redemption_by_issuer) == 4
-    assert len(d[1].tranches) == 4   # the whitespace split breaks "3Y Fixed"
+    assert len(d[1].tranches) == 4   # the whitespace split breaks "2Y Floating"
 
 
 def test_document_json(spark):
@@ -172,13 +173,13 @@ def test_three_line_layout(spark):
 def test_hard_wrapped_three_tranches(spark):
     t = _rows(parse_tranches(_msgs(spark, _file("deal_wrapped3.txt"))))
     assert [(r["tenor"], r["tenor_maturity_years"], r["tenor_non_call_years"]) for r in t] == \
-        [("4NC3", 4, 3), ("6NC5", 6, 5), ("11NC10", 11, 10)]
-    assert [r["ranking"] for r in t] == ["Senior Unsecured", "Senior Unsecured", "Subordinated Unsecure"]
+        [("3NC2", 3, 2), ("5NC4", 5, 4), ("12NC7", 12, 7)]
     # a wrapped row keeps only what is on its first line
-    assert [r["coupon"] for r in t] == ["Fixed rate semi-annual 30/360 until May 1, 2026, the", None, None]
-    assert [r["benchmark_treasury"] for r in t] == ["T 4 1/4 10/15/25", "T 4 1/8 09/30/27", "T 2 3/4 0"]
-    assert [r["par_redemption_date"] for r in t] == ["May 1, 2026", "May 1, 2028", "May 1"]
-    assert [r["use_of_proceeds"] for r in t] == ["General Corporate Purposes", "General Corporate Pur", None]
+    assert [r["ranking"] for r in t] == ["Senior Preferred", "Senior Preferred", "Tier Two"]
+    assert [r["coupon"] for r in t] == ["Fixed 30/360 payable yearly until the call", None, None]
+    assert [r["benchmark_treasury"] for r in t] == ["T 3 1/2 06/30/28", "T 3 3/4 06/3", None]
+    assert [r["par_redemption_date"] for r in t] == ["June 9, 2027", "June 9, 2029", "June"]
+    assert [r["use_of_proceeds"] for r in t] == ["Grid expansion", "Refinancing of note", None]
     # block-only field given as a table row is not read
     assert [r["optional_redemption_by_issuer"] for r in t] == [None, None, None]
     assert all(r["label"] is None and r["expected_ratings"] == {} for r in t)
