@@ -4,8 +4,11 @@ Texts are sets of five-word shingles; equal sets are one *class* from the
 start.  Two sets of Jaccard similarity >= t must share a token within the
 first ``n - ceil(t n) + 1`` tokens of each, under *every* global order of the
 tokens.  Order 1 finds candidates (classes that share a prefix token, within
-the length and position bounds); a candidate must then share prefix tokens
-under the further orders too; what is left is verified on the whole sets.
+the length and position bounds).  Sketches then bound the overlap from above:
+a set's tokens are counted in SKETCH classes, and two sets share at most the
+sum of the smaller counts; only candidates that pass move texts.  They must
+share prefix tokens under the further orders too, and what is left is
+verified on the whole sets.
 
 Every order puts frequent tokens last and is a hash order otherwise.
 "Frequent" rests on counts over all documents, gathered wherever a block
@@ -42,6 +45,8 @@ ORDERS = (1, 2, 3)
 FREQUENT = 1 << 22
 FREQUENT_LEAST = 32
 SALTS = 64
+#: Token classes that a set's tokens are counted in (a byte each).
+SKETCH = 512
 #: Bits of the fixed-size filter of classes whose texts are wanted.
 WANTED_BITS = 1 << 26
 
@@ -167,8 +172,26 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       pa.array(np.zeros(k, np.int32))], ["pair", "token", "cls", "n", "pos"])
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _may_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow the needed overlap.  A full counter (255)
+    bounds nothing, so such a pair passes."""
+    num, den = THRESHOLD
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+        na, nb = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+        least = np.minimum(x, y)
+        ok = (least.max(1) == 255) | (least.sum(1, dtype=np.int64) >= -(-num * (na + nb) // (num + den)))
+        yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
 def _texts(wanted):
-    """Texts of wanted classes, once per block and class."""
+    """Texts, sizes and sketches of wanted classes, once per block and class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
@@ -183,8 +206,10 @@ def _texts(wanted):
                             first.setdefault(c, i)
                 if first:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(first), pa.int64()), b.column("text").cast(pa.string()).take(pa.array(list(first.values())))],
-                        ["cls", "text"])
+                        [pa.array(list(first), pa.int64()), pa.array([len(sets[i]) for i in first.values()], pa.int64()),
+                         pa.array([_sketch(sets[i]) for i in first.values()], pa.binary()),
+                         b.column("text").cast(pa.string()).take(pa.array(list(first.values())))],
+                        ["cls", "n", "sketch", "text"])
     return run
 
 
@@ -250,12 +275,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     shared = found.where(~F.col("pair")).drop("pair")
     first = found.where("pair").select(F.col("token").alias("a"), F.col("cls").alias("b")).distinct()
     wanted = sc.broadcast(_bit_filter(shared.select("cls").distinct()))
-    texts = written(base.mapInArrow(_texts(wanted), "cls bigint, text string").dropDuplicates(["cls"]), "jaccard-texts")
+    texts = written(base.mapInArrow(_texts(wanted), "cls bigint, n bigint, sketch binary, text string").dropDuplicates(["cls"]), "jaccard-texts")
+
+    def with_both(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        for side in "ba":
+            pairs = pairs.join(texts.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-                .join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a"))
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(frequent), "a bigint, b bigint")
+        close = written(with_both(pairs, ["n", "sketch"]).mapInArrow(_may_overlap, "a bigint, b bigint"), "jaccard-close")
+        return with_both(close, ["text"]).mapInArrow(_verified(frequent), "a bigint, b bigint")
 
     links = written(verify(first), "jaccard-links")
     label = components(links)
