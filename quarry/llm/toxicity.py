@@ -23,7 +23,7 @@ from quarry.llm.words import Words, blocks, mix
 
 #: Labelled documents learned from, the characters of each that training
 #: reads, and the vocabulary's size, at most.
-SAMPLE_DOCS, TRAIN_CHARS, VOCABULARY = 8_000, 8_000, 50_000
+SAMPLE_DOCS, TRAIN_CHARS, VOCABULARY = 6_000, 6_000, 50_000
 WINDOW, STEP = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 #: Bytes of a character n-gram, and their hash buckets.
@@ -38,7 +38,7 @@ def grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.zeros(m, dtype=np.uint64)
     for i in range(GRAM):
         key += w.raw[i: i + m].astype(np.uint64) << np.uint64(8 * i)
-    bucket = (mix(key, 31) % np.uint64(GRAMS)).astype(np.int64)
+    bucket = (mix(key, 31) % np.uint64(GRAMS)).astype(np.int32)
     return bucket, np.minimum(w.start, m), np.minimum(np.maximum(w.end - GRAM + 1, w.start), m)
 
 
@@ -204,41 +204,55 @@ def score_block(net: Net, column: pa.Array) -> np.ndarray:
     return out
 
 
+def _drop_sums(net: Net, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A part's word ids and character embeddings; its prefix sums (8 bytes a
+    character) are not kept."""
+    ids, mean, _ = net.inputs(w)
+    if hasattr(w, "_sums"):
+        del w._sums
+    return ids, mean
+
+
 def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, rate: float = 0.01, seed: int = 2) -> Net:
     """Log odds by documents, then Adam over windows: of a toxic text the
     window of highest log odds, of others that window and a random one."""
     col = pa.array(texts, pa.large_string())
     parts = [Words(col.slice(a, 200), lower=True) for a in range(0, len(texts), 200)]
-    keys, docs = [], []
-    for i, w in enumerate(parts):
-        keys.append(w.hashes())
-        docs.append(w.doc + 200 * i)
-    key, doc = np.concatenate([*keys, np.empty(0, np.uint64)]), np.concatenate([*docs, np.empty(0, np.int64)])
     pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
 
-    def odds(codes: np.ndarray, owner: np.ndarray, size: int, prior: float) -> np.ndarray:
-        pair = np.unique(codes * len(texts) + owner)
-        c, d = pair // len(texts), pair % len(texts)
-        p = np.bincount(c, weights=y[d], minlength=size)
-        q = np.bincount(c, weights=1 - y[d], minlength=size)
+    def odds(p: np.ndarray, q: np.ndarray, prior: float) -> np.ndarray:
+        """From the toxic and other texts that hold each code."""
         p, q = p + prior * pos / (pos + neg), q + prior * neg / (pos + neg)
         low = np.log(p / pos) - np.log(q / neg) - 2.5 * np.sqrt(1 / p + 1 / q)
         return np.clip(low, 0, 4) / 4               # a lower bound: chance counts for nothing
-    words, code = np.unique(key, return_inverse=True)
-    seen = np.bincount(np.unique(code * len(texts) + doc) // len(texts), minlength=len(words)) if len(words) else np.empty(0, int)
-    keep = np.flatnonzero(seen >= 3)
-    keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:VOCABULARY]])
-    word_odds = odds(code, doc, len(words), 2.0)[keep] if len(words) else np.empty(0)
-    tri_code, tri_doc = [], []
+
+    def held(code: np.ndarray, owner: np.ndarray, mark: np.ndarray, size: int) -> np.ndarray:
+        """Toxic and other texts of a part that hold each code: (size, 2)."""
+        pair = np.unique(code * len(mark) + owner)
+        code, owner = pair // len(mark), pair % len(mark)
+        return np.stack([np.bincount(code, weights=mark[owner], minlength=size),
+                         np.bincount(code, weights=1 - mark[owner], minlength=size)], 1)
+    # part by part, so that nothing of the size of all texts is sorted at once
+    word_keys, word_counts, gram_counts = [], [], np.zeros((GRAMS, 2))
     for i, w in enumerate(parts):
+        mark = y[200 * i: 200 * i + len(w.offsets) - 1]
+        keys, code = np.unique(w.hashes(), return_inverse=True)
+        del w._sums
+        word_keys.append(keys)
+        word_counts.append(held(code, w.doc, mark, len(keys)))
         bucket, a, b = grams(w)
         inside = np.zeros(len(bucket) + 1, dtype=np.int64)
         np.add.at(inside, a[b > a], 1)
         np.add.at(inside, b[b > a], -1)
         at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        tri_code.append(bucket[at])
-        tri_doc.append(np.searchsorted(w.offsets, at, side="right") - 1 + 200 * i)
-    char_odds = odds(np.concatenate(tri_code), np.concatenate(tri_doc), GRAMS, 10.0) if tri_code else np.zeros(GRAMS)
+        gram_counts += held(bucket[at].astype(np.int64), np.searchsorted(w.offsets, at, side="right") - 1, mark, GRAMS)
+    words, code = np.unique(np.concatenate([*word_keys, np.empty(0, np.uint64)]), return_inverse=True)
+    counts = np.zeros((len(words), 2))
+    np.add.at(counts, code, np.concatenate([*word_counts, np.zeros((0, 2))]))
+    seen = counts.sum(1)
+    keep = np.flatnonzero(seen >= 3)
+    keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:VOCABULARY]])
+    word_odds, char_odds = odds(counts[keep, 0], counts[keep, 1], 2.0), odds(gram_counts[:, 0], gram_counts[:, 1], 10.0)
     net = Net(words[keep], word_odds, char_odds)
     rng = np.random.default_rng(seed)
     rows = []                                   # (part, start, end, label)
@@ -247,6 +261,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, r
         if not len(doc_):
             continue
         ids, _, _ = net.inputs(w)
+        del w._sums
         total = np.r_[0, np.cumsum(np.maximum(net.word[ids, 0], 0) ** 2)]
         best = total[end] - total[start]
         order = np.lexsort((-best, doc_))
@@ -258,7 +273,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, r
         return net
     part, start, end, label = (np.array(c) for c in zip(*rows))
     base = np.r_[0, np.cumsum([len(w.start) for w in parts])]
-    ids = np.concatenate([net.inputs(w)[0] for w in parts])
+    ids = np.concatenate([_drop_sums(net, w)[0].astype(np.int32) for w in parts])
     start, end = start + base[part], end + base[part]
     yes, no = np.flatnonzero(label > 0), np.flatnonzero(label == 0)
     groups = [g for g in (yes, no) if len(g)]
@@ -296,7 +311,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, r
         np.add.at(net.char, flat, -rate * 5 * (d_word / np.maximum(count, 1)[:, None])[owner])
     # the classes were drawn evenly: move the output so that the stated
     # threshold separates the training texts best (F1)
-    mean = np.concatenate([net.inputs(w)[1] for w in parts])
+    mean = np.concatenate([_drop_sums(net, w)[1] for w in parts])
     z = np.concatenate([net.forward(*gather(net, ids, mean, start[a: a + 4096], end[a: a + 4096])[:2])[0]
                         for a in range(0, len(rows), 4096)])
     order = np.argsort(-z, kind="stable")
