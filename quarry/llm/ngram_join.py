@@ -20,7 +20,10 @@ Groups of copies are not expanded into pairs.  A first round links members of
 a bucket to its pivots and joins what is similar; the second round takes only
 pairs of a bucket that are still in different components, all of them, so no
 link between different texts is lost.  Buckets of frequent tokens are dealt
-out in SALTS parts in the first round.
+out in SALTS parts in the first round.  In the second, large buckets are cut
+into blocks; a task compares two blocks by sketches and emits only the pairs
+that pass, and skips a pair whose sets both lead with one common token that
+comes earlier: that token's bucket has it.
 """
 
 from __future__ import annotations
@@ -46,7 +49,11 @@ FREQUENT = 1 << 22
 FREQUENT_LEAST = 32
 SALTS = 64
 #: Token classes that a set's tokens are counted in (a byte each).
-SKETCH = 512
+SKETCH = 1024
+#: First prefix tokens that a class carries to recognise pairs met before.
+LEAD = 8
+#: Buckets of more classes are compared inside tasks, in blocks of BLOCK.
+LARGE_BUCKET, BLOCK = 32, 2048
 #: Bits of the fixed-size filter of classes whose texts are wanted.
 WANTED_BITS = 1 << 26
 
@@ -124,7 +131,7 @@ def _prefix_rows(frequent):
                         col.append(x)
                 token, cls, n, pos = map(np.concatenate, cols)
                 hot = _is_in(often, token)
-                salt = mix(cls.view(np.uint64), 17) % np.uint64(SALTS)
+                salt = mix(cls.view(np.uint64) ^ token, 17) % np.uint64(SALTS)      # other parts for every token
                 key = np.where(hot, mix(token + salt, 19), token)
                 yield pa.RecordBatch.from_arrays([_long(key), _long(token), pa.array(cls), pa.array(n), pa.array(pos),
                                                   pa.array(hot)], ["key", "token", "cls", "n", "pos", "hot"])
@@ -176,6 +183,12 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def _lead(s: np.ndarray, frequent: np.ndarray) -> bytes:
+    """The first LEAD prefix tokens; a shorter prefix repeats its last one."""
+    p = prefix(s, ORDERS[0], frequent)[:LEAD]
+    return np.concatenate([p, np.repeat(p[-1:], LEAD - len(p))]).tobytes()
+
+
 def _may_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches allow the needed overlap.  A full counter (255)
     bounds nothing, so such a pair passes."""
@@ -190,10 +203,52 @@ def _may_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _texts(wanted):
-    """Texts, sizes and sketches of wanted classes, once per block and class."""
+def _large_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of large buckets that are still apart and may be similar.  Rows:
+    token, the two blocks (x <= y), the class's own block, and its data."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows)
+    token, x, y, own, cls, n, pos, label = (t.column(c).to_numpy() for c in ("token", "x", "y", "own", "cls", "n", "pos", "label"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), np.int64).reshape(-1, LEAD)
+    order = np.lexsort((cls, y, x, token))
+    cut = np.flatnonzero(np.r_[True, np.any(np.stack([token, x, y])[:, order][:, 1:] != np.stack([token, x, y])[:, order][:, :-1], axis=0), True])
+    num, den = THRESHOLD
+    out = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        i = order[a:b]
+        names, sizes = np.unique(label[i], return_counts=True)
+        if len(names) == 1:
+            continue
+        most = names[np.argmax(sizes)]
+        for r in i[label[i] != most]:
+            # each pair once: with the largest component, else in class order
+            o = i[(label[i] != label[r]) & ((label[i] == most) | (cls[i] > cls[r]))]
+            if x[r] != y[r]:
+                o = o[own[o] != own[r]]
+            o = o[_bounds(int(n[r]), int(pos[r]), n[o].astype(np.int64), pos[o].astype(np.int64))]
+            # tokens before this one in both sets' order: an earlier bucket has the pair
+            met = np.zeros(len(o), dtype=bool)
+            for k in range(min(LEAD, int(pos[r]))):
+                met |= (lead[o] == lead[r, k]).any(1)
+            o = o[~met]
+            if not len(o):
+                continue
+            least = np.minimum(sketch[o], sketch[r])
+            ok = (least.max(1) == 255) | (least.sum(1, dtype=np.int64) >= -(-num * (n[o].astype(np.int64) + int(n[r])) // (num + den)))
+            o = o[ok]
+            out.append(np.stack([np.minimum(cls[o], cls[r]), np.maximum(cls[o], cls[r])], 1))
+    pairs = np.unique(np.concatenate([*out, np.empty((0, 2), np.int64)]), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+
+def _texts(wanted, frequent):
+    """Texts, sizes, sketches and leading tokens of wanted classes, once per
+    block and class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, often = wanted.value, frequent.value
         for batch in batches:
             for b in blocks(batch, "text", 4_000_000):
                 sets = shingle_sets(Words(b.column("text"), lower=True), SHINGLE)
@@ -208,8 +263,9 @@ def _texts(wanted):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(first), pa.int64()), pa.array([len(sets[i]) for i in first.values()], pa.int64()),
                          pa.array([_sketch(sets[i]) for i in first.values()], pa.binary()),
+                         pa.array([_lead(sets[i], often) for i in first.values()], pa.binary()),
                          b.column("text").cast(pa.string()).take(pa.array(list(first.values())))],
-                        ["cls", "n", "sketch", "text"])
+                        ["cls", "n", "sketch", "lead", "text"])
     return run
 
 
@@ -275,7 +331,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     shared = found.where(~F.col("pair")).drop("pair")
     first = found.where("pair").select(F.col("token").alias("a"), F.col("cls").alias("b")).distinct()
     wanted = sc.broadcast(_bit_filter(shared.select("cls").distinct()))
-    texts = written(base.mapInArrow(_texts(wanted), "cls bigint, n bigint, sketch binary, text string").dropDuplicates(["cls"]), "jaccard-texts")
+    texts = written(base.mapInArrow(_texts(wanted, frequent), "cls bigint, n bigint, sketch binary, lead binary, text string").dropDuplicates(["cls"]), "jaccard-texts")
 
     def with_both(pairs: DataFrame, columns: list[str]) -> DataFrame:
         for side in "ba":
@@ -291,16 +347,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     # second round: pairs of a bucket that are still apart
     named = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = written(named, "jaccard-labelled")
-    apart = (named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where(F.col("lo") != F.col("hi")).select("token"))
-    open_rows = named.join(apart, "token")
+    apart = written(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                               F.count(F.lit(1)).alias("size"))
+                    .where(F.col("lo") != F.col("hi")).select("token", "size"), "jaccard-apart")
+    open_rows = named.join(apart.where(F.col("size") <= LARGE_BUCKET).select("token"), "token")
+    blocks_of = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks_of).cast("int")
+    large = (named.join(apart.where(F.col("size") > LARGE_BUCKET), "token").withColumn("own", own)
+             .join(texts.select("cls", "sketch", "lead"), "cls")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+             .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "n", "pos",
+                     "label", "sketch", "lead"))
+    from_large = large.repartition("token", "x", "y").mapInArrow(_large_buckets, "a bigint, b bigint")
     x, y = (open_rows.select("token", *[F.col(c).alias(c + s) for c in ("cls", "n", "pos", "label")]) for s in "xy")
     num, den = THRESHOLD
     need = F.ceil(num * (F.col("nx") + F.col("ny")) / F.lit(num + den))
     fits = ((F.col("clsx") < F.col("clsy")) & (F.col("labelx") != F.col("labely"))
             & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny"))
             & (F.least("posx", "posy") + 1 + F.least(F.col("nx") - F.col("posx") - 1, F.col("ny") - F.col("posy") - 1) >= need))
-    cross = (x.join(y, "token").where(fits).select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).distinct()
+    cross = (x.join(y, "token").where(fits).select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).unionByName(from_large).distinct()
              .join(first, ["a", "b"], "left_anti"))
     more = written(verify(cross), "jaccard-links")
     label = components(links.unionByName(more)).select(F.col("node").alias("cls"), "label")
