@@ -60,7 +60,7 @@ def main() -> None:
 
     # single hybrid query against an index on disk (built once, untimed)
     path = scratch_path(spark, "bench-index")
-    docs = read_table(spark, SF_DIR, "documents", spread=True).select(
+    docs = read_table(spark, SF_DIR, "documents").select(
         F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     t0 = time.perf_counter()
     build_index(docs, path, html=False)

@@ -40,10 +40,20 @@ def ingest(path: str, issues: DataFrame | None = None, pages: DataFrame | None =
 def query(spark: SparkSession, path: str, queries: str | DataFrame, top_k: int = TOP_K,
           semantic_score: str = "distance", embed=None, dim: int = 64) -> DataFrame:
     """Hybrid hits for one query string (``query_id`` 0) or a
-    ``(query_id, query)`` frame, best first within each query."""
+    ``(query_id, query[, top_k])`` frame, best first within each query; a
+    ``top_k`` column overrides the parameter where it is not null."""
     if isinstance(queries, str):
         queries = spark.range(1).select(F.lit(0).cast("bigint").alias("query_id"),
                                         F.lit(queries).alias("query"))
     hits = hybrid_search(read_index(spark, path), queries, top_k, semantic_score=semantic_score,
                          embed=embed, dim=dim)
     return hits.select("query_id", "rank", "source_id", "snippet", "score")
+
+
+def nested(hits: DataFrame) -> DataFrame:
+    """One row per query: ``query_id, hits array<struct<source_id, snippet,
+    score>>`` in rank order (at most ``top_k`` each)."""
+    one = F.struct("rank", "source_id", "snippet", "score")
+    ordered = F.array_sort(F.collect_list(one))
+    return hits.groupBy("query_id").agg(F.transform(ordered, lambda h: F.struct(
+        h["source_id"].alias("source_id"), h["snippet"].alias("snippet"), h["score"].alias("score"))).alias("hits"))

@@ -102,7 +102,7 @@ def clean_cell(c: Column) -> Column:
     def cut(x):
         # the parenthesis rule can only apply to a (stripped) cell ending in ')'
         return F.when(x.endswith(")"), btrim_ws(F.regexp_replace(x, TRAILING_PAREN, ""))).otherwise(x)
-    # CELL_STARS removes leading and trailing '*' runs: a btrim over '*'
+    # leading and trailing '*' runs: a btrim over '*'
     return let(btrim_ws(F.btrim(c, F.lit("*"))), lambda x: let(cut(x), lambda y: F.when(y != "", y)))
 
 
@@ -131,8 +131,11 @@ def _iso_date(c: Column) -> Column:
     return F.when(ok, F.try_to_date(F.replace(c, F.lit(" "), F.lit("")), "yyyy-M-d"))
 
 
-def infer_tenor(issue_date: Column, maturity_date: Column) -> Column:
-    """Whole years between two ISO dates (``days // 365``) as ``'<n>Y'``;
-    null when either is missing or not an ISO date."""
-    days = F.datediff(_iso_date(maturity_date), _iso_date(issue_date))
+def infer_tenor(issue_date: Column, maturity_date: Column, formats: tuple[str, ...] = ()) -> Column:
+    """Whole years between two dates (``days // 365``) as ``'<n>Y'``; null
+    when either is missing or not a date.  Dates are ISO; ``formats`` adds
+    further Spark date patterns (``'MMMM d, yyyy'``), tried in order."""
+    def date(c: Column) -> Column:
+        return F.coalesce(_iso_date(c), *[F.try_to_date(btrim_ws(c), f) for f in formats])
+    days = F.datediff(date(maturity_date), date(issue_date))
     return F.concat(F.floor(days / 365).cast("int").cast("string"), F.lit("Y"))

@@ -30,7 +30,6 @@ from quarry.functions.text import WS
 _U = "(?d)"
 
 CELL_SEP = rf"\t+|{WS}{{2,}}"
-CELL_STARS = r"^\*+|\*+$"
 TRAILING_PAREN = rf"{WS}*\(.*?\){WS}*$"
 ANY_PAREN = rf"{WS}*\(.*?\)"
 TENOR_NC = rf"(?i)(\d+){WS}*NC{WS}*(\d+)"

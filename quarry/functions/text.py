@@ -60,62 +60,92 @@ def split_lines(c) -> Column:
     return F.split(_col(c), LINE_BREAK, -1)
 
 
-# Fixed HTML entity table decoded natively (``&amp;`` must be last so that
-# ``&amp;lt;`` becomes the text ``&lt;``, not ``<``).
-HTML_ENTITIES = [
-    ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# A tag with its attributes: quoted values may hold ``>``.
+TAG = r"""<[a-zA-Z/](?:[^>"']|"[^"]*"|'[^']*')*+>"""
+CDATA_OPEN, CDATA_CLOSE = "<![CDATA[", "]]>"
+# A character reference: decimal, hexadecimal or named.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)(;?)"
 
 
-def _unescape_fn(s):
-    import html
-    return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
+def _code_point(n: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    code = F.when(ok, n).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
-_UNESCAPE = {}
+def unescape(c) -> Column:
+    """Decode every numeric and named character reference, natively.
+
+    The text is cut at ``&``; each piece that starts with a reference has it
+    replaced.  Names come from Python's HTML5 table; those that HTML allows
+    without a semicolon are taken without one too.  The 32 code points that
+    HTML reads as Windows-1252 are mapped as such.
+    """
+    from html.entities import html5
+    names = F.create_map(*[F.lit(x) for k in sorted(html5) if "<" not in k for x in (k, html5[k])])
+    win = F.create_map(*[F.lit(x) for n in range(128, 160)
+                         for x in (n, bytes([n]).decode("cp1252", "ignore") or chr(n))])
+
+    def piece(seg: Column) -> Column:
+        ref = F.regexp_extract(seg, REFERENCE, 1)
+        semi = F.regexp_extract(seg, REFERENCE, 2)
+        rest = F.substr(seg, F.length(ref) + F.length(semi) + 1)
+        number = F.when(F.lower(F.substr(ref, F.lit(2), F.lit(1))) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)) \
+            .otherwise(F.substr(ref, F.lit(2))).cast("int")
+        char = F.when(ref.startswith("#"), F.coalesce(F.try_element_at(win, number), _code_point(number))) \
+            .otherwise(F.try_element_at(names, F.concat(ref, semi)))
+        return F.when((ref == "") | char.isNull(), F.concat(F.lit("&"), seg)).otherwise(F.concat(char, rest))
+
+    def whole(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+        return F.concat(parts[0], F.array_join(tail, ""))
+    x = _col(c)
+    return F.when(F.instr(x, "&") == 0, x).otherwise(let(F.split(x, "&", -1), whole))
 
 
-def html_to_text(c, full_entities: bool = False) -> Column:
+def html_to_text(c) -> Column:
     """Visible text of an HTML document, one piece per text node.
 
     Every tag boundary becomes a line break (so ``a<b>b</b>`` is two words);
-    comments, doctype, script and style bodies are dropped; entities are
+    comments, doctype, processing instructions, script and style bodies are
+    dropped; CDATA sections keep their text; all character references are
     decoded without breaking a word.  Script must go before the tag pattern
-    because script bodies may contain tag-like strings.
-
-    Entities: by default the fixed table above is decoded natively.
-    ``full_entities=True`` decodes every HTML5 named and numeric reference
-    with an Arrow-batched pandas UDF (rows without ``&`` pass through).
+    because script bodies may contain tag-like strings; a CDATA section's
+    markup characters are escaped so that the tag pattern leaves them alone.
     """
     x = _col(c)
+
+    def section(seg: Column) -> Column:
+        end = F.instr(seg, CDATA_CLOSE)
+        inner = F.when(end > 0, F.substr(seg, F.lit(1), end - 1)).otherwise(seg)
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(raw), F.lit(safe))
+        return F.concat(inner, F.when(end > 0, F.substr(seg, end + len(CDATA_CLOSE))).otherwise(F.lit("")))
+    x = F.when(F.instr(x, CDATA_OPEN) == 0, x).otherwise(let(F.split(x, r"<!\[CDATA\[", -1), lambda p: F.concat(
+        p[0], F.array_join(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), section), ""))))
     x = F.regexp_replace(x, r"(?is)<!--.*?-->", "\n")
     x = F.regexp_replace(x, r"(?is)<script\b.*?</script\s*>", "\n")
     x = F.regexp_replace(x, r"(?is)<style\b.*?</style\s*>", "\n")
-    x = F.regexp_replace(x, r"(?s)<[a-zA-Z/!][^>]*>", "\n")
-    if full_entities:
-        if "f" not in _UNESCAPE:
-            _UNESCAPE["f"] = F.pandas_udf(_unescape_fn, "string")
-        return _UNESCAPE["f"](x)
-    for ent, ch in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    x = F.regexp_replace(x, r"(?s)<[!?][^>]*>", "\n")
+    x = F.regexp_replace(x, TAG, "\n")
+    return unescape(x)
 
 
 def _diacritic_table() -> tuple[str, str]:
-    """Map each Latin-1 / Latin Extended-A/B letter whose canonical
-    decomposition is one base letter plus combining marks to that base
-    letter (``é`` -> ``e``); letters without such a decomposition
-    (``ß``, ``ø``) are left alone."""
+    """Map every letter whose canonical decomposition is one base letter plus
+    combining marks to that base letter (``é`` -> ``e``); letters without such
+    a decomposition (``ß``, ``ø``) are left alone.  The combining marks
+    U+0300 to U+036F are appended without a partner: ``translate`` deletes
+    them, so a decomposed letter folds like a composed one."""
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    for cp in [*range(0x00C0, 0x0590), *range(0x1E00, 0x2000)]:
         ch = chr(cp)
         nfd = unicodedata.normalize("NFD", ch)
-        if len(nfd) > 1 and all(unicodedata.category(m) == "Mn" for m in nfd[1:]):
+        if len(nfd) > 1 and unicodedata.category(ch)[0] == "L" and all(unicodedata.category(m) == "Mn" for m in nfd[1:]):
             src.append(ch)
             dst.append(nfd[0])
-    return "".join(src), "".join(dst)
+    return "".join(src) + "".join(map(chr, range(0x300, 0x370))), "".join(dst)
 
 
 _DIA_SRC, _DIA_DST = _diacritic_table()
@@ -131,18 +161,3 @@ def unicode61_tokens(c) -> Column:
     private-use character."""
     return F.filter(F.split(fold_diacritics(F.lower(_col(c))), NON_TOKEN, -1),
                     lambda t: t != "")
-
-
-def _ship_by_value() -> None:
-    """Functions of this module run inside Python workers (pandas UDF /
-    mapInPandas).  Pickle them by value so the workers need no installed
-    copy of the package."""
-    import sys
-    try:
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except Exception:  # older cloudpickle: fall back to import by name
-        pass
-
-
-_ship_by_value()

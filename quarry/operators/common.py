@@ -1,26 +1,29 @@
-"""Helpers shared by the operators: size-checked broadcast and top-k."""
+"""Helpers shared by the operators: measured tables and top-k."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side (rows) we broadcast on our own initiative.  Anything larger
-# takes the shuffle path; the count is exact, taken with a limit so that it
-# stops early on big inputs.
-MAX_BROADCAST_ROWS = 200_000
+from quarry.session import scratch_path
 
 
-def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> int | None:
-    """Row count of ``df`` if it is at most ``limit``, else ``None``."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back.
 
+    The planner then knows its true size: whether a join broadcasts it is
+    Spark's own decision (``spark.sql.autoBroadcastJoinThreshold``), at every
+    size, and nothing is gathered on the driver."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def maybe_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a proven size bound; otherwise leave the
-    join strategy to Catalyst/AQE (sort-merge, skew-join splitting)."""
-    return F.broadcast(df) if bounded_rows(df, limit) is not None else df
+
+def significant(x: Column, digits: int = 12) -> Column:
+    """``x`` cut to significant digits: scores that differ only by the order
+    of a summation compare equal, however small they are."""
+    return F.format_string(f"%.{digits - 1}e", x).cast("double")
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

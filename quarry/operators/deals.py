@@ -137,14 +137,15 @@ def ratings_by_tranche(text: Column, n: Column, label: str = "Expected Ratings")
 
 
 def tranches_of(text: Column, synonyms: dict | None = None, strict_labels: bool = False,
-                ratings_label: str = "Expected Ratings") -> Column:
+                ratings_label: str = "Expected Ratings", date_formats: tuple[str, ...] = ()) -> Column:
     """``array<struct<TRANCHE_COLUMNS>>`` of one message.  The text is bound
     once, so an upstream expression producing it is never re-evaluated."""
     syn = synonyms or LABEL_SYNONYMS
-    return let(text, lambda tx: _tranches_of(tx, syn, strict_labels, ratings_label))
+    return let(text, lambda tx: _tranches_of(tx, syn, strict_labels, ratings_label, date_formats))
 
 
-def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: str) -> Column:
+def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: str,
+                 date_formats: tuple[str, ...]) -> Column:
     def with_layout(lay):
         def with_n(n):
             fields = {"tenor": tabular_values(lay, "Tenor", syn)}
@@ -158,7 +159,7 @@ def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: st
                 def tranche(i):
                     def g(k):
                         return F.get(fs[k], i)
-                    tenor = F.coalesce(g("tenor"), infer_tenor(g("issue_date"), g("maturity_date")))
+                    tenor = F.coalesce(g("tenor"), infer_tenor(g("issue_date"), g("maturity_date"), date_formats))
                     dec = decode_tenor(tenor)
                     cols = {
                         "tranche": F.concat(F.lit("Tranche "), (i + 1).cast("string")),
@@ -181,19 +182,20 @@ def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: st
 
 def with_tranches(messages: DataFrame, text_col: str = "text", id_col: str = "msg_id",
                   synonyms: dict | None = None, strict_labels: bool = False,
-                  ratings_label: str = "Expected Ratings", keep: list[str] | None = None) -> DataFrame:
+                  ratings_label: str = "Expected Ratings", keep: list[str] | None = None,
+                  date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Deal messages -> ``(msg_id, *keep, tranches)`` where ``tranches`` is
     the message's ``array<struct<TRANCHE_COLUMNS>>`` (still one row per
     message, so nested documents need no regrouping)."""
     return messages.select(F.col(id_col).alias("msg_id"), *(keep or []),
-                           tranches_of(F.col(text_col), synonyms, strict_labels, ratings_label).alias("tranches"))
+                           tranches_of(F.col(text_col), synonyms, strict_labels, ratings_label, date_formats).alias("tranches"))
 
 
 def parse_tranches(messages: DataFrame, text_col: str = "text", id_col: str = "msg_id",
                    synonyms: dict | None = None, strict_labels: bool = False,
-                   ratings_label: str = "Expected Ratings") -> DataFrame:
+                   ratings_label: str = "Expected Ratings", date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Deal messages -> tranche rows (``msg_id`` + ``TRANCHE_COLUMNS``)."""
-    t = with_tranches(messages, text_col, id_col, synonyms, strict_labels, ratings_label)
+    t = with_tranches(messages, text_col, id_col, synonyms, strict_labels, ratings_label, date_formats=date_formats)
     # An outer generator: for a non-outer one over a computed column Spark
     # infers ``size(tranches) > 0`` below it and substitutes the whole parse
     # into that filter, evaluating it three times.  Rows of an empty parse

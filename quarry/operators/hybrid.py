@@ -1,13 +1,17 @@
 """Hybrid search (keyword leg + vector leg, merged) and the index build job.
 
 ``build_index`` is the ingest job: scan -> HTML to text -> chunks ->
-embeddings -> one overwrite of the chunk table (with its embedding column)
-and the postings table, so the keyword and vector sides always describe the
-same chunks.  ``read_index`` opens it again.
+embeddings -> a new version folder with the chunk table (with its embedding
+column), postings, term frequencies and statistics.  A version counts once
+its row in the ``versions`` table is written, last of all, so a failed
+rebuild leaves the former index readable and readers never see new chunks
+with old postings.  ``read_index`` opens the newest version.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +19,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.embed import hash_embed, hash_embed_tokens
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
-from quarry.operators.common import top_k_per_group
-from quarry.operators.keyword import KeywordIndex, aggregate_postings, bm25_match, rank_order, token_rows, \
-    tokenize_chunks, with_snippets
+from quarry.operators.common import significant, sized, top_k_per_group
+from quarry.operators.keyword import KeywordIndex, bm25_match, chunk_postings, rank_order, term_bucket, tokenize_chunks, with_snippets
 from quarry.operators.vector import knn
 from quarry.sources.scans import to_text
 
@@ -39,55 +42,52 @@ def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64) -> DataFrame:
 
 def index_in_memory(chunks: DataFrame, embed=None, dim: int = 64) -> HybridIndex:
     """A lazy index over ``chunks`` (nothing written).  Both sides start
-    from one tokenization: the keyword side explodes the tokens, the default
-    embedding hashes the same tokens."""
+    from one tokenization."""
     tok = tokenize_chunks(chunks)
-    kw = KeywordIndex(chunks=tok.drop("tokens"), tokens=token_rows(tok))
+    kw = KeywordIndex(chunks=tok.drop("tokens"), tokenized=tok)
     return HybridIndex(kw, embed_chunks(tok, embed, dim).drop("tokens"))
 
 
 def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: bool = True,
-                max_words: int = 300, overlap: int = 50, n_partitions: int | None = None) -> None:
-    """Ingest ``docs(source, doc_id, html|text)`` into ``path``.
-
-    Tables: ``chunks`` (with ``embedding``), ``postings`` and ``stats``.
-    Each write is a full overwrite, so a re-run replaces the index instead
-    of appending to it.  Postings are hash-partitioned on
-    ``(term, doc_id, chunk_no)`` and sorted by term inside each file, so
-    every file's row groups cover narrow term ranges (a term lookup prunes
-    them) while a very frequent term is split over all partitions.
+                max_words: int = 300, overlap: int = 50) -> None:
+    """Ingest ``docs(source, doc_id, html|text)`` into ``path`` as a new
+    version, which replaces the former one for readers when it is complete.
+
+    Postings are made inside each chunk's row and dealt to (bucket, slice):
+    ``bucket`` is a partition folder, so a lookup opens its terms' buckets
+    only, and a frequent term is spread over its bucket's files by chunk.
     """
     spark = docs.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    root = f"{path}/{version}"
     text = to_text(docs) if html else docs
     chunks = tokenize_chunks(chunk_text(text, "text", max_words=max_words, overlap=overlap))
     chunks = embed_chunks(chunks, embed, dim)
-    chunk_path = f"{path}/chunks"
-    # sorted by key inside each file: a lookup of a few documents (snippets
-    # for a handful of hits) skips the other row groups
-    chunks.drop("tokens").sortWithinPartitions(*CHUNK_KEY).write.mode("overwrite").parquet(chunk_path)
-    stored = spark.read.parquet(chunk_path)
-    # postings from the *written* chunks: the embedding and tokenisation
-    # work is not repeated, and lineage is cut at the table
-    tok = tokenize_chunks(stored.select(*CHUNK_KEY, "content"))
-    # Hash on (term, doc_id, chunk_no): one exchange that the (term, chunk)
-    # aggregation reuses, spreads a very frequent term over all partitions,
-    # and needs no sampling pass (a range exchange does, and measured 2x
-    # slower).  Without an explicit count it follows the shuffle-partition
-    # setting and AQE may coalesce it.
-    keys = ["term", "doc_id", "chunk_no"]
-    rows = (token_rows(tok).repartition(n_partitions, *keys) if n_partitions
-            else token_rows(tok).repartition(*keys))
-    aggregate_postings(rows).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    # sorted by key inside each file: a lookup of a few documents skips the
+    # other row groups.  The tokens are kept until the postings are written
+    chunks.sortWithinPartitions(*CHUNK_KEY).write.parquet(f"{root}/tokenized")
+    stored = spark.read.parquet(f"{root}/tokenized")
+    postings = chunk_postings(stored).withColumn("bucket", term_bucket("term"))
+    (postings.repartition("bucket", F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(4)))
+     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/postings"))
+    written = spark.read.parquet(f"{root}/postings")
+    (written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket")
+     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/term_df"))
     stored.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").cast("bigint").alias("total_tokens")) \
-        .write.mode("overwrite").parquet(f"{path}/stats")
+        .write.parquet(f"{root}/stats")
+    # the pointer: one appended row, committed last
+    spark.createDataFrame([(version, time.time_ns())], "version string, written_ns bigint").coalesce(1) \
+        .write.mode("append").parquet(f"{path}/versions")
 
 
 def read_index(spark: SparkSession, path: str) -> HybridIndex:
-    chunks = spark.read.parquet(f"{path}/chunks")
-    postings = spark.read.parquet(f"{path}/postings")
-    st = spark.read.parquet(f"{path}/stats").first()
+    newest = spark.read.parquet(f"{path}/versions").orderBy(F.col("written_ns").desc(), "version").first()
+    root = f"{path}/{newest['version']}"
+    chunks = spark.read.parquet(f"{root}/tokenized").drop("tokens")
+    st = spark.read.parquet(f"{root}/stats").first()
     n = int(st["n_chunks"])
-    kw = KeywordIndex(chunks=chunks.drop("embedding"), stored_postings=postings,
+    kw = KeywordIndex(chunks=chunks.drop("embedding"), stored_postings=spark.read.parquet(f"{root}/postings"),
+                      stored_df=spark.read.parquet(f"{root}/term_df"),
                       _stats=(n, (float(st["total_tokens"] or 0) / n) if n else 0.0))
     return HybridIndex(kw, chunks)
 
@@ -102,7 +102,7 @@ def hybrid_search(index: HybridIndex, queries: DataFrame, top_k: int = 5, overfe
     """Keyword hits (AND match, BM25, ``top_k * overfetch`` fetched, first
     ``top_k`` kept) plus the ``top_k`` nearest chunks, merged by score
     descending (ties: vector hits first, then by leg rank), cut to
-    ``top_k``.
+    ``top_k``.  A ``top_k`` column of ``queries`` overrides it per query.
 
     ``semantic_score='distance'`` puts the raw squared distance next to the
     BM25 scores as the reference does (so the *farthest* of the nearest
@@ -112,19 +112,23 @@ def hybrid_search(index: HybridIndex, queries: DataFrame, top_k: int = 5, overfe
     """
     if semantic_score not in ("distance", "similarity"):
         raise ValueError("semantic_score must be 'distance' or 'similarity'")
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(query_col).alias("query"))
+    per_query = "top_k" in queries.columns
+    wanted = F.coalesce(F.col("top_k").cast("int"), F.lit(top_k)) if per_query else F.lit(top_k)
+    q = sized(queries.select(F.col(id_col).alias("query_id"), F.col(query_col).alias("query"), wanted.alias("wanted")), "queries")
+    most = (q.agg(F.max("wanted")).first()[0] or top_k) if per_query else top_k
+    limit = q.select("query_id", "wanted")
     kw = bm25_match(index.keyword, q, "all")
-    kw = top_k_per_group(kw, ["query_id"], rank_order(), top_k * overfetch, "leg_rank")
-    kw = kw.where(F.col("leg_rank") <= top_k).select("query_id", *CHUNK_KEY, "score", "leg_rank",
-                                                      F.lit(1).alias("leg"))
+    kw = top_k_per_group(kw, ["query_id"], rank_order(), most * overfetch, "leg_rank")
+    kw = kw.where(F.col("leg_rank") <= most).select("query_id", *CHUNK_KEY, "score", "leg_rank",
+                                                     F.lit(1).alias("leg"))
     fn = embed or (lambda c: hash_embed(c, dim))
     qv = q.select("query_id", fn(F.col("query")).alias("vector"))
-    sem = knn(index.chunks.select(*CHUNK_KEY, "embedding"), qv, top_k, CHUNK_KEY, rank_col="leg_rank")
+    sem = knn(index.chunks.select(*CHUNK_KEY, "embedding"), qv, most, CHUNK_KEY, rank_col="leg_rank")
     s = F.col("dist") if semantic_score == "distance" else 1.0 / (1.0 + F.col("dist"))
     sem = sem.select("query_id", *CHUNK_KEY, s.alias("score"), "leg_rank", F.lit(0).alias("leg"))
-    both = kw.unionByName(sem)
-    order = [F.round("score", 6).desc(), F.col("leg").asc(), F.col("leg_rank").asc()]
-    ranked = top_k_per_group(both, ["query_id"], order, top_k)
+    both = kw.unionByName(sem).join(limit, "query_id").where(F.col("leg_rank") <= F.col("wanted"))
+    order = [significant(F.col("score")).desc(), F.col("leg").asc(), F.col("leg_rank").asc()]
+    ranked = top_k_per_group(both, ["query_id"], order, most).where(F.col("rank") <= F.col("wanted")).drop("wanted")
     # keyword hits carry the highlighted window, vector hits the whole chunk
     out = with_snippets(ranked, index.keyword, q, whole_when=F.col("leg") == 0)
     return out.select("query_id", "rank", "leg", _source_id().alias("source_id"), *CHUNK_KEY,

@@ -5,13 +5,17 @@ Layout of an index (all ordinary DataFrames / tables):
 * ``chunks``   - ``source, doc_id, chunk_no, content, n_tokens``
 * ``postings`` - ``term, source, doc_id, chunk_no, dl, tf, positions``
   (one row per term and chunk; ``positions`` is bounded by the chunk length)
+* ``term_df``  - ``term, df``: chunks that hold a term
 * statistics   - ``N`` = number of chunks, ``avgdl`` = mean tokens per chunk
 
-Searches never shuffle the postings by term: the (small, size-checked) query
-terms are broadcast and joined to the postings, and the only shuffle is the
-per-(query, chunk) aggregation, whose keys spread evenly even when one term
-holds a large share of all postings.  Per-query top-k runs as a partial
-WindowGroupLimit before that shuffle's consumer.
+A chunk's postings are made inside its row, so no token is ever shuffled.
+Stored postings and term frequencies are laid out by term bucket; a lookup
+opens the buckets of its terms only.
+
+A search writes its query terms (``sized``), so the planner knows their size
+and decides itself whether to broadcast them; beyond that the joins shuffle,
+with adaptive skew splitting for frequent terms.  AND queries start from each
+query's rarest term.
 """
 
 from __future__ import annotations
@@ -23,18 +27,18 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import let, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY
-from quarry.operators.common import MAX_BROADCAST_ROWS, bounded_rows, maybe_broadcast, top_k_per_group
+from quarry.operators.common import significant, sized, top_k_per_group
 
 K1 = 1.2
 B = 0.75
 # FTS5 floors a non-positive idf at this value.
 IDF_FLOOR = 1e-6
-# Largest term set turned into a literal IN filter for Parquet pruning.
-PUSHDOWN_TERMS = 1000
-# Hash key that co-locates a chunk's rows.  A subset of the chunk key is
-# enough (and survives a constant ``source`` being folded away), and any
-# aggregation grouped by a superset of it reuses the partitioning.
-CHUNK_PARTITION = ["doc_id", "chunk_no"]
+# Term buckets of the stored layout.
+N_BUCKETS = 64
+
+
+def term_bucket(term) -> Column:
+    return F.pmod(F.xxhash64(F.col(term) if isinstance(term, str) else term), F.lit(N_BUCKETS)).cast("int")
 
 
 def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -43,82 +47,69 @@ def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
                   .withColumn("n_tokens", F.size("tokens")))
 
 
-def token_rows(tok_chunks: DataFrame) -> DataFrame:
-    """One row per token occurrence: ``CHUNK_KEY, dl, pos, term``.
-
-    Outer generator + null test: a plain one over the computed ``tokens``
-    column makes Spark infer ``size(tokens) > 0`` below it and re-run the
-    tokenizer inside that filter."""
-    return (tok_chunks.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"),
-                              F.posexplode_outer("tokens").alias("pos", "term"))
-                      .where(F.col("pos").isNotNull()))
+def chunk_terms(tokens: Column) -> Column:
+    """A chunk's postings ``array<struct<term, tf, positions>>`` from its
+    tokens: (term, position) pairs are sorted and cut where the term changes."""
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (
+            F.element_at(s, i)["term"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["term"]))
+        return let(starts, lambda st: F.transform(st, lambda a, k: F.struct(
+            F.element_at(s, a)["term"].alias("term"),
+            (F.coalesce(F.get(st, k + 1), n + 1) - a).alias("tf"),
+            F.transform(F.slice(s, a, F.coalesce(F.get(st, k + 1), n + 1) - a), lambda x: x["pos"]).alias("positions"))))
+    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return F.when(F.size(tokens) > 0, let(F.array_sort(pairs), runs))
 
 
-def aggregate_postings(tokens: DataFrame, positions: bool = True) -> DataFrame:
-    """Token rows -> postings.  The grouping key includes the chunk, so a
-    group never holds more than one chunk's tokens.  Without ``positions``
-    the aggregate is a plain count (fully map-side combinable)."""
-    aggs = [F.count(F.lit(1)).alias("tf")]
-    if positions:
-        aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return tokens.groupBy("term", *CHUNK_KEY, "dl").agg(*aggs)
+def chunk_postings(tok_chunks: DataFrame) -> DataFrame:
+    """Postings of tokenized chunks, without a shuffle."""
+    # outer generator + null test: a plain one over a computed column makes
+    # Spark infer a filter on it below and compute it twice
+    return (tok_chunks.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"), F.inline_outer(chunk_terms(F.col("tokens"))))
+            .where(F.col("term").isNotNull()).select("term", *CHUNK_KEY, "dl", "tf", "positions"))
 
 
 @dataclass
 class KeywordIndex:
-    """A keyword index, either lazy (built from chunks in the same plan) or
-    materialized (read back from tables written by ``write_index``)."""
+    """A keyword index, either lazy (built from tokenized chunks in the same
+    plan) or stored (tables written by ``build_index``)."""
 
     chunks: DataFrame
-    tokens: DataFrame | None = None      # lazy form: token rows
-    stored_postings: DataFrame | None = None  # materialized form
+    tokenized: DataFrame | None = None        # lazy form: chunks with tokens
+    stored_postings: DataFrame | None = None  # stored form, with bucket
+    stored_df: DataFrame | None = None
     _stats: tuple[int, float] | None = field(default=None, repr=False)
 
     @classmethod
     def from_chunks(cls, chunks: DataFrame) -> "KeywordIndex":
         tok = tokenize_chunks(chunks)
-        return cls(chunks=tok.drop("tokens"), tokens=token_rows(tok))
+        return cls(chunks=tok.drop("tokens"), tokenized=tok)
 
-    def postings(self, restrict=None, positions: bool = True, by_chunk: bool = False) -> DataFrame:
-        """Postings, optionally restricted by ``restrict`` (a semi-join on
-        ``term``).  On the lazy form the restriction runs *before* the
-        aggregation, so only matching tokens are shuffled.
+    def postings(self, positions: bool = True) -> DataFrame:
+        p = self.stored_postings.drop("bucket") if self.stored_postings is not None else chunk_postings(self.tokenized)
+        return p if positions else p.drop("positions")
 
-        ``by_chunk=True`` hash-partitions by chunk key: the lazy form then
-        shuffles its token rows once by chunk, and that one exchange serves
-        the (term, chunk) aggregation and any later aggregation keyed by
-        chunk (e.g. per (query, chunk) scores) without another shuffle."""
+    def _buckets(self, terms: DataFrame) -> list[int]:
+        """Buckets of the terms: N_BUCKETS numbers at most."""
+        return [r[0] for r in terms.select(term_bucket("term")).distinct().collect()]
+
+    def postings_for(self, terms: DataFrame, positions: bool = True) -> DataFrame:
+        """Postings of the terms in ``terms(term)``; of a stored index only
+        their buckets are read."""
+        p = self.postings(positions)
         if self.stored_postings is not None:
-            p = self.stored_postings
-            p = restrict(p) if restrict else p
+            p = self.stored_postings.where(F.col("bucket").isin(self._buckets(terms))).drop("bucket")
             p = p if positions else p.drop("positions")
-            return p.repartition(*CHUNK_PARTITION) if by_chunk else p
-        t = self.tokens
-        t = restrict(t) if restrict else t
-        if by_chunk:
-            t = t.select("term", *CHUNK_KEY, "dl", *(["pos"] if positions else [])).repartition(*CHUNK_PARTITION)
-        return aggregate_postings(t, positions)
-
-    def postings_for(self, terms: DataFrame, positions: bool = True, by_chunk: bool = False) -> DataFrame:
-        """Postings of the terms in ``terms(term)``.
-
-        On a stored index, when the distinct terms are few (at most
-        ``PUSHDOWN_TERMS``), they are also given as a literal ``term IN (...)``
-        filter: it reaches the Parquet scan, and since postings are written
-        sorted by term, row groups of other terms are skipped."""
-        distinct = terms.select("term").distinct()
-        # broadcast only behind a row bound; beyond it a shuffled semi-join
-        b = maybe_broadcast(distinct)
-        if self.stored_postings is not None and bounded_rows(distinct, PUSHDOWN_TERMS) is not None:
-            lits = [r[0] for r in distinct.collect()]
-            return self.postings(lambda p: p.where(F.col("term").isin(lits)).join(b, "term", "left_semi"),
-                                 positions, by_chunk)
-        return self.postings(lambda p: p.join(b, "term", "left_semi"), positions, by_chunk)
-
-    def term_rows(self) -> DataFrame:
-        """``(term, CHUNK_KEY)`` rows; duplicates allowed."""
-        src = self.stored_postings if self.stored_postings is not None else self.tokens
-        return src.select("term", *CHUNK_KEY)
+        return p.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def df_for(self, terms: DataFrame, postings: DataFrame) -> DataFrame:
+        """``(term, df)``: from the stored table, else counted over
+        ``postings`` (all rows of those terms; partial counts)."""
+        if self.stored_df is not None:
+            d = self.stored_df.where(F.col("bucket").isin(self._buckets(terms)))
+            return d.join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
+        return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def stats(self) -> tuple[int, float]:
         """``(N, avgdl)``: chunks, not documents, are the rows being ranked."""
@@ -138,10 +129,13 @@ def corpus_stats(index: KeywordIndex) -> DataFrame:
 
 
 def term_df(index: KeywordIndex) -> DataFrame:
-    """Document frequency per term (chunks containing the term).  Partial
-    aggregation runs map-side, so a very frequent term costs one row per
-    input partition in the shuffle."""
-    return index.postings(positions=False).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequency per term (chunks containing the term): one partial
+    aggregation, so a very frequent term costs one row per input partition
+    in the shuffle."""
+    if index.stored_df is not None:
+        return index.stored_df.select("term", "df")
+    terms = index.tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 # ---------------------------------------------------------------- queries
@@ -180,40 +174,25 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     """
     if mode not in ("all", "any"):
         raise ValueError("mode must be 'all' or 'any'")
-    qt = query_terms(queries, query_col, id_col)
-    # One size check covers every hint below: df has at most one row per
-    # query term and ``rare`` one per query, both bounded by ``qt``.  Beyond
-    # the bound the joins are left to Catalyst/AQE (sort-merge, skew split).
-    small = bounded_rows(qt) is not None
-
-    def hint(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-    qt = hint(qt)
+    qt = sized(query_terms(queries, query_col, id_col), "query-terms")
     n, avgdl = index.stats()
-    # restricted postings, hash-partitioned by chunk (one exchange)
-    p = index.postings_for(qt, positions=False, by_chunk=True)
-    # df of the query terms only: partial counts, at most one row per term
-    dfs = hint(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # the postings of the query terms, written once: they are read for the
+    # term frequencies (lazy index), the candidates and the scores
+    p = sized(index.postings_for(qt, positions=False), "query-postings")
+    qt = sized(qt.join(index.df_for(qt, p), "term"), "query-terms")
     tf = F.col("tf")
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     score = _idf(n, F.col("df")) * tf * (k1 + 1) / (tf + norm) * F.col("qtf")
     if mode == "all":
         # A chunk holding every query term holds the query's rarest one, so
-        # (query, chunk) candidates come from that term's short posting list
-        # and only their postings are scored; a frequent term then never
-        # fans out across every query that mentions it.  Candidates carry
-        # the same chunk partitioning, so this join needs no shuffle either.
-        rare = hint(qt.join(dfs, "term").groupBy("query_id")
-                      .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-        cand = p.select("term", *CHUNK_KEY).join(rare, "term").select("query_id", *CHUNK_KEY)
+        # candidates come from that term's short posting list, and a frequent
+        # term never fans out across every query that mentions it.
+        rare = qt.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+        cand = p.select("term", *CHUNK_KEY).join(sized(rare, "rare-terms"), "term").select("query_id", *CHUNK_KEY)
         scored = p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
     else:
         scored = p.join(qt, "term")
-    # The remaining joins are broadcast, so the postings keep their chunk
-    # partitioning and the (query, chunk) aggregation needs no shuffle: rows
-    # are summed where they are made, never sent over the network.
-    hits = (scored.join(dfs, "term")
-                  .groupBy("query_id", "n_terms", *CHUNK_KEY)
+    hits = (scored.groupBy("query_id", "n_terms", *CHUNK_KEY)
                   .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         hits = hits.where(F.col("n_matched") == F.col("n_terms"))
@@ -227,10 +206,8 @@ def match_terms(index: KeywordIndex, queries: DataFrame, mode: str = "all",
                 query_col: str = "query", id_col: str = "query_id") -> DataFrame:
     """``(query_id, CHUNK_KEY)`` of chunks holding all / any query terms
     (no scoring; used for NOT lists)."""
-    qt = maybe_broadcast(query_terms(queries, query_col, id_col))
-    # postings are unique per (term, chunk) and partitioned by chunk, so the
-    # grouping below is local and a plain count
-    m = (index.postings_for(qt, positions=False, by_chunk=True).join(qt, "term")
+    qt = sized(query_terms(queries, query_col, id_col), "query-terms")
+    m = (index.postings_for(qt, positions=False).join(qt, "term")
          .groupBy("query_id", "n_terms", *CHUNK_KEY)
          .agg(F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
@@ -238,11 +215,16 @@ def match_terms(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     return m.select("query_id", *CHUNK_KEY)
 
 
-def _positions_by_term(index: KeywordIndex, qt: DataFrame) -> DataFrame:
+def _positions_by_term(index: KeywordIndex, queries: DataFrame, query_col: str, id_col: str) -> DataFrame:
     """Per (query, chunk) holding every query term: ``pos_map`` term ->
-    sorted positions.  Bounded by the number of query terms."""
-    p = index.postings_for(qt, by_chunk=True)   # the grouping below stays local
-    return (p.join(qt, "term")
+    sorted positions.  Bounded by the number of query terms.  Candidates come
+    from each query's rarest term."""
+    qt = sized(query_terms(queries, query_col, id_col), "query-terms")
+    p = sized(index.postings_for(qt), "query-postings")
+    rare = (qt.join(index.df_for(qt, p), "term").groupBy("query_id")
+            .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
+    cand = p.select("term", *CHUNK_KEY).join(sized(rare, "rare-terms"), "term").select("query_id", *CHUNK_KEY)
+    return (p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
              .groupBy("query_id", "n_terms", *CHUNK_KEY)
              .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("pos_map"))
              .where(F.size("pos_map") == F.col("n_terms")))
@@ -251,10 +233,8 @@ def _positions_by_term(index: KeywordIndex, qt: DataFrame) -> DataFrame:
 def match_phrase(index: KeywordIndex, queries: DataFrame, query_col: str = "query",
                  id_col: str = "query_id") -> DataFrame:
     """Chunks where the query's tokens occur consecutively (``"a b c"``)."""
-    qs = maybe_broadcast(queries.select(F.col(id_col).alias("query_id"),
-                                        unicode61_tokens(query_col).alias("phrase")))
-    qt = maybe_broadcast(query_terms(queries, query_col, id_col))
-    cand = _positions_by_term(index, qt).join(qs, "query_id")
+    qs = sized(queries.select(F.col(id_col).alias("query_id"), unicode61_tokens(query_col).alias("phrase")), "phrases")
+    cand = _positions_by_term(index, queries, query_col, id_col).join(qs, "query_id")
     ph, m = F.col("phrase"), F.col("pos_map")
     follows = F.exists(m[ph[0]], lambda p: F.forall(
         F.sequence(F.lit(1), F.size(ph) - 1),
@@ -267,8 +247,7 @@ def match_near(index: KeywordIndex, queries: DataFrame, distance: int = 10,
                query_col: str = "query", id_col: str = "query_id") -> DataFrame:
     """``NEAR(t1 t2 ..., distance)``: some clump holds every term with at most
     ``distance`` tokens between its first and last term."""
-    qt = maybe_broadcast(query_terms(queries, query_col, id_col))
-    cand = _positions_by_term(index, qt)
+    cand = _positions_by_term(index, queries, query_col, id_col)
     m = F.col("pos_map")
     span = distance + 1
     ok = F.exists(F.flatten(F.map_values(m)), lambda p: F.forall(
@@ -281,14 +260,16 @@ def match_first(index: KeywordIndex, queries: DataFrame, query_col: str = "query
     """``^term``: chunks whose first token is the query's (single) term; for
     a query of several terms, the first must start the chunk and the rest
     occur anywhere."""
-    qs = queries.select(F.col(id_col).alias("query_id"),
-                        unicode61_tokens(query_col).alias("toks"))
-    first = maybe_broadcast(qs.where(F.size("toks") > 0)
-                              .select("query_id", F.col("toks")[0].alias("term")))
-    p = index.postings_for(first).where(F.array_contains("positions", 0))
-    starts = p.join(first, "term").select("query_id", *CHUNK_KEY)
-    return starts.join(match_terms(index, queries, "all", query_col, id_col),
-                       ["query_id", *CHUNK_KEY], "left_semi")
+    qs = sized(queries.select(F.col(id_col).alias("query_id"), unicode61_tokens(query_col).alias("toks"))
+               .where(F.size("toks") > 0), "first-terms")
+    qt = sized(query_terms(queries, query_col, id_col), "query-terms")
+    # one walk of the postings: count the terms present, and whether the
+    # query's first one starts the chunk
+    p = index.postings_for(qt).join(qt, "term").join(qs.select("query_id", F.col("toks")[0].alias("lead")), "query_id")
+    starts = (F.col("term") == F.col("lead")) & F.array_contains("positions", 0)
+    return (p.groupBy("query_id", "n_terms", *CHUNK_KEY)
+             .agg(F.count(F.lit(1)).alias("n_matched"), F.max(starts).alias("starts"))
+             .where((F.col("n_matched") == F.col("n_terms")) & F.col("starts")).select("query_id", *CHUNK_KEY))
 
 
 def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_id",
@@ -304,20 +285,14 @@ def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_
                   .select("query_id", F.size("pfx").alias("n_terms"), F.explode("pfx").alias("pfx"))
                   .where(F.length("pfx") > 0)
                   .withColumn("plen", F.length("pfx")))
-    qp = maybe_broadcast(qp)
+    qp = sized(qp, "prefixes")
+    # each term is cut to the prefix lengths asked for (a handful of numbers),
+    # and the prefixes it starts are joined by value
     lens = sorted(r[0] for r in qp.select("plen").distinct().collect())
-    if not lens:
-        return index.term_rows().where(F.lit(False)).select(
-            F.lit(None).cast("bigint").alias("query_id"), *CHUNK_KEY)
-    cuts = F.array(*[F.struct(F.lit(n).alias("plen"), F.substring("term", 1, n).alias("pfx"))
-                     for n in lens])
-    # keep only term rows that start some prefix, shuffle them once by chunk,
-    # then fan out to the queries and count locally
-    wanted = maybe_broadcast(qp.select("plen", "pfx").distinct())
-    rows = (index.term_rows().select(*CHUNK_KEY, F.inline(cuts))
-                 .join(wanted, ["plen", "pfx"], "left_semi")
-                 .repartition(*CHUNK_PARTITION))
-    return (rows.join(qp, ["plen", "pfx"])
+    cuts = F.array(*[F.substring("term", 1, n) for n in lens]) if lens else F.array(F.lit(""))
+    rows = index.postings(positions=False).select("term", *CHUNK_KEY).select(
+        *CHUNK_KEY, F.explode(F.array_distinct(cuts)).alias("pfx"))
+    return (rows.join(qp, "pfx")
                 .groupBy("query_id", "n_terms", *CHUNK_KEY)
                 .agg(F.count_distinct("pfx").alias("n_matched"))
                 .where(F.col("n_matched") == F.col("n_terms"))
@@ -327,9 +302,10 @@ def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_
 # ---------------------------------------------------------------- ranking
 
 def rank_order(score: str = "score", descending: bool = True) -> list[Column]:
-    """Total order for top-k: score rounded to 6 places (so float noise in
-    the summation order cannot reorder exact duplicates), then the key."""
-    s = F.round(F.col(score), 6)
+    """Total order for top-k: the score to 12 significant digits (so float
+    noise of the summation order cannot reorder exact duplicates, and small
+    scores keep their order), then the key."""
+    s = significant(F.col(score))
     return [s.desc() if descending else s.asc(), *[F.col(c).asc() for c in CHUNK_KEY]]
 
 
@@ -350,29 +326,13 @@ def with_snippets(hits: DataFrame, index: KeywordIndex, queries: DataFrame, n: i
     """Add ``snippet`` (see ``quarry.functions.snippet``) to ranked hits;
     rows matching ``whole_when`` get the whole chunk text instead.
 
-    Hits are few (top-k per query): when their queries are provably few the
-    hits are gathered once and broadcast to a key-filtered chunk scan, so
-    the chunks are neither shuffled nor fully read to attach text."""
+    The ranked hits (at most k per query) are written first, so the planner
+    knows their size when it joins them to the chunks by key."""
     from quarry.functions.snippet import snippet
     qs = queries.select(F.col(id_col).alias("query_id"),
                         F.array_distinct(unicode61_tokens(query_col)).alias("_terms"))
-    content = index.chunks.select(*CHUNK_KEY, "content")
-    small = bounded_rows(qs, MAX_BROADCAST_ROWS // max(n, 1)) is not None
-    if small:
-        # Ranked hits are at most ``n`` per query, so they are gathered once
-        # (the search runs a single time) and their documents become a
-        # literal filter that reaches the chunk scan; chunks are written
-        # sorted by key, so row groups of other documents are skipped.
-        spark = hits.sparkSession
-        rows = hits.collect()
-        local = spark.createDataFrame(rows, hits.schema)
-        docs = sorted({r["doc_id"] for r in rows})
-        if len(docs) <= PUSHDOWN_TERMS:
-            content = content.where(F.col("doc_id").isin(docs))
-        h = F.broadcast(local.join(F.broadcast(qs), "query_id"))
-    else:
-        h = hits.join(qs, "query_id")
-    j = content.join(h, CHUNK_KEY)
+    h = sized(hits.join(qs, "query_id"), "hits")
+    j = index.chunks.select(*CHUNK_KEY, "content").join(h, CHUNK_KEY)
     snip = snippet(F.col("content"), F.col("_terms"), n)
     if whole_when is not None:
         snip = F.when(whole_when, F.col("content")).otherwise(snip)

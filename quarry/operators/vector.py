@@ -1,140 +1,127 @@
-"""Exact k-nearest-neighbour search (squared L2), brute force.
-
-The index side (the big table) is scanned once per query block with
-``mapInPandas``: each Arrow batch is scored against the block's query matrix
-with one matrix product, and only that batch's best candidates per query
-leave the task.  The final per-query top-k then runs over at most
-``k`` rows per query per batch, so no (query, vector) pair is ever
-materialised as a row and there is no cross join.
-
-The query block is broadcast only behind a size bound
-(``MAX_BLOCK_BYTES``); a larger query set is processed block by block, each
-block a separate exact pass whose results are unioned.
+"""Exact k-nearest-neighbour search (squared L2), brute force, in blocks.
+
+Queries and index rows are packed into blocks (an Arrow batch as one binary
+value each); every query block meets every index tile in some task, which
+scores the pair with matrix products and keeps a running top-k per query.
+A task emits at most k rows per query; the final top-k runs over those.
+Neither vectors nor results pass through the driver, and no (query, vector)
+pair becomes a row.
 """
 
 from __future__ import annotations
 
-import math
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.common import top_k_per_group
+from quarry.operators.common import significant, top_k_per_group
 
-MAX_BLOCK_BYTES = 64 << 20
-# Rows of the index scored at once inside a task (bounds task memory to
-# about ``queries * SUB_BATCH * 8`` bytes for the distance matrix).
-SUB_BATCH = 2048
+# Rows of a block, and of the pieces that are scored at once: a piece's
+# distance matrix holds QUERY_PIECE * ROWS numbers at most.
+ROWS = 2048
+QUERY_PIECE = 256
 
+# worker-side code travels by value: workers need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _stack(col: pd.Series) -> np.ndarray:
-    if len(col) == 0:
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(a, ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+def _load(block: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(block).read_next_batch()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if not len(column):
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
-
-
-def _block_topk(qids: np.ndarray, qmat: np.ndarray, pdf: pd.DataFrame, keys: list[str],
-                vec_col: str, k: int) -> pd.DataFrame:
-    x_all = _stack(pdf[vec_col])
-    qn = (qmat * qmat).sum(axis=1)
-    out = []
-    for s in range(0, len(pdf), SUB_BATCH):
-        x = x_all[s:s + SUB_BATCH]
-        if len(x) == 0:
-            continue
-        part = pdf.iloc[s:s + SUB_BATCH]
-        approx = qn[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (qmat @ x.T)
-        kk = min(k, x.shape[0])
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_pylist()])
+
+
+def _cut(x: np.ndarray) -> np.ndarray:
+    """Twelve significant digits, as ``common.significant`` cuts them."""
+    with np.errstate(divide="ignore"):
+        e = np.where(x > 0, np.floor(np.log10(np.where(x > 0, x, 1))), 0)
+    scale = 10.0 ** (11 - e)
+    return np.round(x * scale) / scale
+
+
+def _best(df: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
+    return df.sort_values(["query_id", "_r", *keys], kind="mergesort").groupby("query_id", sort=False).head(k)
+
+
+def _score(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame, x: np.ndarray, keys: list[str], k: int) -> pd.DataFrame:
+    """The k nearest rows (sorted by key) of each query, ties by key."""
+    parts = []
+    xn, kk = (x * x).sum(1), min(k, len(x))
+    for a in range(0, len(q), QUERY_PIECE):
+        m = q[a: a + QUERY_PIECE]
+        approx = (m * m).sum(1)[:, None] + xn[None] - 2.0 * (m @ x.T)
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        # the order is (distance rounded to 6 places, key): every row that
-        # can round to the k-th distance stays a candidate, so such ties are
-        # decided by key below, never by the approximation
-        qi, xi = np.nonzero(approx <= (kth + 1e-6 + 1e-9 * (1.0 + np.abs(kth)))[:, None])
-        diff = x[xi] - qmat[qi]
-        exact = (diff * diff).sum(axis=1)
-        sel = part.iloc[xi][keys].reset_index(drop=True)
-        sel["dist"] = exact
-        sel["_q"] = qi
-        sel["_r"] = np.round(exact, 6)
-        sel = sel.sort_values(["_q", "_r", *keys], kind="mergesort").groupby("_q", sort=False).head(k)
-        sel.insert(0, "query_id", qids[sel["_q"].to_numpy()])
-        out.append(sel.drop(columns=["_q", "_r"]))
-    if not out:
-        return pd.DataFrame(columns=["query_id", *keys, "dist"])
-    return pd.concat(out, ignore_index=True)
+        close = approx <= (kth + 1e-6 + 1e-9 * (1.0 + np.abs(kth)))[:, None]
+        # exact distances of the candidates, a bounded number at a time; of
+        # equal ones only the first k by key (the rows' order) are kept
+        for one in np.array_split(np.arange(len(m)), max(1, int(close.sum()) // 65_536)):
+            qi, xi = np.nonzero(close[one])
+            d = x[xi] - m[one][qi]
+            dist = (d * d).sum(1)
+            cut = _cut(dist)
+            order = np.lexsort((xi, cut, qi))
+            start = np.searchsorted(qi[order], qi[order])
+            order = order[np.arange(len(order)) - start < k]
+            got = rows.iloc[xi[order]].reset_index(drop=True)
+            got.insert(0, "query_id", qids[a + one[qi[order]]])
+            got["dist"], got["_r"] = dist[order], cut[order]
+            parts.append(got)
+    return pd.concat(parts, ignore_index=True)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None = None,
         vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
         rank_col: str = "rank") -> DataFrame:
     """``(query_id, rank, *keys, dist)``: the ``k`` index rows nearest to
-    each query, ascending squared distance, ties by key."""
+    each query, ascending squared distance (to 12 significant digits), ties by
+    key.  Null vectors take no part."""
     keys = keys or [c for c in index.columns if c != vec_col]
-    spark = index.sparkSession
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vector"))
-    id_type = q.schema["query_id"].dataType
-    key_fields = [index.schema[c] for c in keys]
-    schema = T.StructType([T.StructField("query_id", id_type), *key_fields,
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vector")).where(F.col("vector").isNotNull())
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), *[index.schema[c] for c in keys],
                            T.StructField("dist", T.DoubleType())])
-    q = q.where(F.col("vector").isNotNull())
-    first = q.select(F.size("vector").alias("d")).first()
-    if first is None:
-        return spark.createDataFrame([], schema).withColumn(rank_col, F.lit(1))
-    dim = max(int(first["d"]), 1)
-    block_rows = max(1, MAX_BLOCK_BYTES // (dim * 8))
-    # one bounded collect settles the usual case (all queries fit one block)
-    head = q.limit(block_rows + 1).collect()
-    if len(head) <= block_rows:
-        n_blocks, blocks = 1, [head]
-    else:
-        # hash blocks are uneven; aim each at 80% of the bound
-        n_blocks = math.ceil(q.count() / (0.8 * block_rows))
-        blocks = None
-    parts = []
-    idx = index.select(*keys, vec_col).where(F.col(vec_col).isNotNull())
-    for b in range(n_blocks):
-        rows = blocks[b] if blocks is not None else \
-            q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()  # about 0.8 * block_rows
-        if not rows:
-            continue
-        block = (np.array([r["query_id"] for r in rows]),
-                 np.array([r["vector"] for r in rows], dtype=np.float64))
-        try:
-            shipped = spark.sparkContext.broadcast(block)
-        except Exception:  # no broadcast variables (e.g. Spark Connect): ship in the closure
-            shipped = None
-
-        def score(batches, shipped=shipped, block=None if shipped is not None else block):
-            qids, qmat = shipped.value if shipped is not None else block
-            for pdf in batches:
-                if len(pdf):
-                    res = _block_topk(qids, qmat, pdf, keys, vec_col, k)
-                    if len(res):
-                        yield res
-
-        parts.append(idx.mapInPandas(score, schema))
-    if not parts:
-        return spark.createDataFrame([], schema).withColumn(rank_col, F.lit(1))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    order = [F.round("dist", 6).asc(), *[F.col(c).asc() for c in keys]]
+    x = index.select(*keys, F.col(vec_col).alias("vector")).where(F.col("vector").isNotNull())
+    # a stated query set against all rows, block by block
+    pairs = (x.mapInArrow(_pack, "block binary").withColumnRenamed("block", "tile")
+             .crossJoin(q.mapInArrow(_pack, "block binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pd.DataFrame] = {}            # per query block of this task
+        last: tuple[bytes, pd.DataFrame, np.ndarray] | None = None
+        for batch in batches:
+            for tile, block in zip(batch.column(0), batch.column(1)):
+                t, b = tile.as_py(), block.as_py()
+                if last is None or last[0] != t:
+                    rows = _load(t)
+                    order = rows.select(keys).to_pandas().sort_values(keys, kind="mergesort")
+                    last = (t, order.reset_index(drop=True), _matrix(rows.column("vector"))[order.index.to_numpy()])
+                qs = _load(b)
+                ids = qs.column("query_id").to_pandas().to_numpy()
+                got = _score(ids, _matrix(qs.column("vector")), last[1], last[2], keys, k)
+                name = hash(b)
+                best[name] = _best(pd.concat([best[name], got]), keys, k) if name in best else got
+        for got in best.values():
+            yield from pa.Table.from_pandas(got.drop(columns="_r"), preserve_index=False).to_batches()
+
+    cand = pairs.mapInArrow(run, schema)
+    order = [significant(F.col("dist")).asc(), *[F.col(c).asc() for c in keys]]
     return top_k_per_group(cand, ["query_id"], order, k, rank_col)
-
-
-def _ship_by_value() -> None:
-    """Functions of this module run inside Python workers (pandas UDF /
-    mapInPandas).  Pickle them by value so the workers need no installed
-    copy of the package."""
-    import sys
-    try:
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except Exception:  # older cloudpickle: fall back to import by name
-        pass
-
-
-_ship_by_value()

@@ -31,6 +31,15 @@ SQL_WS = r"[\s\p{Z}]+"
 SQL_NON_TOKEN = r"[^\p{L}\p{N}\p{Co}]+"
 
 
+# quotes doubled for SQL
+SQL_TAG = "<[a-zA-Z/](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>"
+
+
+def sql_significant(expr: str) -> str:
+    """Twelve significant digits (``common.significant``)."""
+    return f"CAST(format('{{:.11e}}', {expr}) AS DOUBLE)"
+
+
 def sql_words(expr: str) -> str:
     return f"list_filter(regexp_split_to_array({expr}, '{SQL_WS}'), lambda w: w <> '')"
 
@@ -43,7 +52,7 @@ def sql_tokens(expr: str) -> str:
 def sql_html_text(expr: str) -> str:
     x = expr
     for pat in (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>",
-                r"(?s)<[a-zA-Z/!][^>]*>"):
+                r"(?s)<[!?][^>]*>", SQL_TAG):
         x = f"regexp_replace({x}, '{pat}', chr(10), 'g')"
     for ent, ch in [("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"),
                     ("&nbsp;", "' || chr(160) || '"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:

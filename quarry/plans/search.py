@@ -15,7 +15,7 @@ from quarry.operators.keyword import (KeywordIndex, bm25_match, corpus_stats, ke
                                       match_first, match_near, match_phrase, match_prefix,
                                       term_df, tokenize_chunks, top_k, with_snippets)
 from quarry.plans.registry import (DOC_SOURCE_SQL, register, sql_chunks, sql_doc_tokens,
-                                   sql_html_text, sql_token_rows, sql_tokens, sql_words)
+                                   sql_html_text, sql_significant, sql_token_rows, sql_tokens, sql_words)
 from quarry.sources.scans import (combine_sources, issue_scan, page_scan, read_table, to_text)
 from quarry.functions.text import html_to_text
 
@@ -29,7 +29,7 @@ SINGLE_QUERY = "the and"
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of every document; documents are plain text already."""
-    docs = read_table(spark, sf, "documents", spread=True)
+    docs = read_table(spark, sf, "documents")
     src = docs.select(F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     return chunk_text(src, "text")
 
@@ -53,7 +53,7 @@ SQL_PASSAGE_TERMS = f"""
 
 def _bm25_sql(qterms_sql: str, mode: str, k: int | None) -> str:
     having = "n_matched = n_terms" if mode == "all" else "n_matched >= 1"
-    rank_sel = ("CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, "
+    rank_sel = (f"CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('score')} DESC, "
                 "source, doc_id, chunk_no) AS INTEGER) AS rank")
     body = f"""
 WITH tok AS ({sql_doc_tokens()}),
@@ -85,7 +85,7 @@ SELECT query_id, rank, source || ':' || doc_id AS source_id, source, doc_id, chu
 SELECT page_id, CAST(len(w) AS INTEGER) AS n_words, array_to_string(w, ' ') AS words
 FROM (SELECT page_id, {sql_words(sql_html_text('html'))} AS w FROM pages) p""")
 def html_to_words(spark: SparkSession, sf: str) -> DataFrame:
-    pages = read_table(spark, sf, "pages", spread=True)
+    pages = read_table(spark, sf, "pages")
     w = split_words(html_to_text("html"))
     return pages.select("page_id", F.size(w).alias("n_words"), F.array_join(w, " ").alias("words"))
 
@@ -110,9 +110,9 @@ SELECT source || ':' || doc_id AS source_id, source, doc_id, chunk_no, content F
 
 @register("combine_sources", _COMBINED_SQL)
 def combine_sources_q(spark: SparkSession, sf: str) -> DataFrame:
-    issues = issue_scan(read_table(spark, sf, "documents", spread=True), key="doc_id", description="text",
+    issues = issue_scan(read_table(spark, sf, "documents"), key="doc_id", description="text",
                         source="issue")
-    pages = page_scan(read_table(spark, sf, "pages", spread=True), key="page_id", body="html", source="page")
+    pages = page_scan(read_table(spark, sf, "pages"), key="page_id", body="html", source="page")
     chunks = chunk_text(to_text(combine_sources(issues, pages)), "text")
     return chunks.select(F.concat_ws(":", "source", "doc_id").alias("source_id"), *CHUNK_KEY, "content")
 
@@ -159,9 +159,11 @@ def match_all(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("query_id", *CHUNK_KEY)
 
 
-@register("match_any", _bm25_sql(SQL_PASSAGE_TERMS, "any", None))
+@register("match_any", f"""
+SELECT query_id, source, doc_id, chunk_no, score FROM ({_bm25_sql(SQL_PASSAGE_TERMS, "any", TOP_K)}) x""")
 def match_any(spark: SparkSession, sf: str) -> DataFrame:
-    m = bm25_match(doc_index(spark, sf), passages(spark, sf), "any")
+    # ORDER BY rank LIMIT k, as the reference cuts every search
+    m = top_k(bm25_match(doc_index(spark, sf), passages(spark, sf), "any"), TOP_K)
     return m.select("query_id", *CHUNK_KEY, F.round("score", 6).alias("score"))
 
 
@@ -169,15 +171,18 @@ NOT_TERMS = "the"
 
 
 @register("match_none", f"""
-WITH anyq AS ({_bm25_sql(SQL_PASSAGE_TERMS, 'any', None)}),
+WITH anyq AS ({_bm25_sql(SQL_PASSAGE_TERMS, 'any', None).replace("round(score, 6) AS score", "score")}),
 bad AS (SELECT DISTINCT source, doc_id, chunk_no FROM ({sql_token_rows()}) r WHERE term = '{NOT_TERMS}')
-SELECT query_id, source, doc_id, chunk_no, score FROM anyq
-WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = anyq.source AND bad.doc_id = anyq.doc_id
-                  AND bad.chunk_no = anyq.chunk_no)""")
+SELECT query_id, source, doc_id, chunk_no, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('score')} DESC, source, doc_id, chunk_no) AS rank
+  FROM anyq
+  WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = anyq.source AND bad.doc_id = anyq.doc_id
+                    AND bad.chunk_no = anyq.chunk_no)) x
+WHERE rank <= {TOP_K}""")
 def match_none(spark: SparkSession, sf: str) -> DataFrame:
     q = passages(spark, sf)
     excl = q.select("query_id", F.lit(NOT_TERMS).alias("query"))
-    m = bm25_match(doc_index(spark, sf), q, "any", exclude=excl)
+    m = top_k(bm25_match(doc_index(spark, sf), q, "any", exclude=excl), TOP_K)
     return m.select("query_id", *CHUNK_KEY, F.round("score", 6).alias("score"))
 
 
@@ -281,18 +286,21 @@ def match_phrase_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _near_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """First, middle and last token of each passage."""
     t = unicode61_tokens("query")
     return (passages(spark, sf).where(F.size(t) > 0)
-            .select("query_id", F.concat_ws(" ", t[0], F.element_at(t, -1)).alias("query")))
+            .select("query_id", F.concat_ws(" ", t[0], F.element_at(t, F.ceil(F.size(t) / 2).cast("int")), F.element_at(t, -1)).alias("query")))
 
 
 @register("match_near", f"""
-WITH q AS (SELECT query_id, ph[1] AS a, ph[len(ph)] AS b FROM ({_PASSAGE_TOKENS_SQL}) x WHERE len(ph) > 0),
+WITH q AS (SELECT query_id, ph[1] AS a, ph[CAST(ceil(len(ph) / 2.0) AS INTEGER)] AS m, ph[len(ph)] AS b
+           FROM ({_PASSAGE_TOKENS_SQL}) x WHERE len(ph) > 0),
 tr AS ({sql_token_rows()})
 SELECT DISTINCT q.query_id, ta.source, ta.doc_id, ta.chunk_no
 FROM q JOIN tr ta ON ta.term = q.a
+JOIN tr tm ON tm.term = q.m AND tm.source = ta.source AND tm.doc_id = ta.doc_id AND tm.chunk_no = ta.chunk_no
 JOIN tr tb ON tb.term = q.b AND tb.source = ta.source AND tb.doc_id = ta.doc_id AND tb.chunk_no = ta.chunk_no
-WHERE abs(ta.pos - tb.pos) <= {NEAR_DISTANCE + 1}""")
+WHERE greatest(ta.pos, tm.pos, tb.pos) - least(ta.pos, tm.pos, tb.pos) <= {NEAR_DISTANCE + 1}""")
 def match_near_q(spark: SparkSession, sf: str) -> DataFrame:
     return match_near(doc_index(spark, sf), _near_queries(spark, sf), NEAR_DISTANCE)
 

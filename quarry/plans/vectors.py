@@ -9,7 +9,7 @@ from quarry.functions.embed import hash_embed
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.hybrid import build_index, hybrid_search, index_in_memory, read_index
 from quarry.operators.vector import knn
-from quarry.plans.registry import register, sql_doc_tokens, sql_tokens
+from quarry.plans.registry import register, sql_doc_tokens, sql_significant, sql_tokens
 from quarry.plans.search import SQL_PASSAGE_TERMS, TOP_K, _bm25_sql, doc_chunks, passages
 from quarry.session import scratch_path
 from quarry.sources.scans import read_table
@@ -44,7 +44,7 @@ def hash_embed_q(spark: SparkSession, sf: str) -> DataFrame:
 @register("vector_batch", f"""
 WITH d AS (SELECT q.vec_id AS query_id, x.vec_id, {_SQL_DIST.format(a='q.embedding', b='x.embedding')} AS dist
            FROM embeddings q, embeddings x),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 6), vec_id) AS INTEGER)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('dist')}, vec_id) AS INTEGER)
         AS rank FROM d)
 SELECT query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE rank <= {TOP_K}""")
 def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,7 @@ def vector_batch(spark: SparkSession, sf: str) -> DataFrame:
 @register("vector_topk", f"""
 WITH d AS (SELECT vec_id, list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) AS dist
            FROM embeddings),
-r AS (SELECT *, CAST(row_number() OVER (ORDER BY round(dist, 6), vec_id) AS INTEGER) AS rank FROM d)
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY {sql_significant('dist')}, vec_id) AS INTEGER) AS rank FROM d)
 SELECT 0::BIGINT AS query_id, rank, vec_id, round(dist, 6) AS dist FROM r WHERE rank <= {TOP_K}""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     """One query, the origin of the table's vector space."""
@@ -73,7 +73,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hybrid_sql(mode: str) -> str:
     score = "dist" if mode == "distance" else "1.0 / (1.0 + dist)"
-    kw = _bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K * 2)
+    kw = _bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K * 2).replace("round(score, 6) AS score", "score")
     return f"""
 WITH kwr AS ({kw}),
 kw AS (SELECT query_id, source, doc_id, chunk_no, score, rank AS leg_rank, 1 AS leg FROM kwr WHERE rank <= {TOP_K}),
@@ -100,12 +100,12 @@ qv AS (SELECT q.query_id,
        GROUP BY q.query_id),
 d AS (SELECT qv.query_id, cv.source, cv.doc_id, cv.chunk_no, {_SQL_DIST.format(a='qv.vec', b='cv.vec')} AS dist
       FROM qv, cv),
-semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 6), source, doc_id, chunk_no)
+semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('dist')}, source, doc_id, chunk_no)
            AS leg_rank FROM d),
 sem AS (SELECT query_id, source, doc_id, chunk_no, {score} AS score, leg_rank, 0 AS leg FROM semr
         WHERE leg_rank <= {TOP_K}),
 b AS (SELECT * FROM kw UNION ALL SELECT * FROM sem),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, leg, leg_rank)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('score')} DESC, leg, leg_rank)
         AS INTEGER) AS rank FROM b)
 SELECT r.query_id, r.rank, r.leg, r.source || ':' || r.doc_id AS source_id, r.source, r.doc_id, r.chunk_no,
        round(r.score, 6) AS score
@@ -140,7 +140,7 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Build the index into the shared scratch folder, read it back, and
     report per chunk what the two sides hold."""
     path = scratch_path(spark, "index")
-    docs = read_table(spark, sf, "documents", spread=True).select(
+    docs = read_table(spark, sf, "documents").select(
         F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     build_index(docs, path, dim=DIM, html=False)
     idx = read_index(spark, path)

@@ -41,8 +41,9 @@ def get_session(master: str | None = None, app: str = "quarry",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) is a folder
-    of our own created and registered.
+    Read from the session.  Where it is unset, a folder of our own is created
+    in local mode only; on a cluster a machine-local folder would be seen by
+    one machine, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -50,6 +51,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local") or \
+                spark.conf.get("spark.master", "local").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         if sc:

@@ -7,8 +7,6 @@ scan is an ordinary (pruned, pushed-down) Spark read.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +16,10 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read one table.  ``spread=True`` is for text tables whose per-row work
-    (splitting, chunking, tokenizing) dwarfs their compressed size: if the
-    scan yields fewer splits than the cluster has cores, the rows are
-    redistributed round-robin.  On large inputs the scan already has more
-    splits than cores and nothing is added."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # sessions without RDD access (e.g. Spark Connect)
-            return df
-        if splits < cores:
-            df = df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table.  How finely files are split is the session's setting
+    (``spark.sql.files.maxPartitionBytes``, ``minPartitionNum``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _as_col(c) -> Column:
@@ -77,6 +63,15 @@ def combine_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Does the path (or glob) name anything?  Asked of Hadoop's file system,
+    as Spark's own readers ask."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def read_messages(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """Whole-text messages ``(msg_id, text)``, one row per file.
 
@@ -84,8 +79,7 @@ def read_messages(spark: SparkSession, path: str, fallback: str | None = None) -
     is a one-row frame holding the fallback (the reference's behaviour for a
     missing sample file).
     """
-    if fallback is not None and "://" not in path and not any(c in path for c in "*?[") \
-            and not os.path.exists(path):
+    if fallback is not None and not _exists(spark, path):
         return spark.createDataFrame([(path, fallback)], "msg_id string, text string")
     df = spark.read.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("msg_id"), F.col("value").alias("text"))

@@ -3,9 +3,9 @@
 The reference runs its ingestion as a background task; here a landing
 folder is read as a file stream, each new message file is parsed with the
 same column expressions as the batch job, and the tranche rows are appended
-to a Parquet table.  Progress lives in a checkpoint under the shared
-``spark.checkpoint.dir``, so a restarted (or partially lost) job resumes
-from the last committed batch and never appends a file twice.  Parsing is
+to a Parquet table.  Progress lives in a checkpoint beside the output (or
+where the caller says), so a restarted (or partially lost) job resumes from
+the last committed batch and never appends a file twice.  Parsing is
 stateless and per message, so there is no state store to grow.
 """
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.deals import parse_tranches
-from quarry.session import scratch_path
 
 
 def message_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -36,6 +35,6 @@ def tranche_stream(spark: SparkSession, landing_dir: str, output_dir: str, check
     t = parse_tranches(message_stream(spark, landing_dir, max_files_per_trigger))
     w = (t.writeStream.format("parquet").outputMode("append")
           .option("path", output_dir)
-          .option("checkpointLocation", checkpoint_dir or scratch_path(spark, "tranche-stream")))
+          .option("checkpointLocation", checkpoint_dir or output_dir.rstrip("/") + "_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

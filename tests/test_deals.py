@@ -177,7 +177,7 @@ def test_hard_wrapped_three_tranches(spark):
     # a wrapped row keeps only what is on its first line
     assert [r["ranking"] for r in t] == ["Senior Preferred", "Senior Preferred", "Tier Two"]
     assert [r["coupon"] for r in t] == ["Fixed 30/360 payable yearly until the call", None, None]
-    assert [r["benchmark_treasury"] for r in t] == ["T 3 1/2 06/30/28", "T 3 3/4 06/3", None]
+    assert [r["benchmark_treasury"] for r in t] == ["T 3 1/2 06/30/28", "T 3 3/4 06/30/", None]
     assert [r["par_redemption_date"] for r in t] == ["June 9, 2027", "June 9, 2029", "June"]
     assert [r["use_of_proceeds"] for r in t] == ["Grid expansion", "Refinancing of note", None]
     # block-only field given as a table row is not read

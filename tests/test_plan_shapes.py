@@ -1,11 +1,10 @@
 """Regression guards on physical plan shape for the scale-critical paths."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from quarry.operators.deals import parse_tranches
-from quarry.operators.keyword import KeywordIndex, bm25_match, top_k
+from quarry.operators.keyword import KeywordIndex, bm25_match, term_df, top_k
+from quarry.operators.vector import knn
 
 
 def _plan(df):
@@ -21,15 +20,38 @@ def test_tranche_parse_has_no_exchange(spark, tmp_path):
     assert "Exchange" not in plan
 
 
-def test_bm25_scores_without_a_query_chunk_shuffle(spark):
+def _index(spark):
     docs = ["alpha beta gamma", "beta gamma delta", "alpha alpha beta", "gamma delta"] * 5
-    chunks = spark.createDataFrame([("s", str(i), 0, t) for i, t in enumerate(docs)],
-                                   "source string, doc_id string, chunk_no int, content string")
-    q = spark.createDataFrame([(0, "alpha beta"), (1, "gamma")], "query_id long, query string")
-    plan = _plan(top_k(bm25_match(KeywordIndex.from_chunks(chunks), q, "all"), 3))
-    final = plan.split("Initial Plan")[0]
-    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", final)
-    # chunks are co-located once; no exchange is keyed by (query, chunk)
-    assert any("doc_id" in k and "chunk_no" in k and "query_id" not in k for k in keys), keys
-    assert not any("query_id" in k and "chunk_no" in k for k in keys), keys
+    return KeywordIndex.from_chunks(spark.createDataFrame(
+        [("s", str(i), 0, t) for i, t in enumerate(docs)], "source string, doc_id string, chunk_no int, content string"))
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    assert "Exchange" not in _plan(_index(spark).postings())
+    plan = _plan(term_df(_index(spark))).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_large_query_sets_take_the_shuffle_and_agree(spark):
+    q = spark.createDataFrame([(0, "alpha beta"), (1, "gamma"), (2, "delta gamma")], "query_id long, query string")
+    rows = lambda: sorted(map(tuple, top_k(bm25_match(_index(spark), q, "any"), 3).collect()))
+    small = rows()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == small
+        plan = _plan(top_k(bm25_match(_index(spark), q, "all"), 3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_knn_keeps_ties_and_duplicates_bounded(spark):
+    vecs = [(i, [0.0, 0.0]) for i in range(5000)] + [(i, [float(i), 1.0]) for i in range(5000, 5010)]
+    df = spark.createDataFrame(vecs, "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(300)] + [(300, [5009.0, 1.0])], "query_id long, vector array<double>")
+    out = knn(df, q, 4, ["id"])
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert all(got[i] == [0, 1, 2, 3] for i in range(300)) and got[300] == [5009, 5008, 5007, 5006]
+    assert knn(df.limit(0), q, 4, ["id"]).count() == 0 == knn(df, q.limit(0), 4, ["id"]).count()

@@ -109,7 +109,7 @@ def test_top_k_order(spark):
     idx = _index(spark, docs)
     q = spark.createDataFrame([(0, "alpha")], "query_id long, query string")
     ranked = top_k(bm25_match(idx, q, "all"), 3).orderBy("rank").collect()
-    want = sorted(_fts(docs, "alpha").items(), key=lambda kv: (-round(kv[1], 6), str(kv[0])))[:3]
+    want = sorted(_fts(docs, "alpha").items(), key=lambda kv: (-float(f"{kv[1]:.11e}"), str(kv[0])))[:3]
     assert [int(r.doc_id) for r in ranked] == [k for k, _ in want]
 
 
@@ -155,13 +155,14 @@ def test_snippet_equals_fts5(spark):
 
 def test_full_entity_decoding(spark):
     df = spark.createDataFrame([("x&eacute;<i>&#233;</i>&amp;lt;",), ("plain",)], "h string")
-    got = [r[0] for r in df.select(split_words(html_to_text("h", full_entities=True))).collect()]
+    got = [r[0] for r in df.select(split_words(html_to_text("h"))).collect()]
     assert got == [["xé", "é", "&lt;"], ["plain"]]
 
 
 def test_knn_many_query_blocks(spark, monkeypatch):
     import quarry.operators.vector as vec
-    monkeypatch.setattr(vec, "MAX_BLOCK_BYTES", 8 * 8 * 3)   # three 8-d queries per block
+    monkeypatch.setattr(vec, "ROWS", 3)             # three rows per block and tile
+    monkeypatch.setattr(vec, "QUERY_PIECE", 2)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 8)).astype(np.float32)
     qv = rng.normal(size=(10, 8)).astype(np.float32)
@@ -183,3 +184,32 @@ def test_hash_embedding_from_text_or_tokens(spark):
     assert [x.a for x in r] == [x.b for x in r]
     v = np.array(r[0].a, dtype=np.float64)
     assert abs(np.linalg.norm(v) - 1) < 1e-6 and r[1].a == [0.0] * 16
+
+
+def test_html_keeps_text(spark):
+    cases = {"caf&eacute; x": ["café", "x"], "<![CDATA[if a > b: run()]]>": ["if", "a", ">", "b:", "run()"],
+             '<a title="x>y">z</a>': ["z"], "<?xml version='1.0'?>k": ["k"], "&amp;lt; &#233;&#xE9; &#150; &bogus; &copy 2": ["&lt;", "éé", "–", "&bogus;", "©", "2"],
+             "&#0;&#xD800; &notin; a & b&": ["\ufffd\ufffd", "∉", "a", "&", "b&"], "5<6 <!-- a > b --> t": ["5<6", "t"], "": []}
+    df = spark.createDataFrame([(x,) for x in cases], "h string")
+    for h, words in df.select("h", split_words(html_to_text("h"))).collect():
+        assert words == cases[h], h
+
+
+def test_tokens_fold_like_unicode61(spark):
+    df = spark.createDataFrame([("cafe\u0301s \u1ea1n \u01fa \u00df x\u0302y",)], "t string")
+    assert df.select(unicode61_tokens("t")).first()[0] == ["cafes", "an", "a", "\u00df", "xy"]
+
+
+def test_floored_idf_keeps_the_order(spark):
+    """A term in more than half of the chunks: scores are tiny, and still
+    rank as SQLite's FTS5 ranks them."""
+    texts = ["alpha beta gamma delta alpha", "alpha x", "alpha alpha alpha", "alpha one two three four", "other"]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(content)")
+    con.executemany("INSERT INTO t(rowid, content) VALUES (?, ?)", enumerate(texts))
+    want = [str(r[0]) for r in con.execute("SELECT rowid FROM t WHERE t MATCH 'alpha' ORDER BY rank, rowid")]
+    chunks = spark.createDataFrame([("s", str(i), 0, t) for i, t in enumerate(texts)],
+                                   "source string, doc_id string, chunk_no int, content string")
+    q = spark.createDataFrame([(0, "alpha")], "query_id long, query string")
+    got = top_k(bm25_match(KeywordIndex.from_chunks(chunks), q, "all"), 10).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == want

@@ -5,6 +5,7 @@ import json
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.embed import model_embed
@@ -32,6 +33,25 @@ def test_tranche_stream_is_incremental(spark, tmp_path):
     assert sorted(r.tenor for r in df.collect()) == ["2Y Floating", "5NC4", "8NC7", "9Y Fixed"]
 
 
+def test_restart_without_a_named_checkpoint(spark, tmp_path):
+    land, out = tmp_path / "land", tmp_path / "out"
+    land.mkdir()
+    for name, rows in (("deal_covered.txt", 2), ("deal_wrapped3.txt", 5)):
+        (land / name).write_text(open(os.path.join(FIX, name), encoding="utf-8").read(), encoding="utf-8")
+        tranche_stream(spark, str(land), str(out)).awaitTermination()
+        assert spark.read.parquet(str(out)).count() == rows
+
+
+def test_shared_scratch_is_required_off_local(spark):
+    from quarry.session import checkpoint_root
+
+    class Cluster:
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None)})
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: "spark://host:1" if k == "spark.master" else d)})
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Cluster())
+
+
 def test_nested_exports_scan(spark):
     issues = spark.createDataFrame(
         [("P-1", "WIKI", ("<p>alpha <b>beta</b></p>",)), ("P-2", "WIKI", (None,)),
@@ -56,15 +76,15 @@ def test_json_export_keeps_nulls(spark, tmp_path):
 
 
 def test_tagger_train_save_load_predict(spark, tmp_path):
-    sentence = "priced 7yr in (CHF) at MS+88bps today and 2yr in (SEK) at MS+31bps later"
-    tags = {"7yr": "B-TENOR", "2yr": "B-TENOR", "(CHF)": "B-CURRENCY", "(SEK)": "B-CURRENCY", "MS+88bps": "B-IPT", "MS+31bps": "B-IPT"}
-    rows = [{"tokens": sentence.split(), "labels": [tags.get(w, "O") for w in sentence.split()]}]
+    tags = {"y": "B-TENOR", ")": "B-CURRENCY", "s": "B-IPT"}           # by last character
+    sentences = [f"tranche {n}y ({c}) over MS+{b}bps" for n, c, b in [(7, "CHF", 88), (2, "SEK", 31), (15, "AUD", 140), (30, "CAD", 95)]]
+    rows = [{"tokens": x.split(), "labels": [tags.get(w[-1], "O") for w in x.split()]} for x in sentences]
     model = train_tagger(explode_labelled(labelled_rows(spark, rows)), max_iter=50)
     save_tagger(model, str(tmp_path / "m"))
-    text = spark.createDataFrame([(0, "later 9yr (NOK) at MS+52bps")], "sentence_id long, text string")
+    text = spark.createDataFrame([(0, "tranche 9y (NOK) over MS+52bps")], "sentence_id long, text string")
     pred = predict(load_tagger(str(tmp_path / "m")), explode_text(text))
     pairs = pair_labels(pred).first().pairs
-    assert [p[0] for p in pairs] == ["later", "9yr", "(NOK)", "at", "MS+52bps"]
+    assert [p[0] for p in pairs] == ["tranche", "9y", "(NOK)", "over", "MS+52bps"]
     assert [p[1] for p in pairs] == ["O", "B-TENOR", "B-CURRENCY", "O", "B-IPT"]
 
 
@@ -93,7 +113,38 @@ def test_ingest_and_query_api(spark, tmp_path):
     # with 3 chunks the query terms' idf is floored to 1e-6, so the vector
     # hits (whole chunk text as snippet) outrank the keyword ones
     assert all("[" not in h.snippet for h in hits)
-    assert spark.read.parquet(path + "/chunks").count() == 3
+    from quarry.operators.hybrid import read_index
+    assert read_index(spark, path).chunks.count() == 3
+    # per-query top_k, and the nested answer
+    from quarry.api import nested
+    frame = spark.createDataFrame([(1, "alpha", 2), (2, "alpha", 1), (3, "alpha", None)], "query_id long, query string, top_k int")
+    got = {r["query_id"]: r["hits"] for r in nested(query(spark, path, frame, top_k=3)).collect()}
+    assert [len(got[i]) for i in (1, 2, 3)] == [2, 1, 3]
+    two = query(spark, path, "alpha", top_k=2).orderBy("rank").collect()
+    assert [h["source_id"] for h in got[1]] == [h["source_id"] for h in two]
+
+
+def test_failed_rebuild_keeps_the_old_index(spark, tmp_path, monkeypatch):
+    from quarry.operators import hybrid
+    path = str(tmp_path / "idx")
+    docs = lambda *t: spark.createDataFrame([("s", str(i), x) for i, x in enumerate(t)], "source string, doc_id string, text string")
+    hybrid.build_index(docs("one two", "three"), path, html=False)
+    monkeypatch.setattr(hybrid.time, "time_ns", lambda: 1 / 0)          # fails before the pointer is written
+    with pytest.raises(ZeroDivisionError):
+        hybrid.build_index(docs("other"), path, html=False)
+    monkeypatch.undo()
+    assert sorted(r["content"] for r in hybrid.read_index(spark, path).chunks.collect()) == ["one two", "three"]
+    hybrid.build_index(docs("other"), path, html=False)
+    idx = hybrid.read_index(spark, path)
+    assert [r["content"] for r in idx.chunks.collect()] == ["other"]
+    assert [tuple(r) for r in idx.keyword.stored_df.select("term", "df").collect()] == [("other", 1)]
+
+
+def test_inferred_tenor_with_other_date_formats(spark):
+    from quarry.functions.deal import infer_tenor
+    df = spark.createDataFrame([("June 1, 2025", "June 3, 2030"), ("2025-01-01", "June 3, 2030"), ("soon", "2030-01-01")], "a string, b string")
+    assert [r[0] for r in df.select(infer_tenor(F.col("a"), F.col("b"), ("MMMM d, yyyy",))).collect()] == ["5Y", "5Y", None]
+    assert [r[0] for r in df.select(infer_tenor(F.col("a"), F.col("b"))).collect()] == [None, None, None]
 
 
 def test_worker_side_modules_ship_by_value():
@@ -101,9 +152,9 @@ def test_worker_side_modules_ship_by_value():
     directory or on a cluster)."""
     import pickle
     from pyspark import cloudpickle
-    from quarry.functions import embed, text
+    from quarry.functions import embed
     from quarry.operators import vector
-    for fn in (embed._count_vector_fn, text._unescape_fn, vector._block_topk):
+    for fn in (embed._count_vector_fn, vector._score, vector._pack):
         blob = cloudpickle.dumps(fn)
         # a by-reference pickle is a short global lookup; by value carries the code
         assert len(blob) > 200, fn.__name__
