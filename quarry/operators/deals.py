@@ -62,16 +62,20 @@ def layout(text: Column, synonyms: dict | None = None, strict_labels: bool = Fal
     terms = F.array(*[F.lit(k) for k in terminator_keys(strict_labels, synonyms)])
 
     def with_lines(lines):
-        def with_keys(cells, lkeys):
-            return F.struct(
-                lines.alias("lines"), cells.alias("cells"),
-                F.transform(cells, lambda c: label_key(c[0], synonyms)).alias("hkeys"),
-                lkeys.alias("lkeys"),
-                F.filter(F.transform(lkeys, lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
-                         lambda i: i >= 0).alias("stops"))
-        return let(F.struct(F.transform(lines, split_cells).alias("c"),
-                            F.transform(lines, lambda l: label_key(l, synonyms)).alias("k")),
-                   lambda ck: with_keys(ck["c"], ck["k"]))
+        def with_cells(cells):
+            def with_headers(hkeys):
+                # a line of one cell has its header's key; a line of several
+                # can be a label only if all behind the first is colons
+                def key(c, i):
+                    return F.when(F.size(c) == 1, F.element_at(hkeys, i + 1)).when(
+                        btrim_ws(F.replace(c[1], F.lit(":"), F.lit(""))) == "",
+                        label_key(F.element_at(lines, i + 1), synonyms)).otherwise(F.lit(""))
+                return let(F.transform(cells, key), lambda lkeys: F.struct(
+                    lines.alias("lines"), cells.alias("cells"), hkeys.alias("hkeys"), lkeys.alias("lkeys"),
+                    F.filter(F.transform(lkeys, lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
+                             lambda i: i >= 0).alias("stops")))
+            return let(F.transform(cells, lambda c: label_key(c[0], synonyms)), with_headers)
+        return let(F.transform(lines, split_cells), with_cells)
     return let(message_lines(text), with_lines)
 
 
