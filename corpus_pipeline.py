@@ -13,7 +13,7 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table, written
@@ -44,9 +44,8 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = _by_id(docs, ids, "left_semi")
     # repeated rows of a representative: one stays (few rows per id)
     repeated = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    marked = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    once = marked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    once = (kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+            .dropDuplicates(["doc_id", "text"]))            # partial in every task, so a hot row does no harm
     return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(once)
 
 
