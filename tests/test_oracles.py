@@ -26,7 +26,7 @@ def test_every_query_has_a_builder_and_oracles_match(spark):
 
 
 # exact kNN compares the stated queries with all rows, block by block
-BLOCK_JOINS = {"vector_batch", "vector_topk", "hybrid_distance", "hybrid_similarity"}
+BLOCK_JOINS = {"vector_batch", "vector_topk"}
 
 
 def test_no_cross_joins_in_any_plan(spark):
