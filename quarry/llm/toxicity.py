@@ -18,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, labelled_sample
+from quarry.llm.common import held_out, labelled_sample, written
 from quarry.llm.words import Words, blocks, mix
 
-#: Labelled documents learned from, the characters of each that training
-#: reads, and the vocabulary's size, at most.
-SAMPLE_DOCS, TRAIN_CHARS, VOCABULARY = 6_000, 6_000, 50_000
+#: Labelled documents learned from (whole texts), and the vocabulary's size,
+#: at most.
+SAMPLE_DOCS, VOCABULARY = 8_000, 50_000
 WINDOW, STEP = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 #: Bytes of a character n-gram, and their hash buckets.
 GRAM, GRAMS = 4, 1 << 15
+#: Texts of the sample that hold a word of the vocabulary, at least.
+LEAST_TEXTS = 3
 BLOCK_BYTES = 1_000_000
 THRESHOLD = 0.3
 
@@ -204,77 +206,92 @@ def score_block(net: Net, column: pa.Array) -> np.ndarray:
     return out
 
 
-def _drop_sums(net: Net, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """A part's word ids and character embeddings; its prefix sums (8 bytes a
-    character) are not kept."""
-    ids, mean, _ = net.inputs(w)
-    if hasattr(w, "_sums"):
-        del w._sums
-    return ids, mean
+def _held(code: np.ndarray, owner: np.ndarray, mark: np.ndarray, size: int) -> np.ndarray:
+    """Toxic and other texts of a block that hold each code: (size, 2)."""
+    pair = np.unique(code * len(mark) + owner)
+    code, owner = pair // len(mark), pair % len(mark)
+    return np.stack([np.bincount(code, weights=mark[owner], minlength=size),
+                     np.bincount(code, weights=1 - mark[owner], minlength=size)], 1)
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, rate: float = 0.01, seed: int = 2) -> Net:
-    """Log odds by documents, then Adam over windows: of a toxic text the
-    window of highest log odds, of others that window and a random one."""
-    col = pa.array(texts, pa.large_string())
-    parts = [Words(col.slice(a, 200), lower=True) for a in range(0, len(texts), 200)]
-    pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+def count_block(w: Words, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's word keys, the texts that hold each (toxic, other), and the
+    same for the buckets of n-grams.  ``mark``: 1 for a toxic text."""
+    keys, code = np.unique(w.hashes(), return_inverse=True)
+    bucket, a, b = grams(w)
+    inside = np.zeros(len(bucket) + 1, dtype=np.int64)
+    np.add.at(inside, a[b > a], 1)
+    np.add.at(inside, b[b > a], -1)
+    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    owner = np.searchsorted(w.offsets, at, side="right") - 1
+    return keys, _held(code, w.doc, mark, len(keys)), _held(bucket[at].astype(np.int64), owner, mark, GRAMS)
+
+
+def first_net(words: np.ndarray, counts: np.ndarray, gram_counts: np.ndarray, pos: float, neg: float) -> Net:
+    """A net that starts from the log odds of the most frequent words (keys
+    ascending) and of the n-grams, among ``pos`` toxic and ``neg`` other texts."""
+    pos, neg = max(1, int(pos)), max(1, int(neg))
 
     def odds(p: np.ndarray, q: np.ndarray, prior: float) -> np.ndarray:
         """From the toxic and other texts that hold each code."""
         p, q = p + prior * pos / (pos + neg), q + prior * neg / (pos + neg)
         low = np.log(p / pos) - np.log(q / neg) - 2.5 * np.sqrt(1 / p + 1 / q)
         return np.clip(low, 0, 4) / 4               # a lower bound: chance counts for nothing
-
-    def held(code: np.ndarray, owner: np.ndarray, mark: np.ndarray, size: int) -> np.ndarray:
-        """Toxic and other texts of a part that hold each code: (size, 2)."""
-        pair = np.unique(code * len(mark) + owner)
-        code, owner = pair // len(mark), pair % len(mark)
-        return np.stack([np.bincount(code, weights=mark[owner], minlength=size),
-                         np.bincount(code, weights=1 - mark[owner], minlength=size)], 1)
-    # part by part, so that nothing of the size of all texts is sorted at once
-    word_keys, word_counts, gram_counts = [], [], np.zeros((GRAMS, 2))
-    for i, w in enumerate(parts):
-        mark = y[200 * i: 200 * i + len(w.offsets) - 1]
-        keys, code = np.unique(w.hashes(), return_inverse=True)
-        del w._sums
-        word_keys.append(keys)
-        word_counts.append(held(code, w.doc, mark, len(keys)))
-        bucket, a, b = grams(w)
-        inside = np.zeros(len(bucket) + 1, dtype=np.int64)
-        np.add.at(inside, a[b > a], 1)
-        np.add.at(inside, b[b > a], -1)
-        at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        gram_counts += held(bucket[at].astype(np.int64), np.searchsorted(w.offsets, at, side="right") - 1, mark, GRAMS)
-    words, code = np.unique(np.concatenate([*word_keys, np.empty(0, np.uint64)]), return_inverse=True)
-    counts = np.zeros((len(words), 2))
-    np.add.at(counts, code, np.concatenate([*word_counts, np.zeros((0, 2))]))
     seen = counts.sum(1)
-    keep = np.flatnonzero(seen >= 3)
+    keep = np.flatnonzero(seen >= LEAST_TEXTS)
     keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:VOCABULARY]])
-    word_odds, char_odds = odds(counts[keep, 0], counts[keep, 1], 2.0), odds(gram_counts[:, 0], gram_counts[:, 1], 10.0)
-    net = Net(words[keep], word_odds, char_odds)
-    rng = np.random.default_rng(seed)
-    rows = []                                   # (part, start, end, label)
-    for i, w in enumerate(parts):
-        doc_, start, end = windows(w.first)
-        if not len(doc_):
-            continue
-        ids, _, _ = net.inputs(w)
-        del w._sums
-        total = np.r_[0, np.cumsum(np.maximum(net.word[ids, 0], 0) ** 2)]
-        best = total[end] - total[start]
-        order = np.lexsort((-best, doc_))
-        top = order[np.r_[True, doc_[order][1:] != doc_[order][:-1]]]
-        rows += [(i, int(start[j]), int(end[j]), float(y[200 * i + doc_[j]])) for j in top]
-        any_ = rng.integers(0, len(doc_), len(top))
-        rows += [(i, int(start[j]), int(end[j]), 0.0) for j in any_ if y[200 * i + doc_[j]] == 0]
+    return Net(words[keep], odds(counts[keep, 0], counts[keep, 1], 2.0), odds(gram_counts[:, 0], gram_counts[:, 1], 10.0))
+
+
+def choose_windows(net: Net, w: Words, mark: np.ndarray) -> list[tuple[bytes, float]]:
+    """The windows of a block's texts to train on, as (words, label): of every
+    text the window of highest log odds, of one that is not toxic also one
+    drawn by a hash of the text."""
+    doc, start, end = windows(w.first)
+    if not len(doc):
+        return []
+    total = np.r_[0, np.cumsum(np.maximum(net.word[net.inputs(w)[0], 0], 0) ** 2)]
+    best = total[end] - total[start]
+    order = np.lexsort((-best, doc))
+    lead = np.r_[True, doc[order][1:] != doc[order][:-1]]
+    first, top = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), order[lead]
+    owner, count = doc[first], np.diff(np.r_[first, len(doc)])
+    text = w.range_hash(w.offsets[owner], w.offsets[owner + 1])
+    drawn = first + (mix(text, 37) % count.astype(np.uint64)).astype(np.int64)
+    clean = mark[owner] == 0
+    at = np.concatenate([top, drawn[clean]])
+    return [(w.raw[w.start[start[j]]: w.end[end[j] - 1]].tobytes(), float(mark[doc[j]])) for j in at]
+
+
+def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, rate: float = 0.01, seed: int = 2) -> Net:
+    """Log odds by documents, then Adam over the chosen windows of whole texts."""
+    col = pa.array(texts, pa.large_string())
+    parts = [(Words(col.slice(a, 200), lower=True), y[a: a + 200]) for a in range(0, len(texts), 200)]
+    keys, counts, gram_counts = zip(*(count_block(*p) for p in parts))
+    words, code = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros((len(words), 2))
+    np.add.at(sums, code, np.concatenate(counts))
+    net = first_net(words, sums, sum(gram_counts), y.sum(), (1 - y).sum())
+    return fit_windows(net, [r for p in parts for r in choose_windows(net, *p)], steps, batch, rate, seed)
+
+
+def fit_windows(net: Net, rows: list[tuple[bytes, float]], steps: int = 200, batch: int = 256, rate: float = 0.01,
+                seed: int = 2) -> Net:
+    """Adam over windows: (words, label), each at most WINDOW words."""
     if not rows:
         return net
-    part, start, end, label = (np.array(c) for c in zip(*rows))
-    base = np.r_[0, np.cumsum([len(w.start) for w in parts])]
-    ids = np.concatenate([_drop_sums(net, w)[0].astype(np.int32) for w in parts])
-    start, end = start + base[part], end + base[part]
+    rng = np.random.default_rng(seed)
+    col = pa.array([t for t, _ in rows], pa.large_binary())
+    label = np.array([v for _, v in rows])
+    ids, start, end, base = [], [], [], 0
+    parts = [Words(col.slice(a, 200)) for a in range(0, len(rows), 200)]    # part by part: prefix sums are long
+    for w in parts:
+        ids.append(net.inputs(w)[0].astype(np.int32))
+        del w._sums
+        start.append(w.first[:-1] + base)
+        end.append(w.first[1:] + base)
+        base += len(w.start)
+    ids, start, end = map(np.concatenate, (ids, start, end))
     yes, no = np.flatnonzero(label > 0), np.flatnonzero(label == 0)
     groups = [g for g in (yes, no) if len(g)]
     # the n-grams of every word, for the gradient of their embedding
@@ -311,7 +328,11 @@ def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, r
         np.add.at(net.char, flat, -rate * 5 * (d_word / np.maximum(count, 1)[:, None])[owner])
     # the classes were drawn evenly: move the output so that the stated
     # threshold separates the training texts best (F1)
-    mean = np.concatenate([_drop_sums(net, w)[1] for w in parts])
+    means = []
+    for w in parts:
+        means.append(net.inputs(w)[1])
+        del w._sums
+    mean = np.concatenate(means)
     z = np.concatenate([net.forward(*gather(net, ids, mean, start[a: a + 4096], end[a: a + 4096])[:2])[0]
                         for a in range(0, len(rows), 4096)])
     order = np.argsort(-z, kind="stable")
@@ -323,16 +344,54 @@ def train(texts: list[str], y: np.ndarray, steps: int = 200, batch: int = 256, r
     return net
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: words (``gram`` false) and n-gram buckets with the toxic and
+    other texts that hold them."""
+    for batch in batches:
+        for b in blocks(batch, "text", BLOCK_BYTES):
+            keys, counts, gram_counts = count_block(Words(b.column("text"), lower=True), b.column("label").to_numpy(zero_copy_only=False))
+            held = np.flatnonzero(gram_counts.any(1))
+            both = np.concatenate([counts, gram_counts[held]]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(both)) >= len(keys)), pa.array(np.concatenate([keys.view(np.int64), held])),
+                 pa.array(both[:, 0]), pa.array(both[:, 1])], ["gram", "code", "toxic", "other"])
+
+
+def _windows(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, "text", BLOCK_BYTES):
+                got = choose_windows(model.value, Words(b.column("text"), lower=True), b.column("label").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.binary()), pa.array([v for _, v in got], pa.float64())],
+                                                 ["words", "label"])
+    return run
+
+
 def fit_net(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE_DOCS) -> Net | None:
-    """From at most ``limit`` labelled documents that are not held out; None
-    without any."""
+    """From the whole texts of at most ``limit`` labelled documents that are
+    not held out; None without any.  Tasks read the texts; the driver gets the
+    counts of the vocabulary and at most two windows a document."""
+    sc = docs.sparkSession.sparkContext
     ids = labelled_sample(labels, label, limit, ~held_out(F.col("doc_id"), 4, 2))
-    rows = (docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label")
-            .agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).collect())
-    rows = sorted(((r["doc_id"], r["text"] or "", r["label"]) for r in rows))
-    if not rows:
+    sample = written(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+                     .select("text", (F.col("label") != 0).cast("double").alias("label")), "toxicity-sample")
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
+    if not size["n"]:
         return None
-    return train([t for _, t, _ in rows], np.array([float(v != 0) for *_, v in rows]))
+    counts = written(sample.mapInArrow(_counts, "gram boolean, code bigint, toxic bigint, other bigint")
+                     .groupBy("gram", "code").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxicity-counts")
+    seen = F.col("toxic") + F.col("other")
+    unsigned = F.col("code").bitwiseXOR(F.lit(-1 << 63))
+    words = (counts.where(~F.col("gram") & (seen >= LEAST_TEXTS)).orderBy(seen.desc(), unsigned).limit(VOCABULARY)
+             .select("code", "toxic", "other").toPandas())
+    key = words["code"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(key)
+    in_grams = counts.where("gram").select("code", "toxic", "other").toPandas()        # at most GRAMS rows
+    gram_counts = np.zeros((GRAMS, 2))
+    gram_counts[in_grams["code"].to_numpy(dtype=np.int64)] = in_grams[["toxic", "other"]].to_numpy(dtype=float)
+    net = first_net(key[order], words[["toxic", "other"]].to_numpy(dtype=float)[order], gram_counts, size["pos"], size["n"] - size["pos"])
+    rows = sample.mapInArrow(_windows(sc.broadcast(net)), "words binary, label double").collect()
+    return fit_windows(net, sorted((bytes(r["words"]), r["label"]) for r in rows))      # task order must not matter
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:

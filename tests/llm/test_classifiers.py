@@ -94,3 +94,25 @@ def test_odd_rows(spark, run, column):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in out)
     assert len(run(docs, labels.limit(0)).collect()) == len(rows)
     assert run(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    """Passages far beyond the first characters are learned from, and the
+    windows that training gets do not depend on the partitions."""
+    rng = np.random.default_rng(6)
+    syl = ["ba", "de", "mi", "ro", "tu", "ne", "sha", "lo"]
+    word = lambda: "".join(rng.choice(syl, rng.integers(1, 5)))
+    docs, labels = [], []
+    for i in range(240):
+        w = [word() for _ in range(1500)]                 # about 9,000 characters
+        if i % 4 == 0:
+            w[-20:-20] = ["grobian", "zwixk" + word(), "grobian"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = pa.array(["ba lo grobian de mi grobian ro", "ba lo de mi ro tu ne"])
+    nets = [tox.fit_net(docs.repartition(n), labels) for n in (1, 7)]
+    for net in nets:
+        high, low = score_block(net, probe)
+        assert high >= 0.3 > low
+    assert all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in nets[0].p)
