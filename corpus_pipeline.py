@@ -8,7 +8,8 @@ Parquet and read again as the next one's input.
 4. personal data: spans are replaced by ``[kind]``, ``n_chars`` follows;
 5. mixing: ``times`` and ``taken`` per document, by source.
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``.  Stages decide and act per
+row: null ids and ids of several texts are no key.
 """
 
 from __future__ import annotations
@@ -17,40 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table, written
-from quarry.llm.decontam import benchmark_matches
+from quarry.llm.decontam import without_matches
 from quarry.llm.mixing import mix_sources
-from quarry.llm.ngram_join import jaccard_components
+from quarry.llm.ngram_join import one_of_each
 from quarry.llm.pii import personal_data
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.queries import MIX_WEIGHTS
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (``left_semi``) or is not (``left_anti``) among
-    ``ids``; a null id is an id like any other."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
-
-
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = quality_rules(docs, table(spark, sf_dir, "labels"))
-    return _by_id(docs, verdict.where("kept"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return quality_rules(docs, table(spark, sf_dir, "labels"), carry=rest).where("kept").select(docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    member = jaccard_components(docs)
-    # representatives; null-safe, since a document without an id stands for itself
-    ids = member.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = _by_id(docs, ids, "left_semi")
-    # repeated rows of a representative: one stays (few rows per id)
-    repeated = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    once = (kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))            # partial in every task, so a hot row does no harm
-    return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(once)
+    return one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _by_id(docs, benchmark_matches(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    return without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import written
+
 Q = 8
 #: Edit budget as a share of the item's length.
 EDIT_SHARE = 0.08
@@ -235,19 +237,11 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", key
     items each report.  Items pass through in blocks of ITEM_BLOCK_CHARS, one
     pass over the documents each.  No items or no rows: no matches.
     """
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    wanted = items.where(F.length(F.trim(F.col(item_text))) > 0).select(F.col(item_key).cast("long").alias("item_id"),
-                                                                      F.col(item_text).alias("text"))
-    chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // ITEM_BLOCK_CHARS))
     out_schema = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id bigint, start_pos bigint, "
                   "end_pos bigint, edits int")
     out = None
-    for part in range(parts):
-        some = wanted.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        index = sc.broadcast(Items([r["item_id"] for r in some], [r["text"] for r in some]))
-
+    for index in _indexes(items, item_text, item_key):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             held = index.value
             for batch in batches:
@@ -262,3 +256,32 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", key
         got = rows.mapInArrow(run, out_schema)
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def _indexes(items: DataFrame, item_text: str, item_key: str) -> Iterator:
+    """Broadcast ``Items``, of ITEM_BLOCK_CHARS about; one at least."""
+    sc = items.sparkSession.sparkContext
+    wanted = items.where(F.length(F.trim(F.col(item_text))) > 0).select(F.col(item_key).cast("long").alias("item_id"),
+                                                                      F.col(item_text).alias("text"))
+    chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-chars // ITEM_BLOCK_CHARS))
+    for part in range(parts):
+        some = wanted.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        yield sc.broadcast(Items([r["item_id"] for r in some], [r["text"] for r in some]))
+
+
+def without_matches(docs: DataFrame, items: DataFrame, item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` (all columns) whose ``text`` holds no passage that
+    ``benchmark_matches`` reports.  Every row is judged by itself, whatever
+    its id.  Between passes over the items the rows are written."""
+    out = None
+    for index in _indexes(items, item_text, item_key):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in _slices(batch, "text"):
+                    clean = np.ones(b.num_rows, dtype=bool)
+                    clean[[d for d, *_ in find(b.column("text").to_pylist(), index.value)]] = False
+                    yield b.filter(pa.array(clean))
+        out = (docs if out is None else written(out, "decontamination-pass")).mapInArrow(run, docs.schema)
+    return out

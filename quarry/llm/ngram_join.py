@@ -307,18 +307,11 @@ def _bit_filter(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
-
-    Two texts link when the Jaccard similarity of their sets is at least
-    THRESHOLD; the component is the smallest id reachable by links.  Null and
-    empty texts have no shingles and link with nothing (component: own id).
-    Rows of a null id take part; ids are compared as longs, nulls last.
-    Repeated rows are copies.  Empty input: no rows.
-    """
-    spark = docs.sparkSession
+def _labelled_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, text): members (doc_id, cls, n_shingles) per row, and
+    classes of equal sets (cls, least id, rows, label of the component)."""
+    spark = base.sparkSession
     sc = spark.sparkContext
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scan = written(base.mapInArrow(_scan, "kind int, a bigint, b bigint, n bigint"), "jaccard-scan")
     total = scan.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT_LEAST, total // FREQUENT)          # so at most FREQUENT tokens pass
@@ -374,9 +367,59 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     classes = (members.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
                .join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
     classes = written(classes, "jaccard-classes")
+    return members, classes
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
+
+    Two texts link when the Jaccard similarity of their sets is at least
+    THRESHOLD; the component is the smallest id reachable by links.  Null and
+    empty texts have no shingles and link with nothing (component: own id).
+    Rows of a null id take part; ids are compared as longs, nulls last.
+    Repeated rows are copies.  Empty input: no rows.
+    """
+    members, classes = _labelled_classes(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
     groups = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("group_rows"))
     of_class = written(join_by_key(classes.select("cls", "label", "rows"), written(groups, "jaccard-groups"), "label", "group_rows")
                        .select("cls", "component_id", "rows"), "jaccard-of-class")
     with_words = join_by_key(members.where("n_shingles > 0"), of_class, "cls", "rows").select("doc_id", "n_shingles", "component_id")
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_words.unionByName(alone)
+
+
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with words and their class; of a block's rows of one id and class
+    the first, since one at most is kept."""
+    for batch in batches:
+        for b in blocks(batch, "text", 4_000_000):
+            cls = [_digest(s) if len(s) else None for s in shingle_sets(Words(b.column("text"), lower=True), SHINGLE)]
+            once = {}
+            for i, pair in enumerate(zip(b.column("doc_id").to_pylist(), cls)):
+                if pair[1] is not None:
+                    once.setdefault(pair, i)
+            at = pa.array(list(once.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(cls, pa.int64()).take(at)],
+                                             [*b.schema.names, "_cls"])
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) without near copies: of each
+    component of ``jaccard_components`` one row, of the smallest id (null ids
+    last, then by class).  Rows are told apart by id and text, so neither null
+    nor repeated ids join what is different.  Rows without words stay; those
+    repeated under one id stay once."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    _, classes = _labelled_classes(base)
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("best")
+    keep = written(classes.groupBy("label").agg(best).select(
+        F.col("best.cls").alias("_cls"), F.coalesce("best.least", F.lit(0)).alias("_id"), F.col("best.none").alias("_none")), "jaccard-kept")
+    number = F.col("doc_id").cast("long")
+    pair = ["_cls", "_id", "_none"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    worded = (docs.mapInArrow(_with_class, f"{schema}, _cls bigint")
+              .withColumn("_id", F.coalesce(number, F.lit(0))).withColumn("_none", number.isNull())
+              .join(keep, pair, "left_semi").dropDuplicates(pair).select(docs.columns))
+    bare = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return (worded.unionByName(bare.where(F.col("doc_id").isNull()))
+            .unionByName(bare.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])))

@@ -101,19 +101,24 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def text_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def text_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """``doc_id`` and the statistics of every whole text, one row per row of
-    ``docs``.  A null or empty text has 0 throughout."""
+    ``docs``.  A null or empty text has 0 throughout.  ``carry`` keeps the
+    text and further columns."""
+    kept = [] if carry is None else ["text", *carry]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "text"):
                 s = statistics(b.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), *(pa.array(s[c].astype(np.int64)) for c in BASE + MORE)], ["doc_id", *BASE, *MORE])
+                    [b.column("doc_id"), *(pa.array(s[c].astype(np.int64)) for c in BASE + MORE), *(b.column(c) for c in kept)],
+                    ["doc_id", *BASE, *MORE, *kept])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in BASE + MORE))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(carry or []))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", *(f"{c} bigint" for c in BASE + MORE),
+                                           *(f"`{c}` {kinds[c]}" for c in kept)]))
 
 
 def base_failed() -> Column:
@@ -230,15 +235,20 @@ def fit_rules(stats: DataFrame, labels: DataFrame, label: str = "quality", limit
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-                  label: str = "quality") -> DataFrame:
+                  label: str = "quality", carry: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, the statistics, ``base_failed``,
     ``rule`` (number of the first learned rule that rejects, else null) and
     ``kept``.
 
     Nulls and empty texts fail the base rule (no words).  A null key gets its
     row all the same; repeated rows get equal rows.  Without labels the base
-    rule decides alone."""
-    stats = written(text_statistics(docs, text, key), "text-statistics")
+    rule decides alone.  ``carry`` keeps the text and further columns; then
+    nothing is written and the statistics are taken twice."""
+    stats = text_statistics(docs, text, key)
+    if carry is None:
+        stats = written(stats, "text-statistics")
     rule = reject_expression(fit_rules(stats, labels, label))
+    if carry is not None:
+        stats = text_statistics(docs, text, key, carry)
     return (stats.withColumn("base_failed", base_failed()).withColumn("rule", rule)
             .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()))

@@ -41,3 +41,28 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_null_and_repeated_ids_are_no_key(spark):
+    """Several rows without an id, and one id with two texts: each row is
+    judged by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()[3]["text"]
+    good = [r["text"] for r in cp.rules_stage(spark, docs, SF).orderBy("doc_id").collect()]
+    leaks = {d for d, *_ in find(good, Items(*map(list, zip(*[(r["item_id"], r["text"]) for r in
+                                                         spark.read.parquet(f"{SF}/benchmark.parquet").collect()]))))}
+    a, b, c, d = [t for i, t in enumerate(good) if i not in leaks][:4]
+
+    def run(stage, rows):
+        out = stage(spark, spark.createDataFrame([(i, t, "en", "src", 1) for i, t in rows], docs.schema), SF)
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = lambda rows: sorted(rows, key=str)
+    leaked = c[:200] + "\n" + bench + "\n" + c[200:]
+    assert run(cp.decontamination_stage, [(None, a), (None, leaked), (7, b), (7, leaked)]) == want([(None, a), (7, b)])
+    assert run(cp.rules_stage, [(None, a), (None, "too short"), (7, b), (7, "too short")]) == want([(None, a), (7, b)])
+    near = lambda t: t + " tail"
+    got = run(cp.near_copies_stage, [(1, a), (None, near(a)), (None, b), (None, near(b)), (7, c), (7, near(c)), (7, d), (7, d),
+                                     (None, None), (None, " "), (8, ""), (8, "")])
+    assert len(got) == 7 and (1, a) in got and (7, d) in got
+    assert sum(t in (b, near(b)) for _, t in got) == 1 == sum(t in (c, near(c)) for _, t in got)
+    assert {(None, None), (None, " "), (8, "")} <= set(got)
