@@ -9,8 +9,8 @@ expanded to (item, diagonal), counted in bands of two neighbouring cells of
 and the bands that reach their item's bound are verified by banded
 alignment of the item against the band's region.
 
-Texts are compared as lower-case code points with runs of white space as one
-space; spans are given in code points of the text itself.
+Texts are compared as lower-case code points (letters whose lower case is one
+code point; final sigma as sigma) with runs of Unicode white space as one space; spans are given in code points of the text itself.
 """
 
 from __future__ import annotations
@@ -33,12 +33,15 @@ ITEM_BLOCK_CHARS = 4_000_000
 BLOCK_CHARS = 1_000_000
 
 _R = 0x9E3779B97F4A7C15 | 1
-_LOWER = np.arange(0x250, dtype=np.uint32)
-for _c in range(0x250):
-    if len(chr(_c).lower()) == 1 and ord(chr(_c).lower()) < 0x250:
+#: All letters with case and all white space lie in the first two planes.
+_TABLE = 0x20000
+_LOWER = np.arange(_TABLE, dtype=np.uint32)
+for _c in range(_TABLE):
+    if len(chr(_c).lower()) == 1:
         _LOWER[_c] = ord(chr(_c).lower())
-_SPACE = np.zeros(0x250, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = True
+_LOWER[0x3C2] = 0x3C3                       # final sigma, which has no capital of its own
+_SPACE = np.array([chr(_c).isspace() for _c in range(_TABLE)])
+_SPACE[0x1C:0x20] = False                   # separators, not white space in Unicode
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +55,7 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def normal(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased points with white space runs as one space, their offsets,
     and the position of each in the input."""
-    low = points < 0x250
+    low = points < _TABLE
     clipped = np.where(low, points, 0)
     space = _SPACE[clipped] & low
     drop = np.zeros(len(points), dtype=bool)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quarry.llm.decontam import EDIT_SHARE, Items, benchmark_matches, budget, find
 
 
@@ -67,3 +69,14 @@ def test_odd_rows(spark):
     assert sum(r["doc_id"] == 3 for r in got) == 2
     assert benchmark_matches(docs.limit(0), items).count() == 0
     assert benchmark_matches(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("passage", ["Ο γρήγορος σκύλος τρέχει στους δρόμους της πόλης όταν νυχτώνει",
+                                     "Съешь же ещё этих мягких французских булок да выпей чаю",
+                                     "Բարեւ ձեզ սիրելի բարեկամներ այսօր մենք միասին կարդում ենք",
+                                     "𐐔𐐯𐑅𐐨𐑉𐐯𐐻 𐐢𐐯𐐻𐐲𐑉𐑆 𐐰𐑉 𐐩 𐑅𐐿𐑉𐐮𐐹𐐻 𐐶𐐮𐑄 𐐻𐐭 𐐿𐐩𐑅𐐲𐑆"])
+def test_case_and_space_of_other_scripts(passage):
+    items = Items([1], [passage])
+    for other in (passage.upper(), passage.replace(" ", "\u2003\u3000"), passage.upper().replace(" ", "\u2009")):
+        text = "before it " + other + " after it"
+        assert [(i, s, e, c) for _, i, s, e, c in find([text], items)] == [(0, 10, 10 + len(other), 0)]
