@@ -3,6 +3,10 @@ joins whose key may be hot."""
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,12 @@ def join_by_key(left: DataFrame, per_key: DataFrame, key: str, rows: str) -> Dat
                        F.col(key) == F.col(name), "left")
     return (marked.where(F.col(name).isNotNull()).drop(name).join(hot_keys, key)
             .unionByName(marked.where(F.col(name).isNull()).drop(name).join(few, key)))
+
+
+def per_process(key, make: Callable):
+    """``make()``, once per Python process: kept beside the modules, since this
+    one is shipped to workers anew with every task."""
+    kept = sys.modules.setdefault("quarry-worker-cache", types.ModuleType("quarry-worker-cache")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 from quarry.llm.decontam import benchmark_matches
 from quarry.llm.html_main import main_text
+from quarry.llm.merkle import tamper_check
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import jaccard_components
+from quarry.llm.pieces import decode_pieces, encode_pieces
 from quarry.llm.pii import personal_data
 from quarry.llm.quality_knn import quality_votes
 from quarry.llm.quality_rules import BASE, quality_rules
 from quarry.llm.toxicity import toxicity
 from quarry.llm.urlfilter import Rule, judge_urls
 from quarry.llm.warc import archive_round_trip
+from quarry.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +170,73 @@ def op9(spark, sf_dir):
 @query("op10_main_text")
 def op10(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
+
+
+_FIELD = "coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def merkle_sql(docs: str) -> str:
+    """Leaves, roots, proofs and folds over relation ``docs``; the crc32 runs
+    over the digits of the id, a bit at a time."""
+    leaf = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    return rf"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {leaf.format(text="text")} AS leaf,
+         CASE WHEN (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 3 = 0
+              THEN {leaf.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+  FROM ({docs}) d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+nodes AS (SELECT 0 AS level, tree, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM placed
+          UNION ALL
+          SELECT level + 1, tree, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8
+          FROM nodes WHERE n > 1 GROUP BY level, tree, pos // 8),
+tops AS (SELECT 0 AS level, tree AS pos, node, count(*) OVER () AS n FROM nodes WHERE n = 1
+         UNION ALL
+         SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8
+         FROM tops WHERE n > 1 GROUP BY level, pos // 8),
+runs AS (SELECT 0 AS part, level, tree, pos // 8 AS run, string_agg(node, '' ORDER BY pos) AS kids
+         FROM nodes WHERE n > 1 GROUP BY level, tree, pos // 8
+         UNION ALL
+         SELECT 1, level, NULL, pos // 8, string_agg(node, '' ORDER BY pos) FROM tops WHERE n > 1 GROUP BY level, pos // 8),
+places AS (SELECT p.tree, p.pos, r.part, r.level, r.kids,
+                  (CASE r.part WHEN 0 THEN p.pos ELSE p.tree END >> (3 * r.level)) % 8 AS slot
+           FROM placed p JOIN runs r ON (r.part = 0 AND r.tree = p.tree AND r.run = p.pos >> (3 * r.level + 3))
+                                     OR (r.part = 1 AND r.run = p.tree >> (3 * r.level + 3))),
+ways AS (SELECT tree, pos,
+                list(substr(kids, 1, 64 * slot) || '|' || substr(kids, 64 * slot + 65) ORDER BY part, level) AS steps
+         FROM places GROUP BY tree, pos),
+folds AS (
+  SELECT p.doc_id, p.leaf, s.node AS subroot, (SELECT node FROM tops WHERE n = 1) AS root,
+         sha256(replace(array_to_string(coalesce(w.steps, []), ''), '|', '')) AS proof_sha256,
+         list_reduce(list_prepend(coalesce(p.tampered, p.leaf), coalesce(w.steps, [])),
+                     lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM placed p JOIN (SELECT tree, node FROM nodes WHERE n = 1) s ON p.tree = s.tree
+  LEFT JOIN ways w ON w.tree = p.tree AND w.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM folds"""
+
+
+@query("op11_merkle_manifest", merkle_sql("SELECT doc_id, source, lang, n_chars, text FROM documents"))
+def op11(spark, sf_dir):
+    return tamper_check(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def piece_digests(docs: DataFrame, model: str) -> DataFrame:
+    decoded = decode_pieces(encode_pieces(docs, model, ["doc_id"]), model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_sentencepiece")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

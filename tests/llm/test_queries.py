@@ -13,7 +13,11 @@ COLUMNS = {
     "op8_quality_votes": ["doc_id", "held_out", "score", "predicted"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"],
     "op10_main_text": ["page_id", "url", "text", "n_chars"],
+    "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
+#: Tables other than documents, and rows for each of theirs.
+TABLES = {"op10_main_text": ("pages", 1), "op12_whitening": ("embeddings", 4)}
 
 
 def test_sql_agrees(spark):
@@ -27,5 +31,5 @@ def test_others_return_their_columns_for_every_row(spark):
         out = QUERIES[name](spark, SF)
         assert out.columns == columns, name
         if name != "op4_decontamination":
-            source = "pages" if name == "op10_main_text" else "documents"
-            assert out.count() == spark.read.parquet(f"{SF}/{source}.parquet").count(), name
+            source, each = TABLES.get(name, ("documents", 1))
+            assert out.count() == each * spark.read.parquet(f"{SF}/{source}.parquet").count(), name
