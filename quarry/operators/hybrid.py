@@ -1,16 +1,14 @@
 """Hybrid search (keyword leg + vector leg, merged) and the index build job.
 
 ``build_index`` is the ingest job: scan -> HTML to text -> chunks ->
-embeddings -> a new version folder with the chunk table (with its embedding
-column), postings, term frequencies and statistics.  A version counts once
-its row in the ``versions`` table is written, last of all, so a failed
-rebuild leaves the former index readable and readers never see new chunks
-with old postings.  ``read_index`` opens the newest version.
+embeddings -> the tables of a new version (``store``), committed as the next
+generation (``versions``).  A version counts once it is committed, so a failed
+rebuild leaves the former index readable and readers never see new chunks with
+old postings.  ``read_index`` opens the newest generation.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass
 
@@ -18,17 +16,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.embed import hash_embed, hash_embed_tokens
+from quarry.operators import versions
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
 from quarry.operators.common import significant, sized, top_k_per_group
-from quarry.operators.keyword import KeywordIndex, bm25_match, chunk_postings, rank_order, term_bucket, tokenize_chunks, with_snippets
+from quarry.operators.keyword import KeywordIndex, bm25_match, rank_order, tokenize_chunks, with_snippets
+from quarry.operators.store import Store, write_store
 from quarry.operators.vector import knn
 from quarry.sources.scans import to_text
 
 
 @dataclass
 class HybridIndex:
+    """A keyword index whose tokenized chunks have an ``embedding``."""
+
     keyword: KeywordIndex
-    chunks: DataFrame          # CHUNK_KEY, content, n_tokens, embedding
+
+    @property
+    def chunks(self) -> DataFrame:
+        """CHUNK_KEY, content, n_tokens, embedding."""
+        return self.keyword.tokenized.drop("tokens")
 
 
 def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64) -> DataFrame:
@@ -41,55 +47,28 @@ def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64) -> DataFrame:
 
 
 def index_in_memory(chunks: DataFrame, embed=None, dim: int = 64) -> HybridIndex:
-    """A lazy index over ``chunks`` (nothing written).  Both sides start
-    from one tokenization."""
-    tok = tokenize_chunks(chunks)
-    kw = KeywordIndex(chunks=tok.drop("tokens"), tokenized=tok)
-    return HybridIndex(kw, embed_chunks(tok, embed, dim).drop("tokens"))
+    """A lazy index over ``chunks``.  Both sides start from one tokenization,
+    which the first search writes."""
+    tok = embed_chunks(tokenize_chunks(chunks), embed, dim)
+    return HybridIndex(KeywordIndex(chunks=tok.drop("tokens", "embedding"), tokenized=tok))
 
 
 def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: bool = True,
-                max_words: int = 300, overlap: int = 50) -> None:
+                max_words: int = 300, overlap: int = 50) -> int:
     """Ingest ``docs(source, doc_id, html|text)`` into ``path`` as a new
-    version, which replaces the former one for readers when it is complete.
-
-    Postings are made inside each chunk's row and dealt to (bucket, slice):
-    ``bucket`` is a partition folder, so a lookup opens its terms' buckets
-    only, and a frequent term is spread over its bucket's files by chunk.
-    """
+    generation, which replaces the former one for readers once it is
+    committed; returns its number."""
     spark = docs.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    root = f"{path}/{version}"
+    folder = f"v-{uuid.uuid4().hex}"
     text = to_text(docs) if html else docs
     chunks = tokenize_chunks(chunk_text(text, "text", max_words=max_words, overlap=overlap))
-    chunks = embed_chunks(chunks, embed, dim)
-    # sorted by key inside each file: a lookup of a few documents skips the
-    # other row groups.  The tokens are kept until the postings are written
-    chunks.sortWithinPartitions(*CHUNK_KEY).write.parquet(f"{root}/tokenized")
-    stored = spark.read.parquet(f"{root}/tokenized")
-    postings = chunk_postings(stored).withColumn("bucket", term_bucket("term"))
-    (postings.repartition("bucket", F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(4)))
-     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/postings"))
-    written = spark.read.parquet(f"{root}/postings")
-    (written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket")
-     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/term_df"))
-    stored.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").cast("bigint").alias("total_tokens")) \
-        .write.parquet(f"{root}/stats")
-    # the pointer: one appended row, committed last
-    spark.createDataFrame([(version, time.time_ns())], "version string, written_ns bigint").coalesce(1) \
-        .write.mode("append").parquet(f"{path}/versions")
+    entry = write_store(embed_chunks(chunks, embed, dim), f"{path}/{folder}")
+    return versions.commit(spark, path, entry | {"folder": folder})
 
 
 def read_index(spark: SparkSession, path: str) -> HybridIndex:
-    newest = spark.read.parquet(f"{path}/versions").orderBy(F.col("written_ns").desc(), "version").first()
-    root = f"{path}/{newest['version']}"
-    chunks = spark.read.parquet(f"{root}/tokenized").drop("tokens")
-    st = spark.read.parquet(f"{root}/stats").first()
-    n = int(st["n_chunks"])
-    kw = KeywordIndex(chunks=chunks.drop("embedding"), stored_postings=spark.read.parquet(f"{root}/postings"),
-                      stored_df=spark.read.parquet(f"{root}/term_df"),
-                      _stats=(n, (float(st["total_tokens"] or 0) / n) if n else 0.0))
-    return HybridIndex(kw, chunks)
+    entry = versions.newest(spark, path)
+    return HybridIndex(Store(spark, f"{path}/{entry['folder']}", entry).index())
 
 
 def _source_id() -> Column:
@@ -121,6 +100,7 @@ def hybrid_search(index: HybridIndex, queries: DataFrame, top_k: int = 5, overfe
     kw = top_k_per_group(kw, ["query_id"], rank_order(), most * overfetch, "leg_rank")
     kw = kw.where(F.col("leg_rank") <= most).select("query_id", *CHUNK_KEY, "score", "leg_rank",
                                                      F.lit(1).alias("leg"))
+    index.keyword.kept()
     fn = embed or (lambda c: hash_embed(c, dim))
     qv = q.select("query_id", fn(F.col("query")).alias("vector"))
     sem = knn(index.chunks.select(*CHUNK_KEY, "embedding"), qv, most, CHUNK_KEY, rank_col="leg_rank")

@@ -8,20 +8,28 @@ Layout of an index (all ordinary DataFrames / tables):
 * ``term_df``  - ``term, df``: chunks that hold a term
 * statistics   - ``N`` = number of chunks, ``avgdl`` = mean tokens per chunk
 
-A chunk's postings are made inside its row, so no token is ever shuffled.
-Stored postings and term frequencies are laid out by term bucket; a lookup
-opens the buckets of its terms only.
+A chunk's postings are made inside its Arrow batch, so no token is ever
+shuffled.  A search over a lazy index writes the tokenized chunks once and
+takes everything from there.  Stored indexes (``quarry.operators.store``) lay
+the same rows out by term bucket; a lookup opens the buckets of its terms only.
 
 A search writes its query terms (``sized``), so the planner knows their size
 and decides itself whether to broadcast them; beyond that the joins shuffle,
 with adaptive skew splitting for frequent terms.  AND queries start from each
-query's rarest term.
+query's rarest term; ranked OR queries are in ``quarry.operators.ranked``,
+prefixes in ``vocabulary``, phrases in ``phrases``.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +37,27 @@ from quarry.functions.text import let, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.common import significant, sized, top_k_per_group
 
+if TYPE_CHECKING:
+    from quarry.operators.store import Store
+
 K1 = 1.2
 B = 0.75
 # FTS5 floors a non-positive idf at this value.
 IDF_FLOOR = 1e-6
-# Term buckets of the stored layout.
-N_BUCKETS = 64
+#: Chunks of a slice (see ``ranked``), and slices at most.
+SLICE_CHUNKS, MAX_SLICES = 4096, 4096
+
+# worker-side code travels by value: workers need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
+def slice_count(n_chunks: int) -> int:
+    return max(1, min(MAX_SLICES, n_chunks // SLICE_CHUNKS))
 
-def term_bucket(term) -> Column:
-    return F.pmod(F.xxhash64(F.col(term) if isinstance(term, str) else term), F.lit(N_BUCKETS)).cast("int")
+
+def chunk_slice(n_slices: int) -> Column:
+    """The slice of a chunk: 64 consecutive chunks of a document stay together."""
+    return F.pmod(F.xxhash64("source", "doc_id", F.floor(F.col("chunk_no") / 64)), F.lit(n_slices)).cast("int")
 
 
 def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -47,69 +66,88 @@ def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
                   .withColumn("n_tokens", F.size("tokens")))
 
 
-def chunk_terms(tokens: Column) -> Column:
-    """A chunk's postings ``array<struct<term, tf, positions>>`` from its
-    tokens: (term, position) pairs are sorted and cut where the term changes."""
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (
-            F.element_at(s, i)["term"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["term"]))
-        return let(starts, lambda st: F.transform(st, lambda a, k: F.struct(
-            F.element_at(s, a)["term"].alias("term"),
-            (F.coalesce(F.get(st, k + 1), n + 1) - a).alias("tf"),
-            F.transform(F.slice(s, a, F.coalesce(F.get(st, k + 1), n + 1) - a), lambda x: x["pos"]).alias("positions"))))
-    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    return F.when(F.size(tokens) > 0, let(F.array_sort(pairs), runs))
-
-
-def chunk_postings(tok_chunks: DataFrame) -> DataFrame:
-    """Postings of tokenized chunks, without a shuffle."""
-    # outer generator + null test: a plain one over a computed column makes
-    # Spark infer a filter on it below and compute it twice
-    return (tok_chunks.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"), F.inline_outer(chunk_terms(F.col("tokens"))))
-            .where(F.col("term").isNotNull()).select("term", *CHUNK_KEY, "dl", "tf", "positions"))
+def term_runs(tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """``(row, term, offsets, positions)`` of a column of token lists: the
+    positions of each distinct term of a row, ascending, are the slice of
+    ``positions`` between consecutive ``offsets``."""
+    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = row * max(1, len(flat.dictionary)) + flat.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    terms = flat.dictionary.take(flat.indices.take(pa.array(order[first])))
+    return row[order[first]], terms, np.append(first, len(key)), place[order]
+
+
+def postings_of(tokenized: DataFrame, positions: bool = True) -> DataFrame:
+    """``term, *CHUNK_KEY, dl, tf[, positions]`` of chunks with ``tokens`` and
+    ``n_tokens``, a batch at a time, without a shuffle."""
+    keep = tokenized.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"))
+    names = ["term", *keep.columns, "tf"] + (["positions"] if positions else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, terms, offsets, places = term_runs(b.column("tokens"))
+            at = pa.array(row)
+            columns = [terms, *[c.take(at) for c in b.columns[1:]], pa.array(np.diff(offsets).astype(np.int32))]
+            if positions:
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema)
+    schema = f"term string, {kinds}, tf int" + (", positions array<int>" if positions else "")
+    return tokenized.select("tokens", *CHUNK_KEY, F.col("n_tokens").alias("dl")).mapInArrow(run, schema)
 
 
 @dataclass
 class KeywordIndex:
-    """A keyword index, either lazy (built from tokenized chunks in the same
-    plan) or stored (tables written by ``build_index``)."""
+    """A keyword index: lazy (tokenized chunks, nothing written until the
+    first search) or stored (tables of ``quarry.operators.store``)."""
 
-    chunks: DataFrame
-    tokenized: DataFrame | None = None        # lazy form: chunks with tokens
-    stored_postings: DataFrame | None = None  # stored form, with bucket
-    stored_df: DataFrame | None = None
+    chunks: DataFrame                         # CHUNK_KEY, content, n_tokens
+    tokenized: DataFrame                      # the chunks with tokens
+    store: Store | None = None
     _stats: tuple[int, float] | None = field(default=None, repr=False)
+    _kept: bool = field(default=False, repr=False)
 
     @classmethod
-    def from_chunks(cls, chunks: DataFrame) -> "KeywordIndex":
+    def from_chunks(cls, chunks: DataFrame) -> KeywordIndex:
         tok = tokenize_chunks(chunks)
         return cls(chunks=tok.drop("tokens"), tokenized=tok)
 
+    def kept(self) -> KeywordIndex:
+        """This index with its tokenized chunks written (once)."""
+        if self.store is None and not self._kept:
+            self.tokenized = sized(self.tokenized, "tokenized")
+            self.chunks, self._kept = self.tokenized.drop("tokens"), True
+        return self
+
     def postings(self, positions: bool = True) -> DataFrame:
-        p = self.stored_postings.drop("bucket") if self.stored_postings is not None else chunk_postings(self.tokenized)
+        if self.store is None:
+            return postings_of(self.tokenized, positions)
+        p = self.store.table("postings").drop("bucket", "slice")
         return p if positions else p.drop("positions")
 
-    def _buckets(self, terms: DataFrame) -> list[int]:
-        """Buckets of the terms: N_BUCKETS numbers at most."""
-        return [r[0] for r in terms.select(term_bucket("term")).distinct().collect()]
-
     def postings_for(self, terms: DataFrame, positions: bool = True) -> DataFrame:
         """Postings of the terms in ``terms(term)``; of a stored index only
         their buckets are read."""
-        p = self.postings(positions)
-        if self.stored_postings is not None:
-            p = self.stored_postings.where(F.col("bucket").isin(self._buckets(terms))).drop("bucket")
+        if self.store is None:
+            p = postings_of(self.tokenized, positions)
+        else:
+            p = self.store.bucket_rows("postings", terms).drop("bucket", "slice")
             p = p if positions else p.drop("positions")
         return p.join(terms.select("term").distinct(), "term", "left_semi")
 
-    def df_for(self, terms: DataFrame, postings: DataFrame) -> DataFrame:
-        """``(term, df)``: from the stored table, else counted over
+    def df_for(self, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """``(term, df)``: from the stored vocabulary, else counted over
         ``postings`` (all rows of those terms; partial counts)."""
-        if self.stored_df is not None:
-            d = self.stored_df.where(F.col("bucket").isin(self._buckets(terms)))
-            return d.join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
-        return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if self.store is not None:
+            return self.store.terms(terms)
+        p = postings if postings is not None else self.postings_for(terms, positions=False)
+        return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def stats(self) -> tuple[int, float]:
         """``(N, avgdl)``: chunks, not documents, are the rows being ranked."""
@@ -132,8 +170,8 @@ def term_df(index: KeywordIndex) -> DataFrame:
     """Document frequency per term (chunks containing the term): one partial
     aggregation, so a very frequent term costs one row per input partition
     in the shuffle."""
-    if index.stored_df is not None:
-        return index.stored_df.select("term", "df")
+    if index.store is not None:
+        return index.store.table("vocabulary").select("term", "df")
     terms = index.tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -155,148 +193,121 @@ def query_terms(queries: DataFrame, query_col: str = "query", id_col: str = "que
     ).select("query_id", "term", "qtf", "n_terms")
 
 
-def _idf(n: int, df: Column) -> Column:
+def idf(n: int, df: Column) -> Column:
     raw = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
 
 
+def impact(avgdl: float, k1: float = K1, b: float = B) -> Column:
+    """What a posting adds to a score, but for its term's weight (idf x qtf)."""
+    norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+
+
+def from_rarest(p: DataFrame, terms: DataFrame, what: str = "term") -> DataFrame:
+    """Rows of ``p`` in the chunks that hold each query's rarest term, joined
+    to ``terms (query_id, what, df, ...)``.  A chunk that holds every term of a
+    query holds the rarest one, so a frequent term never fans out across the
+    queries that mention it."""
+    rare = sized(terms.groupBy("query_id").agg(F.min_by(what, F.struct("df", what)).alias(what)), "rarest")
+    cand = p.join(rare, what).select("query_id", *CHUNK_KEY)
+    return p.join(cand, CHUNK_KEY).join(terms, ["query_id", what])
+
+
+def without(rows: DataFrame, index: KeywordIndex, exclude: DataFrame) -> DataFrame:
+    """``rows (query_id, CHUNK_KEY, ...)`` of chunks that hold none of their
+    query's terms in ``exclude (query_id, term)``.  The chunks of ``rows`` are
+    looked up in those terms' postings, so a frequent term costs its postings
+    once and no row per query."""
+    keys = rows.select("query_id", *CHUNK_KEY).distinct()
+    p = index.postings_for(exclude, positions=False).select("term", *CHUNK_KEY)
+    bad = p.join(keys, CHUNK_KEY).join(exclude.select("query_id", "term").distinct(), ["query_id", "term"])
+    return rows.join(bad.select("query_id", *CHUNK_KEY).distinct(), ["query_id", *CHUNK_KEY], "left_anti")
+
+
 def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
                exclude: DataFrame | None = None, k1: float = K1, b: float = B,
                query_col: str = "query", id_col: str = "query_id") -> DataFrame:
-    """Chunks matching each query, with their BM25 score (bigger = better).
+    """*All* chunks matching each query, with their BM25 score (bigger =
+    better).  The best k of an OR query alone: ``ranked.bm25_top``.
 
     ``mode='all'`` - every query term occurs (the implicit AND of a MATCH);
     ``mode='any'`` - at least one occurs (OR).  ``exclude`` is an optional
-    ``(query_id, query)`` frame of terms that must *not* occur (NOT): matches
-    containing any of them are removed with an anti-join.  The score sums
-    over the positive terms present:
+    ``(query_id, query)`` frame of terms that must *not* occur (NOT).  The
+    score sums over the positive terms present:
     ``idf * tf * (k1+1) / (tf + k1 * (1 - b + b * dl / avgdl))``.
     """
     if mode not in ("all", "any"):
         raise ValueError("mode must be 'all' or 'any'")
+    index.kept()
     qt = sized(query_terms(queries, query_col, id_col), "query-terms")
     n, avgdl = index.stats()
     # the postings of the query terms, written once: they are read for the
     # term frequencies (lazy index), the candidates and the scores
     p = sized(index.postings_for(qt, positions=False), "query-postings")
     qt = sized(qt.join(index.df_for(qt, p), "term"), "query-terms")
-    tf = F.col("tf")
-    norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
-    score = _idf(n, F.col("df")) * tf * (k1 + 1) / (tf + norm) * F.col("qtf")
-    if mode == "all":
-        # A chunk holding every query term holds the query's rarest one, so
-        # candidates come from that term's short posting list, and a frequent
-        # term never fans out across every query that mentions it.
-        rare = qt.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-        cand = p.select("term", *CHUNK_KEY).join(sized(rare, "rare-terms"), "term").select("query_id", *CHUNK_KEY)
-        scored = p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
-    else:
-        scored = p.join(qt, "term")
+    score = idf(n, F.col("df")) * impact(avgdl, k1, b) * F.col("qtf")
+    scored = from_rarest(p, qt) if mode == "all" else p.join(qt, "term")
     hits = (scored.groupBy("query_id", "n_terms", *CHUNK_KEY)
                   .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         hits = hits.where(F.col("n_matched") == F.col("n_terms"))
     if exclude is not None:
-        bad = match_terms(index, exclude, "any", query_col, id_col)
-        hits = hits.join(bad, ["query_id", *CHUNK_KEY], "left_anti")
+        hits = without(sized(hits, "hits"), index, sized(query_terms(exclude, query_col, id_col), "exclude"))
     return hits.select("query_id", *CHUNK_KEY, "score")
 
 
 def match_terms(index: KeywordIndex, queries: DataFrame, mode: str = "all",
                 query_col: str = "query", id_col: str = "query_id") -> DataFrame:
-    """``(query_id, CHUNK_KEY)`` of chunks holding all / any query terms
-    (no scoring; used for NOT lists)."""
+    """``(query_id, CHUNK_KEY)`` of chunks holding all / any query terms."""
+    index.kept()
     qt = sized(query_terms(queries, query_col, id_col), "query-terms")
-    m = (index.postings_for(qt, positions=False).join(qt, "term")
-         .groupBy("query_id", "n_terms", *CHUNK_KEY)
-         .agg(F.count(F.lit(1)).alias("n_matched")))
+    p = sized(index.postings_for(qt, positions=False), "query-postings")
+    qt = qt.join(index.df_for(qt, p), "term")
+    m = ((from_rarest(p, sized(qt, "query-terms")) if mode == "all" else p.join(qt, "term"))
+         .groupBy("query_id", "n_terms", *CHUNK_KEY).agg(F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         m = m.where(F.col("n_matched") == F.col("n_terms"))
     return m.select("query_id", *CHUNK_KEY)
 
 
-def _positions_by_term(index: KeywordIndex, queries: DataFrame, query_col: str, id_col: str) -> DataFrame:
-    """Per (query, chunk) holding every query term: ``pos_map`` term ->
-    sorted positions.  Bounded by the number of query terms.  Candidates come
-    from each query's rarest term."""
-    qt = sized(query_terms(queries, query_col, id_col), "query-terms")
-    p = sized(index.postings_for(qt), "query-postings")
-    rare = (qt.join(index.df_for(qt, p), "term").groupBy("query_id")
-            .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    cand = p.select("term", *CHUNK_KEY).join(sized(rare, "rare-terms"), "term").select("query_id", *CHUNK_KEY)
-    return (p.join(cand, CHUNK_KEY).join(qt, ["query_id", "term"])
-             .groupBy("query_id", "n_terms", *CHUNK_KEY)
-             .agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("pos_map"))
-             .where(F.size("pos_map") == F.col("n_terms")))
-
-
-def match_phrase(index: KeywordIndex, queries: DataFrame, query_col: str = "query",
-                 id_col: str = "query_id") -> DataFrame:
-    """Chunks where the query's tokens occur consecutively (``"a b c"``)."""
-    qs = sized(queries.select(F.col(id_col).alias("query_id"), unicode61_tokens(query_col).alias("phrase")), "phrases")
-    cand = _positions_by_term(index, queries, query_col, id_col).join(qs, "query_id")
-    ph, m = F.col("phrase"), F.col("pos_map")
-    follows = F.exists(m[ph[0]], lambda p: F.forall(
-        F.sequence(F.lit(1), F.size(ph) - 1),
-        lambda i: F.array_contains(m[F.element_at(ph, i + 1)], p + i)))
-    ok = F.when(F.size(ph) == 1, F.lit(True)).otherwise(follows)
-    return cand.where(ok).select("query_id", *CHUNK_KEY)
-
-
-def match_near(index: KeywordIndex, queries: DataFrame, distance: int = 10,
+def match_near(index: KeywordIndex, queries: DataFrame, distance: int | str = 10,
                query_col: str = "query", id_col: str = "query_id") -> DataFrame:
     """``NEAR(t1 t2 ..., distance)``: some clump holds every term with at most
-    ``distance`` tokens between its first and last term."""
-    cand = _positions_by_term(index, queries, query_col, id_col)
-    m = F.col("pos_map")
-    span = distance + 1
-    ok = F.exists(F.flatten(F.map_values(m)), lambda p: F.forall(
-        F.map_values(m), lambda arr: F.exists(arr, lambda q: (q >= p) & (q <= p + span))))
-    return cand.where(ok).select("query_id", *CHUNK_KEY)
+    ``distance`` tokens between its first and last term; ``distance`` may name a
+    column of ``queries``.  Candidates come from each query's rarest term."""
+    index.kept()
+    span = F.col(distance) if isinstance(distance, str) else F.lit(distance)
+    limits = queries.select(F.col(id_col).alias("query_id"), (span + 1).alias("span"))
+    qt = sized(query_terms(queries, query_col, id_col), "query-terms")
+    p = sized(index.postings_for(qt), "query-postings")
+    qt = sized(qt.join(index.df_for(qt, p), "term"), "query-terms")
+    held = (from_rarest(p, qt).groupBy("query_id", "n_terms", *CHUNK_KEY)
+            .agg(F.collect_list("positions").alias("places"))          # a list per query term
+            .where(F.size("places") == F.col("n_terms")).join(sized(limits, "spans"), "query_id"))
+    ok = F.exists(F.flatten("places"), lambda p: F.forall(
+        "places", lambda arr: F.exists(arr, lambda q: (q >= p) & (q <= p + F.col("span")))))
+    return held.where(ok).select("query_id", *CHUNK_KEY)
 
 
 def match_first(index: KeywordIndex, queries: DataFrame, query_col: str = "query",
                 id_col: str = "query_id") -> DataFrame:
     """``^term``: chunks whose first token is the query's (single) term; for
     a query of several terms, the first must start the chunk and the rest
-    occur anywhere."""
-    qs = sized(queries.select(F.col(id_col).alias("query_id"), unicode61_tokens(query_col).alias("toks"))
-               .where(F.size("toks") > 0), "first-terms")
+    occur anywhere.  The chunks that start with a query's first term are found
+    first; the other terms are looked up in those alone."""
+    index.kept()
     qt = sized(query_terms(queries, query_col, id_col), "query-terms")
-    # one walk of the postings: count the terms present, and whether the
-    # query's first one starts the chunk
-    p = index.postings_for(qt).join(qt, "term").join(qs.select("query_id", F.col("toks")[0].alias("lead")), "query_id")
-    starts = (F.col("term") == F.col("lead")) & F.array_contains("positions", 0)
-    return (p.groupBy("query_id", "n_terms", *CHUNK_KEY)
-             .agg(F.count(F.lit(1)).alias("n_matched"), F.max(starts).alias("starts"))
-             .where((F.col("n_matched") == F.col("n_terms")) & F.col("starts")).select("query_id", *CHUNK_KEY))
-
-
-def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_id",
-                 prefix_col: str = "prefixes") -> DataFrame:
-    """``p1* p2* ...``: chunks where every prefix starts some token.
-
-    Equi-join on ``(length, prefix)``: each term is cut to each distinct
-    prefix length in the query set (a handful), so there is no
-    nested-loop join between terms and prefixes.
-    """
-    qp = (prefixes.select(F.col(id_col).alias("query_id"),
-                          F.array_distinct(F.col(prefix_col)).alias("pfx"))
-                  .select("query_id", F.size("pfx").alias("n_terms"), F.explode("pfx").alias("pfx"))
-                  .where(F.length("pfx") > 0)
-                  .withColumn("plen", F.length("pfx")))
-    qp = sized(qp, "prefixes")
-    # each term is cut to the prefix lengths asked for (a handful of numbers),
-    # and the prefixes it starts are joined by value
-    lens = sorted(r[0] for r in qp.select("plen").distinct().collect())
-    cuts = F.array(*[F.substring("term", 1, n) for n in lens]) if lens else F.array(F.lit(""))
-    rows = index.postings(positions=False).select("term", *CHUNK_KEY).select(
-        *CHUNK_KEY, F.explode(F.array_distinct(cuts)).alias("pfx"))
-    return (rows.join(qp, "pfx")
-                .groupBy("query_id", "n_terms", *CHUNK_KEY)
-                .agg(F.count_distinct("pfx").alias("n_matched"))
-                .where(F.col("n_matched") == F.col("n_terms"))
-                .select("query_id", *CHUNK_KEY))
+    lead = sized(queries.select(F.col(id_col).alias("query_id"), F.get(unicode61_tokens(query_col), F.lit(0)).alias("term"))
+                 .where(F.col("term").isNotNull()), "first-terms")
+    p = index.postings_for(qt)
+    starts = p.where(F.get("positions", F.lit(0)) == 0).join(lead, "term").select("query_id", *CHUNK_KEY)
+    more = sized(starts.join(qt.groupBy("query_id").agg(F.max("n_terms").alias("n_terms")), "query_id"), "starts")
+    one = more.where("n_terms = 1").select("query_id", *CHUNK_KEY)
+    rest = (index.postings_for(qt, positions=False).join(more.where("n_terms > 1"), CHUNK_KEY)
+            .join(qt.select("query_id", "term"), ["query_id", "term"])
+            .groupBy("query_id", "n_terms", *CHUNK_KEY).agg(F.count(F.lit(1)).alias("n_matched")))
+    return one.unionByName(rest.where("n_matched = n_terms").select("query_id", *CHUNK_KEY))
 
 
 # ---------------------------------------------------------------- ranking
@@ -329,6 +340,7 @@ def with_snippets(hits: DataFrame, index: KeywordIndex, queries: DataFrame, n: i
     The ranked hits (at most k per query) are written first, so the planner
     knows their size when it joins them to the chunks by key."""
     from quarry.functions.snippet import snippet
+    index.kept()
     qs = queries.select(F.col(id_col).alias("query_id"),
                         F.array_distinct(unicode61_tokens(query_col)).alias("_terms"))
     h = sized(hits.join(qs, "query_id"), "hits")

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import split_words, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
-from quarry.operators.keyword import (KeywordIndex, bm25_match, corpus_stats, keyword_hits,
-                                      match_first, match_near, match_phrase, match_prefix,
+from quarry.operators.keyword import (KeywordIndex, bm25_match, corpus_stats, keyword_hits, match_first, match_near,
                                       term_df, tokenize_chunks, top_k, with_snippets)
+from quarry.operators.phrases import match_phrase
+from quarry.operators.ranked import bm25_top
+from quarry.operators.vocabulary import match_prefix
 from quarry.plans.registry import (DOC_SOURCE_SQL, register, sql_chunks, sql_doc_tokens,
                                    sql_html_text, sql_significant, sql_token_rows, sql_tokens, sql_words)
 from quarry.sources.scans import (combine_sources, issue_scan, page_scan, read_table, to_text)
 from quarry.functions.text import html_to_text
 
 TOP_K = 5
-NEAR_DISTANCE = 10
 PREFIX_LEN = 4
 SINGLE_QUERY = "the and"
 
@@ -163,7 +164,7 @@ def match_all(spark: SparkSession, sf: str) -> DataFrame:
 SELECT query_id, source, doc_id, chunk_no, score FROM ({_bm25_sql(SQL_PASSAGE_TERMS, "any", TOP_K)}) x""")
 def match_any(spark: SparkSession, sf: str) -> DataFrame:
     # ORDER BY rank LIMIT k, as the reference cuts every search
-    m = top_k(bm25_match(doc_index(spark, sf), passages(spark, sf), "any"), TOP_K)
+    m = bm25_top(doc_index(spark, sf), passages(spark, sf), TOP_K)
     return m.select("query_id", *CHUNK_KEY, F.round("score", 6).alias("score"))
 
 
@@ -182,7 +183,7 @@ WHERE rank <= {TOP_K}""")
 def match_none(spark: SparkSession, sf: str) -> DataFrame:
     q = passages(spark, sf)
     excl = q.select("query_id", F.lit(NOT_TERMS).alias("query"))
-    m = top_k(bm25_match(doc_index(spark, sf), q, "any", exclude=excl), TOP_K)
+    m = bm25_top(doc_index(spark, sf), q, TOP_K, exclude=excl)
     return m.select("query_id", *CHUNK_KEY, F.round("score", 6).alias("score"))
 
 
@@ -285,24 +286,27 @@ def match_phrase_q(spark: SparkSession, sf: str) -> DataFrame:
     return match_phrase(doc_index(spark, sf), passages(spark, sf))
 
 
-def _near_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """First, middle and last token of each passage."""
-    t = unicode61_tokens("query")
-    return (passages(spark, sf).where(F.size(t) > 0)
-            .select("query_id", F.concat_ws(" ", t[0], F.element_at(t, F.ceil(F.size(t) / 2).cast("int")), F.element_at(t, -1)).alias("query")))
+#: A passage's tokens are wanted within twice its length.
+NEAR_FACTOR = 2
 
 
 @register("match_near", f"""
-WITH q AS (SELECT query_id, ph[1] AS a, ph[CAST(ceil(len(ph) / 2.0) AS INTEGER)] AS m, ph[len(ph)] AS b
-           FROM ({_PASSAGE_TOKENS_SQL}) x WHERE len(ph) > 0),
-tr AS ({sql_token_rows()})
-SELECT DISTINCT q.query_id, ta.source, ta.doc_id, ta.chunk_no
-FROM q JOIN tr ta ON ta.term = q.a
-JOIN tr tm ON tm.term = q.m AND tm.source = ta.source AND tm.doc_id = ta.doc_id AND tm.chunk_no = ta.chunk_no
-JOIN tr tb ON tb.term = q.b AND tb.source = ta.source AND tb.doc_id = ta.doc_id AND tb.chunk_no = ta.chunk_no
-WHERE greatest(ta.pos, tm.pos, tb.pos) - least(ta.pos, tm.pos, tb.pos) <= {NEAR_DISTANCE + 1}""")
+WITH q AS (SELECT query_id, len(ph) * {NEAR_FACTOR} + 1 AS span, unnest(list_distinct(ph)) AS term, len(list_distinct(ph)) AS n
+           FROM ({_PASSAGE_TOKENS_SQL}) x),
+tr AS ({sql_token_rows()}),
+hit AS (SELECT q.query_id, q.span, q.n, q.term, tr.source, tr.doc_id, tr.chunk_no, tr.pos FROM q JOIN tr ON tr.term = q.term),
+held AS (SELECT query_id, source, doc_id, chunk_no FROM hit GROUP BY query_id, source, doc_id, chunk_no
+         HAVING count(DISTINCT term) = max(n)),
+h AS (SELECT hit.* FROM hit JOIN held USING (query_id, source, doc_id, chunk_no))
+SELECT DISTINCT query_id, source, doc_id, chunk_no FROM (
+  SELECT a.query_id, a.source, a.doc_id, a.chunk_no, a.pos FROM h a JOIN h b
+    ON a.query_id = b.query_id AND a.source = b.source AND a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no
+   AND b.pos BETWEEN a.pos AND a.pos + a.span
+  GROUP BY a.query_id, a.source, a.doc_id, a.chunk_no, a.pos HAVING count(DISTINCT b.term) = max(a.n)) w""")
 def match_near_q(spark: SparkSession, sf: str) -> DataFrame:
-    return match_near(doc_index(spark, sf), _near_queries(spark, sf), NEAR_DISTANCE)
+    """All tokens of each passage, near one another."""
+    q = passages(spark, sf).withColumn("distance", F.size(unicode61_tokens("query")) * NEAR_FACTOR)
+    return match_near(doc_index(spark, sf), q, "distance")
 
 
 @register("match_first", f"""

@@ -132,10 +132,18 @@ def hybrid_similarity(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------ H6, K1, K2
 
 @register("index_roundtrip", f"""
-SELECT source, doc_id, chunk_no, CAST(len(tokens) AS INTEGER) AS n_tokens,
+WITH t AS ({sql_doc_tokens()}),
+u AS (SELECT DISTINCT source, doc_id, chunk_no, unnest(tokens) AS term FROM t),
+d AS (SELECT term, count(*) AS df FROM u GROUP BY term),
+s AS (SELECT source, doc_id, chunk_no, CAST(sum(df) AS BIGINT) AS sum_df FROM u JOIN d USING (term) GROUP BY ALL),
+f AS (SELECT term FROM d WHERE df * 20 > (SELECT count(*) FROM t)),
+p AS (SELECT source, doc_id, chunk_no, count(*) AS n_pairs
+      FROM (SELECT source, doc_id, chunk_no, tokens, unnest(range(1, len(tokens))) AS i FROM t) x
+      WHERE tokens[i] IN (SELECT term FROM f) AND tokens[i + 1] IN (SELECT term FROM f) GROUP BY ALL)
+SELECT t.source, t.doc_id, t.chunk_no, CAST(len(tokens) AS INTEGER) AS n_tokens,
        len(list_distinct(tokens)) AS n_terms, CAST(len(tokens) AS BIGINT) AS sum_tf,
-       {DIM} AS dim
-FROM ({sql_doc_tokens()}) t""")
+       coalesce(sum_df, 0) AS sum_df, coalesce(n_pairs, 0) AS n_pairs, {DIM} AS dim
+FROM t LEFT JOIN s USING (source, doc_id, chunk_no) LEFT JOIN p USING (source, doc_id, chunk_no)""")
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Build the index into the shared scratch folder, read it back, and
     report per chunk what the two sides hold."""
@@ -144,9 +152,14 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     build_index(docs, path, dim=DIM, html=False)
     idx = read_index(spark, path)
-    per = idx.keyword.stored_postings.groupBy(*CHUNK_KEY).agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("sum_tf"))
+    store = idx.keyword.store
+    postings = store.table("postings")
+    # every term's stored frequency is read through the vocabulary's ranges
+    df = idx.keyword.df_for(postings.select("term").distinct())
+    per = postings.join(df, "term").groupBy(*CHUNK_KEY).agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("sum_tf"), F.sum("df").alias("sum_df"))
+    pairs = store.table("pairs").groupBy(*CHUNK_KEY).agg(F.sum("tf").alias("n_pairs"))
     c = idx.chunks.select(*CHUNK_KEY, "n_tokens", F.size("embedding").alias("dim"))
-    return (c.join(per, CHUNK_KEY, "left")
-             .select(*CHUNK_KEY, "n_tokens", F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
-                     F.coalesce("sum_tf", F.lit(0)).cast("bigint").alias("sum_tf"), "dim"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return (c.join(per, CHUNK_KEY, "left").join(pairs, CHUNK_KEY, "left")
+             .select(*CHUNK_KEY, "n_tokens", none("n_terms"), none("sum_tf"), none("sum_df"), none("n_pairs"), "dim"))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import html_to_text, split_lines, split_words, unicode61_tokens
 from quarry.operators.chunking import chunk_text, chunk_words
-from quarry.operators.keyword import KeywordIndex, bm25_match, match_first, match_near, match_phrase, \
-    match_prefix, top_k
+from quarry.operators.keyword import KeywordIndex, bm25_match, match_first, match_near, top_k
+from quarry.operators.phrases import match_phrase
 from quarry.operators.vector import knn
+from quarry.operators.vocabulary import match_prefix
 
 WS_CHARS = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　"]
 

@@ -13,6 +13,7 @@ from quarry.operators.layouts import deal_documents, to_json_documents, write_js
 from quarry.operators.tagging import explode_labelled, explode_text, load_tagger, pair_labels, predict, \
     save_tagger, train_tagger
 from quarry.sources.scans import combine_sources, issue_scan, labelled_rows, page_scan, to_text
+from quarry.operators.keyword import term_df
 from quarry.streaming.messages import tranche_stream
 
 FIX = os.path.join(os.path.dirname(__file__), "fixtures")
@@ -129,7 +130,7 @@ def test_failed_rebuild_keeps_the_old_index(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "idx")
     docs = lambda *t: spark.createDataFrame([("s", str(i), x) for i, x in enumerate(t)], "source string, doc_id string, text string")
     hybrid.build_index(docs("one two", "three"), path, html=False)
-    monkeypatch.setattr(hybrid.time, "time_ns", lambda: 1 / 0)          # fails before the pointer is written
+    monkeypatch.setattr(hybrid.versions, "commit", lambda *a: 1 / 0)     # fails before the commit
     with pytest.raises(ZeroDivisionError):
         hybrid.build_index(docs("other"), path, html=False)
     monkeypatch.undo()
@@ -137,7 +138,7 @@ def test_failed_rebuild_keeps_the_old_index(spark, tmp_path, monkeypatch):
     hybrid.build_index(docs("other"), path, html=False)
     idx = hybrid.read_index(spark, path)
     assert [r["content"] for r in idx.chunks.collect()] == ["other"]
-    assert [tuple(r) for r in idx.keyword.stored_df.select("term", "df").collect()] == [("other", 1)]
+    assert [tuple(r) for r in term_df(idx.keyword).collect()] == [("other", 1)]
 
 
 def test_inferred_tenor_with_other_date_formats(spark):
