@@ -3,10 +3,12 @@ joins whose key may be hot."""
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,13 @@ def per_process(key, make: Callable):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def shipped(spark: SparkSession, value) -> Callable:
+    """Broadcast ``value``; the function returned gives it inside a task.
+
+    Spark pickles broadcasts by reference, so an object of a class of this
+    package could only be read by workers that can import it; here its class
+    travels along."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)

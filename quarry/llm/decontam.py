@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import shipped, written
+from quarry.llm.words import blocks
 
 Q = 8
 #: Edit budget as a share of the item's length.
@@ -225,11 +226,6 @@ def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int
     return out
 
 
-def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    from quarry.llm.words import blocks
-    yield from blocks(batch, text, BLOCK_CHARS)
-
-
 def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id",
                       item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """``doc_id, item_id, start_pos, end_pos, edits``: every passage of a whole
@@ -246,9 +242,9 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", key
     out = None
     for index in _indexes(items, item_text, item_key):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            held = index.value
+            held = index()
             for batch in batches:
-                for b in _slices(batch, "text"):
+                for b in blocks(batch, "text", BLOCK_CHARS):
                     got = find(b.column("text").to_pylist(), held)
                     if got:
                         d, i, s, f, c = map(list, zip(*got))
@@ -263,14 +259,13 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", key
 
 def _indexes(items: DataFrame, item_text: str, item_key: str) -> Iterator:
     """Broadcast ``Items``, of ITEM_BLOCK_CHARS about; one at least."""
-    sc = items.sparkSession.sparkContext
     wanted = items.where(F.length(F.trim(F.col(item_text))) > 0).select(F.col(item_key).cast("long").alias("item_id"),
                                                                       F.col(item_text).alias("text"))
     chars = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // ITEM_BLOCK_CHARS))
     for part in range(parts):
         some = wanted.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        yield sc.broadcast(Items([r["item_id"] for r in some], [r["text"] for r in some]))
+        yield shipped(items.sparkSession, Items([r["item_id"] for r in some], [r["text"] for r in some]))
 
 
 def without_matches(docs: DataFrame, items: DataFrame, item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -281,10 +276,11 @@ def without_matches(docs: DataFrame, items: DataFrame, item_text: str = "text",
     for index in _indexes(items, item_text, item_key):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            held = index()
             for batch in batches:
-                for b in _slices(batch, "text"):
+                for b in blocks(batch, "text", BLOCK_CHARS):
                     clean = np.ones(b.num_rows, dtype=bool)
-                    clean[[d for d, *_ in find(b.column("text").to_pylist(), index.value)]] = False
+                    clean[[d for d, *_ in find(b.column("text").to_pylist(), held)]] = False
                     yield b.filter(pa.array(clean))
         out = (docs if out is None else written(out, "decontamination-pass")).mapInArrow(run, docs.schema)
     return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled_sample
+from quarry.llm.common import labelled_sample, shipped
 from quarry.llm.decontam import code_points
 from quarry.llm.words import blocks
 
@@ -386,11 +386,11 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", reda
     """
     carry = carry or []
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry)
-    model = docs.sparkSession.sparkContext.broadcast(fit_tagger(rows.select("doc_id", "text")))
+    model = shipped(docs.sparkSession, fit_tagger(rows.select("doc_id", "text")))
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"] + ["text"] * redact + carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = model.value
+        tagger = model()
         for batch in batches:
             for b in blocks(batch, "text", BLOCK_BYTES):
                 texts = b.column("text").to_pylist()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, labelled_sample
+from quarry.llm.common import held_out, labelled_sample, shipped
 from quarry.llm.quality_rules import statistics
 from quarry.llm.words import Words, blocks, mix, prefix_sums, range_hash
 
@@ -136,10 +136,10 @@ def quality_votes(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     rows get equal rows.  Without labelled documents every score is 0.5."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias(label))
-    model = docs.sparkSession.sparkContext.broadcast(fit_voter(rows, marks, label))
+    model = shipped(docs.sparkSession, fit_voter(rows, marks, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voter = model.value
+        voter = model()
         for batch in batches:
             for b in blocks(batch, "text"):
                 score = voter.score(features(b.column("text"))) if voter else np.full(b.num_rows, 0.5)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, labelled_sample, written
+from quarry.llm.common import held_out, labelled_sample, shipped, written
 from quarry.llm.words import Words, blocks, mix
 
 #: Labelled documents learned from (whole texts), and the vocabulary's size,
@@ -359,9 +359,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = model()
         for batch in batches:
             for b in blocks(batch, "text", BLOCK_BYTES):
-                got = choose_windows(model.value, Words(b.column("text"), lower=True), b.column("label").to_numpy(zero_copy_only=False))
+                got = choose_windows(net, Words(b.column("text"), lower=True), b.column("label").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.binary()), pa.array([v for _, v in got], pa.float64())],
                                                  ["words", "label"])
     return run
@@ -371,7 +372,6 @@ def fit_net(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
     """From the whole texts of at most ``limit`` labelled documents that are
     not held out; None without any.  Tasks read the texts; the driver gets the
     counts of the vocabulary and at most two windows a document."""
-    sc = docs.sparkSession.sparkContext
     ids = labelled_sample(labels, label, limit, ~held_out(F.col("doc_id"), 4, 2))
     sample = written(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
                      .select("text", (F.col("label") != 0).cast("double").alias("label")), "toxicity-sample")
@@ -390,7 +390,7 @@ def fit_net(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
     gram_counts = np.zeros((GRAMS, 2))
     gram_counts[in_grams["code"].to_numpy(dtype=np.int64)] = in_grams[["toxic", "other"]].to_numpy(dtype=float)
     net = first_net(key[order], words[["toxic", "other"]].to_numpy(dtype=float)[order], gram_counts, size["pos"], size["n"] - size["pos"])
-    rows = sample.mapInArrow(_windows(sc.broadcast(net)), "words binary, label double").collect()
+    rows = sample.mapInArrow(_windows(shipped(docs.sparkSession, net)), "words binary, label double").collect()
     return fit_windows(net, sorted((bytes(r["words"]), r["label"]) for r in rows))      # task order must not matter
 
 
@@ -403,10 +403,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     repeated rows get equal rows.  Without labelled documents all score 0."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias(label))
-    model = docs.sparkSession.sparkContext.broadcast(fit_net(rows, marks, label))
+    model = shipped(docs.sparkSession, fit_net(rows, marks, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
+        net = model()
         for batch in batches:
             for b in blocks(batch, "text", BLOCK_BYTES):
                 score = score_block(net, b.column("text")) if net else np.zeros(b.num_rows)

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import shipped, written
 
 #: Keys a shard holds, about; so a cascade takes some 20 bits of each at most.
 SHARD_KEYS = 8_000_000
@@ -120,7 +121,6 @@ def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
 def build_cascade(keys: DataFrame) -> list[Level]:
     """Levels over ``keys`` (``h``: distinct 64-bit keys of the universe,
     ``listed``: is it on the list).  No listed key: no level."""
-    sc = keys.sparkSession.sparkContext
     n_all, n_listed = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("listed").cast("long")), F.lit(0))).first()
     levels: list[Level] = []
     wanted, n, rest, n_rest = keys.where("listed"), n_listed, keys.where("not listed"), n_all - n_listed
@@ -128,12 +128,13 @@ def build_cascade(keys: DataFrame) -> list[Level]:
         if len(levels) == MAX_LEVELS:
             raise ValueError("the cascade does not end: two keys share their 64-bit hash")
         level = _level(wanted, n, n / max(1, n_rest) if not levels else 0.5, len(levels))
-        held, number = sc.broadcast(level), len(levels)
+        held, number = shipped(keys.sparkSession, level), len(levels)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
+            level = held()
             for b in batches:
                 h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(passes(h, number, held.value)))], ["h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(passes(h, number, level)))], ["h"])
 
         levels.append(level)
         wrong = written(rest.select("h").mapInArrow(run, "h bigint"), "cascade")
@@ -141,11 +142,19 @@ def build_cascade(keys: DataFrame) -> list[Level]:
     return levels
 
 
+def _asked(levels):
+    @F.pandas_udf("boolean")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = levels()
+        for h in batches:
+            yield pd.Series(member(h.to_numpy(dtype=np.int64).view(np.uint64), held))
+    return ask
+
+
 def listed_keys(rows: DataFrame, key: str, universe: DataFrame, out: str = "listed", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``rows`` with a boolean column: is ``rows[key]`` listed?  ``universe``
     holds ``key`` and ``listed`` for every key that rows can have (repeated
     keys: listed if any of them is).  Null keys are never listed."""
-    sc = rows.sparkSession.sparkContext
     keys = (universe.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("h"))
             .agg(F.max("listed").alias("listed")))
     keys = written(keys, "cascade-keys")
@@ -153,16 +162,10 @@ def listed_keys(rows: DataFrame, key: str, universe: DataFrame, out: str = "list
     result = None
     for s in range(shards):
         mine = F.pmod(F.xxhash64(F.col("h")), F.lit(shards)) == s
-        levels = sc.broadcast(build_cascade(keys.where(mine)))
-
-        @F.pandas_udf("boolean")
-        def ask(h, levels=levels):
-            import pandas as pd
-            return pd.Series(member(h.to_numpy(dtype=np.int64).view(np.uint64), levels.value))
-
+        levels = shipped(rows.sparkSession, build_cascade(keys.where(mine)))
         h = F.xxhash64(F.col(key))
         part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64(h), F.lit(shards)) == s)
-        part = part.withColumn(out, ask(h) & F.col(key).isNotNull())
+        part = part.withColumn(out, _asked(levels)(h) & F.col(key).isNotNull())
         result = part if result is None else result.unionByName(part)
     return result
 
