@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,9 @@ from quarry.llm.words import blocks
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Units and pairs remembered by a Python worker.
-REMEMBERED = 400_000
+#: Units, and pairs, of a generation remembered by a Python worker (two are
+#: held; what is used again moves to the young one).
+REMEMBERED = 200_000
 #: Longer units are not remembered.
 LONG_UNIT = 64
 #: Characters of a text marked up and cut at a time.
@@ -61,95 +61,110 @@ def load_pieces(path: str) -> tuple[list[str], list[float], list[int]]:
 
 
 class Vocabulary:
-    """Lookup tables over the pieces, made once per worker."""
+    """Lookup tables over the pieces, made once per worker.
+
+    ``parts`` are what a unit can be made of: the pieces that merging their own
+    characters gives (others never come out of it), and the characters that are
+    no piece by themselves, which stand for their bytes."""
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
         import ahocorasick
 
-        self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL}
-        self.score = {p: scores[i] for p, i in self.ids.items()}
-        self.bytes_at = [i for _, i in sorted((int(p[3:5], 16), i) for i, (p, k) in enumerate(zip(pieces, kinds)) if k == BYTE)]
+        ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL}
+        self.score = {p: scores[i] for p, i in ids.items() if len(p) > 1}
+        byte_ids = [i for _, i in sorted((int(p[3:5], 16), i) for i, (p, k) in enumerate(zip(pieces, kinds)) if k == BYTE)]
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN
                     else p.replace(SPACE, " ").encode() if k in (NORMAL, 5) else b"" for p, k in zip(pieces, kinds)]
-        self.marked = {i for p, i in self.ids.items() if p.startswith(SPACE)}
-        # pieces that merging their own characters does not give never come out of it
-        self.whole = {p for p in self.ids if len(p) == 1 or len(self.merged(p)) == 1}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in self.whole:
-            self.automaton.add_word(p)
+        self.marked = {i for p, i in ids.items() if p.startswith(SPACE)}
+        self.fallback = lambda char: array("i", [byte_ids[b] for b in char.encode()]).tobytes()
+        single = {c for p in ids for c in p}
+        self.parts = sorted(single | {p for p in ids if len(p) > 1 and len(self.merged(p)) == 1})
+        number = {p: i for i, p in enumerate(self.parts)}
+        self.lengths = [len(p) for p in self.parts]
+        self.part_ids = [array("i", [ids[p]]).tobytes() if p in ids else self.fallback(p) for p in self.parts]
+        #: The longest part that a part begins with, but for itself (-1: none).
+        self.shorter = [next((number[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in number), -1) for p in self.parts]
+        self.automaton = ahocorasick.Automaton()
+        for i, p in enumerate(self.parts):
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         # neighbours inside a piece; a class per character, 0 for all others
-        pairs = {p[i: i + 2] for p in self.ids for i in range(len(p) - 1)}
+        pairs = {p[i: i + 2] for p in ids for i in range(len(p) - 1)}
         chars = sorted({c for pair in pairs for c in pair})
         self.kind = np.zeros(max(map(ord, chars), default=0) + 2, dtype=np.int32)
         self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
-        for a, b in pairs:
-            self.joined[self.kind[ord(a)], self.kind[ord(b)]] = True
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        for x, y in pairs:
+            self.joined[self.kind[ord(x)], self.kind[ord(y)]] = True
+        self.units: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.older_units, self.older_pairs = {}, {}
 
-    def merged(self, text: str, border: int = -1) -> list[str] | None:
+    def merged(self, text: str, border: int = 0) -> list[str] | None:
         """The characters of ``text`` merged by score, then leftmost; None as
-        soon as a merge crosses ``border``."""
-        parts = list(text)
-        score = self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            if border >= 0 and sum(map(len, parts[: at + 1])) == border:
-                return None
-            parts[at: at + 2] = [parts[at] + parts[at + 1]]
-
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+        soon as a merge crosses ``border`` (a number of characters)."""
+        now = list(text)
+        score, none = self.score.get, float("-inf")
+        gain = [score(x + y, none) for x, y in zip(now, now[1:])]
+        while gain:
+            best = max(gain)
+            if best == none:
+                break
+            at = gain.index(best)
+            if border:
+                if at == border - 1:
+                    return None
+                border -= at < border
+            now[at: at + 2] = [now[at] + now[at + 1]]
+            del gain[at]
+            if at:
+                gain[at - 1] = score(now[at - 1] + now[at], none)
+            if at < len(gain):
+                gain[at] = score(now[at] + now[at + 1], none)
+        return now
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Does merging the characters of both parts again end in just these?"""
+        key = a * len(self.parts) + b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b, len(a)) is not None
+                self.pairs, self.older_pairs = {}, self.pairs
+            known = self.older_pairs.get(key)
+            if known is None:
+                known = self.merged(self.parts[a] + self.parts[b], self.lengths[a]) is not None
+            self.pairs[key] = known
         return known
 
-    def split(self, unit: str) -> list[str]:
-        """The unit's pieces, by backtracking."""
-        n = len(unit)
-        longest = array("H", [1]) * n
-        for end, length in self.automaton.iter(unit):
-            if length > longest[end - length + 1]:
-                longest[end - length + 1] = length
+    def split(self, unit: str) -> list[int]:
+        """The unit's parts, by backtracking.  Every character is a part."""
+        n, lengths, compatible = len(unit), self.lengths, self.compatible
+        longest = array("i", bytes(4 * n))
+        for end, part in self.automaton.iter(unit):      # of equal starts the longest comes last
+            longest[end - lengths[part] + 1] = part
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, length = 0, longest[0] if n else 0
-        while at < n:
-            end = at + length
-            piece = unit[at:end]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
-                out.append(piece)
-                at = end
-                length = longest[at] if at < n else 0
+        out: list[int] = []
+        at, part, last = 0, longest[0], -1
+        while True:
+            end = at + lengths[part]
+            if not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or compatible(last, part)):
+                out.append(part)
+                if end == n:
+                    return out
+                at, last, part = end, part, longest[end]
                 continue
-            length -= 1
-            while length > 1 and unit[at: at + length] not in self.whole:
-                length -= 1
-            if length < 1:                                # nothing starts here: take back the piece before
+            part = self.shorter[part]
+            if part < 0:                                  # nothing starts here: the part before has to be shorter
                 failed[at >> 3] |= 1 << (at & 7)
-                length = len(out.pop())
-                at -= length
-        return out
+                part = out.pop()
+                at -= lengths[part]
+                last = out[-1] if out else -1
 
-    def unit_ids(self, unit: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in self.split(unit):
-            i = self.ids.get(p)
-            if i is None:
-                out += [self.bytes_at[b] for b in p.encode()]
-            else:
-                out.append(i)
-        return tuple(out)
+    def unit_ids(self, unit: str) -> bytes:
+        """The unit's ids as 32-bit integers."""
+        if len(unit) == 1 and unit not in self.automaton:
+            return self.fallback(unit)
+        return b"".join([self.part_ids[p] for p in self.split(unit)])
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The units of a text, a slice at a time; a slice's last unit goes on
@@ -167,19 +182,18 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        out = [np.empty(0, dtype=np.int32)]
-        known = self.units
+        out = []
         for units in self.cut(text):
-            got = list(map(known.get, units))
+            got = list(map(self.units.get, units))
             for i in [i for i, ids in enumerate(got) if ids is None]:
                 unit = units[i]
-                got[i] = known.get(unit) or self.unit_ids(unit)
+                got[i] = self.units.get(unit) or self.older_units.get(unit) or self.unit_ids(unit)
                 if len(unit) <= LONG_UNIT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[unit] = got[i]
-            out.append(np.fromiter(chain.from_iterable(got), dtype=np.int32))
-        return np.concatenate(out)
+                    if len(self.units) >= REMEMBERED:
+                        self.units, self.older_units = {}, self.units
+                    self.units[unit] = got[i]
+            out.append(b"".join(got))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, the space that marked the start
