@@ -6,11 +6,13 @@ keys win.  A source whose target is ``e`` whole epochs and a remainder takes
 every document ``e`` times, then the documents of the smallest keys until the
 remainder's token budget is met.
 
-The prefix sum over a source never sorts the source.  Keys are mapped
-monotonically to (0, 1) and cut into GRID * GRID cells: sums of sizes per cell
-(partial sums before the shuffle) tell which cells lie wholly inside or
-outside the budget; rows are ordered only in the one cell of each source that
-holds the border.
+The prefix sum over a source never sorts the source.  Keys ``k`` are cut into
+GRID * GRID cells of ``k / (1 + k)``, which spreads the keys of every weight:
+sums of sizes per cell (partial sums before the shuffle) tell which cells lie
+wholly inside or outside the budget.  In the one cell of each source that holds
+the border, rows of equal key, id and size are counted first, and those counts
+are ordered; where the border falls among such rows, a place among the equal
+ones (counts per part of the written table, summed) tells which are taken.
 """
 
 from __future__ import annotations
@@ -70,6 +72,35 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _border_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` of the border cells with ``extra``: 1 for those that the budget
+    still takes, in the order of key, id and size."""
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    same = ["source", "draw", "doc_id", "size"]
+    groups = rows.groupBy(*same, "below2", "budget").agg(F.count(F.lit(1)).alias("m"))
+    run = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("budget") - F.col("below2") - F.coalesce(F.sum(F.col("m") * F.col("size")).over(run), F.lit(0)) - F.col("size") / 2.0
+    # of m equal rows, those whose middle lies inside the budget
+    fit = F.when(F.col("size") == 0, F.when(room >= 0, F.col("m")).otherwise(0)).otherwise(
+        F.greatest(F.lit(0), F.least(F.col("m"), F.floor(room / F.col("size")) + 1)))
+    groups = written(groups.select(*[F.col(c).alias(f"g_{c}") for c in same], "m", fit.cast("long").alias("fit")), "mix-equal")
+    on = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in same]
+    met = rows.join(groups, on).drop(*[f"g_{c}" for c in same])
+    whole = met.where("fit = 0 or fit = m").withColumn("extra", (F.col("fit") > 0).cast("long"))
+    # the equal rows at the border itself are numbered, part by part
+    part = F.shiftright("_id", 33)
+    some = met.where("fit > 0 and fit < m").withColumn("part", part)
+    per = some.groupBy(*same, "part").agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("start", F.coalesce(F.sum("k").over(earlier), F.lit(0)))
+    per = per.select(*[F.col(c).alias(f"g_{c}") for c in same], F.col("part").alias("g_part"), "start")
+    within = F.row_number().over(Window.partitionBy(*same, "part").orderBy("_id")) - 1
+    some = (some.withColumn("within", within).join(per, [*on, F.col("part") == F.col("g_part")])
+            .withColumn("extra", (F.col("start") + F.col("within") < F.col("fit")).cast("long")))
+    keep = [c for c in whole.columns if c not in ("_id", "m", "fit")]
+    return whole.select(keep).unionByName(some.select(keep))
+
+
 def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0,
                 text: str = "text", key: str = "doc_id", source: str = "source",
                 carry: list[str] | None = None) -> DataFrame:
@@ -80,15 +111,16 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most:
     least half of it fits.  Null text: size 0, weight 0.1.  Null source: a
     source of its own.  Null key: drawn as the empty text.  Rows of equal key
     are ordered by size; repeated rows are drawn one by one.  Empty input:
-    no rows.  ``carry`` names further columns to keep.
+    no rows.  ``carry`` names further columns to keep; they may have any names
+    but those of the result.
     """
     carry = carry or []
     u = uniform(F.col(key))
-    p = 1.0 - F.pow(u, 1.0 / quality_weight(F.col(text)))      # 1 - exp(-key): the key's order
-    rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"),
-                               word_count(F.col(text)).alias("size"), p.alias("p"), *carry)
-                   .withColumn("cell", F.least(F.floor(F.col("p") * float(GRID * GRID)),
-                                               F.lit(GRID * GRID - 1)).cast("long")), "mix")
+    kept = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+                       (-F.log(u) / quality_weight(F.col(text))).alias("draw"), kept.alias("kept"))
+    cell = F.floor(F.col("draw") / (1.0 + F.col("draw")) * float(GRID * GRID))
+    rows = written(rows.withColumn("cell", F.least(cell, F.lit(GRID * GRID - 1)).cast("long")), "mix")
     coarse = (rows.groupBy("source", F.floor(F.col("cell") / GRID).cast("long").alias("c1"))
               .agg(F.sum("size").alias("n")))
     sizes = coarse.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -120,15 +152,12 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most:
                   "mix-border")
     got = (rows.join(plan.withColumnRenamed("source", "s"), same("source", "s"), "left").drop("s")
            .join(two, same("source", "s2"), "left").drop("s2"))
-    inside = got.where(F.col("cell") == F.col("at2"))
-    run = Window.partitionBy("source").orderBy("p", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("before", F.col("below2") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    inside = inside.withColumn("extra", (F.col("before") + F.col("size") / 2.0 <= F.col("budget")).cast("long"))
-    outside = got.where(F.col("at2").isNull() | (F.col("cell") != F.col("at2"))).withColumn("before", F.lit(None).cast("double"))
     # no border: the whole source fits into its budget (only an empty source does)
-    outside = outside.withColumn("extra", F.coalesce((F.col("cell") < F.col("at2")).cast("long"), F.lit(0).cast("long")))
-    out = inside.unionByName(outside)
+    outside = got.where(F.col("at2").isNull() | (F.col("cell") != F.col("at2"))).withColumn(
+        "extra", F.coalesce((F.col("cell") < F.col("at2")).cast("long"), F.lit(0).cast("long")))
+    out = _border_rows(got.where(F.col("cell") == F.col("at2"))).unionByName(outside)
     most_times = F.lit(int(most)).cast("long")
     times = F.least(F.col("epochs") + F.col("extra"), most_times)
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"),
-                      "target", times.alias("times"), (times * F.col("size")).alias("taken"), *carry)
+                      "target", times.alias("times"), (times * F.col("size")).alias("taken"),
+                      *[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(carry)])

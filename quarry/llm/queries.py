@@ -28,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 #: Rules on (host, path), and the labels that put a host on the list.
 URL_RULES = [Rule("net", "/", False), Rule("example.net", "/en/", True), Rule("example.com", "/de/", False), Rule("org", "/fr/", True)]
-LISTED_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets"]
+LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 #: Weights by source in code point order, repeating.
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -49,9 +49,9 @@ def mix_sql(docs: str) -> str:
     return rf"""
 WITH RECURSIVE sized AS (
   SELECT *, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         1 - pow((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0,
-                 1 / CASE WHEN length(text) > 0
-                          THEN 0.1 + 0.9 * length(translate(text, '#*$%&|<>0123456789', '')) / length(text) ELSE 0.1 END) AS p
+         -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+         / CASE WHEN length(text) > 0
+                THEN 0.1 + 0.9 * length(translate(text, '#*$%&|<>0123456789', '')) / length(text) ELSE 0.1 END AS draw
   FROM ({docs}) d),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * sum(size) AS cap FROM sized GROUP BY source),
 weighted AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
@@ -69,10 +69,10 @@ targets AS (SELECT source, source_size, coalesce(least(level * w, cap), cap) AS
 joined AS (
   SELECT s.*, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size + 1e-12) ELSE 0 END AS epochs,
-         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY p, doc_id, size
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY draw, doc_id, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT * EXCLUDE (before, epochs, p),
+SELECT * EXCLUDE (before, epochs, draw),
        CAST(least(epochs + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END, 2) * size AS BIGINT) AS taken
 FROM joined"""
 
@@ -88,7 +88,7 @@ ruled AS (
                  WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
 SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-               WHEN list_has_any(string_split(host, '.'), ['ads-track', 'casino-win', 'cheap-pills', 'free-bets']) THEN 'block'
+               WHEN list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block'
                ELSE 'allow' END AS verdict FROM ruled""")
 def op1(spark, sf_dir):
     listed = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
