@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import join_by_key, shuffle_partitions, written
@@ -33,8 +33,15 @@ CHUNK = 1 << 16
 
 
 def filesystem(path: str):
-    """(file system, path in it) of a path or URI."""
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    """(file system, path in it) of a URI (``qualified``)."""
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path[:7] != "file://" and path[:6] == "file:/" else path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark resolves it on, so that executors
+    write where the driver and all others read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def payload_digest(payload: bytes) -> str:
@@ -69,6 +76,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     of the smallest key are responses, all others revisit it; a null key
     revisits unless all of its payload's keys are null.
     """
+    path = qualified(pages.sparkSession, path)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"),
                         F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
