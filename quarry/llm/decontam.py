@@ -30,6 +30,8 @@ Q = 8
 EDIT_SHARE = 0.08
 #: Characters of items that are searched for in one pass over the documents.
 ITEM_BLOCK_CHARS = 4_000_000
+#: Pairs of equal q-grams (text position, item position) expanded at once.
+EXPANDED = 1_000_000
 #: Characters of documents handled at once (a longer text is its own block).
 BLOCK_CHARS = 1_000_000
 
@@ -153,6 +155,39 @@ def _dense(flag: np.ndarray, span: int, least: int) -> np.ndarray:
     return at[np.cumsum(cover[:-1]) > 0]
 
 
+def _cell_counts(items: Items, at: np.ndarray, slot: np.ndarray, off: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared q-grams per (text, item, cell of diagonals), counted in slices of
+    ``EXPANDED`` pairs, so that a text that repeats itself takes no more room."""
+    n = items.first[slot + 1] - items.first[slot]
+    upto = np.append(0, np.cumsum(n))
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + EXPANDED, side="right")) - 1)
+        m = n[a:b]
+        where = np.repeat(items.first[slot[a:b]] - (upto[a:b] - upto[a]), m) + np.arange(int(upto[b] - upto[a]))
+        item, pos = items.item[where], items.pos[where]
+        hit = np.repeat(at[a:b], m)
+        doc = np.searchsorted(off, hit, side="right") - 1
+        diag = hit - pos
+        e = items.edits[item]
+        # no alignment within the budget starts more than e before its text
+        ok = diag - off[doc] >= -e
+        item, doc, diag, e = item[ok], doc[ok], diag[ok], e[ok]
+        # cells are counted per text, so that a band never joins two texts
+        cell = (diag - off[doc] + e) // (e + 1) + 1
+        pending.append(np.unique((doc * len(items.ids) + item) * wide + cell, return_counts=True))
+        a = b
+        if a >= len(at) or sum(len(k) for k, _ in pending) > EXPANDED:
+            every = np.concatenate([keys, *(k for k, _ in pending)])
+            each = np.concatenate([counts, *(c for _, c in pending)])
+            keys, place = np.unique(every, return_inverse=True)
+            counts = np.bincount(place, weights=each, minlength=len(keys)).astype(np.int64)
+            pending = []
+    return keys, counts
+
+
 def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int, int]]:
     """``(text, item, start, end, edits)`` of passages within the budget; of
     overlapping ones of an item the one of fewest edits (then the first)."""
@@ -166,21 +201,8 @@ def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int
         slot = np.minimum(np.searchsorted(items.key, gram[at]), len(items.key) - 1)
         ok = items.key[slot] == gram[at]
         at, slot = at[ok], slot[ok]
-        n = items.first[slot + 1] - items.first[slot]
-        where = np.repeat(items.first[slot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-        item, pos = items.item[where], items.pos[where]
-        hit = np.repeat(at, n)
-        doc = np.searchsorted(off, hit, side="right") - 1
-        diag = hit - pos
-        e = items.edits[item]
-        # no alignment within the budget starts more than e before its text
-        ok = diag - off[doc] >= -e
-        item, doc, diag, e = item[ok], doc[ok], diag[ok], e[ok]
-        # cells are counted per text, so that a band never joins two texts
-        cell = (diag - off[doc] + e) // (e + 1) + 1
         wide = int(len(pts)) + 4 * int(items.length.max(initial=0)) + 64
-        key = (doc * len(items.ids) + item) * wide + cell
-        key, count = np.unique(key, return_counts=True)
+        key, count = _cell_counts(items, at, slot, off, wide)
         after = np.minimum(np.searchsorted(key, key + 1), len(key) - 1)
         both = count + np.where(key[after] == key + 1, count[after], 0) if len(key) else count
         # a band is a cell and the next one
