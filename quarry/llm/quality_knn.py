@@ -104,9 +104,11 @@ class Voter:
         k = min(NEIGHBOURS, len(self.known))
         for a in range(0, len(counts), 512):
             sim = self.embed(counts[a: a + 512]) @ self.known.T
-            top = np.argpartition(sim, sim.shape[1] - k, axis=1)[:, -k:]
-            vote = np.maximum(np.take_along_axis(sim, top, 1), 1e-6).astype(np.float64) ** 4
-            out[a: a + 512] = (vote * self.labels[top]).sum(1) / vote.sum(1)
+            kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k]
+            near = sim >= kth[:, None]                   # neighbours as similar as the last one vote too
+            vote = np.where(near, np.maximum(sim, 1e-6), 0).astype(np.float64) ** 2
+            vote *= vote
+            out[a: a + 512] = vote @ self.labels / vote.sum(1)
         return out
 
 
@@ -133,7 +135,8 @@ def quality_votes(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
 
     Null and empty texts are scored by their statistics alone.  A null key is
     the empty text for the held-out rule and is never learned from; repeated
-    rows get equal rows.  Without labelled documents every score is 0.5."""
+    rows get equal rows.  Neighbours as similar as the last of the NEIGHBOURS
+    all vote.  Without labelled documents every score is 0.5."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias(label))
     model = shipped(docs.sparkSession, fit_voter(rows, marks, label))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled_sample, written
+from quarry.llm.common import labelled_sample
 from quarry.llm.words import IS_SPACE, Words, blocks, mix, ngram_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -224,11 +224,16 @@ def describe(rules: list[list[Test]]) -> list[str]:
     return [" and ".join(f"{t.feature} {'>' if t.above else '<='} {t.threshold:g}" for t in r) for r in rules]
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, label: str = "quality", limit: int = LABEL_LIMIT) -> list[list[Test]]:
-    """Rules learned from at most ``limit`` labelled rows of ``stats``."""
-    sample = F.broadcast(labelled_sample(labels, label, limit))          # at most `limit` rows
-    rows = (stats.join(sample, "doc_id").dropDuplicates(["doc_id"])
-            .select("doc_id", "label", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).collect())
+def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = LABEL_LIMIT) -> list[list[Test]]:
+    """Rules learned from at most ``limit`` labelled documents ``doc_id, text``;
+    only their statistics are taken.  An id of several texts has the least
+    statistics among them, whatever the order of rows."""
+    sample = labelled_sample(labels, label, limit)
+    chosen = docs.join(F.broadcast(sample), "doc_id")                     # at most `limit` keys
+    stats = text_statistics(chosen, "text", "doc_id", ["label"])
+    values = F.struct(*[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()])
+    rows = (stats.groupBy("doc_id", "label").agg(F.min(values).alias("x"))
+            .select("doc_id", "label", "x.*").collect())
     rows.sort(key=lambda r: r["doc_id"])                                  # row order must not matter
     x = {f: np.array([r[f] for r in rows], dtype=float) for f in FEATURES}
     return learn_rules(x, np.array([r["label"] != 0 for r in rows], dtype=bool))
@@ -242,13 +247,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
 
     Nulls and empty texts fail the base rule (no words).  A null key gets its
     row all the same; repeated rows get equal rows.  Without labels the base
-    rule decides alone.  ``carry`` keeps the text and further columns; then
-    nothing is written and the statistics are taken twice."""
-    stats = text_statistics(docs, text, key)
-    if carry is None:
-        stats = written(stats, "text-statistics")
-    rule = reject_expression(fit_rules(stats, labels, label))
-    if carry is not None:
-        stats = text_statistics(docs, text, key, carry)
+    rule decides alone.  ``carry`` keeps the text and further columns, of any
+    names but those of the result."""
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rule = reject_expression(fit_rules(own, labels, label))
+    stats = text_statistics(docs, text, key, carry)
     return (stats.withColumn("base_failed", base_failed()).withColumn("rule", rule)
             .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()))
