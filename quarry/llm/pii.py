@@ -289,16 +289,58 @@ def tag_block(model: Tagger, points: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tags
 
 
-def _plausible(kind: int, s: str) -> bool:
-    digits = sum(c in "0123456789" for c in s)
-    if kind == 0:
-        return "@" in s and len(s) >= 5 and not any(c.isspace() for c in s)
-    return digits >= (4, 12, 7)[kind - 1] and (kind != 1 or s.count(".") >= 3)
+_RUN = [re.compile(r"[^\s<>()\[\]{},;:\"']+"), re.compile(r"[0-9.]+"), re.compile(r"[0-9](?:[0-9 -]*[0-9])?"),
+        re.compile(r"(?:\+|00)[0-9 ().\-/]*[0-9]")]
+_MAIL = re.compile(r"[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)*\.[^\W\d_]{2,}")
+_GROUP = re.compile(r"[0-9]+")
+
+
+def confirmed(kind: int, text: str, b: int, e: int) -> list[tuple[int, int]]:
+    """What a run of the network stands for: the whole addresses or numbers
+    that it touches.  The run is widened to its surroundings of the kind's
+    characters, which must not go on into a word, and must hold: an address
+    with a name and a domain; four parts of at most 255; groups of 16 to 19
+    digits that pass the check sum (cards side by side are cut at separators);
+    an international number of 8 to 15 digits."""
+    lo, hi = max(0, b - 80), min(len(text), e + 80)
+    for m in _RUN[kind].finditer(text, lo, hi):
+        x, y = m.start(), m.end()
+        if y <= b:
+            continue
+        if x >= e:
+            break
+        if x == lo > 0 or y == hi < len(text):             # longer than any such thing
+            return []
+        if kind == 0:
+            while y > x and text[y - 1] in ".!?":
+                y -= 1
+            return [(x, y)] if _MAIL.fullmatch(text, x, y) else []
+        if (x and (text[x - 1].isalnum() or text[x - 1] == "_")) or (y < len(text) and (text[y].isalnum() or text[y] == "_")):
+            return []
+        if kind == 1:
+            parts = text[x:y].strip(".").split(".")
+            return [(x, y)] if len(parts) == 4 and all(q.isdigit() and int(q) <= 255 for q in parts) and text[y - 1] != "." else []
+        if kind == 3:
+            return [(x, y)] if 8 <= len(_DIGITS.sub("", text[x:y])) <= 15 else []
+        groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, x, y)]
+        out, i = [], 0
+        while i < len(groups):                             # leftmost cards, each the shortest run of groups
+            for j in range(i, len(groups)):
+                digits = "".join(text[s:f] for s, f in groups[i: j + 1])
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 16 and luhn(digits):
+                    out.append((groups[i][0], groups[j][1]))
+                    i = j
+                    break
+            i += 1
+        return [s for s in out if s[0] < e and s[1] > b]
+    return []
 
 
 def find_spans(model: Tagger | None, texts: list[str | None]) -> list[tuple[list, list]]:
-    """``(base, added)`` spans of each text.  Added ones are the network's runs
-    that touch no base span and hold what their kind needs (an @; digits)."""
+    """``(base, added)`` spans of each text.  Added ones are what the network's
+    runs stand for (``confirmed``) where they touch no base span."""
     points, off = code_points(texts)
     digit = np.zeros(len(points) + 1, dtype=np.int64)
     np.cumsum((points >= 48) & (points <= 57), out=digit[1:])
@@ -322,8 +364,9 @@ def find_spans(model: Tagger | None, texts: list[str | None]) -> list[tuple[list
                 b += 1
             while e > b and t[e - 1].isspace():
                 e -= 1
-            if e > b and _plausible(kind, t[b:e]) and all(e <= x or b >= y for _, x, y in base):
-                added.append((kind, b, e))
+            for x, y in confirmed(kind, t, b, e) if e > b else ():
+                if all(y <= p or x >= q for _, p, q in base + added):
+                    added.append((kind, x, y))
         out.append((base, added))
     return out
 
@@ -332,6 +375,18 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
+def _drawn(spans: list[tuple[int, int, int]], rng) -> list[tuple[int, int, int]]:
+    """At most WINDOWS_PER_DOC spans, drawn evenly over the kinds and, within a
+    kind, over the whole text."""
+    turn: dict[int, int] = {}
+    order = []
+    for i in rng.permutation(len(spans)).tolist():
+        kind = spans[i][0]
+        turn[kind] = turn.get(kind, -1) + 1
+        order.append((turn[kind], kind, i))
+    return [spans[i] for _, _, i in sorted(order)[:WINDOWS_PER_DOC]]
+
+
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around labelled spans, and as many without any in the middle."""
     for batch in batches:
@@ -344,7 +399,7 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             for k, a, b in spans:
                 tags[a:b] = k + 1
             rng = np.random.default_rng(len(t))
-            middles = [(a + b) // 2 for _, a, b in spans[:WINDOWS_PER_DOC]]
+            middles = [(a + b) // 2 for _, a, b in _drawn(spans, rng)]
             middles += [int(m) for m in rng.integers(0, len(t), 1)]
             for m in middles:
                 a = max(0, m - int(rng.integers(TRAIN_WINDOW // 4, 3 * TRAIN_WINDOW // 4)))
