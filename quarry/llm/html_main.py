@@ -6,8 +6,11 @@ or role names an advert, a notice, comments and the like -- gives no lines.
 Pages are ordered by URL path within each host; each is aligned with the page
 before and the page after it by the longest common subsequence of lines, and
 shared lines are deleted: a line outside an article element when either
-neighbour shares it, a line inside one when both do.  A neighbour that shares
-most of an article's text is a copy of it and says nothing about its lines.
+neighbour shares it, a line inside one only when it stands outside the article
+on the neighbour (a menu or a foot that one of two templates puts inside).
+Lines that the articles of neighbours share are the articles' own.  Where the
+elements marked as articles hold little of a page's running text, they are
+teasers, and the whole body counts.
 
 Pages are dealt out by ranges of (host, path), so a host of any size spreads
 over tasks; the pages at the edges of a range go to both sides, so results do
@@ -30,6 +33,9 @@ from quarry.llm.common import shuffle_partitions
 from quarry.llm.urlfilter import url_host, url_path
 from quarry.llm.words import blocks
 
+#: Bytes of html in a range of pages, about: what one task aligns.
+RANGE_BYTES = 64 << 20
+
 # Element and attribute names of HTML.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,7 +47,12 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "br
          "cookie", "cookies", "disqus", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
          "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor",
          "sponsored", "subscribe", "toolbar", "widget"}
+#: Of these, what an article may be wrapped in or begin with.
+WEAK_NAMES = {"banner", "footer", "menu", "nav", "navigation", "notice", "toolbar", "widget"}
 ARTICLE_NAMES = {"article", "entry", "post", "content"}
+TEASERS = {"teaser", "teasers", "preview", "excerpt"}
+#: A class that begins so tells of the page, not of the element (``has-sidebar``).
+ABOUT = {"has", "with", "no", "without", "is", "show", "hide", "enable", "wp"}
 CLOSED_BY = {"li": {"li"}, "p": set(), "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 
@@ -49,6 +60,10 @@ _TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _IN_TAG = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SENTENCE = re.compile(r"[.!?…]['\"”’)\]]*$")
+#: Words of a line of running text, and how many times the articles' text the
+#: rest's has to be for the articles to be teasers.
+PROSE_WORDS, TEASER_TIMES = 6, 2
 
 
 def _tag_end(s: str, at: int, missing: set[str]) -> int:
@@ -71,16 +86,22 @@ def _tag_end(s: str, at: int, missing: set[str]) -> int:
 def _boilerplate(name: str, tag: str, in_article: bool) -> bool:
     if name in DROPPED or name == "header" and not in_article:
         return True
-    if name in ("html", "body", "article", "main") or "=" not in tag and "hidden" not in tag:
+    if name in ("html", "body") or "=" not in tag and "hidden" not in tag:
         return False
+    article = name in ("article", "main")
     for key, a, b, c in _ATTRIBUTE.findall(tag, len(name) + 1):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
             return True
         if key in ("class", "id"):
-            parts = {p.lower() for p in _NAME_PART.findall(value)}
-            if parts & NAMES and not parts & ARTICLE_NAMES or "header" in parts and not parts & ARTICLE_NAMES and not in_article:
-                return True
+            for word in value.split():
+                parts = [p.lower() for p in _NAME_PART.findall(word)]
+                if not parts or parts[0] in ABOUT:
+                    continue
+                own = ARTICLE_NAMES.intersection(parts)
+                found = NAMES.intersection(parts) - (WEAK_NAMES if own or article else set())
+                if found or article and TEASERS.intersection(parts) or "header" in parts and not (own or in_article or article):
+                    return True
     return False
 
 
@@ -97,7 +118,7 @@ def page_lines(s: str) -> tuple[list[str], list[bool]]:
 
     def end_line() -> None:
         if text:
-            line = " ".join(entities.unescape("".join(text)).split())
+            line = " ".join("".join(map(entities.unescape, text)).split())
             text.clear()
             if line:
                 lines.append(line)
@@ -225,31 +246,31 @@ def shared_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return [(ia[i], ib[j]) for i, j in _lcs([code[a[i]] for i in ia], [code[b[j]] for j in ib])]
 
 
+def _prose(line: str) -> bool:
+    """Is the line running text: a sentence of some words?"""
+    return _SENTENCE.search(line) is not None and line.count(" ") + 1 >= PROSE_WORDS
+
+
 class _Page:
     def __init__(self, row: dict):
         self.row, self.lines, self.inside = row, row["lines"], row["inside"]
-        self.chars = sum(len(x) for x, i in zip(self.lines, self.inside) if i)
-        self.shared: list[set[int]] = []
-
-    def against(self, numbers: set[int]) -> None:
-        """Lines shared with a neighbour; inside the article only if the
-        neighbour is no copy of it."""
-        same = sum(len(self.lines[i]) for i in numbers if self.inside[i])
-        copy = 2 * same > self.chars
-        self.shared.append({i for i in numbers if not (copy and self.inside[i])})
+        self.shared: set[int] = set()
 
     def text(self) -> str:
-        either = set().union(*self.shared)
-        both = set.intersection(*self.shared) if len(self.shared) == 2 else set()
-        has_article = any(self.inside)
-        return " ".join(x for i, (x, a) in enumerate(zip(self.lines, self.inside))
-                        if (a or not has_article) and i not in (both if a else either))
+        """The lines that are left; those outside articles only on a page whose
+        articles hold little running text."""
+        left = [(x, a) for i, (x, a) in enumerate(zip(self.lines, self.inside)) if i not in self.shared]
+        article = sum(len(x) for x, a in left if a)
+        rest = sum(len(x) for x, a in left if not a and _prose(x))
+        whole = rest > TEASER_TIMES * article
+        return " ".join(x for x, a in left if a or whole or not any(self.inside))
 
 
 def _compare(a: _Page, b: _Page) -> None:
-    pairs = shared_lines(a.lines, b.lines)
-    a.against({i for i, _ in pairs})
-    b.against({j for _, j in pairs})
+    for i, j in shared_lines(a.lines, b.lines):
+        if not (a.inside[i] and b.inside[j]):
+            a.shared.add(i)
+            b.shared.add(j)
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +309,8 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", key: str =
     no neighbours: markup alone decides.  A null key sorts first; repeated
     rows are neighbours, and copies, of each other.  Empty input: no rows.
     """
-    n = shuffle_partitions(pages.sparkSession)
+    size = pages.agg(F.sum(F.octet_length(html)).alias("b")).first()["b"] or 0
+    n = max(shuffle_partitions(pages.sparkSession), -(-size // RANGE_BYTES))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"),
                         url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"),
                         F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(html).alias("html"))

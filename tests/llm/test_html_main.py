@@ -76,3 +76,49 @@ def test_shared_lines_go(spark):
         assert all(r["n_chars"] == len(r["text"]) for r in out)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert main_text(rows(spark, data).limit(0)).count() == 0
+
+
+def texts(spark, pages):
+    data = [(i, f"http://host.test/{i:03d}", h) for i, h in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in main_text(rows(spark, data)).collect()}
+
+
+def test_articles_keep_the_lines_they_share(spark):
+    """A sentence in the articles of all pages is theirs; a foot line that some
+    template puts inside the article is not."""
+    same = "<p>The same sentence stands in every article here.</p><p>Les.</p>"
+    foot = "<div>All rights reserved</div>"
+    pages = [f"<body><div>menu</div><article><p>own text {i}.</p>{same}{foot + '</article>' if i == 2 else '</article>' + foot}</body>" for i in range(5)]
+    got = texts(spark, pages)
+    assert got == {i: f"own text {i}. The same sentence stands in every article here. Les." for i in range(5)}
+
+
+def test_names_of_articles_and_wrappers(spark):
+    pages = ["<article>Main text.</article><article class='comment'>Nice!</article>",
+             "<article><p>Main.</p><div class='comment-content'>x</div><div class='related-post'>y</div><div class='post-sharing'>s</div>"
+             "<div class='content-ad'>z</div></article>",
+             "<body class='has-sidebar'><div class='content with-comments'><p>Body text.</p></div><div class='sidebar'>s</div></body>",
+             "<article class='post no-comments'><div class='entry-header'><h1>Head</h1></div><p>Text.</p><aside>a</aside></article>",
+             "<main role='main' id='content'><p>In main.</p></main><article role='complementary'>aside</article>"]
+    assert texts(spark, pages) == {0: "Main text.", 1: "Main.", 2: "Body text.", 3: "Head Text.", 4: "In main."}
+
+
+def test_a_teaser_is_not_the_page(spark):
+    body = "<p>One two three four five six seven.</p><p>Eight nine ten eleven twelve thirteen.</p>"
+    both = "One two three four five six seven. Eight nine ten eleven twelve thirteen."
+    pages = [f"<body>{body}<article class='teaser'>Teaser</article></body>", f"<body>{body}<article>Small.</article></body>",
+             f"<body><article>{body}</article><p>Read more</p></body>"]
+    assert [texts(spark, [p])[0] for p in pages] == [both, both + " Small.", both]
+
+
+def test_references_are_decoded_within_a_text_node():
+    assert page_lines("<p>a &am<b>p;</b> &amp; &lt;b&gt;</p>")[0] == ["a &amp; & <b>"]
+    assert page_lines("<p>x<![CDATA[&amp;]]></p>")[0] == ["x&amp;"]
+
+
+def test_ranges_follow_the_size_of_the_pages(spark, monkeypatch):
+    from quarry.llm import html_main
+    pages = [f"<p>menu</p><p>own line {i}</p>" for i in range(40)]
+    want = texts(spark, pages)
+    monkeypatch.setattr(html_main, "RANGE_BYTES", 60)
+    assert texts(spark, pages) == want == {i: f"own line {i}" for i in range(40)}
