@@ -6,15 +6,18 @@ Parquet and read again as the next one's input.
    smallest id stays, a single row of it; documents without words stay;
 3. benchmark decontamination: documents that hold a benchmark passage go;
 4. personal data: spans are replaced by ``[kind]``, ``n_chars`` follows;
-5. mixing: ``times`` and ``taken`` per document, by source.
+5. mixing: every column of the document, and how the mix takes it.
 
 All but the last return the columns of ``documents``.  Stages decide and act per
-row: null ids and ids of several texts are no key.
+row: null ids and ids of several texts are no key.  Columns beside id and text
+go through an operator as one struct, so they may have any names; where the last
+stage's own columns (``source_size``, ``taken`` ...) are names of the document's,
+the document's are returned as ``document_<name>``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table, written
@@ -26,13 +29,26 @@ from quarry.llm.quality_rules import quality_rules
 from quarry.llm.queries import MIX_WEIGHTS
 
 
-def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, _row``: all other columns in one struct, numbered."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("int")
+    return docs.select("doc_id", "text", row.alias("_row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **given: Column) -> DataFrame:
+    """The columns of ``docs`` back in their order; ``given`` replaces some."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return quality_rules(docs, table(spark, sf_dir, "labels"), carry=rest).where("kept").select(docs.columns)
+    place = {c: F.col(f"_row.c{i}") for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return rows.select(*[given.get(c, place[c]).alias(c) for c in docs.columns])
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return unpacked(quality_rules(packed(docs), table(spark, sf_dir, "labels"), carry=["_row"]).where("kept"), docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return unpacked(one_of_each(packed(docs)), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +56,18 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = personal_data(docs, redact=True, carry=rest).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    out = personal_data(packed(docs), redact=True, carry=["_row"])
+    return unpacked(out, docs, n_chars=F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs, MIX_WEIGHTS)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select("doc_id", "text", "source", row.alias("_row"))
+    out = mix_sources(rows, MIX_WEIGHTS, carry=["_row"])
+    own = [c for c in out.columns if c != "_row"]
+    same = {"doc_id", "source"}                            # one column: the mix returns the document's
+    return out.select(*own, *[F.col(f"_row.c{i}").alias(f"document_{c}" if c in own else c)
+                              for i, c in enumerate(docs.columns) if c not in same])
 
 
 STAGES = [("quality_rules", rules_stage), ("near_copies", near_copies_stage), ("decontamination", decontamination_stage),
