@@ -116,3 +116,63 @@ def test_toxicity_trains_on_whole_texts(spark):
         high, low = score_block(net, probe)
         assert high >= 0.3 > low
     assert all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in nets[0].p)
+
+
+def test_votes_are_those_of_the_plain_nearest_neighbours():
+    """A cosine at a time, with labelled documents that tie at the border."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(1.0, (300, quality_knn.DIM)).astype(np.float32)
+    counts[40:90] = counts[40]                                   # fifty copies: ties
+    labels = rng.random(300) < 0.5
+    voter = quality_knn.Voter(counts, labels, np.ones(quality_knn.DIM))
+    asked = np.concatenate([counts[:60], rng.poisson(1.0, (30, quality_knn.DIM)).astype(np.float32)])
+    got = voter.score(asked)
+    for v, s in zip(voter.embed(asked), got):
+        sim = (voter.known @ v).astype(np.float64)
+        last = np.sort(sim)[-quality_knn.NEIGHBOURS]
+        near = sim >= last - 1e-6
+        vote = np.maximum(sim[near], 1e-6) ** 4
+        assert abs((vote * labels[near]).sum() / vote.sum() - s) < 1e-4
+
+
+def test_document_scores_are_the_highest_of_plain_window_scores():
+    """The recurrence a word at a time, over every window of whole texts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["ba", "de", "grobian", "mi", "rotu", "ne"], n)) for n in (1, 30, 48, 49, 200)]
+    y = np.array([0.0, 1, 0, 1, 0])
+    net = train(texts, y, steps=5)
+    got = score_block(net, pa.array(texts))
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, tox.HIDDEN
+
+    def direction(x, d):
+        state, out = np.zeros(h), []
+        for row in x:
+            a = row @ p["x" + d] + p["b" + d]
+            gates = np.clip(0.25 * (a[: 2 * h] + state @ p["u" + d][:, : 2 * h]) + 0.5, 0, 1)
+            new = np.clip(a[2 * h:] + gates[h:] * (state @ p["u" + d][:, 2 * h:]), -1, 1)
+            state = state + gates[:h] * (new - state)
+            out.append(state)
+        return np.array(out)
+    for text, s in zip(texts, got):
+        w = Words(pa.array([text]), lower=True)
+        ids, chars, _ = net.inputs(w)
+        scores = []
+        for _, a, b in zip(*windows(w.first)):
+            x = np.c_[net.word[ids[a:b]], chars[a:b]].astype(np.float64)
+            both = np.c_[direction(x, "f"), direction(x[::-1], "b")[::-1]]
+            att = np.exp(both @ p["v"] - (both @ p["v"]).max())
+            z = (att / att.sum()) @ both @ p["w"] + p["c"][0]
+            scores.append(1 / (1 + np.exp(-z)))
+        assert abs(max(scores) - s) < 1e-3, (max(scores), s)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = [r for r in toxicity(docs.join(labels.select("doc_id"), "doc_id"), labels).collect() if r["held_out"]]
+    assert all(crc(r["doc_id"]) % 4 == 2 for r in rows)
+    bad = [r["predicted"] for r in rows if marks[r["doc_id"]] == 1]
+    clean = [r["predicted"] for r in rows if marks[r["doc_id"]] == 0]
+    # measured: 107 of 120 (learned from some 2,200 documents)
+    assert len(bad) == 120 and sum(bad) >= 102 and sum(clean) / len(clean) <= 0.01

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import pytest
 
+from quarry.llm import decontam
 from quarry.llm.decontam import EDIT_SHARE, Items, benchmark_matches, budget, find
 
 
@@ -80,3 +82,23 @@ def test_case_and_space_of_other_scripts(passage):
     for other in (passage.upper(), passage.replace(" ", "\u2003\u3000"), passage.upper().replace(" ", "\u2009")):
         text = "before it " + other + " after it"
         assert [(i, s, e, c) for _, i, s, e, c in find([text], items)] == [(0, 10, 10 + len(other), 0)]
+
+
+@pytest.mark.parametrize("expanded", [7, 1000])
+def test_slices_of_the_count_make_no_difference(monkeypatch, expanded):
+    rnd = random.Random(3)
+    items = [" ".join(rnd.choice(["ab", "cd", "abc", "e"]) for _ in range(40)) for _ in range(6)]
+    texts = [" ".join(rnd.choice(["ab", "cd", "abc", "e"]) for _ in range(80)) + " " + rnd.choice(items) for _ in range(30)]
+    index = Items(list(range(6)), items)
+    want = find(texts, index)
+    monkeypatch.setattr(decontam, "EXPANDED", expanded)
+    assert find(texts, index) == want and want
+
+
+def test_a_text_that_repeats_itself_takes_bounded_memory():
+    index = Items([1], ["ab " * 200])
+    tracemalloc.start()
+    got = find(["ab " * 120_000], index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and peak < 500e6, peak

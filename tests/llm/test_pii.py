@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from quarry.llm import pii
 from quarry.llm.decontam import code_points
-from quarry.llm.pii import PAD, TRAIN_WINDOW, Tagger, base_spans, find_spans, luhn, personal_data, redacted, tag_block
+from quarry.llm.pii import PAD, TRAIN_WINDOW, Tagger, base_spans, confirmed, find_spans, luhn, personal_data, redacted, tag_block
 
 STATED = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
           r"[0-9]([\x20-]?[0-9])+".replace(r"\x20-", " -"), r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -89,3 +89,67 @@ def test_odd_rows(spark):
     assert sum(r["text"] is None for r in out) == 1
     assert not any(base_spans(r["text"] or "") for r in out)
     assert personal_data(docs.limit(0)).count() == 0
+
+
+def test_runs_stand_for_whole_things():
+    """What the network's run touches is widened, or refused."""
+    card = "4539 1488 0343 6467"
+    assert luhn(card.replace(" ", ""))
+
+    def at(kind, text, part):
+        b = text.index(part)
+        return [text[x:y] for x, y in confirmed(kind, text, b, b + len(part))]
+    both = f"pay {card} {card} now"
+    assert base_spans(both) == [] and at(2, both, "6467 4539") == [card, card] and at(2, both, "pay 4539") == [card]
+    assert at(2, both, both[4:-4]) == [card, card]
+    assert at(2, "id 4539148803436468 x", "91488") == []                      # fails the check sum
+    assert at(2, "id 453914880343646 x", "91488") == []                       # too short
+    assert at(2, "hex 148e6160f674b4be45601 x", "6160") == at(3, "hex 0433955f x", "0433955") == []
+    assert at(2, f"ref{card} x", "1488") == [] and at(2, "1" * 400, "111") == []
+    assert at(0, "to jörg@exämple.de.", "exämple") == ["jörg@exämple.de"] and at(0, "a @ b", "@") == []
+    assert at(1, "at 10.0.0.256 or", "0.0") == at(1, "v1.2.3.4", "2.3") == [] and at(1, "at 10.0.0.25 or", "0.0") == ["10.0.0.25"]
+    assert at(3, "call +49/30/1234567 or", "30") == ["+49/30/1234567"] and at(3, "on 2024-01-05", "01") == []
+
+
+def test_training_draws_over_kinds_and_the_whole_text():
+    spans = [(0, 10 * i, 10 * i + 5) for i in range(50)] + [(3, 1000 + 20 * i, 1010 + 20 * i) for i in range(4)] + [(1, 2000, 2008)]
+    drawn = pii._drawn(spans, np.random.default_rng(0))
+    assert len(drawn) == pii.WINDOWS_PER_DOC and {k for k, _, _ in drawn} == {0, 1, 3}
+    late = [pii._drawn(spans, np.random.default_rng(s)) for s in range(40)]
+    assert {s for d in late for s in d if s[0] == 0} > set(spans[:6])
+
+
+def test_crf_sum_gradient_and_best_path_by_enumeration():
+    from itertools import product
+
+    from quarry.llm.pii import INPUTS, TAGS
+
+    rng = np.random.default_rng(1)
+    model = Tagger(seed=8)
+    model.p["move"] = rng.normal(0, 1, (TAGS, TAGS)).astype(np.float32)
+    model.p["bias"] = rng.normal(0, 1, TAGS).astype(np.float32)
+    x, y = rng.integers(0, INPUTS, (5, 3)), rng.integers(0, TAGS, (5, 3))
+    e = model.emissions(x.astype(np.uint8)).astype(np.float64)                 # (T, TAGS, B)
+    move = model.p["move"].astype(np.float64)
+
+    def score(path, b):
+        return sum(e[s, k, b] for s, k in enumerate(path)) + sum(move[i, j] for i, j in zip(path, path[1:]))
+    every = list(product(range(TAGS), repeat=5))
+    best = model.decode(x.astype(np.uint8))
+    nll = 0.0
+    for b in range(3):
+        z = np.array([score(p, b) for p in every])
+        assert tuple(best[:, b]) == every[int(z.argmax())]
+        nll += (np.log(np.exp(z - z.max()).sum()) + z.max() - score(y[:, b], b)) / 3
+    loss, grad = model.loss(x, y)
+    assert abs(loss - nll) < 1e-4
+    for name in ("move", "bias"):
+        flat = model.p[name].reshape(-1)
+        for j in range(0, flat.size, 3):
+            old = flat[j]
+            flat[j] = old + 0.01
+            up = model.loss(x, y)[0]
+            flat[j] = old - 0.01
+            down = model.loss(x, y)[0]
+            flat[j] = old
+            assert abs((up - down) / 0.02 - grad[name].reshape(-1)[j]) < 2e-3, name

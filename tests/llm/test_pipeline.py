@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from quarry.llm.decontam import Items, find
 from quarry.llm.pii import base_spans
@@ -66,3 +68,26 @@ def test_null_and_repeated_ids_are_no_key(spark):
     assert len(got) == 7 and (1, a) in got and (7, d) in got
     assert sum(t in (b, near(b)) for _, t in got) == 1 == sum(t in (c, near(c)) for _, t in got)
     assert {(None, None), (None, " "), (8, "")} <= set(got)
+
+
+CLASHES = ["kept", "rule", "n_words", "spans", "n_added", "_cls", "_id", "_row", "taken", "size", "cell", "target", "draw"]
+
+
+def test_columns_of_any_names_pass_through_every_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}-"), F.col("doc_id")))
+    ours = lambda r: tuple(r[c] for c in CLASHES)
+    for name, stage in cp.STAGES[:-1]:
+        out = cp.written(stage(spark, docs, SF), f"test-{name}")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(ours(r) == tuple(f"{i}-{r['doc_id']}" for i in range(len(CLASHES))) for r in rows), name
+        docs = out
+    texts = {r["doc_id"]: (r["text"], r["lang"], r["n_chars"]) for r in docs.collect()}
+    mixed = cp.STAGES[-1][1](spark, docs, SF)
+    assert len(set(mixed.columns)) == len(mixed.columns)
+    for r in mixed.collect():
+        assert (r["text"], r["lang"], r["n_chars"]) == texts[r["doc_id"]]
+        assert r["document_taken"] == f"8-{r['doc_id']}" and r["document_size"] == f"9-{r['doc_id']}" and r["taken"] <= 2 * r["size"]
+        assert r["kept"] == f"0-{r['doc_id']}"

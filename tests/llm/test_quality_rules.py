@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.quality_rules import BASE, learn_rules, quality_rules, statistics
+from pyspark.sql import functions as F
+
+from quarry.llm.quality_rules import BASE, FEATURES, describe, fit_rules, learn_rules, quality_rules, statistics
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +61,21 @@ def test_query_on_odd_rows(spark, with_labels):
     out = sorted(((r["doc_id"] or 0, r["base_failed"], r["kept"]) for r in quality_rules(docs, labels).collect()))
     assert out == [(0, True, False), (1, True, False), (1, True, False), (2, True, False), (3, False, True)]
     assert quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_kept_is_what_the_list_of_rules_says(spark):
+    """Every row judged again from the learned thresholds, whatever the order
+    of rows and with an id of two texts."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    first = labels.where("quality = 1").first()["doc_id"]
+    docs = docs.unionByName(docs.where(f"doc_id = {first}").withColumn("text", F.concat("text", F.lit(" more words at the end"))))
+    own = docs.select("doc_id", "text")
+    rules = fit_rules(own, labels)
+    assert rules and describe(rules) == describe(fit_rules(own.orderBy(F.xxhash64("text")).repartition(5), labels))
+    stats = {f: F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()}
+    out = quality_rules(docs, labels).select("doc_id", "base_failed", "kept", "rule", *stats.values()).collect()
+    for r in out:
+        fires = [i for i, rule in enumerate(rules, 1)
+                 if all((r[t.feature] > t.threshold) if t.above else (r[t.feature] <= t.threshold) for t in rule)]
+        assert r["rule"] == (fires[0] if fires else None) and r["kept"] == (not r["base_failed"] and not fires)
