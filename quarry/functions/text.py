@@ -74,34 +74,62 @@ def _code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
+# The references that most pages hold, in the order they are
+# decoded in (``&amp;`` last, so that nothing is decoded twice).
+FREQUENT_REFERENCES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\xa0", "&copy;": "©", "&middot;": "·",
+                       "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“",
+                       "&amp;": "&"}
+
+
+def _named(name: Column) -> Column:
+    """A name's character from Python's HTML5 table.  The table is split by the
+    names' first letter, so a lookup goes through some 40 entries, and every
+    part is one literal, so the plan stays small."""
+    from html.entities import html5
+    parts: dict[str, list[str]] = {}
+    for k, v in sorted(html5.items()):
+        if "<" not in k:
+            parts.setdefault(k[0], []).append(f"{k}\x02{v}")
+    out = F.lit(None).cast("string")
+    for letter, entries in parts.items():
+        table = F.str_to_map(F.lit("\x01".join(entries)), F.lit("\x01"), F.lit("\x02"))
+        out = F.when(F.substring(name, 1, 1) == letter, F.try_element_at(table, name)).otherwise(out)
+    return out
+
+
 def unescape(c) -> Column:
     """Decode every numeric and named character reference, natively.
 
-    The text is cut at ``&``; each piece that starts with a reference has it
-    replaced.  Names come from Python's HTML5 table; those that HTML allows
-    without a semicolon are taken without one too.  The 32 code points that
-    HTML reads as Windows-1252 are mapped as such.
+    A text that holds the frequent references only is decoded by plain
+    replacements.  Any other is cut at ``&``; each piece that starts with a
+    reference has it replaced.  Names come from Python's HTML5 table; those
+    that HTML allows without a semicolon are taken without one too.  The 32
+    code points that HTML reads as Windows-1252 are mapped as such.
     """
-    from html.entities import html5
-    names = F.create_map(*[F.lit(x) for k in sorted(html5) if "<" not in k for x in (k, html5[k])])
-    win = F.create_map(*[F.lit(x) for n in range(128, 160)
-                         for x in (n, bytes([n]).decode("cp1252", "ignore") or chr(n))])
+    win = F.split(F.lit("\x01".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))), "\x01")
 
     def piece(seg: Column) -> Column:
-        ref = F.regexp_extract(seg, REFERENCE, 1)
-        semi = F.regexp_extract(seg, REFERENCE, 2)
-        rest = F.substr(seg, F.length(ref) + F.length(semi) + 1)
-        number = F.when(F.lower(F.substr(ref, F.lit(2), F.lit(1))) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)) \
-            .otherwise(F.substr(ref, F.lit(2))).cast("int")
-        char = F.when(ref.startswith("#"), F.coalesce(F.try_element_at(win, number), _code_point(number))) \
-            .otherwise(F.try_element_at(names, F.concat(ref, semi)))
-        return F.when((ref == "") | char.isNull(), F.concat(F.lit("&"), seg)).otherwise(F.concat(char, rest))
+        def one(whole: Column) -> Column:
+            ref = F.rtrim(whole, F.lit(";"))
+            number = F.when(F.lower(F.substr(ref, F.lit(2), F.lit(1))) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)) \
+                .otherwise(F.substr(ref, F.lit(2))).cast("int")
+            char = F.when(ref.startswith("#"), F.when(number.between(128, 159), F.get(win, number - 128)).otherwise(_code_point(number))) \
+                .otherwise(_named(whole))
+            return F.when((whole == "") | char.isNull(), F.concat(F.lit("&"), seg)) \
+                .otherwise(F.concat(char, F.substr(seg, F.length(whole) + 1)))
+        return let(F.regexp_extract(seg, REFERENCE, 0), one)
 
     def whole(parts: Column) -> Column:
         tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
         return F.concat(parts[0], F.array_join(tail, ""))
     x = _col(c)
-    return F.when(F.instr(x, "&") == 0, x).otherwise(let(F.split(x, "&", -1), whole))
+    names = "|".join(r[1:-1] for r in FREQUENT_REFERENCES)
+    plain = x
+    for ref, char in FREQUENT_REFERENCES.items():
+        plain = F.replace(plain, F.lit(ref), F.lit(char))
+    return (F.when(F.instr(x, "&") == 0, x)
+            .when(F.instr(F.regexp_replace(x, f"&(?:{names});", ""), "&") == 0, plain)
+            .otherwise(let(F.split(x, "&", -1), whole)))
 
 
 def html_to_text(c) -> Column:

@@ -5,14 +5,24 @@ multinomial logistic regression, predict, and pair tokens with labels.
 Neighbour features are read from the sentence's own token array before it
 is exploded, so featurisation needs no window and no shuffle; training is
 MLlib's distributed L-BFGS over the token rows.
+
+Labels are predicted token by token (the most probable one) or for the whole
+sentence: how often one label follows another is counted over the labelled
+sentences, and the best path through a sentence's label probabilities and
+these transitions is found by one fold over the sentence's array.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import let, split_words
@@ -81,17 +91,89 @@ def tagger_pipeline(max_iter: int = 30, reg: float = 1e-3, num_features: int = 1
     ])
 
 
-def train_tagger(tokens: DataFrame, **kw) -> PipelineModel:
-    """Fit on labelled token rows (``explode_labelled`` output)."""
-    return tagger_pipeline(**kw).fit(tokens)
-
-
-def predict(model: PipelineModel, tokens: DataFrame) -> DataFrame:
-    """``(sentence_id, pos, token, predicted_label)`` - token rows need no
-    ``label`` column (the label indexer is skipped for prediction)."""
-    stages = [s for s in model.stages if not isinstance(s, StringIndexerModel)]
-    out = PipelineModel(stages).transform(tokens)
-    return out.select("sentence_id", "pos", "token", "predicted_label")
+@dataclass
+class Tagger:
+    """The token classifier, and the log probabilities of a sentence's first
+    label (``start``) and of a label after another (``move[before][after]``)."""
+
+    model: PipelineModel
+    start: list[float]
+    move: list[list[float]]
+
+
+def label_transitions(sentences: DataFrame, labels: str = "labels") -> tuple[list[float], list[list[float]]]:
+    """``(start, move)`` of a ``Tagger``, from counts over the label lists with
+    one added to each; labels outside ``LABELS`` are an error."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.struct(
+        F.get(F.col(labels), i - 1).alias("before"), F.get(F.col(labels), i).alias("after")))
+    rows = (sentences.where(F.size(labels) > 0).select(F.inline(pairs)).groupBy("before", "after")
+            .agg(F.count(F.lit(1)).alias("n")).collect())                  # a row per pair of labels
+    n = len(LABELS)
+    counts = {None: [1] * n} | {label: [1] * n for label in LABELS}
+    for r in rows:
+        counts[r["before"]][LABELS.index(r["after"])] += r["n"]
+    log = {k: [math.log(c / sum(v)) for c in v] for k, v in counts.items()}
+    return log[None], [log[label] for label in LABELS]
+
+
+def train_tagger(sentences: DataFrame, tokens: str = "tokens", labels: str = "labels", id_col: str = "sentence_id", **kw) -> Tagger:
+    """Fit on labelled sentences ``(sentence_id, tokens, labels)``."""
+    model = tagger_pipeline(**kw).fit(explode_labelled(sentences, id_col, tokens, labels))
+    return Tagger(model, *label_transitions(sentences, labels))
+
+
+def _scored(tagger: Tagger, tokens: DataFrame) -> DataFrame:
+    """Token rows with the model's columns; they need no ``label`` (the label
+    indexer is skipped for prediction)."""
+    stages = [s for s in tagger.model.stages if not isinstance(s, StringIndexerModel)]
+    return PipelineModel(stages).transform(tokens)
+
+
+def predict(tagger: Tagger, tokens: DataFrame) -> DataFrame:
+    """``(sentence_id, pos, token, predicted_label)``: each token's most
+    probable label by itself."""
+    return _scored(tagger, tokens).select("sentence_id", "pos", "token", "predicted_label")
+
+
+def best_path(scores: Column, start: list[float], move: list[list[float]]) -> Column:
+    """Label numbers of the best path through ``scores`` (an array per token of
+    log probabilities per label).  One fold keeps, per label, the best score of
+    a path that ends there and the label before it, token by token; a second
+    one walks back.  Of equal paths the smaller label number is taken."""
+    n = len(start)
+    kind = "struct<score:array<double>,back:array<array<int>>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        def ends(j: int) -> Column:
+            ways = [F.struct((F.get(acc["score"], F.lit(i)) + F.lit(move[i][j])).alias("s"), F.lit(-i).alias("i")) for i in range(n)]
+            return F.greatest(*ways)
+        best = F.array(*[ends(j) for j in range(n)])
+        return let(best, lambda b: F.struct(
+            F.transform(b, lambda w, j: w["s"] + F.get(e, j)).alias("score"),
+            F.concat(acc["back"], F.array(F.transform(b, lambda w: -w["i"]))).alias("back")))
+
+    def walk(done: Column) -> Column:
+        last = F.greatest(*[F.struct(F.get(done["score"], F.lit(j)).alias("s"), F.lit(-j).alias("j")) for j in range(n)])
+        return F.reverse(F.aggregate(F.reverse(done["back"]), F.array(-last["j"]),
+                                     lambda path, row: F.concat(path, F.array(F.get(row, F.element_at(path, -1))))))
+
+    first = F.struct(F.zip_with(F.lit([float(x) for x in start]), F.get(scores, F.lit(0)), lambda a, b: a + b).alias("score"),
+                     F.array().cast("array<array<int>>").alias("back")).cast(kind)
+    rest = F.slice(scores, 2, F.greatest(F.size(scores) - 1, F.lit(0)))
+    return F.when(F.size(scores) == 0, F.array().cast("array<int>")).otherwise(
+        let(F.aggregate(rest, first, step), walk))
+
+
+def predict_path(tagger: Tagger, tokens: DataFrame) -> DataFrame:
+    """``(sentence_id, pos, token, predicted_label)`` of the most probable label
+    sequence of each sentence.  A group is one sentence, bounded by its text."""
+    log = F.transform(vector_to_array("probability"), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+    one = F.struct("pos", "token", log.alias("scores"))
+    whole = (_scored(tagger, tokens).groupBy("sentence_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
+             .withColumn("path", best_path(F.col("t.scores"), tagger.start, tagger.move)))
+    names = F.lit(LABELS)
+    out = F.zip_with("t", "path", lambda t, k: F.struct(t["pos"].alias("pos"), t["token"].alias("token"), F.get(names, k).alias("predicted_label")))
+    return whole.select("sentence_id", F.inline(out))
 
 
 def pair_labels(pred: DataFrame) -> DataFrame:
@@ -103,9 +185,16 @@ def pair_labels(pred: DataFrame) -> DataFrame:
                         .alias("pairs")))
 
 
-def save_tagger(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_tagger(tagger: Tagger, path: str) -> None:
+    """The pipeline under ``path/model`` and the transitions, in one row, under
+    ``path/transitions``."""
+    spark = SparkSession.getActiveSession()
+    tagger.model.write().overwrite().save(f"{path}/model")
+    entry = json.dumps({"labels": LABELS, "start": tagger.start, "move": tagger.move})
+    spark.createDataFrame([(entry,)], "entry string").coalesce(1).write.mode("overwrite").parquet(f"{path}/transitions")
 
 
-def load_tagger(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_tagger(path: str) -> Tagger:
+    spark = SparkSession.getActiveSession()
+    entry = json.loads(spark.read.parquet(f"{path}/transitions").first()["entry"])
+    return Tagger(PipelineModel.load(f"{path}/model"), entry["start"], entry["move"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import split_words, unicode61_tokens
+from quarry.functions.text import html_to_text, let, split_words, unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
 from quarry.operators.keyword import (KeywordIndex, bm25_match, corpus_stats, keyword_hits, match_first, match_near,
                                       term_df, tokenize_chunks, top_k, with_snippets)
@@ -19,7 +19,6 @@ from quarry.operators.vocabulary import match_prefix
 from quarry.plans.registry import (DOC_SOURCE_SQL, register, sql_chunks, sql_doc_tokens,
                                    sql_html_text, sql_significant, sql_token_rows, sql_tokens, sql_words)
 from quarry.sources.scans import (combine_sources, issue_scan, page_scan, read_table, to_text)
-from quarry.functions.text import html_to_text
 
 TOP_K = 5
 PREFIX_LEN = 4
@@ -87,8 +86,9 @@ SELECT page_id, CAST(len(w) AS INTEGER) AS n_words, array_to_string(w, ' ') AS w
 FROM (SELECT page_id, {sql_words(sql_html_text('html'))} AS w FROM pages) p""")
 def html_to_words(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages")
-    w = split_words(html_to_text("html"))
-    return pages.select("page_id", F.size(w).alias("n_words"), F.array_join(w, " ").alias("words"))
+    # one row per page, through a generator: both columns come from one parse
+    row = let(split_words(html_to_text("html")), lambda w: F.struct(F.size(w).alias("n_words"), F.array_join(w, " ").alias("words")))
+    return pages.select("page_id", F.inline(F.array(row)))
 
 
 # ------------------------------------------------------------ P3

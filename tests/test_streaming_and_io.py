@@ -3,6 +3,7 @@ save/load and a caller-supplied embedding model."""
 
 import json
 import os
+from itertools import product
 
 import numpy as np
 import pytest
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.embed import model_embed
 from quarry.operators.layouts import deal_documents, to_json_documents, write_json
-from quarry.operators.tagging import explode_labelled, explode_text, load_tagger, pair_labels, predict, \
-    save_tagger, train_tagger
+from quarry.operators.tagging import LABELS, best_path, explode_text, label_transitions, load_tagger, pair_labels, predict, \
+    predict_path, save_tagger, train_tagger
 from quarry.sources.scans import combine_sources, issue_scan, labelled_rows, page_scan, to_text
 from quarry.operators.keyword import term_df
 from quarry.streaming.messages import tranche_stream
@@ -80,15 +81,40 @@ def test_tagger_train_save_load_predict(spark, tmp_path):
     tags = {"y": "B-TENOR", ")": "B-CURRENCY", "s": "B-IPT"}           # by last character
     sentences = [f"tranche {n}y ({c}) over MS+{b}bps" for n, c, b in [(7, "CHF", 88), (2, "SEK", 31), (15, "AUD", 140), (30, "CAD", 95)]]
     rows = [{"tokens": x.split(), "labels": [tags.get(w[-1], "O") for w in x.split()]} for x in sentences]
-    model = train_tagger(explode_labelled(labelled_rows(spark, rows)), max_iter=50)
-    save_tagger(model, str(tmp_path / "m"))
+    tagger = train_tagger(labelled_rows(spark, rows), max_iter=50)
+    save_tagger(tagger, str(tmp_path / "m"))
+    again = load_tagger(str(tmp_path / "m"))
+    assert (again.start, again.move) == (tagger.start, tagger.move)
     text = spark.createDataFrame([(0, "tranche 9y (NOK) over MS+52bps")], "sentence_id long, text string")
-    pred = predict(load_tagger(str(tmp_path / "m")), explode_text(text))
+    pred = predict(again, explode_text(text))
+    assert sorted(map(tuple, predict_path(again, explode_text(text)).collect())) == sorted(map(tuple, pred.collect()))
     pairs = pair_labels(pred).first().pairs
     assert [p[0] for p in pairs] == ["tranche", "9y", "(NOK)", "over", "MS+52bps"]
     assert [p[1] for p in pairs] == ["O", "B-TENOR", "B-CURRENCY", "O", "B-IPT"]
 
 
+def test_best_paths_by_enumeration(spark):
+    """Every label sequence tried; empty sentences and ties included."""
+    rng = np.random.default_rng(4)
+    n = len(LABELS)
+    move, start = rng.normal(size=(n, n)).round(3).tolist(), rng.normal(size=n).round(3).tolist()
+    rows = [(i, rng.normal(size=(i % 6, n)).round(3).tolist()) for i in range(30)] + [(99, [[0.0] * n])]
+    df = spark.createDataFrame(rows, "i int, scores array<array<double>>")
+    for i, scores, path in df.select("i", "scores", best_path(F.col("scores"), start, move)).collect():
+        ways = [(start[p[0]] + sum(s[k] for s, k in zip(scores, p)) + sum(move[a][b] for a, b in zip(p, p[1:])), p)
+                for p in product(range(n), repeat=len(scores)) if p]
+        assert tuple(path) == (max(ways, key=lambda w: w[0])[1] if ways else ()), i
+    flat = spark.createDataFrame([([[0.0] * n] * 4,)], "s array<array<double>>")
+    assert flat.select(best_path(F.col("s"), [0.0] * n, [[0.0] * n] * n)).first()[0] == [0, 0, 0, 0]
+
+
+def test_transitions_are_counted_with_one_added(spark):
+    rows = [{"tokens": ["a", "b", "c"], "labels": ["O", "B-TENOR", "O"]}, {"tokens": ["a"], "labels": ["B-IPT"]}, {"tokens": [], "labels": []}]
+    start, move = label_transitions(labelled_rows(spark, rows))
+    assert np.allclose(np.exp(start), [2 / 6, 1 / 6, 1 / 6, 2 / 6])
+    assert np.allclose(np.exp(move[0]), [1 / 5, 2 / 5, 1 / 5, 1 / 5]) and np.allclose(np.exp(move[3]), [1 / 4] * 4)
+
+
 def test_model_embed_uses_caller_model(spark):
     def load():
         return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], dtype=np.float32)
