@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.deal import infer_tenor
 from quarry.operators.deals import parse_tranches, reg_tagged_values
-from quarry.operators.layouts import deal_documents, draft_tranches, issuer, issuer_ratings, settlement, \
-    to_json_documents
+from quarry.operators.layouts import DRAFT_FIELDS, REDEMPTION_OTHER, REDEMPTION_TLAC, deal_documents, draft_tranches, issuer, \
+    issuer_ratings, settlement, to_json_documents
 from quarry.plans.registry import register
 from quarry.plans.render import block_messages, tabular_messages
 from quarry.sources.scans import read_table
@@ -188,40 +188,76 @@ t AS (
 g AS (SELECT l_orderkey, text, tenors, len(tenors) AS n FROM t)"""
 
 
+_GROUPS_SQL = ", ".join(f"{_sql_group(label)} AS f_{col}" for label, col in DRAFT_FIELDS)
+_FIELDS_SQL = ", ".join(f"f_{col}[i] AS {col}" for _, col in DRAFT_FIELDS)
+DRAFT_COLUMNS = [col for _, col in DRAFT_FIELDS]
+
+
+def _terms_sql(label: str) -> str:
+    q = lambda terms: " | ".join(terms).replace("'", "''")
+    return f"CASE WHEN contains({label}, 'TLAC') THEN '{q(REDEMPTION_TLAC)}' ELSE '{q(REDEMPTION_OTHER)}' END"
+
+
+def _draft_rows(drafts: DataFrame) -> DataFrame:
+    # outer generator: see parse_tranches
+    return drafts.select("msg_id", F.inline_outer("tranches")).where(F.col("tranche_no").isNotNull()).select(
+        "msg_id", "tranche_no", "tenor", "label", *DRAFT_COLUMNS, F.size("expected_ratings").alias("n_ratings"),
+        F.concat_ws(" | ", "optional_redemption_by_issuer").alias("redemption_terms"))
+
+
 @register("deal_line_group", _SQL_MESSAGES + f"""
 SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, CAST(i AS INTEGER) AS tranche_no, tenors[i] AS tenor,
-       'TLAC' AS label, fmt[i] AS format, isin[i] AS isin, mat[i] AS maturity_date, 4 AS n_redemption_terms
-FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (
-        SELECT l_orderkey, tenors, n, {_sql_group('Format')} AS fmt, {_sql_group('ISIN')} AS isin,
-               {_sql_group('Maturity Date')} AS mat
-        FROM g) x) y""")
+       'TLAC' AS label, {_FIELDS_SQL}, 0 AS n_ratings, {_terms_sql("'TLAC'")} AS redemption_terms
+FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT l_orderkey, tenors, n, {_GROUPS_SQL} FROM g) x) y""")
 def deal_line_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Draft line-group layout over the rendered messages."""
-    d = draft_tranches(tabular_messages(spark, sf))
-    # outer generator: see parse_tranches
-    return d.select("msg_id", F.inline_outer("tranches")).where(F.col("tranche_no").isNotNull()).select(
-        "msg_id", "tranche_no", "tenor", "label", "format", "isin", "maturity_date",
-        F.size("optional_redemption_by_issuer").alias("n_redemption_terms"))
+    """Draft line-group layout over the rendered messages: every field."""
+    return _draft_rows(draft_tranches(tabular_messages(spark, sf)))
+
+
+#: What the caller supplies for the three-tranche draft, and attributes of the whole deal.
+THREE_TENORS, THREE_LABELS = ["5Y", "8NC7", "30Y"], ["TIER 2", "TLAC", "Senior"]
+CONSTANTS = {"ticker": "EXMPL", "listing": "Euro MTF", "governing_law": "England", "denominations": "200k + 1k"}
+
+
+def _three_sql(label: str, col: str) -> str:
+    """The three lines after a label as the list f_col (nulls without it)."""
+    ws = "[\\s\\p{Z}]"
+    pattern = f"{label}{ws}+(.*?)\\n(.*?)\\n(.*?)\\n"
+    parts = [_SQL_TRIM.format(x=f"regexp_extract(text, '{pattern}', {g})") for g in (1, 2, 3)]
+    return f"CASE WHEN regexp_matches(text, '{pattern}') THEN [{', '.join(parts)}] ELSE [NULL, NULL, NULL]::VARCHAR[] END AS f_{col}"
+
+
+@register("deal_three_line", _SQL_MESSAGES + f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, CAST(i AS INTEGER) AS tranche_no, {THREE_TENORS}[i] AS tenor, {THREE_LABELS}[i] AS label,
+       {_FIELDS_SQL}, 0 AS n_ratings, {_terms_sql(f"{THREE_LABELS}[i]")} AS redemption_terms
+FROM (SELECT *, unnest(range(1, 4)) AS i FROM (SELECT l_orderkey, {", ".join(_three_sql(*f) for f in DRAFT_FIELDS)} FROM m) x) y""")
+def deal_three_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Draft three-line layout: three tranches with supplied tenors and labels."""
+    return _draft_rows(draft_tranches(tabular_messages(spark, sf), "three_line", tenors=THREE_TENORS, labels=THREE_LABELS))
 
 
 @register("deal_json", f"""
-SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, max('Issuer ' || o_custkey || ' plc') AS issuer,
-  max('**' || strftime(o_orderdate, '%B %-d, %Y') || '**') AS settlement,
-  CAST(count(*) AS INTEGER) AS n_tranches,
-  max(CASE WHEN rn = 1 THEN CASE WHEN l_linenumber % 2 = 1 THEN q || 'NC' || (q - 1) ELSE q || 'Y' END END)
-    AS first_tenor,
-  max(CASE WHEN rn = 1 THEN 'US' || l_orderkey || 'L' || l_linenumber END) AS first_isin
-{_LI}
-GROUP BY l_orderkey""")
+SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, 'Issuer ' || o_custkey || ' plc' AS issuer,
+  '**' || strftime(o_orderdate, '%B %-d, %Y') || '**' AS settlement,
+  {_RATING.format(a='A3', b='Baa1', c='Ba3')} AS moodys,
+  {", ".join(f"'{v}' AS {k}" for k, v in CONSTANTS.items())},
+  CAST(rn AS INTEGER) AS tranche_no, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS n_tranches,
+  CASE WHEN l_linenumber % 2 = 1 THEN q || 'NC' || (q - 1) ELSE q || 'Y' END AS tenor,
+  CASE WHEN l_linenumber % 2 = 1 THEN q END AS tenor_maturity_years,
+  'US' || l_orderkey || 'L' || l_linenumber AS isin, 'USD ' || CAST(floor(l_extendedprice) AS BIGINT) AS size,
+  strftime(l_shipdate, '%B %-d, %Y') AS maturity_date, true AS null_label_kept
+{_LI}""")
 def deal_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Deal documents (globals + nested tranches from the table parser)
-    exported as JSON, then read back field by field."""
-    docs = to_json_documents(deal_documents(tabular_messages(spark, sf), parser="table"))
-    j = F.col("json")
-    return docs.select(
-        "msg_id",
-        F.get_json_object(j, "$.issuer").alias("issuer"),
-        F.get_json_object(j, "$.settlement").alias("settlement"),
-        F.json_array_length(F.get_json_object(j, "$.tranches")).alias("n_tranches"),
-        F.get_json_object(j, "$.tranches[0].tenor").alias("first_tenor"),
-        F.get_json_object(j, "$.tranches[0].isin").alias("first_isin"))
+    """Deal documents (globals, constants and nested tranches from the table
+    parser) exported as JSON, then every tranche read back from the text."""
+    docs = to_json_documents(deal_documents(tabular_messages(spark, sf), parser="table", constants=CONSTANTS))
+    tranche = "struct<tenor:string,tenor_maturity_years:int,isin:string,size:string,maturity_date:string>"
+    shape = (f"issuer string, settlement string, ratings map<string,string>, {', '.join(f'{k} string' for k in CONSTANTS)}, "
+             f"tranches array<{tranche}>")
+    # two generators: the text is parsed once, not once per column
+    rows = docs.select("msg_id", (F.size(F.split("json", '"label":null', -1)) - 1).alias("nulls"),
+                       F.inline(F.array(F.from_json("json", shape))))
+    rows = rows.select("msg_id", "nulls", "issuer", "settlement", "ratings", *CONSTANTS, F.size("tranches").alias("n_tranches"),
+                       F.posexplode("tranches").alias("i", "t"))
+    return rows.select("msg_id", "issuer", "settlement", F.col("ratings").getItem("Moody's").alias("moodys"), *CONSTANTS,
+                       (F.col("i") + 1).alias("tranche_no"), "n_tranches", "t.*", (F.col("nulls") == F.col("n_tranches")).alias("null_label_kept"))

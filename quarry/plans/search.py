@@ -188,10 +188,13 @@ def match_none(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TOK = r"[\p{L}\p{N}\p{Co}]"
-# DuckDB statement of the snippet rules (see quarry.functions.snippet), over
-# the same ranked hits as bm25_batch.
-_SNIPPET_SQL = f"""
-WITH b AS ({_bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K)}),
+
+
+def snippet_sql(hits: str) -> str:
+    """DuckDB statement of the snippet rules (see quarry.functions.snippet) over
+    ranked hits (query_id, rank, source_id, source, doc_id, chunk_no, score)."""
+    return f"""
+WITH b AS ({hits}),
 c AS ({sql_chunks(DOC_SOURCE_SQL)}),
 q AS (SELECT item_id AS query_id, list_distinct({sql_tokens('text')}) AS terms FROM benchmark),
 p0 AS (SELECT b.*, c.content, q.terms,
@@ -238,7 +241,7 @@ SELECT query_id, rank, source_id, source, doc_id, chunk_no, score,
 FROM p7"""
 
 
-@register("snippet", _SNIPPET_SQL)
+@register("snippet", snippet_sql(_bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K)))
 def snippet_q(spark: SparkSession, sf: str) -> DataFrame:
     """Top-5 BM25 hits per passage with their highlighted 5-token snippet
     (also checked against SQLite FTS5 in tests)."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import api
 from quarry.functions.embed import hash_embed
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.hybrid import build_index, hybrid_search, index_in_memory, read_index
 from quarry.operators.vector import knn
 from quarry.plans.registry import register, sql_doc_tokens, sql_significant, sql_tokens
-from quarry.plans.search import SQL_PASSAGE_TERMS, TOP_K, _bm25_sql, doc_chunks, passages
+from quarry.plans.search import SQL_PASSAGE_TERMS, TOP_K, _bm25_sql, doc_chunks, passages, snippet_sql
 from quarry.session import scratch_path
 from quarry.sources.scans import read_table
 
@@ -71,12 +72,15 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ H1 - H5
 
-def _hybrid_sql(mode: str) -> str:
+def _hybrid_sql(mode: str, wanted: str = f"SELECT item_id AS query_id, {TOP_K} AS wanted FROM benchmark", most: int = TOP_K) -> str:
+    """``wanted``: the number of hits of each query, ``most`` at most."""
     score = "dist" if mode == "distance" else "1.0 / (1.0 + dist)"
-    kw = _bm25_sql(SQL_PASSAGE_TERMS, "all", TOP_K * 2).replace("round(score, 6) AS score", "score")
+    kw = _bm25_sql(SQL_PASSAGE_TERMS, "all", most * 2).replace("round(score, 6) AS score", "score")
+    snippets = snippet_sql("SELECT query_id, leg_rank AS rank, source || ':' || doc_id AS source_id, source, doc_id, chunk_no, score FROM kw")
     return f"""
-WITH kwr AS ({kw}),
-kw AS (SELECT query_id, source, doc_id, chunk_no, score, rank AS leg_rank, 1 AS leg FROM kwr WHERE rank <= {TOP_K}),
+WITH kwr AS ({kw}), wanted AS ({wanted}),
+kw AS (SELECT query_id, source, doc_id, chunk_no, score, rank AS leg_rank, 1 AS leg FROM kwr JOIN wanted USING (query_id)
+       WHERE rank <= wanted),
 tok AS ({sql_doc_tokens()}),
 hv AS (SELECT source, doc_id, chunk_no, {_sql_bucket('t')} AS bucket, count(*) AS cnt
        FROM (SELECT source, doc_id, chunk_no, unnest(tokens) AS t FROM tok) u GROUP BY ALL),
@@ -102,21 +106,24 @@ d AS (SELECT qv.query_id, cv.source, cv.doc_id, cv.chunk_no, {_SQL_DIST.format(a
       FROM qv, cv),
 semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('dist')}, source, doc_id, chunk_no)
            AS leg_rank FROM d),
-sem AS (SELECT query_id, source, doc_id, chunk_no, {score} AS score, leg_rank, 0 AS leg FROM semr
-        WHERE leg_rank <= {TOP_K}),
-b AS (SELECT * FROM kw UNION ALL SELECT * FROM sem),
+sem AS (SELECT query_id, source, doc_id, chunk_no, {score} AS score, leg_rank, 0 AS leg FROM semr JOIN wanted USING (query_id)
+        WHERE leg_rank <= wanted),
+both_legs AS (SELECT * FROM kw UNION ALL SELECT * FROM sem),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {sql_significant('score')} DESC, leg, leg_rank)
-        AS INTEGER) AS rank FROM b)
+        AS INTEGER) AS rank FROM both_legs),
+sn AS ({snippets})
 SELECT r.query_id, r.rank, r.leg, r.source || ':' || r.doc_id AS source_id, r.source, r.doc_id, r.chunk_no,
-       round(r.score, 6) AS score
-FROM r WHERE r.rank <= {TOP_K}"""
+       CASE WHEN r.leg = 0 THEN tok.content ELSE sn.snippet END AS snippet, round(r.score, 6) AS score
+FROM r JOIN wanted USING (query_id)
+JOIN tok ON tok.source = r.source AND tok.doc_id = r.doc_id AND tok.chunk_no = r.chunk_no
+LEFT JOIN sn ON r.leg = 1 AND sn.query_id = r.query_id AND sn.source = r.source AND sn.doc_id = r.doc_id AND sn.chunk_no = r.chunk_no
+WHERE r.rank <= wanted"""
 
 
 def _hybrid(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     idx = index_in_memory(doc_chunks(spark, sf), dim=DIM)
     h = hybrid_search(idx, passages(spark, sf), TOP_K, semantic_score=mode, dim=DIM)
-    # the keyword snippet is checked against FTS5 in tests, not here
-    return h.drop("snippet").withColumn("score", F.round("score", 6))
+    return h.withColumn("score", F.round("score", 6))
 
 
 @register("hybrid_distance", _hybrid_sql("distance"))
@@ -129,6 +136,32 @@ def hybrid_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _hybrid(spark, sf, "similarity")
 
 
+#: Hits asked for by each passage: its id modulo 4, the default where that is 0.
+_WANTED_SQL = f"SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN {TOP_K} ELSE item_id % 4 END AS wanted FROM benchmark"
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select(
+        F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+@register("hybrid_nested", f"""
+SELECT query_id, count(*) AS n_hits, string_agg(source_id, ',' ORDER BY rank) AS source_ids,
+       string_agg(snippet, chr(10) ORDER BY rank) AS snippets, max(score) AS best_score
+FROM ({_hybrid_sql("similarity", _WANTED_SQL)}) x GROUP BY query_id""")
+def hybrid_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested answer of the two calls in ``api``: a stored index, queries
+    with a ``top_k`` of their own (null: the default)."""
+    path = scratch_path(spark, "index")
+    build_index(_documents(spark, sf), path, dim=DIM, html=False)
+    wanted = F.nullif(F.col("query_id") % 4, F.lit(0)).cast("int")
+    hits = api.query(spark, path, passages(spark, sf).withColumn("top_k", wanted), TOP_K, "similarity", dim=DIM)
+    answer = api.nested(hits.withColumn("score", F.round("score", 6)))
+    every = lambda field: F.transform("hits", lambda h: h[field])
+    return answer.select("query_id", F.size("hits").cast("bigint").alias("n_hits"), F.array_join(every("source_id"), ",").alias("source_ids"),
+                         F.array_join(every("snippet"), "\n").alias("snippets"), F.array_max(every("score")).alias("best_score"))
+
+
 # ------------------------------------------------------------ H6, K1, K2
 
 @register("index_roundtrip", f"""
@@ -148,9 +181,7 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Build the index into the shared scratch folder, read it back, and
     report per chunk what the two sides hold."""
     path = scratch_path(spark, "index")
-    docs = read_table(spark, sf, "documents").select(
-        F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    build_index(docs, path, dim=DIM, html=False)
+    build_index(_documents(spark, sf), path, dim=DIM, html=False)
     idx = read_index(spark, path)
     store = idx.keyword.store
     postings = store.table("postings")
