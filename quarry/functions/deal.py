@@ -15,12 +15,7 @@ from quarry.functions.text import btrim_ws, let
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
-#
-# Label synonyms (lower-case label without colons -> field name):
-#   maturity -> Maturity Date, maturity date -> Maturity Date,
-#   coupontype -> Coupon Type, coupon type -> Coupon Type,
-#   benchmark -> Benchmark Treasury, benchmark treasury -> Benchmark Treasury,
-#   issue date -> Issue Date, expected ratings -> Expected Ratings
+# Label synonyms: lower-case label without colons -> field name.
 LABEL_SYNONYMS = {
     "maturity": "Maturity Date",
     "maturity date": "Maturity Date",

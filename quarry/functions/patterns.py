@@ -1,24 +1,7 @@
 """Regular expressions of the deal-message parser.
 
-# ---------------------------------------------------------------------------
-# These patterns must equal the reference's for the same
-# results.  Python's Unicode ``\\s`` is written as ``WS`` (Java's ``\\s`` is
-# ASCII-only); ``(?d)`` makes ``.`` and ``$`` treat only ``\\n`` as a line end,
-# as Python does.
-#
-#   cell separator        \\t+|\\s{2,}
-#   cell stars            ^\\*+|\\*+$
-#   trailing parenthesis  \\s*\\(.*?\\)\\s*$
-#   any parenthesis       \\s*\\(.*?\\)
-#   tenor with non-call   (\\d+)\\s*NC\\s*(\\d+)            (case-insensitive)
-#   ratings block         Expected Ratings\\s+([\\s\\S]+?)(?:\\n[A-Z][a-zA-Z /]+:|\\n\\n|$)   (case-insensitive)
-#   issuer                Issuer/Ticker\\s+(.*?)\\(
-#   issuer rating line    <agency>:\\s*(.*?)\\n   for agencies  Moody'?s  S&P  Fitch
-#   settlement            Settlement\\s+(.*?)\\(
-#   tenor line            Tenor\\s+(.+?)\\n
-#   three-line field      <label>\\s+(.*?)\\n(.*?)\\n(.*?)\\n
-#   n-line field group    <label>\\s+([^\\n]+(?:\\n[^\\n]+){0,<n-1>})
-# ---------------------------------------------------------------------------
+Python's Unicode ``\\s`` is written as ``WS`` (Java's ``\\s`` is ASCII-only);
+``(?d)`` makes ``.`` and ``$`` treat only ``\\n`` as a line end, as Python does.
 """
 
 from __future__ import annotations
@@ -29,6 +12,8 @@ from quarry.functions.text import WS
 
 _U = "(?d)"
 
+# ---------------------------------------------------------------------------
+# These patterns must equal the reference's for the same results.
 CELL_SEP = rf"\t+|{WS}{{2,}}"
 TRAILING_PAREN = rf"{WS}*\(.*?\){WS}*$"
 ANY_PAREN = rf"{WS}*\(.*?\)"
@@ -57,3 +42,4 @@ def line_group(label: str) -> str:
     match equals the bounded pattern's match (the repetition never moves the
     start of the match), and the pattern stays constant across rows."""
     return f"{_U}{label}{WS}+([^\\n]+(?:\\n[^\\n]+)*)"
+# ---------------------------------------------------------------------------

@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.deal import (LABEL_SYNONYMS, clean_cell, decode_tenor, field_key,
-                                   infer_tenor, label_key, split_cells, terminator_keys)
-from quarry.functions.patterns import ANY_PAREN, ratings_block
+from quarry.functions.deal import LABEL_SYNONYMS, clean_cell, decode_tenor, field_key, infer_tenor, label_key, terminator_keys
+from quarry.functions.patterns import ANY_PAREN, CELL_SEP, ratings_block
 from quarry.functions.text import btrim_ws, let, split_lines
 
+# ---------------------------------------------------------------------------
+# These must equal the reference's for the same results.
 # Fields read from a table row / from a block, with their output column.
 TABULAR_FIELDS = [
     ("Format", "format"), ("Ranking", "ranking"), ("Size", "size"),
@@ -46,11 +47,12 @@ TRANCHE_COLUMNS = [
     "next_interest_payment_date", "optional_redemption_by_holder", "optional_redemption_by_issuer",
     "use_of_proceeds",
 ]
+# ---------------------------------------------------------------------------
 
 
 def message_lines(text: Column) -> Column:
     """Non-blank lines, whitespace-stripped."""
-    return F.transform(F.filter(split_lines(text), lambda l: btrim_ws(l) != ""), btrim_ws)
+    return F.filter(F.transform(split_lines(text), btrim_ws), lambda l: l != "")
 
 
 def layout(text: Column, synonyms: dict | None = None, strict_labels: bool = False) -> Column:
@@ -75,7 +77,8 @@ def layout(text: Column, synonyms: dict | None = None, strict_labels: bool = Fal
                     F.filter(F.transform(lkeys, lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
                              lambda i: i >= 0).alias("stops")))
             return let(F.transform(cells, lambda c: label_key(c[0], synonyms)), with_headers)
-        return let(F.transform(lines, split_cells), with_cells)
+        # the lines are stripped already
+        return let(F.transform(lines, lambda line: F.split(line, CELL_SEP, -1)), with_cells)
     return let(message_lines(text), with_lines)
 
 

@@ -19,14 +19,7 @@ from quarry.functions.text import btrim_ws, let, split_lines, split_words
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
-#
-# Optional redemption terms by label - when the tranche label contains TLAC:
-#   "Optional Redemption Dates (1 year par call prior to maturity)",
-#   "Certain tax events (any time)", "Loss Absorption Disqualification Event",
-#   "Make Whole Call 6 month from issue date to 1 year prior to maturity";
-# otherwise:
-#   "Optional Redemption Dates (1 year par call prior to maturity)",
-#   "Certain tax events (any time)", "Capital Disqualification Event".
+# Optional redemption terms of a tranche whose label contains TLAC, and of others.
 REDEMPTION_TLAC = [
     "Optional Redemption Dates (1 year par call prior to maturity)",
     "Certain tax events (any time)",

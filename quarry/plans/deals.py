@@ -68,8 +68,8 @@ def deal_block_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("deal_ratings", f"""
 SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, {_TRANCHE},
-  ['A3', 'Baa1', 'Ba3'][l_partkey % 3 + 1] AS moodys,
-  ['A-', 'BBB', 'BB-'][l_suppkey % 3 + 1] AS sp,
+  ['Aa2', 'B1', 'Caa2'][l_partkey % 3 + 1] AS moodys,
+  ['AA', 'B+', 'CCC'][l_suppkey % 3 + 1] AS sp,
   CAST(NULL AS VARCHAR) AS fitch, 2 AS n_ratings
 {_LI}""")
 def deal_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,9 +108,9 @@ _RATING = "['{a}', '{b}', '{c}'][o_custkey % 3 + 1] || ' (Stable)'"
 
 @register("deal_globals", f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, 'Issuer ' || o_custkey || ' plc' AS issuer,
-  {_RATING.format(a='A3', b='Baa1', c='Ba3')} AS moodys,
-  {_RATING.format(a='A-', b='BBB', c='BB-')} AS sp,
-  {_RATING.format(a='A+', b='A-', c='BB')} AS fitch,
+  {_RATING.format(a='Aa2', b='B1', c='Caa2')} AS moodys,
+  {_RATING.format(a='AA', b='B+', c='CCC')} AS sp,
+  {_RATING.format(a='AA-', b='B', c='CCC+')} AS fitch,
   '**' || strftime(o_orderdate, '%B %-d, %Y') || '**' AS settlement
 FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
 def deal_globals(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,9 +162,9 @@ m AS (
       || string_agg(c_tenor, ' & ' ORDER BY rn) || ' $$',
     chr(9) || chr(9) || chr(9),
     'Issuer/Ticker' || chr(9) || 'Issuer ' || max(o_custkey) || ' plc (“C' || max(o_custkey) || '”)',
-    'Issuer Ratings*' || chr(9) || 'Moody''s: ' || ['A3', 'Baa1', 'Ba3'][max(o_custkey) % 3 + 1] || ' (Stable)',
-    'S&P: ' || ['A-', 'BBB', 'BB-'][max(o_custkey) % 3 + 1] || ' (Stable)',
-    'Fitch: ' || ['A+', 'A-', 'BB'][max(o_custkey) % 3 + 1] || ' (Stable)',
+    'Issuer Ratings*' || chr(9) || 'Moody''s: ' || ['Aa2', 'B1', 'Caa2'][max(o_custkey) % 3 + 1] || ' (Stable)',
+    'S&P: ' || ['AA', 'B+', 'CCC'][max(o_custkey) % 3 + 1] || ' (Stable)',
+    'Fitch: ' || ['AA-', 'B', 'CCC+'][max(o_custkey) % 3 + 1] || ' (Stable)',
     'Tenor' || chr(9) || string_agg(c_tenor, chr(9) ORDER BY rn),
     'Format' || chr(9) || string_agg(c_format, chr(9) ORDER BY rn),
     'Ranking ' || chr(9) || string_agg(c_ranking, chr(9) ORDER BY rn),
@@ -239,7 +239,7 @@ def deal_three_line(spark: SparkSession, sf: str) -> DataFrame:
 @register("deal_json", f"""
 SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, 'Issuer ' || o_custkey || ' plc' AS issuer,
   '**' || strftime(o_orderdate, '%B %-d, %Y') || '**' AS settlement,
-  {_RATING.format(a='A3', b='Baa1', c='Ba3')} AS moodys,
+  {_RATING.format(a='Aa2', b='B1', c='Caa2')} AS moodys,
   {", ".join(f"'{v}' AS {k}" for k, v in CONSTANTS.items())},
   CAST(rn AS INTEGER) AS tranche_no, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS n_tranches,
   CASE WHEN l_linenumber % 2 = 1 THEN q || 'NC' || (q - 1) ELSE q || 'Y' END AS tenor,

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from quarry.sources.scans import read_table
 
-MOODYS = ["A3", "Baa1", "Ba3"]
-SP = ["A-", "BBB", "BB-"]
-FITCH = ["A+", "A-", "BB"]
+MOODYS = ["Aa2", "B1", "Caa2"]
+SP = ["AA", "B+", "CCC"]
+FITCH = ["AA-", "B", "CCC+"]
 
 
 def _pick(values: list[str], key: Column) -> Column:
@@ -36,7 +36,7 @@ ORDER_COLS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def tranche_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Per line item: the cell text of each field of its tranche."""
-    li = read_table(spark, sf, "lineitem")
+    li = read_table(spark, sf, "lineitem", spread=True)
     q = F.floor("l_quantity").cast("int")
     return li.select(
         "l_orderkey", *[F.col(c).alias(f"k_{c}") for c in ORDER_COLS],

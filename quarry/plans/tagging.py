@@ -22,7 +22,7 @@ FROM lineitem"""
 
 
 def labelled_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    li = read_table(spark, sf, "lineitem")
+    li = read_table(spark, sf, "lineitem", spread=True)
     tenor = F.concat(F.floor("l_quantity").cast("int").cast("string"), F.lit("y"))
     cur = F.when(F.col("l_returnflag") == "A", "CHF").when(F.col("l_returnflag") == "N", "SEK").otherwise("AUD")
     spread = F.concat(F.lit("T+"), (F.round(F.col("l_discount") * 1000).cast("int") + 100).cast("string"))

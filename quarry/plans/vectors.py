@@ -141,7 +141,7 @@ _WANTED_SQL = f"SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN {TOP_
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select(
+    return read_table(spark, sf, "documents", spread=True).select(
         F.lit("doc").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 

@@ -16,10 +16,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Read one table.  How finely files are split is the session's setting
-    (``spark.sql.files.maxPartitionBytes``, ``minPartitionNum``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    (``spark.sql.files.maxPartitionBytes``), but a file of one row group is one
+    task.  ``spread`` is for tables whose work per row dwarfs their size: where
+    the scan has fewer tasks than the cluster has cores, its rows are dealt out
+    anew; a large table's scan has more, and nothing is added."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if not spread:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _as_col(c) -> Column:

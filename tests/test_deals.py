@@ -39,7 +39,7 @@ def test_wrapped_message(spark):
     assert [r["tranche"] for r in t] == ["Tranche 1", "Tranche 2"]
     assert [(r["tenor"], r["tenor_maturity_years"], r["tenor_non_call_years"]) for r in t] == \
         [("5NC4", 5, 4), ("8NC7", 8, 7)]
-    assert [r["ranking"] for r in t] == ["Senior Unsecured", "Subordinated Unsecure"]
+    assert [r["ranking"] for r in t] == ["Junior Unsecured", "Preferred Subordi"]
     assert [r["isin"] for r in t] == ["US1111AA11", "US1111AA22"]
     assert [r["cusip"] for r in t] == ["1111AA11", "1111AA22"]
     assert [r["maturity_date"] for r in t] == ["May 1, 2030", "May 1, 2033"]
@@ -123,7 +123,7 @@ def test_globals_and_draft(spark):
     first = d[0].tranches
     assert len(first) == 2
     assert first[0].format == "SEC Registered\tSEC Registered"
-    assert first[1].format == "Ranking \tSenior Unsecured\tSubordinated Unsecure"
+    assert first[1].format == "Ranking \tJunior Unsecured\tPreferred Subordi"
     assert first[0].isin == "**US1111AA11**\t**US1111AA22**"
     assert first[1].isin == "CUSIP\t1111AA11\t1111AA22"
     assert first[0].coupon is None
@@ -164,7 +164,7 @@ def test_three_line_layout(spark):
                        labels=["TLAC", "TIER 2", None]).first().tranches
     assert [t.tranche_no for t in d] == [1, 2, 3]
     assert [t.format for t in d] == ["SEC Registered\tSEC Registered",
-                                     "Ranking \tSenior Unsecured\tSubordinated Unsecure", "d"]
+                                     "Ranking \tJunior Unsecured\tPreferred Subordi", "nated"]
     assert [t.coupon for t in d] == [None, None, None]          # label absent
     assert [len(t.optional_redemption_by_issuer or []) for t in d] == [4, 3, 0]
     assert d[1].label == "TIER 2" and d[2].tenor is None
