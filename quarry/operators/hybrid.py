@@ -19,6 +19,7 @@ from quarry.functions.embed import hash_embed, hash_embed_tokens
 from quarry.operators import versions
 from quarry.operators.chunking import CHUNK_KEY, chunk_text
 from quarry.operators.common import significant, sized, top_k_per_group
+from quarry.operators.embedding import embed_distinct
 from quarry.operators.keyword import KeywordIndex, bm25_match, rank_order, tokenize_chunks, with_snippets
 from quarry.operators.store import Store, write_store
 from quarry.operators.vector import knn
@@ -37,9 +38,12 @@ class HybridIndex:
         return self.keyword.tokenized.drop("tokens")
 
 
-def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64) -> DataFrame:
-    """Add ``embedding``: ``embed(content_col) -> Column`` or the hash
-    default (which reuses a ``tokens`` column when the chunks have one)."""
+def embed_chunks(chunks: DataFrame, embed=None, dim: int = 64, model=None) -> DataFrame:
+    """Add ``embedding``: ``embed(content_col) -> Column``, a caller's model
+    (``load_model`` of ``model_embed``; each distinct text is embedded once), or
+    the hash default (which reuses a ``tokens`` column when the chunks have one)."""
+    if model is not None:
+        return embed_distinct(chunks, model)
     if embed is None and "tokens" in chunks.columns:
         return chunks.withColumn("embedding", hash_embed_tokens("tokens", dim))
     fn = embed or (lambda c: hash_embed(c, dim))
@@ -54,7 +58,7 @@ def index_in_memory(chunks: DataFrame, embed=None, dim: int = 64) -> HybridIndex
 
 
 def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: bool = True,
-                max_words: int = 300, overlap: int = 50) -> int:
+                max_words: int = 300, overlap: int = 50, model=None) -> int:
     """Ingest ``docs(source, doc_id, html|text)`` into ``path`` as a new
     generation, which replaces the former one for readers once it is
     committed; returns its number."""
@@ -62,7 +66,7 @@ def build_index(docs: DataFrame, path: str, embed=None, dim: int = 64, html: boo
     folder = f"v-{uuid.uuid4().hex}"
     text = to_text(docs) if html else docs
     chunks = tokenize_chunks(chunk_text(text, "text", max_words=max_words, overlap=overlap))
-    entry = write_store(embed_chunks(chunks, embed, dim), f"{path}/{folder}")
+    entry = write_store(embed_chunks(chunks, embed, dim, model), f"{path}/{folder}")
     return versions.commit(spark, path, entry | {"folder": folder})
 
 

@@ -1,10 +1,21 @@
-"""Exact k-nearest-neighbour search (squared L2), brute force, in blocks.
-
-Queries and index rows are packed into blocks (an Arrow batch as one binary
-value each); every query block meets every index tile in some task, which
-scores the pair with matrix products and keeps a running top-k per query.
-A task emits at most k rows per query; the final top-k runs over those.
-Neither vectors nor results pass through the driver, and no (query, vector)
+"""Exact k-nearest-neighbour search (squared L2) over tiles with distance bounds.
+
+Index rows are packed into tiles of rows that lie near one another (dealt by
+their nearest pivot, a few sampled vectors), queries into blocks alike.  Each
+tile and block has, per pivot, the interval of its rows' distances to it.  By
+the triangle inequality two such intervals bound every distance between a
+block's queries and a tile's rows from below and from above, so
+
+1. the tiles that must hold k neighbours of all of a block's queries give a
+   bound on the k-th distance, and tiles that lie beyond it are left out;
+2. a block is scored against its nearest tiles first; the k-th distances
+   found there tighten the bound for the rest.
+
+What is paired up are tile and block numbers with their intervals; a tile's
+bytes are shipped once and the blocks' bytes to the tiles that they are
+compared with.  A task scores a tile against one block at a time and emits at
+most k rows per query; the final top-k runs over those.  Neither vectors nor
+results pass through the driver (but for the pivots), and no (query, vector)
 pair becomes a row.
 """
 
@@ -17,30 +28,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.common import significant, top_k_per_group
+from quarry.operators.common import significant, sized, top_k_per_group
 
-# Rows of a block, and of the pieces that are scored at once: a piece's
-# distance matrix holds QUERY_PIECE * ROWS numbers at most.
+# Rows of a tile or block, and of the pieces that are scored at once: a
+# piece's distance matrix holds QUERY_PIECE * ROWS numbers at most.
 ROWS = 2048
 QUERY_PIECE = 256
+#: Sampled vectors whose distances bound all others.
+PIVOTS = 16
+#: Tiles that a block is compared with before the others.
+FIRST_TILES = 4
+#: Room for the rounding of distances.
+ROOM = 1e-9
 
 # worker-side code travels by value: workers need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch.slice(a, ROWS))
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
-
-
 def _load(block: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(block).read_next_batch()
 
@@ -51,6 +59,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_pylist()])
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to pivots, a row of numbers per row."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1) if len(pivots) else np.zeros((len(x), 0))
+
+
+def _packed(rows: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
+    """``(number, n, lo, hi, block)`` of ``rows (..., vector)``, written: rows
+    of one nearest pivot, by their distance to it, ROWS to a block at most.
+    Blocks end where the nearest pivot changes, so there are at most PIVOTS
+    more of them a task."""
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = _distances(_matrix(b.column("vector")), pivots)
+            home = d.argmin(1) if d.shape[1] else np.zeros(b.num_rows, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(d)), home] if d.shape[1] else np.zeros(b.num_rows))],
+                [*b.schema.names, "_home", "_far"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def out(t: pa.Table) -> pa.RecordBatch:
+            batch = t.drop(["_home", "_far"]).combine_chunks().to_batches()[0]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            d = _distances(_matrix(batch.column("vector")), pivots)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([batch.num_rows], pa.int64()), pa.array([d.min(0).tolist()], pa.list_(pa.float64())),
+                 pa.array([d.max(0).tolist()], pa.list_(pa.float64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                ["n", "lo", "hi", "block"])
+        for b in batches:
+            home = b.column("_home").to_numpy()
+            cuts = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), b.num_rows]
+            for a, e in zip(cuts, cuts[1:]):
+                if e == a:
+                    continue
+                part = pa.Table.from_batches([b.slice(a, e - a)])
+                if held is not None and held.column("_home")[0] != part.column("_home")[0]:
+                    yield out(held)
+                    held = None
+                held = part if held is None else pa.concat_tables([held, part])
+                while held.num_rows > ROWS:
+                    yield out(held.slice(0, ROWS))
+                    held = held.slice(ROWS)
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    kind = T.StructType([*rows.schema.fields, T.StructField("_home", T.IntegerType()), T.StructField("_far", T.DoubleType())])
+    # in ranges of (nearest pivot, distance to it): a pivot that most rows are near to has many
+    laid = rows.mapInArrow(near, kind)
+    if len(pivots):
+        laid = laid.repartitionByRange("_home", "_far").sortWithinPartitions("_home", "_far")
+    blocks = laid.mapInArrow(pack, "n bigint, lo array<double>, hi array<double>, block binary")
+    return sized(blocks.withColumn("number", F.monotonically_increasing_id()), name)
+
+
 def _cut(x: np.ndarray) -> np.ndarray:
     """Twelve significant digits, as ``common.significant`` cuts them."""
     with np.errstate(divide="ignore"):
@@ -59,10 +124,6 @@ def _cut(x: np.ndarray) -> np.ndarray:
     return np.round(x * scale) / scale
 
 
-def _best(df: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
-    return df.sort_values(["query_id", "_r", *keys], kind="mergesort").groupby("query_id", sort=False).head(k)
-
-
 def _score(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame, x: np.ndarray, keys: list[str], k: int) -> pd.DataFrame:
     """The k nearest rows (sorted by key) of each query, ties by key."""
     parts = []
@@ -84,44 +145,109 @@ def _score(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame, x: np.ndarray, k
             order = order[np.arange(len(order)) - start < k]
             got = rows.iloc[xi[order]].reset_index(drop=True)
             got.insert(0, "query_id", qids[a + one[qi[order]]])
-            got["dist"], got["_r"] = dist[order], cut[order]
+            got["dist"] = dist[order]
             parts.append(got)
     return pd.concat(parts, ignore_index=True)
 
 
+def _scored(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
+    """The nearest rows of each pair ``(tile, block)``.  A tile comes first,
+    then its blocks one after the other."""
+    ship = (tiles.join(pairs.select("tile").distinct(), F.col("number") == F.col("tile"), "left_semi")
+            .select(F.col("number").alias("tile"), F.lit(-1).cast("long").alias("block_no"), "block")
+            .unionByName(pairs.join(blocks, F.col("number") == F.col("block_no")).select("tile", "block_no", "block")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, x = None, None
+        for batch in batches:
+            for number, block in zip(batch.column("block_no").to_pylist(), batch.column("block")):
+                part = _load(block.as_py())
+                if number < 0:
+                    order = part.select(keys).to_pandas().sort_values(keys, kind="mergesort")
+                    rows, x = order.reset_index(drop=True), _matrix(part.column("vector"))[order.index.to_numpy()]
+                    continue
+                ids = part.column("query_id").to_pandas().to_numpy()
+                got = _score(ids, _matrix(part.column("vector")), rows, x, keys, k)
+                yield from pa.Table.from_pandas(got, preserve_index=False).to_batches()
+
+    return ship.repartition("tile").sortWithinPartitions("tile", "block_no").mapInArrow(run, schema)
+
+
+def _bound(name: str, pick, a: str, b: str) -> Column:
+    """``pick`` of ``name[a] ? name[b]`` over the pivots."""
+    return F.coalesce(pick(F.zip_with(a, b, name)), F.lit(0.0))
+
+
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None = None,
         vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
-        rank_col: str = "rank") -> DataFrame:
+        rank_col: str = "rank", trace: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(query_id, rank, *keys, dist)``: the ``k`` index rows nearest to
     each query, ascending squared distance (to 12 significant digits), ties by
-    key.  Null vectors take no part."""
+    key.  Null vectors take no part.  ``trace`` receives the pairs of block and
+    tile numbers: all, and those that were compared."""
     keys = keys or [c for c in index.columns if c != vec_col]
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vector")).where(F.col("vector").isNotNull())
+    x = index.select(*keys, F.col(vec_col).alias("vector")).where(F.col("vector").isNotNull())
     schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), *[index.schema[c] for c in keys],
                            T.StructField("dist", T.DoubleType())])
-    x = index.select(*keys, F.col(vec_col).alias("vector")).where(F.col("vector").isNotNull())
-    # a stated query set against all rows, block by block
-    pairs = (x.mapInArrow(_pack, "block binary").withColumnRenamed("block", "tile")
-             .crossJoin(q.mapInArrow(_pack, "block binary")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, pd.DataFrame] = {}            # per query block of this task
-        last: tuple[bytes, pd.DataFrame, np.ndarray] | None = None
-        for batch in batches:
-            for tile, block in zip(batch.column(0), batch.column(1)):
-                t, b = tile.as_py(), block.as_py()
-                if last is None or last[0] != t:
-                    rows = _load(t)
-                    order = rows.select(keys).to_pandas().sort_values(keys, kind="mergesort")
-                    last = (t, order.reset_index(drop=True), _matrix(rows.column("vector"))[order.index.to_numpy()])
-                qs = _load(b)
-                ids = qs.column("query_id").to_pandas().to_numpy()
-                got = _score(ids, _matrix(qs.column("vector")), last[1], last[2], keys, k)
-                name = hash(b)
-                best[name] = _best(pd.concat([best[name], got]), keys, k) if name in best else got
-        for got in best.values():
-            yield from pa.Table.from_pandas(got.drop(columns="_r"), preserve_index=False).to_batches()
-
-    cand = pairs.mapInArrow(run, schema)
-    order = [significant(F.col("dist")).asc(), *[F.col(c).asc() for c in keys]]
-    return top_k_per_group(cand, ["query_id"], order, k, rank_col)
+    # a few tiles are all compared anyway: no bounds are needed
+    few = x.select(F.lit(1)).limit(FIRST_TILES * ROWS + 1).count() <= FIRST_TILES * ROWS
+    sample = [] if few else [r["vector"] for r in x.select("vector").orderBy(F.xxhash64("vector")).limit(PIVOTS).collect()]
+    pivots = np.unique(np.array(sample, dtype=np.float64), axis=0) if sample else np.zeros((0, 0))
+    tiles, blocks = _packed(x, pivots, "knn-tiles"), _packed(q, pivots, "knn-blocks")
+    if few:
+        pairs = sized(blocks.select(F.col("number").alias("block_no")).crossJoin(tiles.select(F.col("number").alias("tile"))), "knn-pairs")
+        if trace is not None:
+            trace.update(all=pairs, compared=pairs)
+        return top_k_per_group(_scored(pairs, tiles, blocks, keys, k, schema), ["query_id"], _nearest_first(keys), k, rank_col)
+
+    # numbers and intervals only: a row per tile and block of ROWS rows each
+    t = tiles.select(F.col("number").alias("tile"), "n", F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
+    b = blocks.select(F.col("number").alias("block_no"), "lo", "hi")
+    apart = F.greatest(_bound(lambda u, v: u - v, F.array_max, "tlo", "hi"), _bound(lambda u, v: u - v, F.array_max, "lo", "thi"), F.lit(0.0))
+    within = F.array_min(F.zip_with("hi", "thi", lambda u, v: u + v))
+    every = sized(b.crossJoin(t).select("block_no", "tile", "n", (apart * (1 - ROOM)).alias("apart"), (within * (1 + ROOM)).alias("within")), "knn-pairs")
+    return _nearest(every, tiles, blocks, keys, k, schema, rank_col, trace)
+
+
+def _nearest(every: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[str], k: int, schema: T.StructType,
+             rank_col: str, trace: dict[str, DataFrame] | None) -> DataFrame:
+    # a block's queries all have k rows within the tiles that add up to k rows
+    order = Window.partitionBy("block_no").orderBy("within", "tile")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reach = every.withColumn("_n", upto).where(F.col("_n") >= k).groupBy("block_no").agg(F.min("within").alias("reach"))
+    live = every.join(reach, "block_no", "left").where(F.col("reach").isNull() | (F.col("apart") <= F.col("reach")))
+    live = sized(live.withColumn("_turn", F.row_number().over(Window.partitionBy("block_no").orderBy("apart", "within", "tile")))
+                 .select("block_no", "tile", "apart", "_turn"), "knn-live")
+    top = _nearest_first(keys)
+    first = live.where(F.col("_turn") <= FIRST_TILES)
+    near = top_k_per_group(_scored(first, tiles, blocks, keys, k, schema), ["query_id"], top, k, rank_col)
+    if live.where(F.col("_turn") > FIRST_TILES).isEmpty():
+        if trace is not None:
+            trace.update(all=every, compared=first)
+        return near
+    near = sized(near, "knn-first")
+    # the k-th distances found bound the rest: the largest of a block's queries counts
+    kth = near.where(F.col(rank_col) == k).select("query_id", F.sqrt("dist").alias("kth"))
+    of = blocks.select(F.col("number").alias("block_no"), "block").mapInArrow(_members, T.StructType([
+        T.StructField("block_no", T.LongType()), schema["query_id"]]))
+    bound = (of.join(kth, "query_id", "left").groupBy("block_no")
+             .agg(F.max("kth").alias("kth"), F.max(F.col("kth").isNull()).alias("open")))
+    rest = (live.where(F.col("_turn") > FIRST_TILES).join(bound, "block_no")
+            .where(F.col("open") | (F.col("apart") <= F.col("kth") * (1 + ROOM) + ROOM)).select("block_no", "tile"))
+    rest = sized(rest, "knn-rest")
+    if trace is not None:
+        trace.update(all=every, compared=first.select("block_no", "tile").unionByName(rest))
+    more = _scored(rest, tiles, blocks, keys, k, schema)
+    return top_k_per_group(near.drop(rank_col).unionByName(more), ["query_id"], top, k, rank_col)
+
+
+def _nearest_first(keys: list[str]) -> list[Column]:
+    return [significant(F.col("dist")).asc(), *[F.col(c).asc() for c in keys]]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = _load(block.as_py()).column("query_id")
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), ids], ["block_no", "query_id"])

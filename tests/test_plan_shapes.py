@@ -55,3 +55,43 @@ def test_knn_keeps_ties_and_duplicates_bounded(spark):
         got.setdefault(r["query_id"], []).append(r["id"])
     assert all(got[i] == [0, 1, 2, 3] for i in range(300)) and got[300] == [5009, 5008, 5007, 5006]
     assert knn(df.limit(0), q, 4, ["id"]).count() == 0 == knn(df, q.limit(0), 4, ["id"]).count()
+
+
+def test_knn_leaves_out_blocks_beyond_the_bounds(spark, monkeypatch):
+    """Rows in far clusters: most pairs of blocks are never compared, and the
+    result is the plain one."""
+    import numpy as np
+
+    from quarry.operators import vector
+    for name, value in (("ROWS", 20), ("FIRST_TILES", 2), ("QUERY_PIECE", 8)):
+        monkeypatch.setattr(vector, name, value)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 50, (10, 6))
+    x = np.concatenate([c + rng.normal(size=(60, 6)) for c in centres] + [np.repeat(centres[:1], 90, axis=0)]).round(3)
+    q = np.concatenate([c + rng.normal(size=(12, 6)) for c in centres]).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(5)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(999, None)], "query_id long, vector array<double>").repartition(3)
+    for k in (3, 70, 200):
+        seen = {}
+        got = {}
+        for r in vector.knn(df, qs, k, ["id"], trace=seen).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+        d = ((q[:, None] - x[None]) ** 2).sum(2)
+        for i in range(len(q)):
+            want = sorted(range(len(x)), key=lambda j: (float(f"{d[i, j]:.11e}"), j))[:k]
+            assert [j for _, j in sorted(got[i])] == want, (k, i)
+        assert set(got) == set(range(len(q)))
+        pairs, compared = seen["all"].count(), seen["compared"].count()
+        assert compared == seen["compared"].select("block_no", "tile").distinct().count()
+        if k == 3:
+            assert compared < pairs / 3, (compared, pairs)
+
+
+def test_knn_with_fewer_rows_than_asked_for(spark, monkeypatch):
+    from quarry.operators import vector
+    monkeypatch.setattr(vector, "ROWS", 2)
+    monkeypatch.setattr(vector, "FIRST_TILES", 1)
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(7)] + [(7, None)], "id long, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([(i, [float(i) / 2, 1.0]) for i in range(5)], "query_id long, vector array<double>")
+    out = vector.knn(df, q, 50, ["id"]).collect()
+    assert len(out) == 35 and {r["rank"] for r in out} == set(range(1, 8))

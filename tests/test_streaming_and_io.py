@@ -122,6 +122,44 @@ def test_model_embed_uses_caller_model(spark):
     assert [r[0] for r in df.select(model_embed("t", load)).collect()] == [[5.0, 2.0], [0.0, 0.0]]
 
 
+def test_each_distinct_text_is_embedded_once(spark, tmp_path):
+    """The model logs what it sees; a third of the rows hold one text."""
+    from quarry.operators.embedding import embed_distinct
+    log = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        def encode(texts):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write("".join(f"{t}|" for t in texts))
+            return np.array([[len(t), t.count("a"), t.count(" ")] for t in texts], dtype=np.float32)
+        return encode
+    texts = ["a b a"] * 1500 + [f"text {i % 700} a" for i in range(2900)] + ["", None, None]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "i int, content string, _rows2 int").repartition(7)
+    got = {r["i"]: list(r["embedding"]) for r in embed_distinct(df, load).collect()}
+    seen = [t for f in os.listdir(log) for t in open(os.path.join(log, f)).read().split("|")[:-1]]
+    assert sorted(seen) == sorted(set(t or "" for t in texts))
+    want = {r["i"]: list(r["e"]) for r in df.select("i", model_embed("content", load).alias("e")).collect()}
+    assert got == want and len(got) == len(texts)
+    assert embed_distinct(df.limit(0), load).count() == 0
+
+
+def test_index_with_a_model(spark, tmp_path):
+    from quarry.operators.hybrid import build_index, hybrid_search, read_index
+
+    def load():
+        return lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts], dtype=np.float32)
+    docs = spark.createDataFrame([("s", str(i), t) for i, t in enumerate(["a a a", "b b", "a b", "a b"])], "source string, doc_id string, text string")
+    build_index(docs, str(tmp_path / "idx"), html=False, model=load)
+    idx = read_index(spark, str(tmp_path / "idx"))
+    assert {r["doc_id"]: list(r["embedding"]) for r in idx.chunks.collect()} == {"0": [3, 0], "1": [0, 2], "2": [1, 1], "3": [1, 1]}
+    q = spark.createDataFrame([(0, "b b b")], "query_id long, query string")
+    top = hybrid_search(idx, q, 1, semantic_score="similarity", embed=lambda c: model_embed(c, load)).first()
+    assert top["doc_id"] == "1"
+
+
 def test_ingest_and_query_api(spark, tmp_path):
     from quarry.api import ingest, query
     issues = spark.createDataFrame(
@@ -181,7 +219,7 @@ def test_worker_side_modules_ship_by_value():
     from pyspark import cloudpickle
     from quarry.functions import embed
     from quarry.operators import vector
-    for fn in (embed._count_vector_fn, vector._score, vector._pack):
+    for fn in (embed._count_vector_fn, vector._score, vector._members):
         blob = cloudpickle.dumps(fn)
         # a by-reference pickle is a short global lookup; by value carries the code
         assert len(blob) > 200, fn.__name__
