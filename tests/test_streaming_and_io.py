@@ -67,6 +67,38 @@ def test_nested_exports_scan(spark):
     assert rows == {("jira", "P-1"): ["alpha", "beta"], ("jira", "P-2"): [], ("confluence", "7"): ["T", "&x"]}
 
 
+def test_paged_exports(spark, tmp_path):
+    """A partition per page, nested fields, pushed filters, the limit by number."""
+    from quarry.sources import paged
+    issue = lambda i, project, text: {"key": f"{project}-{i}", "project": project, "fields": {"description": text, "other": 1}}
+    issues, pages = tmp_path / "issues", tmp_path / "pages"
+    issues.mkdir(), pages.mkdir()
+    for n in range(4):
+        rows = [issue(10 * n + i, "WIKI" if i % 2 else "OTHER", f"<p>text <b>{10 * n + i}</b></p>" if i else None) for i in range(10)]
+        (issues / f"page-{n:03d}.json").write_text(json.dumps({"startAt": 10 * n, "total": 40, "issues": rows}), encoding="utf-8")
+    (issues / "page-004.json").write_text(json.dumps({"startAt": 40, "project": "LAST", "issues": [{"key": "LAST-1", "fields": None}]}))
+    (issues / "note.txt").write_text("not a page")
+    (pages / "0.json").write_text(json.dumps({"results": [{"id": 7, "space": "S", "body": {"storage": {"value": "<h1>é</h1>"}}}, {"id": 8}]}))
+    paged.register(spark)
+    df = spark.read.format("paged_export").option("path", str(issues)).load()
+    assert df.count() == 41 and df.rdd.getNumPartitions() == 5
+    got = issue_scan(df, source="jira", where=F.col("project") == "WIKI").collect()
+    assert {r["doc_id"] for r in got} == {f"WIKI-{10 * n + i}" for n in range(4) for i in range(1, 10, 2)}
+    assert next(r["html"] for r in got if r["doc_id"] == "WIKI-13") == "<p>text <b>13</b></p>"
+    plan = df.where("project = 'WIKI'")._jdf.queryExecution().executedPlan().toString()
+    assert "WIKI" not in plan, plan                       # the source has the comparison; isnotnull stays
+    assert [tuple(r) for r in df.where("key = 'LAST-1'").collect()] == [("LAST-1", "LAST", None)]
+    assert df.where("project = 'LAST'").count() == 1 and df.where("fields.description is null").count() == 5
+    first = spark.read.format("paged_export").option("path", str(issues)).option("limit", "25").load()
+    assert sorted(int(r["key"].split("-")[1]) for r in first.collect()) == list(range(25))
+    body = spark.read.format("paged_export").options(path=str(pages), kind="pages").load()
+    assert [tuple(r) for r in page_scan(body, source="confluence").orderBy("doc_id").collect()] == [
+        ("confluence", "7", "<h1>é</h1>"), ("confluence", "8", "")]
+    with pytest.raises(Exception, match="page_size"):
+        spark.read.format("paged_export").options(path=str(pages), kind="pages", limit="1").load().collect()
+    assert spark.read.format("paged_export").options(path=str(pages), kind="pages", limit="1", page_size="25").load().count() == 1
+
+
 def test_json_export_keeps_nulls(spark, tmp_path):
     m = spark.createDataFrame([("m1", open(os.path.join(FIX, "deal_wrapped.txt"), encoding="utf-8").read())],
                               "msg_id string, text string")
