@@ -8,8 +8,8 @@ outside the universe has no guarantee, so the universe is every key of the
 corpus.  False positives are found by distributed scans; only the levels'
 bits come to the driver, and their size is set by counts before that.
 
-Large lists are cut into shards by key hash, one cascade of bounded size and
-one pass over the rows each.
+Large lists are cut into shards by key hash, one cascade of bounded size each;
+keys and rows are then dealt to their shards once.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import shipped, written
+from quarry.session import scratch_path
 
 #: Keys a shard holds, about; so a cascade takes some 20 bits of each at most.
 SHARD_KEYS = 8_000_000
@@ -159,17 +160,26 @@ def listed_keys(rows: DataFrame, key: str, universe: DataFrame, out: str = "list
             .agg(F.max("listed").alias("listed")))
     keys = written(keys, "cascade-keys")
     shards = max(1, -(-keys.count() // shard_keys))
+    if shards > 1:                                     # dealt out once; each shard then reads its own
+        keys = _sharded(keys, F.col("h"), shards, "cascade-keys")
+        rows = _sharded(rows, F.xxhash64(F.col(key)), shards, "cascade-rows")
     result = None
     for s in range(shards):
-        mine = F.pmod(F.xxhash64(F.col("h")), F.lit(shards)) == s
-        levels = shipped(rows.sparkSession, build_cascade(keys.where(mine)))
-        h = F.xxhash64(F.col(key))
-        part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64(h), F.lit(shards)) == s)
-        part = part.withColumn(out, _asked(levels)(h) & F.col(key).isNotNull())
+        mine, part = (keys, rows) if shards == 1 else (d.where(F.col("_shard") == s).drop("_shard") for d in (keys, rows))
+        levels = shipped(rows.sparkSession, build_cascade(mine))
+        part = part.withColumn(out, _asked(levels)(F.xxhash64(F.col(key))) & F.col(key).isNotNull())
         result = part if result is None else result.unionByName(part)
     return result
 
 
+def _sharded(df: DataFrame, h: Column, shards: int, name: str) -> DataFrame:
+    """``df`` written with ``_shard``, a folder each."""
+    path = scratch_path(df.sparkSession, name)
+    df.withColumn("_shard", F.pmod(F.xxhash64(h), F.lit(shards)).cast("int")).write.partitionBy("_shard").parquet(path)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.sparkSession.read.schema(f"{kinds}, _shard int").parquet(path)
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], list_of: Column, url: str = "url", key: str = "page_id",
                shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Per row: ``page_id, host, path, rule, verdict``.
