@@ -81,19 +81,22 @@ FREQUENT_REFERENCES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<",
                        "&amp;": "&"}
 
 
+#: Parts of the table of character names.
+NAME_PARTS = 12
+
+
 def _named(name: Column) -> Column:
-    """A name's character from Python's HTML5 table.  The table is split by the
-    names' first letter, so a lookup goes through some 40 entries, and every
-    part is one literal, so the plan stays small."""
+    """A name's character from Python's HTML5 table.  The sorted table is cut
+    into parts, so a lookup goes through one of them only, and every part is
+    one literal, so the plan stays small."""
     from html.entities import html5
-    parts: dict[str, list[str]] = {}
-    for k, v in sorted(html5.items()):
-        if "<" not in k:
-            parts.setdefault(k[0], []).append(f"{k}\x02{v}")
+    entries = sorted((k, v) for k, v in html5.items() if "<" not in k)
+    size = -(-len(entries) // NAME_PARTS)
     out = F.lit(None).cast("string")
-    for letter, entries in parts.items():
-        table = F.str_to_map(F.lit("\x01".join(entries)), F.lit("\x01"), F.lit("\x02"))
-        out = F.when(F.substring(name, 1, 1) == letter, F.try_element_at(table, name)).otherwise(out)
+    for at in reversed(range(0, len(entries), size)):
+        part = entries[at: at + size]
+        table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in part)), F.lit("\x01"), F.lit("\x02"))
+        out = F.when(name <= part[-1][0], F.try_element_at(table, name)).otherwise(out)
     return out
 
 

@@ -42,6 +42,8 @@ QUERY_PIECE = 256
 PIVOTS = 16
 #: Tiles that a block is compared with before the others.
 FIRST_TILES = 4
+#: So few tiles are all compared: finding bounds would cost more.
+ALL_TILES = 32
 #: Room for the rounding of distances.
 ROOM = 1e-9
 
@@ -64,9 +66,8 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1) if len(pivots) else np.zeros((len(x), 0))
 
 
-def _packed(rows: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
-    """``(number, n, lo, hi, block)`` of ``rows (..., vector)``, written: rows
-    of one nearest pivot, by their distance to it, ROWS to a block at most.
+def _packed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``(number, n, lo, hi, block)`` of ``rows (..., vector)``: rows of one nearest pivot, by their distance to it, ROWS to a block at most.
     Blocks end where the nearest pivot changes, so there are at most PIVOTS
     more of them a task."""
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def _packed(rows: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
     if len(pivots):
         laid = laid.repartitionByRange("_home", "_far").sortWithinPartitions("_home", "_far")
     blocks = laid.mapInArrow(pack, "n bigint, lo array<double>, hi array<double>, block binary")
-    return sized(blocks.withColumn("number", F.monotonically_increasing_id()), name)
+    return blocks.withColumn("number", F.monotonically_increasing_id())
 
 
 def _cut(x: np.ndarray) -> np.ndarray:
@@ -150,12 +151,18 @@ def _score(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame, x: np.ndarray, k
     return pd.concat(parts, ignore_index=True)
 
 
-def _scored(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
-    """The nearest rows of each pair ``(tile, block)``.  A tile comes first,
-    then its blocks one after the other."""
-    ship = (tiles.join(pairs.select("tile").distinct(), F.col("number") == F.col("tile"), "left_semi")
-            .select(F.col("number").alias("tile"), F.lit(-1).cast("long").alias("block_no"), "block")
-            .unionByName(pairs.join(blocks, F.col("number") == F.col("block_no")).select("tile", "block_no", "block")))
+def _met(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tiles that occur in ``pairs (tile, block_no)``, and the pairs with
+    their blocks' bytes."""
+    return (tiles.join(pairs.select("tile").distinct(), F.col("number") == F.col("tile"), "left_semi"),
+            pairs.join(blocks, F.col("number") == F.col("block_no")).select("tile", "block_no", "block"))
+
+
+def _scored(tiles: DataFrame, pairs: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
+    """The nearest rows of each of ``pairs (tile, block_no, block)``.  A tile
+    comes first, then its blocks one after the other."""
+    ship = (tiles.select(F.col("number").alias("tile"), F.lit(-1).cast("long").alias("block_no"), "block")
+            .unionByName(pairs.select("tile", "block_no", "block")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, x = None, None
@@ -190,16 +197,17 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None
     x = index.select(*keys, F.col(vec_col).alias("vector")).where(F.col("vector").isNotNull())
     schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), *[index.schema[c] for c in keys],
                            T.StructField("dist", T.DoubleType())])
-    # a few tiles are all compared anyway: no bounds are needed
-    few = x.select(F.lit(1)).limit(FIRST_TILES * ROWS + 1).count() <= FIRST_TILES * ROWS
-    sample = [] if few else [r["vector"] for r in x.select("vector").orderBy(F.xxhash64("vector")).limit(PIVOTS).collect()]
-    pivots = np.unique(np.array(sample, dtype=np.float64), axis=0) if sample else np.zeros((0, 0))
-    tiles, blocks = _packed(x, pivots, "knn-tiles"), _packed(q, pivots, "knn-blocks")
-    if few:
-        pairs = sized(blocks.select(F.col("number").alias("block_no")).crossJoin(tiles.select(F.col("number").alias("tile"))), "knn-pairs")
+    if x.select(F.lit(1)).limit(ALL_TILES * ROWS + 1).count() <= ALL_TILES * ROWS:
+        tiles = sized(_packed(x, np.zeros((0, 0))), "knn-tiles")
+        numbers = [r["number"] for r in tiles.select("number").collect()]              # a number per tile
+        every = F.array(*[F.lit(n) for n in numbers]).cast("array<bigint>")
+        pairs = _packed(q, np.zeros((0, 0))).select(F.explode(every).alias("tile"), F.col("number").alias("block_no"), "block")
         if trace is not None:
-            trace.update(all=pairs, compared=pairs)
-        return top_k_per_group(_scored(pairs, tiles, blocks, keys, k, schema), ["query_id"], _nearest_first(keys), k, rank_col)
+            trace.update(all=pairs.drop("block"), compared=pairs.drop("block"))
+        return top_k_per_group(_scored(tiles, pairs, keys, k, schema), ["query_id"], _nearest_first(keys), k, rank_col)
+    sample = [r["vector"] for r in x.select("vector").orderBy(F.xxhash64("vector")).limit(PIVOTS).collect()]
+    pivots = np.unique(np.array(sample, dtype=np.float64), axis=0) if sample else np.zeros((0, 0))
+    tiles, blocks = sized(_packed(x, pivots), "knn-tiles"), sized(_packed(q, pivots), "knn-blocks")
 
     # numbers and intervals only: a row per tile and block of ROWS rows each
     t = tiles.select(F.col("number").alias("tile"), "n", F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
@@ -221,7 +229,7 @@ def _nearest(every: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[s
                  .select("block_no", "tile", "apart", "_turn"), "knn-live")
     top = _nearest_first(keys)
     first = live.where(F.col("_turn") <= FIRST_TILES)
-    near = top_k_per_group(_scored(first, tiles, blocks, keys, k, schema), ["query_id"], top, k, rank_col)
+    near = top_k_per_group(_scored(*_met(first, tiles, blocks), keys, k, schema), ["query_id"], top, k, rank_col)
     if live.where(F.col("_turn") > FIRST_TILES).isEmpty():
         if trace is not None:
             trace.update(all=every, compared=first)
@@ -238,7 +246,7 @@ def _nearest(every: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[s
     rest = sized(rest, "knn-rest")
     if trace is not None:
         trace.update(all=every, compared=first.select("block_no", "tile").unionByName(rest))
-    more = _scored(rest, tiles, blocks, keys, k, schema)
+    more = _scored(*_met(rest, tiles, blocks), keys, k, schema)
     return top_k_per_group(near.drop(rank_col).unionByName(more), ["query_id"], top, k, rank_col)
 
 

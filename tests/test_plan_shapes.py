@@ -63,7 +63,7 @@ def test_knn_leaves_out_blocks_beyond_the_bounds(spark, monkeypatch):
     import numpy as np
 
     from quarry.operators import vector
-    for name, value in (("ROWS", 20), ("FIRST_TILES", 2), ("QUERY_PIECE", 8)):
+    for name, value in (("ROWS", 20), ("FIRST_TILES", 2), ("ALL_TILES", 1), ("QUERY_PIECE", 8)):
         monkeypatch.setattr(vector, name, value)
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 50, (10, 6))
@@ -91,6 +91,7 @@ def test_knn_with_fewer_rows_than_asked_for(spark, monkeypatch):
     from quarry.operators import vector
     monkeypatch.setattr(vector, "ROWS", 2)
     monkeypatch.setattr(vector, "FIRST_TILES", 1)
+    monkeypatch.setattr(vector, "ALL_TILES", 1)
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(7)] + [(7, None)], "id long, embedding array<double>").repartition(2)
     q = spark.createDataFrame([(i, [float(i) / 2, 1.0]) for i in range(5)], "query_id long, vector array<double>")
     out = vector.knn(df, q, 50, ["id"]).collect()
