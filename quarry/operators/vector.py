@@ -67,9 +67,10 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``(number, n, lo, hi, block)`` of ``rows (..., vector)``: rows of one nearest pivot, by their distance to it, ROWS to a block at most.
-    Blocks end where the nearest pivot changes, so there are at most PIVOTS
-    more of them a task."""
+    """``(number, n, lo, hi, block)`` of ``rows (..., vector)``: rows of one
+    nearest pivot, by their distance to it, ROWS to a block at most.  Blocks end
+    where the nearest pivot changes, so there are at most PIVOTS more of them a
+    task."""
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = _distances(_matrix(b.column("vector")), pivots)

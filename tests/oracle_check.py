@@ -52,7 +52,8 @@ def duck(sf_dir: str):
     return con
 
 
-def check(spark, names, sf_dir, verbose=True):
+def check(spark, names, sf_dir, verbose=True, plans=None):
+    """``plans`` receives the queries' physical plans by name."""
     import __spark_entry__ as e
     qs, sqls = e.queries(), e.oracle_sql()
     con = duck(sf_dir)
@@ -60,6 +61,8 @@ def check(spark, names, sf_dir, verbose=True):
     for n in names:
         t0 = time.time()
         df = qs[n](spark, sf_dir)
+        if plans is not None:
+            plans[n] = df._jdf.queryExecution().executedPlan().toString()
         s_cols = df.columns
         s_recs = [tuple(r) for r in df.collect()]
         t1 = time.time()

@@ -18,20 +18,12 @@ def test_entry_runs(spark):
     assert df.count() >= 0 and "score" in df.columns
 
 
-def test_every_query_has_a_builder_and_oracles_match(spark):
-    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    res = check(spark, list(QUERIES), SF, verbose=False)
-    bad = [n for n, ok in res.items() if ok is False]
-    assert not bad, bad
-
-
-def test_no_cross_joins_in_any_plan(spark):
-    """No registered query plans a cartesian product or a nested-loop join (the
-    kNN pairs the numbers of its tiles before, without their rows)."""
-    bad = {}
-    for name, build in QUERIES.items():
-        plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
-        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
-        if hits:
-            bad[name] = hits
+def test_every_query_matches_its_oracle_without_cross_joins(spark):
+    """And no registered query plans a cartesian product or a nested-loop join
+    (the kNN pairs the numbers of its tiles before, without their rows)."""
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) and set(QUERIES) == set(ORACLES)
+    plans = {}
+    res = check(spark, list(QUERIES), SF, verbose=False, plans=plans)
+    assert res == dict.fromkeys(QUERIES, True)
+    bad = {n: op for n, p in plans.items() for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in p}
     assert not bad, bad
