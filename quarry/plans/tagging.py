@@ -49,14 +49,14 @@ def bio_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _line_item(rows, "pos", "token", "label", F.col("label_id").cast("int").alias("label_id"))
 
 
-def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+def _tagged(spark: SparkSession, sf: str, nested: bool = False) -> DataFrame:
     """Train on every labelled sentence, save and reload the tagger, then tag
     the same sentences given as raw text."""
     s = labelled_sentences(spark, sf)
     path = scratch_path(spark, "tagger")
     save_tagger(train_tagger(s), path)
     texts = s.select("sentence_id", F.array_join("tokens", " ").alias("text"))
-    return predict_path(load_tagger(path), explode_text(texts))
+    return predict_path(load_tagger(path), explode_text(texts), adjacent=True, nested=nested)
 
 
 @register("tag_tokens", f"SELECT l_orderkey, l_linenumber, pos, token, label FROM ({_TOKENS_SQL}) x")
@@ -70,4 +70,4 @@ FROM ({_SENTENCES_SQL}) s""")
 def tag_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each sentence with its labels, in token order."""
     pairs = F.transform("pairs", lambda p: F.concat_ws("/", p["token"], p["predicted_label"]))
-    return _line_item(pair_labels(_tagged(spark, sf)), F.array_join(pairs, " ").alias("pairs"))
+    return _line_item(pair_labels(_tagged(spark, sf, nested=True)), F.array_join(pairs, " ").alias("pairs"))
