@@ -46,6 +46,8 @@ B = 0.75
 IDF_FLOOR = 1e-6
 #: Chunks of a slice (see ``ranked``), and slices at most.
 SLICE_CHUNKS, MAX_SLICES = 4096, 4096
+#: Chunks whose postings a Python worker holds at once.
+PIECE_ROWS = 512
 
 # worker-side code travels by value: workers need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -66,6 +68,13 @@ def tokenize_chunks(chunks: DataFrame, content: str = "content") -> DataFrame:
                   .withColumn("n_tokens", F.size("tokens")))
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of a chunk's tokens is many times their size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def term_runs(tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """``(row, term, offsets, positions)`` of a column of token lists: the
     positions of each distinct term of a row, ascending, are the slice of
@@ -89,7 +98,7 @@ def postings_of(tokenized: DataFrame, positions: bool = True) -> DataFrame:
     names = ["term", *keep.columns, "tf"] + (["positions"] if positions else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches):
             row, terms, offsets, places = term_runs(b.column("tokens"))
             at = pa.array(row)
             columns = [terms, *[c.take(at) for c in b.columns[1:]], pa.array(np.diff(offsets).astype(np.int32))]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.common import sized
-from quarry.operators.keyword import KeywordIndex, from_rarest, postings_of
+from quarry.operators.keyword import KeywordIndex, from_rarest, in_pieces, postings_of
 
 #: A term is frequent in an index of N chunks when it is in more than N / 20.
 #: A chunk holds few distinct terms, so there are at most 20 times their mean.
@@ -46,7 +46,7 @@ def pair_tokens(tokenized: DataFrame, frequent: list[str]) -> DataFrame:
         import pyarrow.compute as pc
 
         wanted = pa.array(frequent, pa.string())
-        for b in batches:
+        for b in in_pieces(batches):
             tokens = b.column("tokens")
             lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = tokens.flatten().cast(pa.string())

@@ -55,3 +55,19 @@ def test_tokens_and_labels_of_unequal_number(spark):
                               "sentence_id int, tokens array<string>, labels array<string>")
     rows = {(r.sentence_id, r.pos, r.token, r.f_prev, r.label) for r in explode_labelled(s).collect()}
     assert rows == {(1, 0, "a", "<s>", "O"), (1, None, None, None, "O"), (2, 0, "b", "<s>", "O"), (2, 1, "c", "b", None)}
+
+
+def test_postings_are_made_a_few_chunks_at_a_time():
+    import pyarrow as pa
+
+    from quarry.operators.keyword import PIECE_ROWS, in_pieces, term_runs
+    tokens = pa.array([[f"w{i % 7}", "the", f"w{i % 7}"] for i in range(PIECE_ROWS * 3 + 5)])
+    whole = pa.RecordBatch.from_arrays([tokens, pa.array(range(len(tokens)))], ["tokens", "id"])
+    pieces = list(in_pieces(iter([whole])))
+    assert [p.num_rows for p in pieces] == [PIECE_ROWS] * 3 + [5]
+
+    def rows(b):
+        row, terms, offsets, places = term_runs(b.column("tokens"))
+        ids = b.column("id").take(pa.array(row)).to_pylist()
+        return {(i, t, tuple(places[a:e])) for i, t, a, e in zip(ids, terms.to_pylist(), offsets[:-1], offsets[1:])}
+    assert set().union(*map(rows, pieces)) == rows(whole)
