@@ -58,8 +58,17 @@ def bm25_top(index: KeywordIndex, queries: DataFrame, k: int, exclude: DataFrame
     worth = impact(avgdl, k1, b).alias("impact")
     part = chunk_slice(n_slices).alias("slice")
 
+    allowed = lambda rows: rows
     if index.store is None:
-        lists = sized(index.postings_for(qt, positions=False).select("term", *CHUNK_KEY, part, worth), "query-postings")
+        lists = index.postings_for(qt, positions=False).select("term", *CHUNK_KEY, part, worth)
+        if not_terms is not None:
+            # a row knows its chunk's excluded terms, so it meets no query that excludes one
+            held = index.postings_for(not_terms, positions=False).groupBy(*CHUNK_KEY).agg(F.collect_set("term").alias("bans"))
+            lists = lists.join(held, CHUNK_KEY, "left")
+            nots = sized(not_terms.groupBy("query_id").agg(F.collect_set("term").alias("nots")), "excluded")
+            allowed = lambda rows: (rows.join(nots, "query_id", "left")
+                                    .where(~F.coalesce(F.arrays_overlap("bans", "nots"), F.lit(False))).drop("bans", "nots"))
+        lists = sized(lists, "query-postings")
         postings = lambda terms: lists.join(terms.select("term").distinct(), "term", "left_semi")
         qt = qt.join(index.df_for(qt, lists), "term")
         bounds_of = None
@@ -78,9 +87,9 @@ def bm25_top(index: KeywordIndex, queries: DataFrame, k: int, exclude: DataFrame
     rising = Window.partitionBy("query_id").orderBy("df", "term")
     rare = qt.withColumn("_rows", F.sum("df").over(rising.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_rows") <= SEED_ROWS)
     rare = sized(rare.drop("_rows"), "rare-terms")
-    seeds = (postings(rare).join(rare, "term").groupBy("query_id", *CHUNK_KEY)
+    seeds = (allowed(postings(rare).join(rare, "term")).groupBy("query_id", *CHUNK_KEY)
              .agg(F.sum(F.col("impact") * F.col("weight")).alias("partial")))
-    if not_terms is not None:
+    if not_terms is not None and index.store is not None:
         seeds = without(sized(seeds, "seeds"), index, not_terms)
     floors = _kth(seeds, k, ["query_id"], "partial")
     if not_terms is None:
@@ -96,11 +105,11 @@ def bm25_top(index: KeywordIndex, queries: DataFrame, k: int, exclude: DataFrame
     rest = summed.where("not needed").groupBy("query_id", "slice").agg(F.max("_sum").alias("rest"))
 
     # 3. candidates, with the part of their score that is known
-    rows = postings(needed).join(needed, ["term", "slice"]).join(qt.select("query_id", "term", "weight"), ["query_id", "term"])
+    rows = allowed(postings(needed).join(needed, ["term", "slice"])).join(qt.select("query_id", "term", "weight"), ["query_id", "term"])
     found = (rows.groupBy("query_id", "slice", *CHUNK_KEY, "floor").agg(F.sum(F.col("impact") * F.col("weight")).alias("partial"))
              .join(rest, ["query_id", "slice"], "left")
              .where(F.col("partial") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor")))
-    if not_terms is not None:
+    if not_terms is not None and index.store is not None:
         found = without(sized(found, "found"), index, not_terms)
     found = sized(found, "found")
     higher = _kth(found, k, ["query_id"], "partial").select("query_id", (F.col("floor") * ROOM).alias("higher"))

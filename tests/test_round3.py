@@ -71,3 +71,45 @@ def test_postings_are_made_a_few_chunks_at_a_time():
         ids = b.column("id").take(pa.array(row)).to_pylist()
         return {(i, t, tuple(places[a:e])) for i, t, a, e in zip(ids, terms.to_pylist(), offsets[:-1], offsets[1:])}
     assert set().union(*map(rows, pieces)) == rows(whole)
+
+
+def test_excluded_chunks_meet_no_query(spark):
+    from quarry.operators.keyword import KeywordIndex, bm25_match, top_k
+    from quarry.operators.ranked import bm25_top
+    texts = ["alpha the beta", "alpha gamma", "beta the", "alpha beta delta", "gamma delta", "the gamma alpha"]
+    chunks = spark.createDataFrame([("d", str(i), 0, t) for i, t in enumerate(texts)], "source string, doc_id string, chunk_no int, content string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma alpha"), (3, "beta")], "query_id bigint, query string")
+    excluded = spark.createDataFrame([(1, "the"), (2, "delta the")], "query_id bigint, query string")
+    seen = {}
+    got = bm25_top(KeywordIndex.from_chunks(chunks), queries, 2, exclude=excluded, trace=seen)
+    want = top_k(bm25_match(KeywordIndex.from_chunks(chunks), queries, "any", exclude=excluded), 2)
+    cols = ["query_id", "rank", "doc_id", F.round("score", 9)]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    met = {(r.query_id, r.doc_id) for r in seen["needed"].collect()}
+    assert not met & {(q, d) for q in (1, 2) for d in "025"} and (2, "3") not in met
+
+
+def test_nearest_rows_are_kept_over_many_tiles(spark):
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from quarry.operators import vector
+    r = np.random.default_rng(5)
+    x = r.integers(0, 4, size=(400, 3)).astype(float)                      # many equal distances
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>").repartition(40)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(7)], "query_id int, vector array<double>").coalesce(1)
+    tiles, blocks = (vector.sized(vector._packed(f, np.zeros((0, 0))), "test") for f in (index, queries))
+    pairs = blocks.select(F.col("number").alias("block_no")).crossJoin(tiles.select(F.col("number").alias("tile")))
+    schema = T.StructType([T.StructField("query_id", T.IntegerType()), T.StructField("id", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    k, n_tiles = 5, tiles.count()
+    before, vector.RUN_TILES = vector.RUN_TILES, n_tiles
+    try:
+        rows = vector._scored(tiles, blocks, pairs, ["id"], k, schema).collect()
+    finally:
+        vector.RUN_TILES = before
+    parts = min(n_tiles, 2 * spark.sparkContext.defaultParallelism)
+    assert n_tiles > parts and len(rows) <= 7 * k * parts                    # not k rows a tile
+    for q in range(7):
+        d = ((x - x[q]) ** 2).sum(1)
+        want = sorted(zip(d, range(400)))[:k]
+        assert sorted((e.dist, e.id) for e in rows if e.query_id == q)[:k] == want
