@@ -11,10 +11,10 @@ block's queries and a tile's rows from below and from above, so
 2. a block is scored against its nearest tiles first; the k-th distances
    found there tighten the bound for the rest.
 
-What is paired up are tile and block numbers with their intervals; a tile's
-bytes are shipped once and the blocks' bytes to the tiles that they are
-compared with.  A task scores a tile against one block at a time and emits at
-most k rows per query; the final top-k runs over those.  Neither vectors nor
+What is paired up are tile and block numbers with their intervals; a block's
+bytes are shipped to its tasks, and the bytes of the tiles that it is compared
+with after it.  A task scores a block against one tile at a time, keeps the k
+nearest rows of each query and emits those; the final top-k runs over them.  Neither vectors nor
 results pass through the driver (but for the pivots), and no (query, vector)
 pair becomes a row.
 """
@@ -44,6 +44,8 @@ PIVOTS = 16
 FIRST_TILES = 4
 #: So few tiles are all compared: finding bounds would cost more.
 ALL_TILES = 32
+#: Tiles that a task compares with a block, and such tasks at most.
+RUN_TILES, MAX_TASKS = 64, 10_000
 #: Room for the rounding of distances.
 ROOM = 1e-9
 
@@ -56,9 +58,12 @@ def _load(block: bytes) -> pa.RecordBatch:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    if not len(column):
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(lengths):
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_pylist()])
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), int(lengths[0]))
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -126,59 +131,106 @@ def _cut(x: np.ndarray) -> np.ndarray:
     return np.round(x * scale) / scale
 
 
-def _score(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame, x: np.ndarray, keys: list[str], k: int) -> pd.DataFrame:
-    """The k nearest rows (sorted by key) of each query, ties by key."""
-    parts = []
-    xn, kk = (x * x).sum(1), min(k, len(x))
-    for a in range(0, len(q), QUERY_PIECE):
-        m = q[a: a + QUERY_PIECE]
-        approx = (m * m).sum(1)[:, None] + xn[None] - 2.0 * (m @ x.T)
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        close = approx <= (kth + 1e-6 + 1e-9 * (1.0 + np.abs(kth)))[:, None]
-        # exact distances of the candidates, a bounded number at a time; of
-        # equal ones only the first k by key (the rows' order) are kept
-        for one in np.array_split(np.arange(len(m)), max(1, int(close.sum()) // 65_536)):
-            qi, xi = np.nonzero(close[one])
-            d = x[xi] - m[one][qi]
-            dist = (d * d).sum(1)
-            cut = _cut(dist)
-            order = np.lexsort((xi, cut, qi))
-            start = np.searchsorted(qi[order], qi[order])
-            order = order[np.arange(len(order)) - start < k]
-            got = rows.iloc[xi[order]].reset_index(drop=True)
-            got.insert(0, "query_id", qids[a + one[qi[order]]])
-            got["dist"] = dist[order]
-            parts.append(got)
-    return pd.concat(parts, ignore_index=True)
-
-
-def _met(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tiles that occur in ``pairs (tile, block_no)``, and the pairs with
-    their blocks' bytes."""
-    return (tiles.join(pairs.select("tile").distinct(), F.col("number") == F.col("tile"), "left_semi"),
-            pairs.join(blocks, F.col("number") == F.col("block_no")).select("tile", "block_no", "block"))
-
-
-def _scored(tiles: DataFrame, pairs: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
-    """The nearest rows of each of ``pairs (tile, block_no, block)``.  A tile
-    comes first, then its blocks one after the other."""
-    ship = (tiles.select(F.col("number").alias("tile"), F.lit(-1).cast("long").alias("block_no"), "block")
-            .unionByName(pairs.select("tile", "block_no", "block")))
+def _score(rows: list[pd.DataFrame], keys: list[str], k: int) -> pd.DataFrame:
+    """The k nearest of ``rows (at, dist, cut, *keys)`` of each query, ties by key."""
+    every = pd.concat(rows, ignore_index=True).sort_values(["at", "cut", *keys], kind="mergesort", ignore_index=True)
+    first = every["at"].to_numpy()
+    return every[np.arange(len(first)) - np.searchsorted(first, first) < k]
+
+
+class _Nearest:
+    """The k nearest rows so far of each query of a block; tiles are added one
+    after the other, and only rows within a query's k-th distance are kept."""
+
+    def __init__(self, q: np.ndarray, keys: list[str], k: int):
+        self.q, self.keys, self.k = q, keys, k
+        self.norm = (q * q).sum(1)
+        self.ahead = np.column_stack([q, np.ones(len(q))]) if len(q) else q
+        self.kth = np.full(len(q), np.inf)
+        self.held: list[pd.DataFrame] = []
+        self.fresh = 0
+
+    def add(self, rows: pd.DataFrame, x: np.ndarray) -> None:
+        xn = (x * x).sum(1)
+        behind = np.column_stack([x, -xn / 2]).T                # q.x - xx/2: the larger, the nearer
+        room = 1e-6 + 1e-12 * (self.norm + (xn.max(initial=0.0, where=np.isfinite(xn))))
+        for a in range(0, len(self.q), QUERY_PIECE):
+            b = slice(a, a + QUERY_PIECE)
+            near, kth = self.ahead[b] @ behind, self.kth[b]
+            new = ~np.isfinite(kth)
+            if new.any() and len(x) >= self.k:
+                # no bound yet: the k-th nearest of this tile
+                some = np.partition(np.where(np.isnan(near[new]), -np.inf, near[new]), len(x) - self.k, axis=1)[:, len(x) - self.k]
+                kth = kth.copy()
+                kth[new] = self.norm[b][new] - 2 * some
+            limit = kth + room[b] + 1e-9 * (1.0 + np.abs(kth))
+            close = near >= ((self.norm[b] - limit) / 2)[:, None]
+            # exact distances of the candidates, a bounded number at a time
+            for one in np.array_split(np.arange(len(close)), max(1, int(close.sum()) // 65_536)):
+                qi, xi = np.nonzero(close[one])
+                if not len(qi):
+                    continue
+                at = a + one[qi]
+                d = x[xi] - self.q[at]
+                dist = (d * d).sum(1)
+                got = rows.iloc[xi].reset_index(drop=True)
+                got.insert(0, "at", at)
+                got["dist"], got["cut"] = dist, _cut(dist)
+                self._take(got)
+
+    def _take(self, got: pd.DataFrame) -> None:
+        self.held.append(got)
+        self.fresh += len(got)
+        if np.isinf(self.kth).any() or self.fresh > len(self.q) * self.k:
+            self.settle()
+
+    def settle(self) -> pd.DataFrame | None:
+        if not self.held:
+            return None
+        best = _score(self.held, self.keys, self.k)
+        self.held, self.fresh = [best], 0
+        at = best["at"].to_numpy()
+        last = np.append(at[1:] != at[:-1], True)
+        full = last & (np.arange(len(at)) - np.searchsorted(at, at) == self.k - 1)
+        self.kth[at[full]] = best["dist"].to_numpy()[full]
+        return best
+
+
+def _scored(tiles: DataFrame, blocks: DataFrame, pairs: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
+    """The nearest rows of the queries of ``pairs (tile, block_no)``.  A task
+    holds a block and meets up to RUN_TILES of its tiles one after the other, so
+    it gives k rows a query, however many tiles there are."""
+    n_blocks, n_tiles = max(1, blocks.count()), max(1, tiles.count())
+    cores = tiles.sparkSession.sparkContext.defaultParallelism
+    parts = min(n_tiles, max(-(-n_tiles // RUN_TILES), -(-2 * cores // n_blocks)))
+    dealt = pairs.select("tile", "block_no", F.pmod(F.xxhash64("tile"), F.lit(parts)).alias("part"))
+    ship = (dealt.select("block_no", "part").distinct().join(blocks, F.col("number") == F.col("block_no"))
+            .select("block_no", "part", F.lit(-1).cast("long").alias("tile"), "block")
+            .unionByName(dealt.join(tiles, F.col("number") == F.col("tile")).select("block_no", "part", "tile", "block")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, x = None, None
+        ids, nearest = None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            best = None if nearest is None else nearest.settle()
+            if best is not None:
+                got = best[[*keys, "dist"]].reset_index(drop=True)
+                got.insert(0, "query_id", ids[best["at"].to_numpy()])
+                yield from pa.Table.from_pandas(got, preserve_index=False).to_batches()
+
         for batch in batches:
-            for number, block in zip(batch.column("block_no").to_pylist(), batch.column("block")):
+            for number, block in zip(batch.column("tile").to_pylist(), batch.column("block")):
                 part = _load(block.as_py())
                 if number < 0:
-                    order = part.select(keys).to_pandas().sort_values(keys, kind="mergesort")
-                    rows, x = order.reset_index(drop=True), _matrix(part.column("vector"))[order.index.to_numpy()]
-                    continue
-                ids = part.column("query_id").to_pandas().to_numpy()
-                got = _score(ids, _matrix(part.column("vector")), rows, x, keys, k)
-                yield from pa.Table.from_pandas(got, preserve_index=False).to_batches()
+                    yield from out()
+                    ids = part.column("query_id").to_pandas().to_numpy()
+                    nearest = _Nearest(_matrix(part.column("vector")), keys, k)
+                else:
+                    nearest.add(part.select(keys).to_pandas(), _matrix(part.column("vector")))
+        yield from out()
 
-    return ship.repartition("tile").sortWithinPartitions("tile", "block_no").mapInArrow(run, schema)
+    tasks = min(n_blocks * parts, MAX_TASKS)
+    return ship.repartition(tasks, "block_no", "part").sortWithinPartitions("block_no", "part", "tile").mapInArrow(run, schema)
 
 
 def _bound(name: str, pick, a: str, b: str) -> Column:
@@ -202,10 +254,11 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, keys: list[str] | None
         tiles = sized(_packed(x, np.zeros((0, 0))), "knn-tiles")
         numbers = [r["number"] for r in tiles.select("number").collect()]              # a number per tile
         every = F.array(*[F.lit(n) for n in numbers]).cast("array<bigint>")
-        pairs = _packed(q, np.zeros((0, 0))).select(F.explode(every).alias("tile"), F.col("number").alias("block_no"), "block")
+        blocks = sized(_packed(q, np.zeros((0, 0))), "knn-blocks")
+        pairs = blocks.select(F.explode(every).alias("tile"), F.col("number").alias("block_no"))
         if trace is not None:
-            trace.update(all=pairs.drop("block"), compared=pairs.drop("block"))
-        return top_k_per_group(_scored(tiles, pairs, keys, k, schema), ["query_id"], _nearest_first(keys), k, rank_col)
+            trace.update(all=pairs, compared=pairs)
+        return top_k_per_group(_scored(tiles, blocks, pairs, keys, k, schema), ["query_id"], _nearest_first(keys), k, rank_col)
     sample = [r["vector"] for r in x.select("vector").orderBy(F.xxhash64("vector")).limit(PIVOTS).collect()]
     pivots = np.unique(np.array(sample, dtype=np.float64), axis=0) if sample else np.zeros((0, 0))
     tiles, blocks = sized(_packed(x, pivots), "knn-tiles"), sized(_packed(q, pivots), "knn-blocks")
@@ -230,7 +283,7 @@ def _nearest(every: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[s
                  .select("block_no", "tile", "apart", "_turn"), "knn-live")
     top = _nearest_first(keys)
     first = live.where(F.col("_turn") <= FIRST_TILES)
-    near = top_k_per_group(_scored(*_met(first, tiles, blocks), keys, k, schema), ["query_id"], top, k, rank_col)
+    near = top_k_per_group(_scored(tiles, blocks, first, keys, k, schema), ["query_id"], top, k, rank_col)
     if live.where(F.col("_turn") > FIRST_TILES).isEmpty():
         if trace is not None:
             trace.update(all=every, compared=first)
@@ -247,7 +300,7 @@ def _nearest(every: DataFrame, tiles: DataFrame, blocks: DataFrame, keys: list[s
     rest = sized(rest, "knn-rest")
     if trace is not None:
         trace.update(all=every, compared=first.select("block_no", "tile").unionByName(rest))
-    more = _scored(*_met(rest, tiles, blocks), keys, k, schema)
+    more = _scored(tiles, blocks, rest, keys, k, schema)
     return top_k_per_group(near.drop(rank_col).unionByName(more), ["query_id"], top, k, rank_col)
 
 
