@@ -71,8 +71,9 @@ def _syn_map(synonyms: dict[str, str] | None) -> Column:
 
 def label_key(c: Column, synonyms: dict[str, str] | None = None) -> Column:
     """Comparison key of a label."""
-    k = btrim_ws(F.replace(F.lower(c), F.lit(":"), F.lit("")))
-    return F.coalesce(F.try_element_at(_syn_map(synonyms), k), k)
+    # bound once: the key is looked up and, where it is no synonym, returned
+    return let(btrim_ws(F.replace(F.lower(c), F.lit(":"), F.lit(""))),
+               lambda k: F.coalesce(F.try_element_at(_syn_map(synonyms), k), k))
 
 
 def field_key(name: str, synonyms: dict[str, str] | None = None) -> str:

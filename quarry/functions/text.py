@@ -49,15 +49,22 @@ def btrim_ws(c) -> Column:
     return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
+def split_at(c, pattern: str, mark: str) -> Column:
+    """``split`` at a pattern that matches ``mark`` or takes it for a separator
+    too.  A split compiles its pattern for every row, a replacement once, and a
+    split at one plain character needs none."""
+    return F.split(F.regexp_replace(_col(c), pattern, mark), mark, -1)
+
+
 def split_words(c) -> Column:
     """``str.split()``: words separated by any whitespace run, no empty words."""
-    return F.filter(F.split(_col(c), f"{WS}+", -1), lambda w: w != "")
+    return F.filter(split_at(c, f"{WS}+", " "), lambda w: w != "")
 
 
 def split_lines(c) -> Column:
     """``str.splitlines()`` line boundaries (a trailing break gives one extra
     empty element, which every caller drops as blank)."""
-    return F.split(_col(c), LINE_BREAK, -1)
+    return split_at(c, LINE_BREAK, "\n")
 
 
 # A tag with its attributes: quoted values may hold ``>``.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.deal import LABEL_SYNONYMS, clean_cell, decode_tenor, field_key, infer_tenor, label_key, terminator_keys
 from quarry.functions.patterns import ANY_PAREN, CELL_SEP, ratings_block
-from quarry.functions.text import btrim_ws, let, split_lines
+from quarry.functions.text import btrim_ws, let, split_at, split_lines
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
@@ -77,8 +77,8 @@ def layout(text: Column, synonyms: dict | None = None, strict_labels: bool = Fal
                     F.filter(F.transform(lkeys, lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
                              lambda i: i >= 0).alias("stops")))
             return let(F.transform(cells, lambda c: label_key(c[0], synonyms)), with_headers)
-        # the lines are stripped already
-        return let(F.transform(lines, lambda line: F.split(line, CELL_SEP, -1)), with_cells)
+        # the lines are stripped already, and hold no line break
+        return let(F.transform(lines, lambda line: split_at(line, CELL_SEP, "\n")), with_cells)
     return let(message_lines(text), with_lines)
 
 
@@ -164,10 +164,15 @@ def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: st
 
             def tranches(fs):
                 def tranche(i):
+                    # the tenor is inferred and decoded once a tranche
+                    tenor = F.coalesce(F.get(fs["tenor"], i), infer_tenor(F.get(fs["issue_date"], i), F.get(fs["maturity_date"], i), date_formats))
+                    decoded = let(tenor, lambda t: F.struct(t.alias("tenor"), decode_tenor(t).alias("dec")))
+                    return let(decoded, lambda bound: row(i, bound))
+
+                def row(i, bound):
                     def g(k):
                         return F.get(fs[k], i)
-                    tenor = F.coalesce(g("tenor"), infer_tenor(g("issue_date"), g("maturity_date"), date_formats))
-                    dec = decode_tenor(tenor)
+                    tenor, dec = bound["tenor"], bound["dec"]
                     cols = {
                         "tranche": F.concat(F.lit("Tranche "), (i + 1).cast("string")),
                         "tenor": tenor,

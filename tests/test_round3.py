@@ -113,3 +113,15 @@ def test_nearest_rows_are_kept_over_many_tiles(spark):
         d = ((x - x[q]) ** 2).sum(1)
         want = sorted(zip(d, range(400)))[:k]
         assert sorted((e.dist, e.id) for e in rows if e.query_id == q)[:k] == want
+
+
+def test_lines_and_words_are_split_without_compiling_a_pattern_a_row(spark):
+    from quarry.functions.text import split_lines, split_words
+    texts = ["", " a  b c\x1f", "a\r\n\r\nb\rc\x0bd e\n", "one\x85two", "\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = df.select("id", split_words("t").alias("w"), split_lines("t").alias("l"))
+    for r in got.collect():
+        assert r.w == texts[r.id].split()
+        assert [x for x in r.l if x] == [x for x in texts[r.id].splitlines() if x]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
