@@ -56,6 +56,11 @@ LEAD = 8
 LARGE_BUCKET, BLOCK = 32, 2048
 #: Bits of the fixed-size filter of classes whose texts are wanted.
 WANTED_BITS = 1 << 26
+#: Bytes of text whose words are keyed at once: some thirty times as many are
+#: held meanwhile.  Sets are an eighth of that, so more texts' are held.
+KEYED_BYTES = 500_000
+#: Rows of sorted buckets looked at in one go, and pairs held to find equal ones.
+RUN_ROWS, HELD_PAIRS = 1 << 16, 1 << 19
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -75,6 +80,60 @@ def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """``shingle_sets`` of texts, a few texts at a time."""
+    texts = pa.RecordBatch.from_arrays([column], ["text"])
+    return [s for b in blocks(texts, "text", KEYED_BYTES) for s in shingle_sets(Words(b.column("text"), lower=True), SHINGLE)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = RUN_ROWS) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows out of batches that come in the order of
+    ``keys``; rows of equal keys are never parted."""
+    held: list[pa.RecordBatch] = []
+    n, least = 0, rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.logical_and.reduce([t.column(k).to_numpy() == t.column(k)[-1].as_py() for k in keys])
+        cut = 0 if same.all() else n - int(np.argmin(same[::-1]))
+        if cut:
+            yield t.slice(0, cut)
+        held, n = (t.slice(cut).to_batches(), n - cut)
+        least = max(rows, 2 * n)                     # a bucket of many rows is not looked at again for every batch
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Pairs:
+    """Distinct pairs, given in batches; a bounded number is held."""
+
+    def __init__(self):
+        self.held = np.empty((0, 2), np.int64)
+        self.fresh: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, pairs: np.ndarray) -> bool:
+        """Is it time to give the pairs out?"""
+        self.fresh.append(pairs)
+        self.n += len(pairs)
+        if self.n > max(HELD_PAIRS, len(self.held)):
+            self.settle()
+        return len(self.held) > HELD_PAIRS
+
+    def settle(self) -> None:
+        self.held, self.fresh, self.n = np.unique(np.concatenate([self.held, *self.fresh]), axis=0), [], 0
+
+    def out(self) -> tuple[pa.Array, pa.Array]:
+        self.settle()
+        pairs, self.held = self.held, np.empty((0, 2), np.int64)
+        return pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))
+
+
 def prefix(s: np.ndarray, order: int, frequent: np.ndarray) -> np.ndarray:
     """The prefix of a set under an order, first tokens first."""
     n = len(s)
@@ -98,7 +157,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more than once (token, times); kind 2: tokens of a block (-, -, number)."""
     for batch in batches:
         for b in blocks(batch, "text", 4_000_000):
-            sets = shingle_sets(Words(b.column("text"), lower=True), SHINGLE)
+            sets = _sets(b.column("text"))
             ids = b.column("doc_id").cast(pa.int64())
             n = np.array([len(s) for s in sets], dtype=np.int64)
             cls = np.array([_digest(s) if len(s) else 0 for s in sets], dtype=np.int64)
@@ -119,7 +178,7 @@ def _prefix_rows(frequent):
         often = frequent.value
         for batch in batches:
             for b in blocks(batch, "text", 4_000_000):
-                sets = shingle_sets(Words(b.column("text"), lower=True), SHINGLE)
+                sets = _sets(b.column("text"))
                 once = {_digest(s): s for s in sets if len(s)}
                 if not once:
                     continue
@@ -139,44 +198,41 @@ def _prefix_rows(frequent):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task's part of the prefix rows: the rows of tokens that several
-    classes share (pair = false) and pivot pairs (pair = true)."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    key, token, cls, n, pos, hot = (table.column(c).to_numpy() for c in ("key", "token", "cls", "n", "pos", "hot"))
-    order = np.lexsort((cls, key))
-    key, token, cls, n, pos, hot = (x[order] for x in (key, token, cls, n, pos, hot))
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, token, cls, n, pos, hot = (x[new] for x in (key, token, cls, n, pos, hot))
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    keep = np.repeat(size > 1, size) | hot
-    pair_a, pair_b = [], []
-    for a, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-        # two pivots, drawn anew in every bucket, so that a group of near
-        # copies meets many of its members
-        draw = np.argsort(mix(cls[a: a + m].view(np.uint64), int(key[a]) & 0xFFFF))
-        for pivot in draw[: 1 + (m > 16)]:
-            i = a + int(pivot)
-            ok = _bounds(int(n[i]), int(pos[i]), n[a: a + m].astype(np.int64), pos[a: a + m].astype(np.int64))
-            ok[pivot] = False
-            other = cls[a: a + m][ok]
-            pair_a.append(np.full(len(other), cls[i]))
-            pair_b.append(other)
-    pairs = np.empty((0, 2), np.int64)
-    if pair_a:
-        x, y = np.concatenate(pair_a), np.concatenate(pair_b)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    k = len(pairs)
-    for at in range(0, max(int(keep.sum()), 1), 262_144):
-        rows = np.flatnonzero(keep)[at: at + 262_144]
+    """Of prefix rows in the order of key and class: the rows of tokens that
+    several classes share (pair = false) and pivot pairs (pair = true)."""
+    names = ["pair", "token", "cls", "n", "pos"]
+    pairs = _Pairs()
+
+    def linked() -> pa.RecordBatch:
+        a, b = pairs.out()
+        none = pa.array(np.zeros(len(a), np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), bool)), a, b, none, none], names)
+
+    for table in _runs(batches, ["key"]):
+        key, token, cls, n, pos, hot = (table.column(c).to_numpy() for c in ("key", "token", "cls", "n", "pos", "hot"))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, token, cls, n, pos, hot = (x[new] for x in (key, token, cls, n, pos, hot))
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        keep = np.repeat(size > 1, size) | hot
+        full = False
+        for a, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+            # two pivots, drawn anew in every bucket, so that a group of near
+            # copies meets many of its members
+            draw = np.argsort(mix(cls[a: a + m].view(np.uint64), int(key[a]) & 0xFFFF))
+            for pivot in draw[: 1 + (m > 16)]:
+                i = a + int(pivot)
+                ok = _bounds(int(n[i]), int(pos[i]), n[a: a + m].astype(np.int64), pos[a: a + m].astype(np.int64))
+                ok[pivot] = False
+                other = cls[a: a + m][ok]
+                full |= pairs.add(np.stack([np.minimum(other, cls[i]), np.maximum(other, cls[i])], 1))
+        rows = np.flatnonzero(keep)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), pa.array(token[rows]), pa.array(cls[rows]),
-                                          pa.array(n[rows]), pa.array(pos[rows])], ["pair", "token", "cls", "n", "pos"])
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, bool)), pa.array(np.ascontiguousarray(pairs[:, 0])),
-                                      pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.zeros(k, np.int32)),
-                                      pa.array(np.zeros(k, np.int32))], ["pair", "token", "cls", "n", "pos"])
+                                          pa.array(n[rows]), pa.array(pos[rows])], names)
+        if full:
+            yield linked()
+    yield linked()
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -204,44 +260,44 @@ def _may_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _large_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of large buckets that are still apart and may be similar.  Rows:
-    token, the two blocks (x <= y), the class's own block, and its data."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
-    token, x, y, own, cls, n, pos, label = (t.column(c).to_numpy() for c in ("token", "x", "y", "own", "cls", "n", "pos", "label"))
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), np.int64).reshape(-1, LEAD)
-    order = np.lexsort((cls, y, x, token))
-    cut = np.flatnonzero(np.r_[True, np.any(np.stack([token, x, y])[:, order][:, 1:] != np.stack([token, x, y])[:, order][:, :-1], axis=0), True])
+    """Pairs of large buckets that are still apart and may be similar.  Rows, in
+    the order of the first three: token, the two blocks (x <= y), the class's own
+    block, and its data."""
     num, den = THRESHOLD
-    out = []
-    for a, b in zip(cut[:-1], cut[1:]):
-        i = order[a:b]
-        names, sizes = np.unique(label[i], return_counts=True)
-        if len(names) == 1:
-            continue
-        most = names[np.argmax(sizes)]
-        for r in i[label[i] != most]:
-            # each pair once: with the largest component, else in class order
-            o = i[(label[i] != label[r]) & ((label[i] == most) | (cls[i] > cls[r]))]
-            if x[r] != y[r]:
-                o = o[own[o] != own[r]]
-            o = o[_bounds(int(n[r]), int(pos[r]), n[o].astype(np.int64), pos[o].astype(np.int64))]
-            # tokens before this one in both sets' order: an earlier bucket has the pair
-            met = np.zeros(len(o), dtype=bool)
-            for k in range(min(LEAD, int(pos[r]))):
-                met |= (lead[o] == lead[r, k]).any(1)
-            o = o[~met]
-            if not len(o):
+    pairs = _Pairs()
+    for t in _runs(batches, ["token", "x", "y"], 2 * BLOCK):
+        token, x, y, own, cls, n, pos, label = (t.column(c).to_numpy() for c in ("token", "x", "y", "own", "cls", "n", "pos", "label"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        lead = np.frombuffer(b"".join(t.column("lead").to_pylist()), np.int64).reshape(-1, LEAD)
+        order = np.lexsort((cls, y, x, token))
+        cut = np.flatnonzero(np.r_[True, np.any(np.stack([token, x, y])[:, order][:, 1:] != np.stack([token, x, y])[:, order][:, :-1], axis=0), True])
+        full = False
+        for a, b in zip(cut[:-1], cut[1:]):
+            i = order[a:b]
+            names, sizes = np.unique(label[i], return_counts=True)
+            if len(names) == 1:
                 continue
-            least = np.minimum(sketch[o], sketch[r])
-            ok = (least.max(1) == 255) | (least.sum(1, dtype=np.int64) >= -(-num * (n[o].astype(np.int64) + int(n[r])) // (num + den)))
-            o = o[ok]
-            out.append(np.stack([np.minimum(cls[o], cls[r]), np.maximum(cls[o], cls[r])], 1))
-    pairs = np.unique(np.concatenate([*out, np.empty((0, 2), np.int64)]), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            most = names[np.argmax(sizes)]
+            for r in i[label[i] != most]:
+                # each pair once: with the largest component, else in class order
+                o = i[(label[i] != label[r]) & ((label[i] == most) | (cls[i] > cls[r]))]
+                if x[r] != y[r]:
+                    o = o[own[o] != own[r]]
+                o = o[_bounds(int(n[r]), int(pos[r]), n[o].astype(np.int64), pos[o].astype(np.int64))]
+                # tokens before this one in both sets' order: an earlier bucket has the pair
+                met = np.zeros(len(o), dtype=bool)
+                for k in range(min(LEAD, int(pos[r]))):
+                    met |= (lead[o] == lead[r, k]).any(1)
+                o = o[~met]
+                if not len(o):
+                    continue
+                least = np.minimum(sketch[o], sketch[r])
+                ok = (least.max(1) == 255) | (least.sum(1, dtype=np.int64) >= -(-num * (n[o].astype(np.int64) + int(n[r])) // (num + den)))
+                o = o[ok]
+                full |= pairs.add(np.stack([np.minimum(cls[o], cls[r]), np.maximum(cls[o], cls[r])], 1))
+        if full:
+            yield pa.RecordBatch.from_arrays(list(pairs.out()), ["a", "b"])
+    yield pa.RecordBatch.from_arrays(list(pairs.out()), ["a", "b"])
 
 
 def _texts(wanted, frequent):
@@ -251,7 +307,7 @@ def _texts(wanted, frequent):
         bits, often = wanted.value, frequent.value
         for batch in batches:
             for b in blocks(batch, "text", 4_000_000):
-                sets = shingle_sets(Words(b.column("text"), lower=True), SHINGLE)
+                sets = _sets(b.column("text"))
                 first: dict[int, int] = {}
                 for i, s in enumerate(sets):
                     if len(s):
@@ -282,7 +338,7 @@ def _verified(frequent):
                     at = {c: i for i, c in enumerate(ids) if c not in held}
                     if at:
                         col = b.column(name).take(pa.array(list(at.values())))
-                        for c, s in zip(at, shingle_sets(Words(col, lower=True), SHINGLE)):
+                        for c, s in zip(at, _sets(col)):
                             held[c] = (s, [prefix(s, k, often) for k in ORDERS[1:]])
                 yes = []
                 for x, y in zip(a_ids, b_ids):
@@ -319,7 +375,7 @@ def _labelled_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select("a").toPandas()["a"].to_numpy(dtype=np.int64).view(np.uint64))
     frequent = sc.broadcast(np.sort(often))
     rows = base.mapInArrow(_prefix_rows(frequent), "key bigint, token bigint, cls bigint, n int, pos int, hot boolean")
-    found = written(rows.repartition(F.col("key")).mapInArrow(_buckets, "pair boolean, token bigint, cls bigint, n int, pos int"),
+    found = written(rows.repartition(F.col("key")).sortWithinPartitions("key", "cls").mapInArrow(_buckets, "pair boolean, token bigint, cls bigint, n int, pos int"),
                     "jaccard-buckets")
     shared = found.where(~F.col("pair")).drop("pair")
     first = found.where("pair").select(F.col("token").alias("a"), F.col("cls").alias("b")).distinct()
@@ -351,7 +407,7 @@ def _labelled_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
              .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "n", "pos",
                      "label", "sketch", "lead"))
-    from_large = large.repartition("token", "x", "y").mapInArrow(_large_buckets, "a bigint, b bigint")
+    from_large = large.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_large_buckets, "a bigint, b bigint")
     x, y = (open_rows.select("token", *[F.col(c).alias(c + s) for c in ("cls", "n", "pos", "label")]) for s in "xy")
     num, den = THRESHOLD
     need = F.ceil(num * (F.col("nx") + F.col("ny")) / F.lit(num + den))
@@ -393,7 +449,7 @@ def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the first, since one at most is kept."""
     for batch in batches:
         for b in blocks(batch, "text", 4_000_000):
-            cls = [_digest(s) if len(s) else None for s in shingle_sets(Words(b.column("text"), lower=True), SHINGLE)]
+            cls = [_digest(s) if len(s) else None for s in _sets(b.column("text"))]
             once = {}
             for i, pair in enumerate(zip(b.column("doc_id").to_pylist(), cls)):
                 if pair[1] is not None:

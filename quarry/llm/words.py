@@ -47,7 +47,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _tables.get("up")
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 65_536)
+        size = 1 << max(16, n - 1).bit_length()
         for name, base in (("up", _R), ("down", _RINV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

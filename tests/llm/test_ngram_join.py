@@ -78,3 +78,37 @@ def test_components_of_a_long_path(spark):
     random.Random(1).shuffle(edges)
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
+
+
+def test_buckets_are_looked_at_in_runs():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm import ngram_join as nj
+    r = np.random.default_rng(1)
+    key = np.sort(np.concatenate([r.integers(0, 300, 4_000), np.full(3_000, 77), np.full(900, 299)]))
+    table = pa.table({"key": key, "row": np.arange(len(key))})
+    for size in (7, 100, 10_000):
+        runs = list(nj._runs(iter(table.to_batches(max_chunksize=50)), ["key"], size))
+        assert pa.concat_tables(runs).equals(table)
+        firsts = [t.column("key")[0].as_py() for t in runs]
+        assert len(set(firsts)) == len(firsts) and all(t.column("key")[-1].as_py() < f for t, f in zip(runs, firsts[1:]))
+        if size == 100:
+            # no run holds more than its own bucket, the rows asked for and a batch
+            assert max(t.num_rows for t in runs if 77 not in t.column("key").to_pylist()) < 1_200
+
+
+def test_words_are_keyed_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.llm import ngram_join as nj
+    texts = pa.array([" ".join(f"w{random.randrange(5000)}" for _ in range(400)) for _ in range(2_000)])   # 4 MB
+    want = nj.shingle_sets(nj.Words(texts, lower=True), nj.SHINGLE)
+    tracemalloc.start()
+    got = nj._sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, want)) and len(got) == len(want)
+    assert peak < 60 << 20
