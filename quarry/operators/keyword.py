@@ -150,12 +150,31 @@ class KeywordIndex:
             p = p if positions else p.drop("positions")
         return p.join(terms.select("term").distinct(), "term", "left_semi")
 
+    def holders(self, terms: DataFrame) -> DataFrame:
+        """``term, *CHUNK_KEY``: the chunks that hold each of ``terms (term)``."""
+        if self.store is not None:
+            return self.postings_for(terms, positions=False).select("term", *CHUNK_KEY)
+        rows = self.tokenized.select(F.explode(F.array_distinct("tokens")).alias("term"), *CHUNK_KEY)
+        return rows.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def tokenized_in(self, chunks: DataFrame) -> DataFrame:
+        """The tokenized chunks of the keys in ``chunks (CHUNK_KEY)``."""
+        return self.tokenized.join(chunks.select(*CHUNK_KEY).distinct(), CHUNK_KEY, "left_semi")
+
+    def postings_in(self, chunks: DataFrame, terms: DataFrame, positions: bool = True) -> DataFrame:
+        """``postings_for(terms)`` in the chunks of ``chunks (CHUNK_KEY)``: of a
+        lazy index, postings are made of these chunks alone."""
+        if self.store is not None:
+            return self.postings_for(terms, positions).join(chunks.select(*CHUNK_KEY).distinct(), CHUNK_KEY, "left_semi")
+        p = postings_of(self.tokenized_in(chunks).select(*CHUNK_KEY, "tokens", "n_tokens"), positions)
+        return p.join(terms.select("term").distinct(), "term", "left_semi")
+
     def df_for(self, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         """``(term, df)``: from the stored vocabulary, else counted over
         ``postings`` (all rows of those terms; partial counts)."""
         if self.store is not None:
             return self.store.terms(terms)
-        p = postings if postings is not None else self.postings_for(terms, positions=False)
+        p = postings if postings is not None else self.holders(terms)
         return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def stats(self) -> tuple[int, float]:
@@ -213,14 +232,24 @@ def impact(avgdl: float, k1: float = K1, b: float = B) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
 
 
-def from_rarest(p: DataFrame, terms: DataFrame, what: str = "term") -> DataFrame:
-    """Rows of ``p`` in the chunks that hold each query's rarest term, joined
-    to ``terms (query_id, what, df, ...)``.  A chunk that holds every term of a
+def rarest(terms: DataFrame, what: str = "term", number: str = "n_terms") -> DataFrame:
+    """``(query_id, what)``: the rarest of each query's ``terms (query_id, what,
+    df, number)``.  A query of which fewer than ``number`` are in the index has
+    no match, so none is looked up."""
+    best = terms.groupBy("query_id").agg(F.min_by(what, F.struct("df", what)).alias(what), F.count(F.lit(1)).alias("_n"),
+                                         F.min(number).alias("_least"))
+    return sized(best.where("_n >= _least").select("query_id", what), "rarest")
+
+
+def from_rarest(index: KeywordIndex, terms: DataFrame, positions: bool = False) -> DataFrame:
+    """Postings in the chunks that hold each query's rarest term, joined to
+    ``terms (query_id, term, df, ...)``.  A chunk that holds every term of a
     query holds the rarest one, so a frequent term never fans out across the
-    queries that mention it."""
-    rare = sized(terms.groupBy("query_id").agg(F.min_by(what, F.struct("df", what)).alias(what)), "rarest")
-    cand = p.join(rare, what).select("query_id", *CHUNK_KEY)
-    return p.join(cand, CHUNK_KEY).join(terms, ["query_id", what])
+    queries that mention it, and only those chunks' postings are made or moved."""
+    rare = rarest(terms)
+    cand = sized(index.holders(rare).join(rare, "term").select("query_id", *CHUNK_KEY), "candidates")
+    p = index.postings_in(cand, terms, positions)
+    return p.join(cand, CHUNK_KEY).join(terms, ["query_id", "term"])
 
 
 def without(rows: DataFrame, index: KeywordIndex, exclude: DataFrame) -> DataFrame:
@@ -251,12 +280,12 @@ def bm25_match(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     index.kept()
     qt = sized(query_terms(queries, query_col, id_col), "query-terms")
     n, avgdl = index.stats()
-    # the postings of the query terms, written once: they are read for the
-    # term frequencies (lazy index), the candidates and the scores
-    p = sized(index.postings_for(qt, positions=False), "query-postings")
+    # OR: the postings of the query terms are read for the term frequencies
+    # (lazy index) and the scores, so written once
+    p = None if mode == "all" else sized(index.postings_for(qt, positions=False), "query-postings")
     qt = sized(qt.join(index.df_for(qt, p), "term"), "query-terms")
     score = idf(n, F.col("df")) * impact(avgdl, k1, b) * F.col("qtf")
-    scored = from_rarest(p, qt) if mode == "all" else p.join(qt, "term")
+    scored = from_rarest(index, qt) if mode == "all" else p.join(qt, "term")
     hits = (scored.groupBy("query_id", "n_terms", *CHUNK_KEY)
                   .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
@@ -271,9 +300,8 @@ def match_terms(index: KeywordIndex, queries: DataFrame, mode: str = "all",
     """``(query_id, CHUNK_KEY)`` of chunks holding all / any query terms."""
     index.kept()
     qt = sized(query_terms(queries, query_col, id_col), "query-terms")
-    p = sized(index.postings_for(qt, positions=False), "query-postings")
-    qt = qt.join(index.df_for(qt, p), "term")
-    m = ((from_rarest(p, sized(qt, "query-terms")) if mode == "all" else p.join(qt, "term"))
+    m = ((from_rarest(index, sized(qt.join(index.df_for(qt), "term"), "query-terms")) if mode == "all"
+          else index.holders(qt).join(qt, "term"))
          .groupBy("query_id", "n_terms", *CHUNK_KEY).agg(F.count(F.lit(1)).alias("n_matched")))
     if mode == "all":
         m = m.where(F.col("n_matched") == F.col("n_terms"))
@@ -289,9 +317,8 @@ def match_near(index: KeywordIndex, queries: DataFrame, distance: int | str = 10
     span = F.col(distance) if isinstance(distance, str) else F.lit(distance)
     limits = queries.select(F.col(id_col).alias("query_id"), (span + 1).alias("span"))
     qt = sized(query_terms(queries, query_col, id_col), "query-terms")
-    p = sized(index.postings_for(qt), "query-postings")
-    qt = sized(qt.join(index.df_for(qt, p), "term"), "query-terms")
-    held = (from_rarest(p, qt).groupBy("query_id", "n_terms", *CHUNK_KEY)
+    qt = sized(qt.join(index.df_for(qt), "term"), "query-terms")
+    held = (from_rarest(index, qt, positions=True).groupBy("query_id", "n_terms", *CHUNK_KEY)
             .agg(F.collect_list("positions").alias("places"))          # a list per query term
             .where(F.size("places") == F.col("n_terms")).join(sized(limits, "spans"), "query_id"))
     ok = F.exists(F.flatten("places"), lambda p: F.forall(

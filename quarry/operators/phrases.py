@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import unicode61_tokens
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.common import sized
-from quarry.operators.keyword import KeywordIndex, from_rarest, in_pieces, postings_of
+from quarry.operators.keyword import KeywordIndex, in_pieces, postings_of, rarest
 
 #: A term is frequent in an index of N chunks when it is in more than N / 20.
 #: A chunk holds few distinct terms, so there are at most 20 times their mean.
@@ -98,20 +98,35 @@ def match_phrase(index: KeywordIndex, queries: DataFrame, query_col: str = "quer
         # pairs of a lazy index: those of the query set's frequent terms (bounded as all frequent terms are)
         rows = units.where("pair").select(F.explode(F.split("term", " ")).alias("term")).distinct().collect()
         frequent = [r["term"] for r in rows]
-    pairs = units.where("pair").select("term").distinct()
-    lists = index.postings_for(units.where("not pair").select("term"))
-    if index.store is not None:
-        lists = lists.unionByName(index.store.bucket_rows("pairs", pairs).drop("bucket").join(pairs, "term", "left_semi"))
-    elif frequent:
-        lists = lists.unionByName(pair_postings(index.tokenized, frequent).join(pairs, "term", "left_semi"))
-    lists = sized(lists.select("term", *CHUNK_KEY, "positions"), "unit-postings")
-    counted = units.join(lists.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+
+    def lists_of(units: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        """``term, *CHUNK_KEY[, positions]`` of units, or with positions in ``chunks``."""
+        pairs, single = units.where("pair").select("term").distinct(), units.where("not pair").select("term")
+        out = index.holders(single) if chunks is None else index.postings_in(chunks, single)
+        double = None
+        if index.store is not None:
+            double = index.store.bucket_rows("pairs", pairs).drop("bucket").join(pairs, "term", "left_semi")
+            if chunks is not None:
+                double = double.join(chunks.select(*CHUNK_KEY).distinct(), CHUNK_KEY, "left_semi")
+        elif frequent:
+            tokenized = index.tokenized if chunks is None else index.tokenized_in(chunks)
+            double = pair_postings(tokenized, frequent).join(pairs, "term", "left_semi")
+        columns = ["term", *CHUNK_KEY] + ([] if chunks is None else ["positions"])
+        out = out.select(columns)
+        return out if double is None else out.unionByName(double.select(columns))
+
+    counted = units.join(lists_of(units).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
     sizes = units.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"))
     counted = sized(counted.join(sizes, "query_id"), "units")
+    # the chunks that hold each query's rarest unit, then these chunks' units
+    rare = rarest(counted, number="n_units")
+    of_rare = sized(rare.join(counted.select("query_id", "term", "pair").distinct(), ["query_id", "term"]), "rarest")
+    cand = sized(lists_of(of_rare).join(rare, "term").select("query_id", *CHUNK_KEY), "candidates")
+    lists = sized(lists_of(counted, cand), "unit-postings")
     if trace is not None:
         trace.update(units=counted, lists=lists)
     starts = F.transform("positions", lambda p: p - F.col("place"))
-    held = (from_rarest(lists, counted).groupBy("query_id", "n_units", *CHUNK_KEY)
+    held = (lists.join(cand, CHUNK_KEY).join(counted, ["query_id", "term"]).groupBy("query_id", "n_units", *CHUNK_KEY)
             .agg(F.collect_list(starts).alias("starts")).where(F.size("starts") == F.col("n_units")))    # a list per unit
     common = F.aggregate(F.slice("starts", 2, F.col("n_units")), F.col("starts")[0], lambda a, s: F.array_intersect(a, s))
     return held.where(F.size(common) > 0).select("query_id", *CHUNK_KEY)

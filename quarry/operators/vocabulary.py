@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.chunking import CHUNK_KEY
 from quarry.operators.common import sized
-from quarry.operators.keyword import KeywordIndex, from_rarest, term_df
+from quarry.operators.keyword import KeywordIndex, rarest, term_df
 from quarry.session import scratch_path
 
 #: Greater than any character of a term.
@@ -104,8 +104,24 @@ def match_prefix(index: KeywordIndex, prefixes: DataFrame, id_col: str = "query_
     asked = qp.join(counts, "pfx")
     whole = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     asked = sized(asked.join(whole, "query_id").where("_n = n_terms").drop("_n"), "prefix-queries")
-    live = terms.join(asked.select("pfx").distinct(), "pfx", "left_semi")
-    p = index.postings_for(live, positions=False).select("term", *CHUNK_KEY).join(live.select("term", "pfx"), "term")
-    p = sized(p.select("pfx", *CHUNK_KEY).distinct(), "prefix-postings")
-    return (from_rarest(p, asked, "pfx").groupBy("query_id", "n_terms", *CHUNK_KEY)
-            .agg(F.count(F.lit(1)).alias("n_matched")).where("n_matched = n_terms").select("query_id", *CHUNK_KEY))
+    live = sized(terms.join(asked.select("pfx").distinct(), "pfx", "left_semi").select("term", "pfx"), "prefix-terms")
+    # the chunks that hold a term of each query's rarest prefix, then these chunks' terms
+    rare = rarest(asked, "pfx")
+    lead = live.join(rare, "pfx").select("query_id", "term")
+    cand = sized(index.holders(lead).join(lead, "term").select("query_id", *CHUNK_KEY).distinct(), "candidates")
+    wanted = asked.groupBy("query_id").agg(F.collect_set("pfx").alias("wanted"))
+    return (_held_prefixes(index, live, cand).join(cand, CHUNK_KEY).join(wanted, "query_id")
+            .where(F.size(F.array_except("wanted", "held")) == 0).select("query_id", *CHUNK_KEY))
+
+
+def _held_prefixes(index: KeywordIndex, live: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(CHUNK_KEY, held)``: the prefixes that start a token, per chunk of
+    ``chunks``.  A row per chunk: of a lazy index the tokens are cut where they are."""
+    if index.store is not None:
+        rows = index.postings_in(chunks, live, positions=False).join(live, "term")
+        return rows.groupBy(*CHUNK_KEY).agg(F.collect_set("pfx").alias("held"))
+    lens = sorted(r[0] for r in live.select(F.length("pfx")).distinct().collect())                   # a handful of numbers
+    cut = lambda n: F.transform("tokens", lambda t: F.substring(t, 1, n))
+    held = F.array_distinct(F.concat(*[cut(n) for n in lens])) if lens else F.array().cast("array<string>")
+    rows = index.tokenized.select(*CHUNK_KEY, held.alias("held")).join(chunks.select(*CHUNK_KEY).distinct(), CHUNK_KEY, "left_semi")
+    return rows.groupBy(*CHUNK_KEY).agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))

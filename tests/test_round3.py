@@ -125,3 +125,34 @@ def test_lines_and_words_are_split_without_compiling_a_pattern_a_row(spark):
         assert [x for x in r.l if x] == [x for x in texts[r.id].splitlines() if x]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan
+
+
+def test_searches_move_only_the_chunks_of_the_rarest_term(spark):
+    from quarry.operators import keyword
+    from quarry.operators.phrases import match_phrase
+    from quarry.operators.vocabulary import match_prefix
+    texts = ["the alpine beta", "the beta alps", "the gamma", "the beta gamma", "the alpine", "beta the alp"] + ["the of beta"] * 50
+    chunks = spark.createDataFrame([("d", str(i), 0, t) for i, t in enumerate(texts)], "source string, doc_id string, chunk_no int, content string")
+    made = []
+    whole, keyword.postings_of = keyword.postings_of, lambda t, positions=True: made.append(t.count()) or whole(t, positions)
+    try:
+        index = lambda: keyword.KeywordIndex.from_chunks(chunks)
+        q = spark.createDataFrame([(1, "the alpine"), (2, "beta gamma"), (3, "the nothing")], "query_id bigint, query string")
+        found = lambda rows: sorted((r.query_id, int(r.doc_id)) for r in rows.collect())
+        assert found(keyword.bm25_match(index(), q)) == found(keyword.match_terms(index(), q)) == [(1, 0), (1, 4), (2, 3)]
+        assert found(match_phrase(index(), q)) == [(1, 0), (1, 4), (2, 3)]
+        p = spark.createDataFrame([(1, ["alp", "th"]), (2, ["be", "gam", "the"]), (3, ["alp", "nothing"]), (4, ["alpi", "t"])], "query_id bigint, prefixes array<string>")
+        assert found(match_prefix(index(), p)) == [(1, 0), (1, 1), (1, 4), (1, 5), (2, 3), (4, 0), (4, 4)]
+    finally:
+        keyword.postings_of = whole
+    assert made and max(made) <= 5
+
+
+def test_prefixes_of_rows_that_share_a_key(spark):
+    from quarry.operators.keyword import KeywordIndex
+    from quarry.operators.vocabulary import match_prefix
+    rows = [("d", "1", 0, "alpha one"), ("d", "1", 0, "beta two"), ("d", "2", 0, "alpha"), (None, "3", 0, "alpha beta"), ("d", "4", 0, None)]
+    chunks = spark.createDataFrame(rows, "source string, doc_id string, chunk_no int, content string")
+    p = spark.createDataFrame([(1, ["al", "bet"]), (2, ["alpha"]), (3, [""]), (4, [])], "query_id bigint, prefixes array<string>")
+    got = sorted((r.query_id, r.doc_id) for r in match_prefix(KeywordIndex.from_chunks(chunks), p).collect())
+    assert got == [(1, "1"), (2, "1"), (2, "2")]
