@@ -10,7 +10,7 @@ Layout of an index (all ordinary DataFrames / tables):
 
 A chunk's postings are made inside its Arrow batch, so no token is ever
 shuffled.  A search over a lazy index writes the tokenized chunks once and
-takes everything from there.  Stored indexes (``quarry.operators.store``) lay
+takes everything from there; a ranked OR search writes its terms' postings only.  Stored indexes (``quarry.operators.store``) lay
 the same rows out by term bucket; a lookup opens the buckets of its terms only.
 
 A search writes its query terms (``sized``), so the planner knows their size
@@ -46,6 +46,8 @@ B = 0.75
 IDF_FLOOR = 1e-6
 #: Chunks of a slice (see ``ranked``), and slices at most.
 SLICE_CHUNKS, MAX_SLICES = 4096, 4096
+#: Stands for the chunk itself among its postings; no term is empty.
+NO_TERM = ""
 #: Chunks whose postings a Python worker holds at once.
 PIECE_ROWS = 512
 
@@ -91,17 +93,22 @@ def term_runs(tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.nd
     return row[order[first]], terms, np.append(first, len(key)), place[order]
 
 
-def postings_of(tokenized: DataFrame, positions: bool = True) -> DataFrame:
+def postings_of(tokenized: DataFrame, positions: bool = True, every_chunk: bool = False) -> DataFrame:
     """``term, *CHUNK_KEY, dl, tf[, positions]`` of chunks with ``tokens`` and
-    ``n_tokens``, a batch at a time, without a shuffle."""
+    ``n_tokens``, a batch at a time, without a shuffle.  ``every_chunk``
+    (without positions) adds a row per chunk, under ``NO_TERM``."""
     keep = tokenized.select(*CHUNK_KEY, F.col("n_tokens").alias("dl"))
     names = ["term", *keep.columns, "tf"] + (["positions"] if positions else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches):
             row, terms, offsets, places = term_runs(b.column("tokens"))
+            tf = np.diff(offsets).astype(np.int32)
+            if every_chunk:
+                row, tf = np.append(row, np.arange(b.num_rows)), np.append(tf, np.zeros(b.num_rows, np.int32))
+                terms = pa.concat_arrays([terms, pa.array([NO_TERM] * b.num_rows, terms.type)])
             at = pa.array(row)
-            columns = [terms, *[c.take(at) for c in b.columns[1:]], pa.array(np.diff(offsets).astype(np.int32))]
+            columns = [terms, *[c.take(at) for c in b.columns[1:]], pa.array(tf)]
             if positions:
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -169,6 +176,19 @@ class KeywordIndex:
         p = postings_of(self.tokenized_in(chunks).select(*CHUNK_KEY, "tokens", "n_tokens"), positions)
         return p.join(terms.select("term").distinct(), "term", "left_semi")
 
+    def lists_for(self, *terms: DataFrame) -> tuple[DataFrame, int, float]:
+        """``(lists, N, avgdl)`` of a lazy index: the postings of ``terms (term)``
+        and a row per chunk (under ``NO_TERM``) are written, in one pass that
+        writes no tokens."""
+        asked = self.tokenized.sparkSession.range(1).select(F.lit(NO_TERM).alias("term"))
+        for t in terms:
+            asked = asked.union(t.select("term"))
+        p = postings_of(self.tokenized, positions=False, every_chunk=True)
+        p = sized(p.join(asked.distinct(), "term", "left_semi"), "query-postings")
+        if self._stats is None:
+            self._stats = _totals(p.where(F.col("term") == NO_TERM), "dl")
+        return p, *self._stats
+
     def df_for(self, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         """``(term, df)``: from the stored vocabulary, else counted over
         ``postings`` (all rows of those terms; partial counts)."""
@@ -180,13 +200,16 @@ class KeywordIndex:
     def stats(self) -> tuple[int, float]:
         """``(N, avgdl)``: chunks, not documents, are the rows being ranked."""
         if self._stats is None:
-            r = self.chunks.agg(F.count(F.lit(1)).alias("n"),
-                                F.sum("n_tokens").alias("t")).first()
-            n = int(r["n"])
-            self._stats = (n, (float(r["t"] or 0) / n) if n else 0.0)
+            self._stats = _totals(self.chunks, "n_tokens")
         return self._stats
 
 
+def _totals(chunks: DataFrame, length: str) -> tuple[int, float]:
+    r = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("t")).first()
+    n = int(r["n"])
+    return n, (float(r["t"] or 0) / n) if n else 0.0
+
+
 def corpus_stats(index: KeywordIndex) -> DataFrame:
     """One row: ``n_chunks, total_tokens, avgdl``."""
     return index.chunks.agg(F.count(F.lit(1)).alias("n_chunks"),
@@ -252,13 +275,13 @@ def from_rarest(index: KeywordIndex, terms: DataFrame, positions: bool = False)
     return p.join(cand, CHUNK_KEY).join(terms, ["query_id", "term"])
 
 
-def without(rows: DataFrame, index: KeywordIndex, exclude: DataFrame) -> DataFrame:
+def without(rows: DataFrame, index: KeywordIndex, exclude: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """``rows (query_id, CHUNK_KEY, ...)`` of chunks that hold none of their
     query's terms in ``exclude (query_id, term)``.  The chunks of ``rows`` are
-    looked up in those terms' postings, so a frequent term costs its postings
-    once and no row per query."""
+    looked up in those terms' postings (``postings``, where they are at hand),
+    so a frequent term costs its postings once and no row per query."""
     keys = rows.select("query_id", *CHUNK_KEY).distinct()
-    p = index.postings_for(exclude, positions=False).select("term", *CHUNK_KEY)
+    p = (index.postings_for(exclude, positions=False) if postings is None else postings).select("term", *CHUNK_KEY)
     bad = p.join(keys, CHUNK_KEY).join(exclude.select("query_id", "term").distinct(), ["query_id", "term"])
     return rows.join(bad.select("query_id", *CHUNK_KEY).distinct(), ["query_id", *CHUNK_KEY], "left_anti")
 

@@ -156,3 +156,30 @@ def test_prefixes_of_rows_that_share_a_key(spark):
     p = spark.createDataFrame([(1, ["al", "bet"]), (2, ["alpha"]), (3, [""]), (4, [])], "query_id bigint, prefixes array<string>")
     got = sorted((r.query_id, r.doc_id) for r in match_prefix(KeywordIndex.from_chunks(chunks), p).collect())
     assert got == [(1, "1"), (2, "1"), (2, "2")]
+
+
+def test_best_rows_are_found_inside_slices(spark, monkeypatch):
+    """Copies, repeated and null keys, excluded terms: the rows of full scoring,
+    and no table but the query terms' postings is written or meets the queries."""
+    from quarry.operators import keyword, ranked
+    from quarry.operators.keyword import KeywordIndex, bm25_match, top_k
+    r = random.Random(11)
+    words = lambda: " ".join(r.choices(["the", "of", "rare", "copy", "x", "y"], [9, 6, 1, 2, 3, 3], k=r.randint(0, 5)))
+    rows = [(r.choice(["s", "t", None]), str(r.randrange(90)) if i % 9 else None, i % 3, words()) for i in range(300)] + [("u", str(i), 0, "the copy of x") for i in range(70)]
+    chunks = spark.createDataFrame(rows, "source string, doc_id string, chunk_no int, content string").repartition(5)
+    queries = spark.createDataFrame([(1, "the copy"), (2, "rare of"), (3, "the of x y"), (4, "nothing"), (5, "copy nothing the")], "query_id bigint, query string")
+    excluded = spark.createDataFrame([(1, "of"), (3, "rare nothing")], "query_id bigint, query string")
+    written = []
+    for module in (keyword, ranked):
+        monkeypatch.setattr(module, "sized", lambda df, name, whole=module.sized: written.append(name) or whole(df, name))
+    monkeypatch.setattr(ranked, "slice_count", lambda n: 7)
+    got = {}
+    for k, no in ((1, None), (4, excluded), (30, None)):
+        found = ranked.bm25_top(KeywordIndex.from_chunks(chunks), queries, k, exclude=no)
+        assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()          # nothing is tokenized again
+        got[k] = found.collect()
+    assert not {"tokenized", "found", "candidates"} & set(written) and written.count("query-postings") == 3
+    for k, no in ((1, None), (4, excluded), (30, None)):
+        want = top_k(bm25_match(KeywordIndex.from_chunks(chunks), queries, "any", exclude=no), k).collect()
+        plain = lambda rows: sorted(((x.query_id, x.rank, str(x.source), str(x.doc_id), x.chunk_no, round(x.score, 9)) for x in rows))
+        assert plain(got[k]) == plain(want)
