@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.chunking import CHUNK_KEY
@@ -119,11 +119,11 @@ def write_store(tokenized: DataFrame, root: str, k1: float = K1, b: float = B) -
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocabulary = write_vocabulary(counts, f"{root}/vocabulary")
     schemas |= {"vocabulary": _schema(vocabulary.rows), "impacts": "term string, slice int, impact double, bucket int"}
-    # impacts: rows of frequent terms only, so partial sums shrink them before the shuffle
-    often = vocabulary.rows.where(F.col("df") >= IMPACT_DF).select("term")
-    (postings.join(often, "term", "left_semi").select("bucket", "term", "slice", impact(total / n if n else 0.0, k1, b).alias("impact"))
-     .groupBy("bucket", "term", "slice").agg(F.max("impact").alias("impact"))
-     .write.partitionBy("bucket").parquet(f"{root}/impacts"))
+    # impacts: a term's rows lie together, so partial results shrink frequent terms before the shuffle
+    best = (postings.select("bucket", "term", "slice", impact(total / n if n else 0.0, k1, b).alias("impact"))
+            .groupBy("bucket", "term", "slice").agg(F.max("impact").alias("impact"), F.count(F.lit(1)).alias("rows")))
+    (best.withColumn("df", F.sum("rows").over(Window.partitionBy("bucket", "term"))).where(F.col("df") >= IMPACT_DF)
+     .select("bucket", "term", "slice", "impact").write.partitionBy("bucket").parquet(f"{root}/impacts"))
     frequent = [r["term"] for r in vocabulary.rows.where(is_frequent(F.col("df"), n)).select("term").collect()]   # bounded, see phrases
     lay(pair_postings(stored, frequent), "pairs")
     return entry

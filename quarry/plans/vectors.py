@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry import api
 from quarry.functions.embed import hash_embed
 from quarry.operators.chunking import CHUNK_KEY
+from quarry.operators.common import sized
 from quarry.operators.hybrid import build_index, hybrid_search, index_in_memory, read_index
 from quarry.operators.vector import knn
 from quarry.plans.registry import register, sql_doc_tokens, sql_significant, sql_tokens
@@ -186,7 +187,7 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     store = idx.keyword.store
     postings = store.table("postings")
     # every term's stored frequency is read through the vocabulary's ranges
-    df = idx.keyword.df_for(postings.select("term").distinct())
+    df = idx.keyword.df_for(sized(postings.select("term").distinct(), "terms"))
     per = postings.join(df, "term").groupBy(*CHUNK_KEY).agg(
         F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("sum_tf"), F.sum("df").alias("sum_df"))
     pairs = store.table("pairs").groupBy(*CHUNK_KEY).agg(F.sum("tf").alias("n_pairs"))

@@ -183,3 +183,24 @@ def test_best_rows_are_found_inside_slices(spark, monkeypatch):
         want = top_k(bm25_match(KeywordIndex.from_chunks(chunks), queries, "any", exclude=no), k).collect()
         plain = lambda rows: sorted(((x.query_id, x.rank, str(x.source), str(x.doc_id), x.chunk_no, round(x.score, 9)) for x in rows))
         assert plain(got[k]) == plain(want)
+
+
+def test_each_distinct_token_is_hashed_once(monkeypatch):
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.functions import embed
+    asked = []
+    whole = embed._token_buckets
+    monkeypatch.setattr(embed, "_token_buckets", lambda t, dim: asked.extend(t) or whole(t, dim))
+    rows = [["the", "é", "the"], None, [], ["the"] * 50 + ["of"]] * 20
+    got = embed._count_vector_fn(pa.array(rows, pa.list_(pa.string())), pa.array([16] * len(rows))).to_pylist()
+    assert sorted(asked) == sorted({t.encode() for r in rows for t in r or []})
+    for r, v in zip(rows, got):
+        want = np.zeros(16)
+        for t in r or []:
+            want[int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 16] += 1
+        assert v == (want / (np.sqrt((want * want).sum()) or 1)).astype(np.float32).tolist()
+    assert embed._count_vector_fn(pa.array([], pa.list_(pa.string())), pa.array([], pa.int32())).to_pylist() == []
