@@ -2,9 +2,9 @@
 
 A message is one text whose rows are ``Header<TAB>cell<TAB>cell...`` (one
 cell per tranche, or one for the whole deal) and whose blocks are a label
-line followed by one value per line.  Parsing is done entirely with array
-functions inside each message row: no shuffle, no Python, and the work per
-row is bounded by that message's length.
+line followed by one value per line.  Each message is walked once, in Arrow
+batches (``functions.deal_rows``): no shuffle, and the work per row is bounded
+by that message's length.
 
 Fields are read in two ways:
 
@@ -18,12 +18,15 @@ Fields are read in two ways:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from quarry.functions.deal import LABEL_SYNONYMS, clean_cell, decode_tenor, field_key, infer_tenor, label_key, terminator_keys
-from quarry.functions.patterns import ANY_PAREN, CELL_SEP, ratings_block
-from quarry.functions.text import btrim_ws, let, split_at, split_lines
+from quarry.functions.deal import LABEL_SYNONYMS, decode_tenor, field_key, infer_tenor, terminator_keys
+from quarry.functions.deal_rows import block_lines, table_tranches
+from quarry.functions.patterns import ANY_PAREN
+from quarry.functions.text import btrim_ws, let
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
@@ -50,146 +53,40 @@ TRANCHE_COLUMNS = [
 # ---------------------------------------------------------------------------
 
 
-def message_lines(text: Column) -> Column:
-    """Non-blank lines, whitespace-stripped."""
-    return F.filter(F.transform(split_lines(text), btrim_ws), lambda l: l != "")
-
-
-def layout(text: Column, synonyms: dict | None = None, strict_labels: bool = False) -> Column:
-    """Per message, computed once: struct of ``lines`` (non-blank,
-    stripped), ``cells`` (cells per line), ``hkeys`` (header key per line),
-    ``lkeys`` (whole-line key per line) and ``stops`` (indexes of
-    terminator lines).  Every field is then read from this struct, so the
-    text is split once however many fields are extracted."""
-    terms = F.array(*[F.lit(k) for k in terminator_keys(strict_labels, synonyms)])
-
-    def with_lines(lines):
-        def with_cells(cells):
-            def with_headers(hkeys):
-                # a line of one cell has its header's key; a line of several
-                # can be a label only if all behind the first is colons
-                def key(c, i):
-                    return F.when(F.size(c) == 1, F.element_at(hkeys, i + 1)).when(
-                        btrim_ws(F.replace(c[1], F.lit(":"), F.lit(""))) == "",
-                        label_key(F.element_at(lines, i + 1), synonyms)).otherwise(F.lit(""))
-                return let(F.transform(cells, key), lambda lkeys: F.struct(
-                    lines.alias("lines"), cells.alias("cells"), hkeys.alias("hkeys"), lkeys.alias("lkeys"),
-                    F.filter(F.transform(lkeys, lambda k, i: F.when(F.array_contains(terms, k), i).otherwise(-1)),
-                             lambda i: i >= 0).alias("stops")))
-            return let(F.transform(cells, lambda c: label_key(c[0], synonyms)), with_headers)
-        # the lines are stripped already, and hold no line break
-        return let(F.transform(lines, lambda line: split_at(line, CELL_SEP, "\n")), with_cells)
-    return let(message_lines(text), with_lines)
-
-
-def tabular_values(lay: Column, field: str, synonyms: dict | None = None) -> Column:
-    """Cleaned cells (header excluded) of the first row whose header is
-    ``field``; empty when no row has it."""
-    pos = F.array_position(lay["hkeys"], F.lit(field_key(field, synonyms)))
-    return let(F.get(lay["cells"], (pos - 1).cast("int")), lambda row: F.coalesce(
-        F.transform(F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0))), clean_cell),
-        F.array().cast("array<string>")))
-
-
-def block_values(lay: Column, field: str, synonyms: dict | None = None) -> Column:
-    """Lines of the first block labelled ``field`` (empty if absent)."""
-    def from_start(start):
-        stop = F.coalesce(F.array_min(F.filter(lay["stops"], lambda i: i >= start)), F.size(lay["lines"]))
-        return F.when(start > 0, F.slice(lay["lines"], start + 1, F.greatest(stop - start, F.lit(0)))
-                      ).otherwise(F.array().cast("array<string>"))
-    return let(F.array_position(lay["lkeys"], F.lit(field_key(field, synonyms))).cast("int"), from_start)
-
-
-def tranche_count(lay: Column, synonyms: dict | None = None) -> Column:
-    """Cells of the first ``Tenor`` row that has cells, else the length of
-    the ``Tenor`` block, else 1."""
-    tk = F.lit(field_key("Tenor", synonyms))
-    sizes = F.transform(lay["hkeys"], lambda k, i: F.when(k == tk, F.size(F.get(lay["cells"], i))))
-    n_tab = F.get(F.filter(sizes, lambda s: s > 1), 0) - 1
-    n_blk = F.nullif(F.size(block_values(lay, "Tenor", synonyms)), F.lit(0))
-    return F.coalesce(n_tab, n_blk, F.lit(1))
-
-
-def ratings_by_tranche(text: Column, n: Column, label: str = "Expected Ratings") -> Column:
-    """``array<map<string,string>>`` of length n.
-
-    The ratings block runs from ``label`` to the first line starting
-    ``Word:``, a blank line or the end; each non-blank line ``agency: rating``
-    goes to tranche ``i % n`` (``i`` counts all non-blank lines); a repeated
-    agency keeps its first position and its last rating.
-    """
-    pat = ratings_block(label)
-
-    def parsed(grp):
-        items = F.transform(message_lines(grp), lambda l, i: F.struct(i.alias("i"), l.alias("l")))
-        rated = F.filter(items, lambda e: e["l"].contains(":"))
-        return F.transform(rated, lambda e: F.struct(
-            e["i"].alias("i"),
-            btrim_ws(F.split(e["l"], ":", 2)[0]).alias("agency"),
-            btrim_ws(F.split(e["l"], ":", 2)[1]).alias("rating")))
-
-    def for_tranche(ps, t):
-        def dedupe(mine):
-            firsts = F.filter(mine, lambda p, j: ~F.exists(F.slice(mine, 1, j),
-                                                          lambda q: q["agency"] == p["agency"]))
-            return F.map_from_entries(F.transform(firsts, lambda p: F.struct(
-                p["agency"], F.element_at(F.filter(mine, lambda q: q["agency"] == p["agency"]), -1)["rating"])))
-        return let(F.filter(ps, lambda p: F.pmod(p["i"], n) == t), dedupe)
-
-    empty = F.create_map().cast("map<string,string>")
-    return let(F.regexp_extract(text, pat, 1), lambda grp: F.when(
-        grp == "", F.transform(F.sequence(F.lit(0), n - 1), lambda t: empty)
-    ).otherwise(let(parsed(grp), lambda ps: F.transform(F.sequence(F.lit(0), n - 1),
-                                                         lambda t: for_tranche(ps, t)))))
+KINDS = {"tenor_maturity_years": pa.int32(), "tenor_non_call_years": pa.int32(),
+         "expected_ratings": pa.map_(pa.string(), pa.string())}
+
+
+def arrow_call(run, kinds: pa.DataType, text: Column) -> Column:
+    """A worker function of Arrow arrays as a column of type ``kinds``."""
+    return F.arrow_udf(run, from_arrow_type(kinds))(text)
 
 
 def tranches_of(text: Column, synonyms: dict | None = None, strict_labels: bool = False,
                 ratings_label: str = "Expected Ratings", date_formats: tuple[str, ...] = ()) -> Column:
-    """``array<struct<TRANCHE_COLUMNS>>`` of one message.  The text is bound
-    once, so an upstream expression producing it is never re-evaluated."""
+    """``array<struct<TRANCHE_COLUMNS>>`` of one message.
+
+    Tranches: cells of the first ``Tenor`` row that has cells, else the length
+    of the ``Tenor`` block, else 1."""
     syn = synonyms or LABEL_SYNONYMS
-    return let(text, lambda tx: _tranches_of(tx, syn, strict_labels, ratings_label, date_formats))
-
-
-def _tranches_of(text: Column, syn: dict, strict_labels: bool, ratings_label: str,
-                 date_formats: tuple[str, ...]) -> Column:
-    def with_layout(lay):
-        def with_n(n):
-            fields = {"tenor": tabular_values(lay, "Tenor", syn)}
-            for name, col in TABULAR_FIELDS:
-                fields[col] = tabular_values(lay, name, syn)
-            for name, col in BLOCK_FIELDS:
-                fields[col] = block_values(lay, name, syn)
-            fields["_ratings"] = ratings_by_tranche(text, n, ratings_label)
-
-            def tranches(fs):
-                def tranche(i):
-                    # the tenor is inferred and decoded once a tranche
-                    tenor = F.coalesce(F.get(fs["tenor"], i), infer_tenor(F.get(fs["issue_date"], i), F.get(fs["maturity_date"], i), date_formats))
-                    decoded = let(tenor, lambda t: F.struct(t.alias("tenor"), decode_tenor(t).alias("dec")))
-                    return let(decoded, lambda bound: row(i, bound))
-
-                def row(i, bound):
-                    def g(k):
-                        return F.get(fs[k], i)
-                    tenor, dec = bound["tenor"], bound["dec"]
-                    cols = {
-                        "tranche": F.concat(F.lit("Tranche "), (i + 1).cast("string")),
-                        "tenor": tenor,
-                        "tenor_maturity_years": dec["maturity_years"],
-                        "tenor_non_call_years": dec["non_call_years"],
-                        "label": g("label"),
-                        "expected_ratings": g("_ratings"),
-                    }
-                    for _, col in TABULAR_FIELDS:
-                        cols[col] = g(col)
-                    cols["optional_redemption_by_issuer"] = g("optional_redemption_by_issuer")
-                    return F.struct(*[cols[c].alias(c) for c in TRANCHE_COLUMNS])
-                return F.transform(F.sequence(F.lit(0), n - 1), tranche)
-            # every field array computed once per message, bound as one struct
-            return let(F.struct(*[v.alias(k) for k, v in fields.items()]), tranches)
-        return let(tranche_count(lay, syn), with_n)
-    return let(layout(text, syn, strict_labels), with_layout)
+    columns = TRANCHE_COLUMNS if not date_formats else \
+        [c for c in TRANCHE_COLUMNS if c not in ("tenor_maturity_years", "tenor_non_call_years")] + ["issue_date"]
+    kinds = [pa.field(c, KINDS.get(c, pa.string())) for c in columns]
+    tabular = {col: field_key(name, syn) for name, col in [("Tenor", "tenor"), *TABULAR_FIELDS]}
+    blocks = {col: field_key(name, syn) for name, col in BLOCK_FIELDS}
+    run = table_tranches(kinds, tabular, blocks, syn, terminator_keys(strict_labels, syn), ratings_label, infer=not date_formats)
+    found = arrow_call(run, pa.list_(pa.struct(kinds)), text)
+    if not date_formats:
+        return found
+
+    # further date patterns are Spark's, so these tenors are inferred by Spark
+    def dated(t):
+        tenor = F.coalesce(t["tenor"], infer_tenor(t["issue_date"], t["maturity_date"], date_formats))
+        decoded = let(tenor, lambda x: F.struct(x.alias("tenor"), decode_tenor(x).alias("dec")))
+        return let(decoded, lambda d: F.struct(*[{
+            "tenor": d["tenor"], "tenor_maturity_years": d["dec"]["maturity_years"],
+            "tenor_non_call_years": d["dec"]["non_call_years"]}.get(c, t[c]).alias(c) for c in TRANCHE_COLUMNS]))
+    return F.transform(found, dated)
 
 
 def with_tranches(messages: DataFrame, text_col: str = "text", id_col: str = "msg_id",
@@ -225,8 +122,8 @@ def reg_tagged_values(messages: DataFrame, field: str = "ISIN", text_col: str =
     parenthesised parts.  Line ``j`` goes to tranche ``j % n``.
     """
     syn = synonyms or LABEL_SYNONYMS
-    per_msg = let(layout(F.col(text_col), syn), lambda lay: F.struct(
-        tranche_count(lay, syn).alias("n"), block_values(lay, field, syn).alias("lines")))
+    kinds = pa.struct([pa.field("n", pa.int32()), pa.field("lines", pa.list_(pa.string()))])
+    per_msg = arrow_call(block_lines(field_key(field, syn), syn, terminator_keys(False, syn), kinds), kinds, F.col(text_col))
     df = messages.select(F.col(id_col).alias("msg_id"), per_msg.alias("_m"))
     df = df.select("msg_id", F.col("_m.n").alias("_n"), F.posexplode("_m.lines").alias("j", "line"))
     tag = (F.when(F.col("line").contains("(Reg S)"), F.lit("Reg S"))

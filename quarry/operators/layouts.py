@@ -3,19 +3,21 @@
 These read a message with a handful of regular expressions over the raw
 text, as the earlier draft parser does: the issuer, the issuer ratings, the
 settlement line, fields taken from the lines following a label, and the
-tenor list.  All of it is native regex / array work inside the message
-row; documents with nested tranches are assembled in the same row, so
-there is no regrouping shuffle.
+tenor list.  The fields of the draft layouts are read in Arrow batches
+(``functions.deal_rows``); documents with nested tranches are assembled in
+the same row, so there is no regrouping shuffle.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.patterns import (ISSUER, RATING_AGENCIES, SETTLEMENT, TENOR_LINE, line_group,
-                                      rating_line, three_line)
-from quarry.functions.text import btrim_ws, let, split_lines, split_words
+from quarry.functions.deal_rows import line_group_tranches, three_line_tranches
+from quarry.functions.patterns import ISSUER, RATING_AGENCIES, SETTLEMENT, TENOR_LINE, rating_line
+from quarry.functions.text import btrim_ws, split_words
+from quarry.operators.deals import KINDS, arrow_call, tranches_of
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for the same results.
@@ -72,32 +74,16 @@ def with_constants(df: DataFrame, constants: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})
 
 
-def three_line_field(text: Column, label: str) -> Column:
-    """The three lines after ``label`` (a regex): ``array<string>`` of 3,
-    nulls when the label is absent."""
-    pat = three_line(label)
-    hit = text.rlike(pat)
-    return F.array(*[F.when(hit, btrim_ws(F.regexp_extract(text, pat, g))) for g in (1, 2, 3)])
-
-
-def line_group_field(text: Column, label: str, n: Column) -> Column:
-    """Up to ``n`` consecutive non-empty lines from the first match of
-    ``label`` (a regex, case-sensitive, matched anywhere), stripped and
-    padded with nulls to ``n``."""
-    grp = F.regexp_extract(text, line_group(label), 1)
-    return let(grp, lambda g: F.when((n >= 1) & (g != ""), F.slice(
-        F.concat(F.transform(split_lines(g), btrim_ws), F.array_repeat(F.lit(None).cast("string"), n)), 1, n)))
-
-
 def tenor_list(text: Column) -> Column:
     """``Tenor <cells>`` on one line -> whitespace-separated tenors."""
     return split_words(btrim_ws(_extract(text, TENOR_LINE)))
 
 
-def redemption_terms(label: Column, tlac: list[str] | None = None,
-                     other: list[str] | None = None) -> Column:
-    return F.when(label.contains("TLAC"), F.array(*[F.lit(x) for x in (tlac or REDEMPTION_TLAC)])) \
-        .otherwise(F.array(*[F.lit(x) for x in (other or REDEMPTION_OTHER)]))
+def redemption_terms(label: str | None, tlac: list[str] | None = None,
+                     other: list[str] | None = None) -> list[str] | None:
+    if label is None:
+        return None
+    return (tlac or REDEMPTION_TLAC) if "TLAC" in label else (other or REDEMPTION_OTHER)
 
 
 def draft_tranches(messages: DataFrame, layout: str = "line_group", text_col: str = "text",
@@ -110,43 +96,26 @@ def draft_tranches(messages: DataFrame, layout: str = "line_group", text_col: st
     tranches; every field is the three lines after its label; ``tenors``
     and ``labels`` are supplied by the caller (the draft hard-codes them).
     """
-    keep = keep or []
-    return messages.select(F.col(id_col).alias("msg_id"), *keep,
-                           let(F.col(text_col), lambda tx: _draft(tx, layout, label, tenors, labels))
-                           .alias("tranches"))
-
-
-def _draft(text: Column, layout: str, label: str, tenors: list[str] | None,
-           labels: list[str] | None) -> Column:
-    def build(n, tenor_arr, label_arr):
-        if layout == "line_group":
-            field_cols = {col: line_group_field(text, lab, n) for lab, col in DRAFT_FIELDS}
-        else:
-            field_cols = {col: three_line_field(text, lab) for lab, col in DRAFT_FIELDS}
-        fields = F.struct(*[v.alias(k) for k, v in field_cols.items()], tenor_arr.alias("_tenor"),
-                          label_arr.alias("_label"))
-
-        def tranches(fs):
-            def tranche(i):
-                lab = F.get(fs["_label"], i)
-                cols = [(i + 1).alias("tranche_no"), F.get(fs["_tenor"], i).alias("tenor"), lab.alias("label"),
-                        F.create_map().cast("map<string,string>").alias("expected_ratings")]
-                cols += [F.get(fs[c], i).alias(c) for _, c in DRAFT_FIELDS]
-                cols.append(F.when(lab.isNotNull(), redemption_terms(lab)).alias("optional_redemption_by_issuer"))
-                return F.struct(*cols)
-            return F.transform(F.filter(F.sequence(F.lit(0), n), lambda j: j >= 1), lambda j: tranche(j - 1))
-        # all field arrays computed once per message, bound as one struct
-        return let(fields, tranches)
+    return messages.select(F.col(id_col).alias("msg_id"), *(keep or []),
+                           draft_tranches_of(F.col(text_col), layout, label, tenors, labels).alias("tranches"))
+
 
+def draft_tranches_of(text: Column, layout: str = "line_group", label: str = "TLAC",
+                      tenors: list[str] | None = None, labels: list[str] | None = None) -> Column:
+    """``array<struct>`` of the tranches of one message."""
+    fields = {col: lab for lab, col in DRAFT_FIELDS}
+    kinds = [pa.field("tranche_no", pa.int32()), *[pa.field(c, KINDS.get(c, pa.string())) for c in (
+        "tenor", "label", "expected_ratings", *fields)], pa.field("optional_redemption_by_issuer", pa.list_(pa.string()))]
     if layout == "line_group":
-        expr = let(tenor_list(text), lambda tenors: let(F.size(tenors), lambda n: build(
-            n, tenors, F.array_repeat(F.lit(label), n))))
+        run = line_group_tranches(kinds, fields, label, redemption_terms(label))
     elif layout == "three_line":
-        expr = build(F.lit(3), F.array(*[F.lit(x) for x in (tenors or [None] * 3)]).cast("array<string>"),
-                     F.array(*[F.lit(x) for x in (labels or [label] * 3)]))
+        def three(values):
+            return [*values, None, None, None][:3]
+        labs = three(labels or [label] * 3)
+        run = three_line_tranches(kinds, fields, three(tenors or []), labs, [redemption_terms(x) for x in labs])
     else:
         raise ValueError("layout must be 'line_group' or 'three_line'")
-    return expr
+    return arrow_call(run, pa.list_(pa.struct(kinds)), text)
 
 
 def deal_documents(messages: DataFrame, parser: str = "draft", text_col: str = "text",
@@ -155,18 +124,13 @@ def deal_documents(messages: DataFrame, parser: str = "draft", text_col: str = "
     the nested ``tranches`` - from the draft line-group layout
     (``parser='draft'``) or the table parser (``parser='table'``).  Globals
     and tranches come from the same row, so nothing is regrouped."""
-    if parser == "draft":
-        def tranches(tx):
-            return _draft(tx, "line_group", "TLAC", None, None)
-    elif parser == "table":
-        from quarry.operators.deals import tranches_of as tranches
-    else:
+    if parser not in ("draft", "table"):
         raise ValueError("parser must be 'draft' or 'table'")
-    # one binding of the text for every field of the document
-    doc = let(F.col(text_col), lambda tx: F.struct(
-        issuer(tx).alias("issuer"), issuer_ratings(tx).alias("ratings"), settlement(tx).alias("settlement"),
-        tranches(tx).alias("tranches")))
-    out = messages.select(F.col(id_col).alias("msg_id"), doc.alias("_doc")).select("msg_id", "_doc.*")
+    tx = F.col("text")
+    # the text is read more than once, so Spark keeps it a column of its own
+    out = messages.select(F.col(id_col).alias("msg_id"), F.col(text_col).alias("text")).select(
+        "msg_id", issuer(tx).alias("issuer"), issuer_ratings(tx).alias("ratings"), settlement(tx).alias("settlement"),
+        (draft_tranches_of if parser == "draft" else tranches_of)(tx).alias("tranches"))
     return with_constants(out, constants) if constants else out
 
 
