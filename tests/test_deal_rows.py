@@ -53,3 +53,18 @@ def test_line_group_of_a_long_message(spark):
     m = spark.createDataFrame([("a", text), ("b", None), ("c", "Tenor \n")], "msg_id string, text string")
     a, b, c = (r.tranches for r in draft_tranches(m).orderBy("msg_id").collect())
     assert [t.format for t in a] == ["A", "B"] and [t.size for t in a] == ["S", ""] and b is None and c is None
+
+
+def test_three_line(spark, tables):
+    rows = _run(spark, tables, "deal_three_line", "tranche_no")
+    assert [(r.msg_id, r.tenor, r.label) for r in rows[:3]] == [("1", "5Y", "TIER 2"), ("1", "8NC7", "TLAC"), ("1", "30Y", "Senior")]
+    assert len(rows) == 6 and rows[0].size == "USD 1000\tUSD 2000" and rows[1].size.startswith("Coupon Type\t")
+    assert [r.redemption_terms.count(" | ") for r in rows[:3]] == [2, 3, 2] and rows[0].sofr_convention is None
+
+
+def test_three_lines_reach_back_for_their_line_ends(spark):
+    """Blank lines behind a label are given back until three lines fit."""
+    m = spark.createDataFrame([("a", "Size \n\n\n"), ("b", "Size\n1\n2"), ("c", None)], "msg_id string, text string")
+    a, b, c = (r.tranches for r in draft_tranches(m, "three_line").orderBy("msg_id").collect())
+    assert [t.size for t in a] == [""] * 3 and [t.size for t in b] == [None] * 3 == [t.size for t in c]
+    assert [t.label for t in c] == ["TLAC"] * 3
