@@ -68,3 +68,22 @@ def test_three_lines_reach_back_for_their_line_ends(spark):
     a, b, c = (r.tranches for r in draft_tranches(m, "three_line").orderBy("msg_id").collect())
     assert [t.size for t in a] == [""] * 3 and [t.size for t in b] == [None] * 3 == [t.size for t in c]
     assert [t.label for t in c] == ["TLAC"] * 3
+
+
+def test_tranches(spark, tables):
+    rows = _run(spark, tables, "deal_tranches")
+    assert [(r.msg_id, r.tranche, r.tenor, r.tenor_maturity_years) for r in rows] == [
+        ("1", "Tranche 1", "10NC9", 10), ("1", "Tranche 2", "20Y", None),
+        ("2", "Tranche 1", "30NC29", 30), ("2", "Tranche 2", "30NC29", 30)]
+    assert [r.ranking for r in rows] == ["Subordinated", "Senior Secured", "Senior Unsecured", "Senior Unsecured"]
+    assert [r.isin for r in rows] == ["US1L1", "US1L2", "US2L1", "US2L1"] and rows[1].maturity_date == "February 3, 2002"
+
+
+def test_odd_cells_and_labels(spark):
+    text = "Tenor :\nTenor  5 nc 4\u00a0 7Y\nMATURITY\t**May 1** (T+5)\t( )\nISIN\t \tX\x1fY\nLabel\t:\n TLAC \n\nIssue Date"
+    t = parse_tranches(spark.createDataFrame([("a", text), ("b", None), ("c", "")], "msg_id string, text string"))
+    a, b, c, d = t.orderBy("msg_id", "tranche").collect()
+    # the values are those of the first row of a header: here one without cells
+    assert (a.tenor, a.label, a.maturity_date, a.isin, b.isin) == (None, "TLAC", "May 1**", None, "X\x1fY")
+    assert (b.tranche, b.maturity_date, b.label) == ("Tranche 2", None, None)
+    assert (c.tranche, c.expected_ratings, d.tranche, d.expected_ratings) == ("Tranche 1", None, "Tranche 1", {})
