@@ -87,3 +87,10 @@ def test_odd_cells_and_labels(spark):
     assert (a.tenor, a.label, a.maturity_date, a.isin, b.isin) == (None, "TLAC", "May 1**", None, "X\x1fY")
     assert (b.tranche, b.maturity_date, b.label) == ("Tranche 2", None, None)
     assert (c.tranche, c.expected_ratings, d.tranche, d.expected_ratings) == ("Tranche 1", None, "Tranche 1", {})
+
+
+def test_ratings(spark, tables):
+    rows = _run(spark, tables, "deal_ratings")
+    assert [(r.msg_id, r.tranche, r.moodys, r.sp, r.fitch, r.n_ratings) for r in rows] == [
+        ("1", "Tranche 1", "Aa2", "CCC", None, 2), ("1", "Tranche 2", "B1", "AA", None, 2),
+        ("2", "Tranche 1", "Caa2", "B+", None, 2), ("2", "Tranche 2", "Caa2", "B+", None, 2)]
