@@ -94,3 +94,18 @@ def test_ratings(spark, tables):
     assert [(r.msg_id, r.tranche, r.moodys, r.sp, r.fitch, r.n_ratings) for r in rows] == [
         ("1", "Tranche 1", "Aa2", "CCC", None, 2), ("1", "Tranche 2", "B1", "AA", None, 2),
         ("2", "Tranche 1", "Caa2", "B+", None, 2), ("2", "Tranche 2", "Caa2", "B+", None, 2)]
+
+
+def test_json_documents(spark, tables):
+    rows = _run(spark, tables, "deal_json", "tranche_no")
+    assert [(r.msg_id, r.issuer, r.tranche_no, r.n_tranches, r.tenor) for r in rows] == [
+        ("1", "Issuer 7 plc", 1, 2, "10NC9"), ("1", "Issuer 7 plc", 2, 2, "20Y"),
+        ("2", "Issuer 8 plc", 1, 2, "30NC29"), ("2", "Issuer 8 plc", 2, 2, "30NC29")]
+    assert all(r.null_label_kept and r.listing == "Euro MTF" for r in rows)
+
+
+def test_documents_of_both_parsers(spark):
+    m = spark.createDataFrame([("a", "Tenor\t5Y\t7Y\nSize\t1\t2\n")], "msg_id string, text string")
+    draft, table = (deal_documents(m, parser=p).first() for p in ("draft", "table"))
+    assert [t.size for t in draft.tranches] == ["1\t2", None] and [t.size for t in table.tranches] == ["1", "2"]
+    assert draft.ratings == table.ratings == {"Moody's": None, "S&P": None, "Fitch": None} and table.issuer is None
