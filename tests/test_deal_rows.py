@@ -109,3 +109,19 @@ def test_documents_of_both_parsers(spark):
     draft, table = (deal_documents(m, parser=p).first() for p in ("draft", "table"))
     assert [t.size for t in draft.tranches] == ["1\t2", None] and [t.size for t in table.tranches] == ["1", "2"]
     assert draft.ratings == table.ratings == {"Moody's": None, "S&P": None, "Fitch": None} and table.issuer is None
+
+
+def test_block_fields(spark, tables):
+    rows = _run(spark, tables, "deal_block_fields")
+    assert [(r.msg_id, r.tranche, r.tenor, r.label, r.maturity_date) for r in rows] == [
+        ("1", "Tranche 1", "1Y", "TIER 2", "2001-02-03"), ("1", "Tranche 2", "2Y", "TLAC", "2002-02-03"),
+        ("2", "Tranche 1", "3Y", "TLAC", "2003-02-03"), ("2", "Tranche 2", "3Y", "TLAC", "2003-02-03")]
+    assert {r.optional_redemption_by_issuer for r in rows} == {"- Par call from year 2001"}
+
+
+def test_tenors_from_other_date_patterns(spark):
+    text = "Tenor\nA\nB\nIssue Date\nMay 1, 2020\n2020-05- 1\nLabel\nMaturity Date\tMay 2, 2025\t2031-5-1"
+    m = spark.createDataFrame([("a", text)], "msg_id string, text string")
+    assert [r.tenor for r in parse_tranches(m).orderBy("tranche").collect()] == [None, "11Y"]
+    t = parse_tranches(m, date_formats=("MMMM d, yyyy",)).orderBy("tranche").collect()
+    assert [r.tenor for r in t] == ["5Y", "11Y"] and "issue_date" not in t[0]
