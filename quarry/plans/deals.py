@@ -250,7 +250,8 @@ SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, 'Issuer ' || o_custkey || ' plc' A
 def deal_json(spark: SparkSession, sf: str) -> DataFrame:
     """Deal documents (globals, constants and nested tranches from the table
     parser) exported as JSON, then every tranche read back from the text."""
-    docs = to_json_documents(deal_documents(tabular_messages(spark, sf), parser="table", constants=CONSTANTS))
+    messages = tabular_messages(spark, sf, rate_null=False)
+    docs = to_json_documents(deal_documents(messages, parser="table", constants=CONSTANTS))
     tranche = "struct<tenor:string,tenor_maturity_years:int,isin:string,size:string,maturity_date:string>"
     shape = (f"issuer string, settlement string, ratings map<string,string>, {', '.join(f'{k} string' for k in CONSTANTS)}, "
              f"tranches array<{tranche}>")

@@ -91,19 +91,26 @@ def _row(header: str, field: str) -> Column:
     return F.concat(F.lit(header + "\t"), _cells(field))
 
 
-def tabular_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """``(msg_id, text)`` in the one-column-per-tranche layout."""
+def tabular_messages(spark: SparkSession, sf: str, rate_null: bool = True) -> DataFrame:
+    """``(msg_id, text)`` in the one-column-per-tranche layout.  An order without
+    a customer is rated as the last kind is; without ``rate_null`` it has no
+    rating lines."""
     g = _grouped(spark, sf, ["tenor", "format", "ranking", "size", "coupon_type", "coupon", "ipt", "benchmark", "isin",
                              "cusip", "maturity"])
     cust = F.col("o_custkey").cast("string")
+
+    def rating(values: list[str]) -> Column:
+        value = F.concat(_pick(values, F.col("o_custkey")), F.lit(" (Stable)"))
+        return value if rate_null else F.when(F.col("o_custkey").isNotNull(), value)
+
     lines = [
         F.concat(F.lit("$$ New Deal: Issuer "), cust, F.lit(" plc (C"), cust, F.lit(") | $ "),
                  _cells("tenor", " & "), F.lit(" $$")),
         F.lit("\t\t\t"),
         F.concat(F.lit("Issuer/Ticker\tIssuer "), cust, F.lit(" plc (“C"), cust, F.lit("”)")),
-        F.concat(F.lit("Issuer Ratings*\tMoody's: "), _pick(MOODYS, F.col("o_custkey")), F.lit(" (Stable)")),
-        F.concat(F.lit("S&P: "), _pick(SP, F.col("o_custkey")), F.lit(" (Stable)")),
-        F.concat(F.lit("Fitch: "), _pick(FITCH, F.col("o_custkey")), F.lit(" (Stable)")),
+        F.concat(F.lit("Issuer Ratings*\tMoody's: "), rating(MOODYS)),
+        F.concat(F.lit("S&P: "), rating(SP)),
+        F.concat(F.lit("Fitch: "), rating(FITCH)),
         _row("Tenor", "tenor"),
         _row("Format", "format"),
         _row("Ranking ", "ranking"),

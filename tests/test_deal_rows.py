@@ -4,8 +4,6 @@ shuffle per table and read once each, not by interpreted array lambdas."""
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
-
 from quarry.operators.deals import parse_tranches
 from quarry.operators.layouts import deal_documents, draft_tranches
 from quarry.plans import deals  # noqa: F401  (registers the queries)
@@ -104,6 +102,14 @@ def test_json_documents(spark, tables):
     assert all(r.null_label_kept and r.listing == "Euro MTF" for r in rows)
 
 
+def test_documents_of_orders_without_customer(spark, tables, tmp_path):
+    spark.read.parquet(f"{tables}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3, None, datetime.datetime(2000, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate timestamp") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    r, = QUERIES["deal_json"](spark, str(tmp_path)).collect()
+    assert (r.msg_id, r.issuer, r.moodys, r.tranche_no, r.tenor) == ("3", None, None, 1, "40NC39")
+
+
 def test_documents_of_both_parsers(spark):
     m = spark.createDataFrame([("a", "Tenor\t5Y\t7Y\nSize\t1\t2\n")], "msg_id string, text string")
     draft, table = (deal_documents(m, parser=p).first() for p in ("draft", "table"))
